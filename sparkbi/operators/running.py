@@ -36,61 +36,56 @@ def running(
     group: Sequence[str],
     order: Sequence[str],
     sums: dict[str, Column] | None = None,
-    maxima: dict[str, Column] | None = None,
+    peaks: dict[str, str] | None = None,
     lasts: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running columns to ``df`` within ``group``, ordered by ``order`` ascending.
 
-    ``sums`` and ``maxima`` include the current row, ``lasts`` gives the latest non-null
-    value so far, and ``totals`` is the sum over the whole group. The order must be unique
-    within a group for the result to be repeatable.
+    ``sums`` include the current row, ``peaks`` name a running sum and give the highest
+    value it has reached, ``lasts`` give the latest non-null value so far and ``totals``
+    the sum over the whole group. The order must be unique within a group for the result
+    to be repeatable.
     """
-    sums, maxima, lasts, totals = sums or {}, maxima or {}, lasts or {}, totals or {}
-    inputs = {**sums, **maxima, **lasts, **totals}
-    outputs = list(inputs)
+    sums, peaks, lasts, totals = sums or {}, peaks or {}, lasts or {}, totals or {}
+    inputs = {**sums, **lasts, **totals}
     columns = list(df.columns)
     tagged = blocked(df.withColumns({f"_in_{name}": column for name, column in inputs.items()}), group, order)
-
-    carried = _carry(tagged, order, sums, maxima, lasts, totals)
     local = W.partitionBy(GROUP, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     scanned = tagged.withColumns(
         {f"_sum_{name}": F.sum(f"_in_{name}").over(local) for name in sums}
-        | {f"_max_{name}": F.max(f"_in_{name}").over(local) for name in maxima}
         | {f"_last_{name}": F.last(f"_in_{name}", ignorenulls=True).over(local) for name in lasts}
-    )
+    ).withColumns({f"_peak_{name}": F.max(f"_sum_{of}").over(local) for name, of in peaks.items()})
+
+    carried = _carry(scanned if peaks else tagged, order, sums, peaks, lasts, totals)
     combined = (
-        {name: F.coalesce(F.col(f"_sum_{name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)) for name in sums}
-        | {name: F.greatest(F.col(f"_max_{name}"), F.col(f"_c_{name}")) for name in maxima}
+        {name: F.col(f"_sum_{name}") + F.col(f"_c_{name}") for name in sums}
+        | {name: F.greatest(F.col(f"_peak_{name}") + F.col(f"_c_{of}"), F.col(f"_c_{name}")) for name, of in peaks.items()}
         | {name: F.coalesce(F.col(f"_last_{name}"), F.col(f"_c_{name}")) for name in lasts}
         | {name: F.col(f"_c_{name}") for name in totals}
     )
-    return scanned.join(carried, [GROUP, BLOCK]).select(*columns, *[combined[name].alias(name) for name in outputs])
+    outputs = [column.alias(name) for name, column in combined.items()]
+    return scanned.join(carried, [GROUP, BLOCK]).select(*columns, *outputs)
 
 
-def _carry(tagged, order, sums, maxima, lasts, totals) -> DataFrame:
+def _carry(rows, order, sums, peaks, lasts, totals) -> DataFrame:
     """What each block inherits from the earlier blocks of its group."""
-    position = F.struct(*[F.col(name) for name in order])
-    per_block = tagged.groupBy(GROUP, BLOCK).agg(
+    place = F.struct(*[F.col(name) for name in order])
+    per_block = rows.groupBy(GROUP, BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_in_{name}").alias(f"_b_{name}") for name in {**sums, **totals}],
-        *[F.max(f"_in_{name}").alias(f"_b_{name}") for name in maxima],
-        *[
-            F.max_by(f"_in_{name}", F.when(F.col(f"_in_{name}").isNotNull(), position)).alias(f"_b_{name}")
-            for name in lasts
-        ],
+        *[F.max(f"_peak_{name}").alias(f"_b_{name}") for name in peaks],
+        *[F.max_by(f"_in_{name}", F.when(F.col(f"_in_{name}").isNotNull(), place)).alias(f"_b_{name}") for name in lasts],
     )
-    # At most one row per block and group here, so this window stays small for any group.
+    # At most one row per block and group here, so these windows stay small for any group.
     before = W.partitionBy(GROUP).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(GROUP)
-    return per_block.select(
-        GROUP,
-        BLOCK,
-        *[F.sum(f"_b_{name}").over(before).alias(f"_c_{name}") for name in sums],
-        *[F.max(f"_b_{name}").over(before).alias(f"_c_{name}") for name in maxima],
-        *[F.last(f"_b_{name}", ignorenulls=True).over(before).alias(f"_c_{name}") for name in lasts],
-        *[F.sum(f"_b_{name}").over(whole).alias(f"_c_{name}") for name in totals],
-    )
+    shifted = per_block.withColumns(
+        {f"_c_{name}": F.coalesce(F.sum(f"_b_{name}").over(before), F.lit(0)) for name in sums}
+        | {f"_c_{name}": F.last(f"_b_{name}", ignorenulls=True).over(before) for name in lasts}
+        | {f"_c_{name}": F.sum(f"_b_{name}").over(whole) for name in totals}
+    ).withColumns({f"_c_{name}": F.max(F.col(f"_b_{name}") + F.col(f"_c_{of}")).over(before) for name, of in peaks.items()})
+    return shifted.select(GROUP, BLOCK, *[f"_c_{name}" for name in (*sums, *peaks, *lasts, *totals)])
 
 
 def ranked_values(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
