@@ -74,18 +74,18 @@ CONTEXT = """
 ALL_PARTS = f"WITH {STATES}, {STOCK}, {TEAMS}, {LANES}, {CONTEXT}"
 
 COHORT = "count(participant_id) AS sample_players, count(DISTINCT match_id) AS sample_matches, round(avg(observed_win), 6) AS observed_win_rate"
-MEANS = """round(avg(inventory_cost), 8) AS average_inventory_cost, round(avg(team_gold_diff), 2) AS average_team_gold_diff,
-           round(avg(lane_gold_diff), 8) AS average_lane_gold_diff"""
+MEANS = """round(avg(inventory_cost), 9) AS average_inventory_cost, round(avg(team_gold_diff), 2) AS average_team_gold_diff,
+           round(avg(lane_gold_diff), 9) AS average_lane_gold_diff"""
 STOCK_MEANS = "round(avg(inventory_ad), 6) AS average_inventory_ad, round(avg(inventory_ap), 6) AS average_inventory_ap"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     digits = {
         "observed_win_rate": 6,
-        "average_total_gold": 8,
-        "average_inventory_cost": 8,
+        "average_total_gold": 9,
+        "average_inventory_cost": 9,
         "average_team_gold_diff": 2,
-        "average_lane_gold_diff": 8,
+        "average_lane_gold_diff": 9,
         "average_inventory_ad": 6,
         "average_inventory_ap": 6,
         "inventory_missing_ratio": 6,
@@ -151,7 +151,7 @@ def lane_diff(spark, folder):
     f"""
     {ALL_PARTS}
     SELECT game_version, minute, role, CAST(floor(total_gold / 5000) * 5000 AS BIGINT) AS gold_bucket_start, CAST(floor(total_gold / 5000) * 5000 + 4999 AS BIGINT) AS gold_bucket_end,
-           {COHORT}, round(avg(total_gold), 8) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2, 3, 4, 5
+           {COHORT}, round(avg(total_gold), 9) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2, 3, 4, 5
     """,
 )
 def bucket_cohorts(spark, folder):
@@ -163,7 +163,7 @@ PATCH = "split_part(game_version, '.', 1) || '.' || split_part(game_version, '.'
 
 @query(
     "trend_by_period",
-    f"{ALL_PARTS} SELECT {PATCH}, minute, {COHORT}, round(avg(total_gold), 8) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2",
+    f"{ALL_PARTS} SELECT {PATCH}, minute, {COHORT}, round(avg(total_gold), 9) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2",
 )
 def trend_by_period(spark, folder):
     return _rounded(marts.patch_trend(context(spark, folder)))
@@ -172,7 +172,7 @@ def trend_by_period(spark, folder):
 @query(
     "coverage",
     f"""
-    {ALL_PARTS} SELECT {PATCH}, minute, role, {COHORT}, count(DISTINCT champion_id) AS sample_champions, round(avg(total_gold), 8) AS average_total_gold,
+    {ALL_PARTS} SELECT {PATCH}, minute, role, {COHORT}, count(DISTINCT champion_id) AS sample_champions, round(avg(total_gold), 9) AS average_total_gold,
            round(avg(CASE WHEN len(inventory) = 0 THEN 1 ELSE 0 END), 6) AS inventory_missing_ratio FROM c GROUP BY 1, 2, 3
     """,
 )
