@@ -15,8 +15,8 @@ MAX_PREVIEW = 1000
 
 
 def _has_broken_text(spark: SparkSession, path: str) -> bool:
-    """Whether the file is not valid UTF-8: Spark decodes bad bytes to U+FFFD."""
-    return not spark.read.text(path).where(F.col("value").contains("�")).limit(1).isEmpty()
+    """Whether some line of the file is not valid UTF-8."""
+    return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
