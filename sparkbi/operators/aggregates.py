@@ -17,12 +17,22 @@ FUNCTIONS = (
 NEEDS_NUMBER = ("sum", "mean", "median", "std", "var", "prod", "any", "all")
 
 
-def position(df: DataFrame, order_by: Sequence[str] | None) -> Column:
-    """A sortable struct: the order columns with nulls last, then all columns as tie-break."""
-    names = list(order_by or [])
-    require(df, names)
-    names += [name for name in df.columns if name not in names]
-    return F.struct(*[part for name in names for part in (F.col(name).isNull(), F.col(name))])
+def position(df: DataFrame, order_by: Sequence[str], *ties: str) -> Column:
+    """A sortable struct over the order columns and ties, nulls last."""
+    require(df, [*order_by, *ties])
+    parts = []
+    for name in dict.fromkeys([*order_by, *ties]):
+        parts += [F.col(name).isNull().alias(f"no_{name}"), F.col(name).alias(name)]
+    return F.struct(*parts)
+
+
+def first_value(df: DataFrame, column: str, order_by: Sequence[str] | None = None, last: bool = False) -> Column:
+    """First (or last) non-null value in ``order_by``; the value itself breaks ties.
+
+    Without an order the smallest (largest) value is taken, so reruns agree.
+    """
+    place = F.when(F.col(column).isNotNull(), position(df, list(order_by or []), column))
+    return (F.max(place) if last else F.min(place))[column]
 
 
 def named_aggregate(df: DataFrame, function: str, column: str, order_by: Sequence[str] | None = None) -> Column:
@@ -50,8 +60,7 @@ def named_aggregate(df: DataFrame, function: str, column: str, order_by: Sequenc
         return F.coalesce(F.bool_or(number(df, column) != 0), F.lit(False))
     if function == "all":
         return F.coalesce(F.bool_and(number(df, column) != 0), F.lit(True))
-    place = F.when(value.isNotNull(), position(df, order_by))
-    return F.min_by(value, place) if function == "first" else F.max_by(value, place)
+    return first_value(df, column, order_by, last=function == "last")
 
 
 def group_aggregate(

@@ -14,15 +14,11 @@ from sparkbi.operators.catalog import REFERENCE_ITEMS
 
 MINUTE_MS = 60_000
 BUCKET = 500
+DENSE_IDS = 1 << 16  # catalogs with ids below this are looked up in place
 TEAM = ("match_id", "minute", "team_id")
 LANE = (*TEAM, "role")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe key equality; a missing role or team matches a missing one."""
-    return reduce(Column.__and__, [left[key].eqNullSafe(right[key]) for key in keys])
-
-
 def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     moved = facts.withColumnsRenamed({key: f"_k_{key}" for key in keys})
     match = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
@@ -34,19 +30,58 @@ def inventory_stats(
 ) -> DataFrame:
     """Add ``inventory_cost``, ``item_names`` and one ``inventory_<stat>`` sum per stat.
 
-    An unknown item costs nothing and shows its id. State rows are distinct. With
-    ``by_patch`` each state uses the catalog of its own patch, so mixed batches need no
-    loop. The catalog is not forced into a broadcast: Spark decides from its size.
+    An unknown item costs nothing and shows its id. With ``by_patch`` each state uses the
+    catalog of its own patch, so mixed batches need no loop.
+
+    A catalog whose ids all lie in a small range is looked up inside each row, without any
+    shuffle. The range is checked first; any other catalog is joined.
     """
     known = [stat for stat in stats if stat in items.columns]
     facts = items.select(
-        F.col("item_id").alias("_item_id"),
+        F.col("item_id"),
         *([patch_key(F.col("patch")).alias("_patch")] if by_patch else []),
-        F.col("item_name").alias("_name"),
-        F.col("total_gold").cast("double").alias("_cost"),
-        *[F.col(stat).cast("double").alias(f"_{stat}") for stat in known],
+        F.col("item_name").alias("name"),
+        F.col("total_gold").cast("double").alias("cost"),
+        *[F.col(stat).cast("double").alias(f"inventory_{stat}") for stat in known],
+    )
+    sums = ["cost", *[f"inventory_{stat}" for stat in known]]
+    if not by_patch:
+        ids = facts.agg(F.min("item_id").alias("low"), F.max("item_id").alias("high")).first()
+        if ids["low"] is not None and ids["low"] >= 0 and ids["high"] < DENSE_IDS:
+            return _looked_up(states, facts, sums, int(ids["high"]))
+    return _joined_up(states, facts, sums, by_patch)
+
+
+def _looked_up(states: DataFrame, facts: DataFrame, sums: list[str], high: int) -> DataFrame:
+    """Catalog facts as one array indexed by item id: at most ``DENSE_IDS`` entries."""
+    entry = F.struct("name", *sums)
+    pairs = facts.groupBy("item_id").agg(F.max(entry).alias("entry"))
+    by_id = pairs.agg(F.map_from_entries(F.collect_list(F.struct("item_id", "entry"))).alias("m"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(high)), lambda i: F.try_element_at("m", i.cast(facts.schema["item_id"].dataType)))
+    shelf = by_id.select(slots.alias("shelf")).scalar()
+
+    def entry_of(item: Column) -> Column:
+        return F.when(item.between(0, high), F.get(F.col("_shelf"), item.cast("int")))
+
+    held = F.coalesce(F.col("inventory"), F.array().cast(states.schema["inventory"].dataType))
+    rows = states.withColumn("_shelf", shelf).withColumn("_held", F.transform(held, lambda i: F.struct(i.alias("id"), entry_of(i).alias("e"))))
+
+    def total(name: str) -> Column:
+        return F.aggregate("_held", F.lit(0.0), lambda so_far, one: so_far + F.coalesce(one["e"][name], F.lit(0.0)))
+
+    names = F.transform("_held", lambda one: F.coalesce(one["e"]["name"], one["id"].cast("string")))
+    return rows.select(
+        *states.columns,
+        total("cost").alias("inventory_cost"),
+        F.array_join(names, ", ").alias("item_names"),
+        *[total(name).alias(name) for name in sums[1:]],
     )
+
+
+def _joined_up(states: DataFrame, facts: DataFrame, sums: list[str], by_patch: bool) -> DataFrame:
+    """Explode, join, and gather each state again; state rows are taken to be distinct."""
     held = states.select("*", F.posexplode_outer("inventory").alias("_pos", "_item"))
+    catalog = facts.withColumnsRenamed({"item_id": "_item_id", "name": "_name", **{name: f"_{name}" for name in sums}})
     match = F.col("_item") == F.col("_item_id")
     if by_patch:
         match = match & (patch_key(F.col("game_version")) == F.col("_patch"))
@@ -54,12 +89,12 @@ def inventory_stats(
     # As long as one snapshot's own inventory, which already fitted in its row.
     names = F.array_sort(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("_pos", shown.alias("shown")))))
     return (
-        held.join(facts, match, "left")
+        held.join(catalog, match, "left")
         .groupBy(*states.columns)
         .agg(
             sum0(F.col("_cost")).cast("double").alias("inventory_cost"),
             F.array_join(F.transform(names, lambda entry: entry["shown"]), ", ").alias("item_names"),
-            *[sum0(F.col(f"_{stat}")).cast("double").alias(f"inventory_{stat}") for stat in known],
+            *[sum0(F.col(f"_{name}")).cast("double").alias(name) for name in sums[1:]],
         )
     )
 
@@ -91,12 +126,9 @@ def lane_opponents(states: DataFrame, order_by: Sequence[str] = ("participant_id
     the earliest of the others, so no pair of players is ever formed.
     """
     order = [name for name in order_by if name in states.columns]
-    first = states.groupBy(*LANE).agg(
-        F.min(position(states, order)).alias("_place"),
-        F.min_by(F.struct("total_gold"), position(states, order)).alias("_first"),
-    )
+    first = states.groupBy(*LANE).agg(F.min(position(states, order, "total_gold")).alias("_first"))
     # One row per team and lane.
-    lane = W.partitionBy("match_id", "minute", "role").orderBy("_place")
+    lane = W.partitionBy("match_id", "minute", "role").orderBy("_first")
     whole = lane.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rival = F.when(F.row_number().over(lane) == 1, F.nth_value("_first", 2).over(whole)).otherwise(F.first("_first").over(whole))
     return first.withColumn("_rival", rival).select(*LANE, F.col("_rival.total_gold").alias("total_gold_opponent"))

@@ -10,7 +10,6 @@ from sparkbi.functions.columns import is_number, is_time, number, parse_timestam
 DATE_WORDS = ("date", "time", "timestamp", "일자", "날짜")
 
 IDENTIFIER_RATIO, PARSE_RATIO, TEXT_LENGTH = 0.98, 0.9, 80
-SAMPLES = 3
 LONG_VALUE = 64
 
 
@@ -28,54 +27,49 @@ def _looks_dated(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.StringType) and any(word in field.name.lower() for word in DATE_WORDS)
 
 
-def _column_summary(df: DataFrame, index: int, field: T.StructField) -> dict[str, Column]:
-    """The aggregates of one column; all columns share a single scan."""
+def _column_summary(df: DataFrame, field: T.StructField) -> dict[str, Column]:
+    """The aggregates one column needs; all columns share a single scan."""
     column, text = F.col(f"`{field.name}`"), _text(field)
-    nothing = F.lit(None)
-    numeric = is_number(field.dataType)
-    value = number(df, field.name).cast("double") if numeric else None
-    return {
-        f"present{index}": F.count(column),
-        f"length{index}": F.avg(F.length(text)) if isinstance(field.dataType, T.StringType) else F.max(F.lit(None).cast("double")),
-        f"parsed{index}": F.avg(F.when(column.isNotNull(), parse_timestamp(column).isNotNull().cast("int")))
-        if _looks_dated(field)
-        else F.max(nothing.cast("double")),
-        f"low{index}": F.min(value) if numeric else F.max(nothing.cast("double")),
-        f"high{index}": F.max(value) if numeric else F.max(nothing.cast("double")),
-        f"mean{index}": F.avg(value) if numeric else F.max(nothing.cast("double")),
-        f"early{index}": F.min(text) if is_time(field.dataType) or _looks_dated(field) else F.max(nothing.cast("string")),
-        f"late{index}": F.max(text) if is_time(field.dataType) or _looks_dated(field) else F.max(nothing.cast("string")),
+    needed = {
+        "present": F.count(column),
         # Repeatable samples whatever the row order: both ends and one picked by hash.
-        f"sample{index}_0": F.min_by(text, F.when(column.isNotNull(), F.xxhash64(text))),
-        f"sample{index}_1": F.min(text),
-        f"sample{index}_2": F.max(text),
+        "least": F.min(text),
+        "most": F.max(text),
+        "picked": F.min_by(text, F.when(column.isNotNull(), F.xxhash64(text))),
     }
+    if isinstance(field.dataType, T.StringType):
+        needed["length"] = F.avg(F.length(text))
+    if _looks_dated(field):
+        needed["parsed"] = F.avg(F.when(column.isNotNull(), parse_timestamp(column).isNotNull().cast("int")))
+    if is_number(field.dataType):
+        value = number(df, field.name).cast("double")
+        needed |= {"low": F.min(value), "high": F.max(value), "mean": F.avg(value)}
+    return needed
 
 
 def _summaries(df: DataFrame) -> DataFrame:
-    aggregates = {"rows": F.count(F.lit(1))}
+    aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
     for index, field in enumerate(df.schema.fields):
-        aggregates |= _column_summary(df, index, field)
-    wide = df.agg(*[column.alias(name) for name, column in aggregates.items()])
-    rows = [
-        F.struct(
-            F.lit(index).alias("position"),
-            F.lit(field.name).alias("name"),
-            F.lit(field.dataType.simpleString()).alias("dtype"),
-            F.lit(is_number(field.dataType)).alias("numeric"),
-            F.lit(is_time(field.dataType)).alias("timed"),
-            F.col("rows"),
-            *[
-                F.col(f"{part}{index}").alias(part)
-                for part in ("present", "length", "parsed", "low", "high", "mean", "early", "late")
-            ],
-            F.array_compact(F.array_distinct(F.array(*[F.col(f"sample{index}_{s}") for s in range(SAMPLES)]))).alias(
-                "samples"
-            ),
+        needed = _column_summary(df, field)
+        aggregates += [column.alias(f"{part}{index}") for part, column in needed.items()]
+        known = lambda part, kind="double": F.col(f"{part}{index}") if part in needed else F.lit(None).cast(kind)
+        samples = F.array(*[F.col(f"{part}{index}") for part in ("picked", "least", "most")])
+        rows.append(
+            F.struct(
+                F.lit(index).alias("position"),
+                F.lit(field.name).alias("name"),
+                F.lit(field.dataType.simpleString()).alias("dtype"),
+                F.lit(is_number(field.dataType)).alias("numeric"),
+                F.lit(is_time(field.dataType)).alias("timed"),
+                F.col("rows"),
+                F.col(f"present{index}").alias("present"),
+                *[known(part).alias(part) for part in ("length", "parsed", "low", "high", "mean")],
+                F.col(f"least{index}").alias("early"),
+                F.col(f"most{index}").alias("late"),
+                F.array_compact(F.array_distinct(samples)).alias("samples"),
+            )
         )
-        for index, field in enumerate(df.schema.fields)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def _distinct_counts(df: DataFrame, approximate: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from sparkbi.functions.columns import as_double, dtype, is_number, number, require, row_order, to_time
-from sparkbi.operators.aggregates import position
+from sparkbi.operators.aggregates import first_value
 from sparkbi.operators.profile import profile
 from sparkbi.operators.running import hash_sample, quantile_columns, ranked_values
 
@@ -78,7 +78,6 @@ def latest_grain(df: DataFrame, entity_key: str, time_column: str, order_by: Seq
 def mean_grain(df: DataFrame, entity_key: str, order_by: Sequence[str] = ()) -> DataFrame:
     """One row per entity: numeric columns averaged, others by their first non-null value."""
     require(df, [entity_key])
-    place = position(df, order_by)
     merged = []
     for name in df.columns:
         if name == entity_key:
@@ -86,39 +85,30 @@ def mean_grain(df: DataFrame, entity_key: str, order_by: Sequence[str] = ()) ->
         if is_number(dtype(df, name)):
             merged.append(F.avg(number(df, name)).alias(name))
         else:
-            merged.append(F.min_by(F.col(name), F.when(F.col(name).isNotNull(), place)).alias(name))
+            merged.append(first_value(df, name, order_by).alias(name))
     return df.groupBy(entity_key).agg(*merged)
 
 
-def _long(df: DataFrame, names: Sequence[str], x: Column, y: dict[str, Column], minimum: int) -> DataFrame:
-    """Complete pairs as ``column, x, y, n``, for candidates with at least ``minimum`` of them.
+def _long(df: DataFrame, names: Sequence[str], x: Column, y: dict[str, Column]) -> DataFrame:
+    """Complete pairs as ``column, x, y``, one row per candidate and input row."""
+    cells = [F.struct(F.lit(name).alias("column"), y[name].alias("y")) for name in names]
+    long = df.select(x.alias("x"), F.inline(F.array(*cells))).select("column", "x", "y")
+    return long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def _merged(pairs: DataFrame) -> DataFrame:
+    """Equal pairs as one row with their count ``n``.
 
-    Equal pairs are merged on the map side, so a value held by a third of all rows shrinks
-    to one row per task before anything is shuffled.
+    Merging starts on the map side, so a pair held by a third of all rows shrinks to one
+    row per task before anything is shuffled.
     """
-    cells = [F.struct(F.lit(name).alias("column"), y[name].alias("y")) for name in names]
-    long = df.select(x.alias("x"), F.inline(F.array(*cells)))
-    pairs = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("column", "x", "y").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    sizes = pairs.groupBy("column").agg(F.sum("n").alias("size")).where(F.col("size") >= minimum)
-    # One row per candidate column, so the broadcast is bounded by the candidate limit.
-    return pairs.join(F.broadcast(sizes), "column")
+    return pairs.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def numeric_numeric(pairs: DataFrame) -> DataFrame:
-    """Spearman and winsorised Pearson per candidate from ``column, x, y, n, size`` rows."""
-    sides = pairs.select(
-        "column",
-        "n",
-        F.inline(
-            F.array(
-                F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
-                F.struct(F.lit("y").alias("side"), F.col("y").alias("v")),
-            )
-        ),
-    ).withColumnRenamed("n", "weight")
-    ranks = ranked_values(sides, ["column", "side"], "v", "weight")
+    """Spearman and winsorised Pearson per candidate from ``column, x, y`` rows."""
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in ("x", "y")])
+    ranks = ranked_values(pairs.select("column", F.inline(both)), ["column", "side"], "v")
     cuts = ranks.groupBy("column", "side").agg(*quantile_columns("v", CLIP), F.count(F.lit(1)).alias("levels"))
     limits = cuts.groupBy("column").agg(
         *[
@@ -128,11 +118,11 @@ def numeric_numeric(pairs: DataFrame) -> DataFrame:
         ]
     )
     centred = F.col("rank") - (F.col("total") + 1) / 2
-    joined = pairs
+    joined = _merged(pairs)
     for side in ("x", "y"):
         one = ranks.where(F.col("side") == side).select("column", F.col("v").alias(side), centred.alias(f"r{side}"))
         joined = joined.join(one, ["column", side])
-    # One row per candidate again: bounded by the candidate limit.
+    # One row per candidate column, so the broadcast is bounded by the candidate limit.
     joined = joined.join(F.broadcast(limits), "column")
     for side in ("x", "y"):
         clipped = F.least(F.greatest(F.col(side), F.col(f"{side}_low")), F.col(f"{side}_high"))
@@ -163,17 +153,19 @@ def numeric_numeric(pairs: DataFrame) -> DataFrame:
 
 def categorical_categorical(pairs: DataFrame) -> DataFrame:
     """Bias-corrected Cramér's V per candidate; candidates above 30 levels are left out."""
+    cells = _merged(pairs)
     n, size = F.col("n"), F.col("size")
-    rows = pairs.groupBy("column", "x").agg(F.sum("n").alias("row_n"))
-    columns = pairs.groupBy("column", "y").agg(F.sum("n").alias("column_n"))
+    rows = cells.groupBy("column", "x").agg(F.sum("n").alias("row_n"))
+    columns = cells.groupBy("column", "y").agg(F.sum("n").alias("column_n"))
     levels = (
         rows.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("r"))
+        .agg(F.count(F.lit(1)).alias("r"), F.sum("row_n").alias("size"))
         .join(columns.groupBy("column").agg(F.count(F.lit(1)).alias("k")), "column")
         .where(F.greatest("r", "k") <= MAX_LEVELS)
     )
-    cells = pairs.join(F.broadcast(levels), "column").join(rows, ["column", "x"]).join(columns, ["column", "y"])
-    table = cells.groupBy("column", "size", "r", "k").agg(
+    # One row per candidate column, so the broadcast is bounded by the candidate limit.
+    known = cells.join(F.broadcast(levels), "column").join(rows, ["column", "x"]).join(columns, ["column", "y"])
+    table = known.groupBy("column", "size", "r", "k").agg(
         F.sum(n.cast("double") * n / (F.col("row_n").cast("double") * F.col("column_n"))).alias("ratio")
     )
     rest = F.greatest(size - 1, F.lit(1))
@@ -240,7 +232,7 @@ def daily_trend(pairs: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``column, score, pearson, sample_size`` for two numeric columns."""
     require(df, [x, y])
-    return numeric_numeric(_long(df, [y], as_double(df, x), {y: as_double(df, y)}, 1))
+    return numeric_numeric(_long(df, [y], as_double(df, x), {y: as_double(df, y)}))
 
 
 def winsorized_pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -249,7 +241,7 @@ def winsorized_pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     require(df, [x, y])
-    return categorical_categorical(_long(df, [y], F.col(x), {y: F.col(y)}, 1))
+    return categorical_categorical(_long(df, [y], F.col(x), {y: F.col(y)}))
 
 
 def eta_squared(df: DataFrame, category: str, value: str) -> DataFrame:
@@ -278,13 +270,12 @@ def _relation(chosen: str, other: str) -> str | None:
     return "datetime_numeric" if kinds == {"datetime", "numeric"} else None
 
 
-def _score(df: DataFrame, relation: str, chosen: str, chosen_type: str, names: list[str], minimum: int) -> DataFrame:
+def _score(df: DataFrame, relation: str, chosen: str, chosen_type: str, names: list[str]) -> DataFrame:
     if relation == "numeric_numeric":
-        return numeric_numeric(_long(df, names, as_double(df, chosen), {n: as_double(df, n) for n in names}, minimum))
+        return numeric_numeric(_long(df, names, as_double(df, chosen), {n: as_double(df, n) for n in names}))
     if relation == "categorical_categorical":
-        return categorical_categorical(
-            _long(df, names, F.col(chosen).cast("string"), {n: F.col(n).cast("string") for n in names}, minimum)
-        )
+        texts = {n: F.col(n).cast("string") for n in names}
+        return categorical_categorical(_long(df, names, F.col(chosen).cast("string"), texts))
     if relation == "categorical_numeric":
         fixed = chosen_type == "categorical"
         category = {n: F.col(chosen if fixed else n).cast("string") for n in names}
@@ -354,7 +345,7 @@ def analyze(df: DataFrame, request: Request, profiled: DataFrame | None = None)
             by_relation.setdefault(relation, []).append(row["name"])
     parts = []
     for relation, names in by_relation.items():
-        scored = _score(rows, relation, request.column, chosen_type, names, request.minimum_pair_samples)
+        scored = _score(rows, relation, request.column, chosen_type, names)
         parts.append(
             scored.where(F.col("sample_size") >= request.minimum_pair_samples)
             .withColumn("relation_type", F.lit(relation))

@@ -101,22 +101,49 @@ def ranked_values(df: DataFrame, group: Sequence[str], value: str, weight: str |
 
 
 def quantile_columns(value: str, probabilities: dict[str, float]) -> list[Column]:
-    """Aggregates over ``ranked_values`` rows giving exact, linearly interpolated quantiles."""
-    result = []
-    for name, probability in probabilities.items():
-        place = F.lit(float(probability)) * (F.col("total") - 1)
-        low, high = F.floor(place), F.ceil(place)
-        at = lambda position: F.max(
-            F.when((F.col("seen") - F.col("n") <= position) & (position < F.col("seen")), F.col(value))
-        )
-        share = F.max(place - low)
-        result.append((at(low) + (at(high) - at(low)) * share).alias(name))
-    return result
+    """Aggregates over ranked rows giving exact, linearly interpolated quantiles.
+
+    Needs ``n``, ``seen`` and ``total`` as ``ranked_values`` makes them.
+    """
+    return [
+        (F.max(_at(F.floor(place), value)) * (1 - F.max(place - F.floor(place))) + F.max(_at(F.ceil(place), value)) * F.max(place - F.floor(place))).alias(name)
+        for name, place in _places(probabilities).items()
+    ]
+
+
+def _places(probabilities: dict[str, float]) -> dict[str, Column]:
+    """Zero-based, possibly fractional position of each quantile in its group."""
+    return {name: F.lit(float(p)) * (F.col("total") - 1) for name, p in probabilities.items()}
+
+
+def _at(position: Column, value: str) -> Column:
+    """The value of a row whose copies cover ``position``, else null."""
+    covers = (F.col("seen") - F.col("n") <= position) & (position < F.col("seen"))
+    return F.when(covers, F.col(value))
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group, one column per entry of ``probabilities``."""
-    ranked = ranked_values(df.where(F.col(value).isNotNull()), group, value)
+    """Exact quantiles per group, one column per entry of ``probabilities``.
+
+    Block totals alone tell which blocks hold the wanted positions, so only those are
+    sorted and scanned: a couple per quantile and group, however large the group.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_in_n"))
+    tagged = blocked(counted, group, [value])
+    n = F.col("_in_n")
+    per_block = tagged.groupBy(GROUP, BLOCK).agg(F.sum(n).alias("_here"))
+    # At most one row per block and group here.
+    before = W.partitionBy(GROUP).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    placed = per_block.withColumn("_before", F.coalesce(F.sum("_here").over(before), F.lit(0))).withColumn(
+        "total", F.sum("_here").over(W.partitionBy(GROUP))
+    )
+    reach = F.col("_before") + F.col("_here")
+    wanted = F.lit(False)
+    for place in _places(probabilities).values():
+        wanted = wanted | ((F.ceil(place) >= F.col("_before")) & (F.floor(place) < reach))
+    rows = tagged.join(placed.where(wanted).drop("_here"), [GROUP, BLOCK])
+    local = W.partitionBy(GROUP, BLOCK).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = rows.withColumn("seen", F.sum(n).over(local) + F.col("_before")).withColumn("n", n)
     return ranked.groupBy(*group).agg(*quantile_columns(value, probabilities))
 
 

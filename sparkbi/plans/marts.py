@@ -26,7 +26,7 @@ def states(spark, folder) -> DataFrame:
         (F.col("l_partkey") % 40).alias("champion_id"),
         F.nullif("l_returnflag", F.lit("A")).alias("role"),
         (F.col("l_tax") > 0.04).alias("win"),
-        F.col("l_extendedprice").alias("total_gold"),
+        F.floor("l_extendedprice").alias("total_gold"),
         held.alias("inventory"),
     )
 
@@ -35,7 +35,7 @@ def items(spark, folder) -> DataFrame:
     return table(spark, folder, "part").select(
         F.col("p_partkey").alias("item_id"),
         F.col("p_name").alias("item_name"),
-        F.col("p_retailprice").alias("total_gold"),
+        F.floor("p_retailprice").alias("total_gold"),
         F.col("p_size").cast("double").alias("ad"),
         (F.col("p_size") % 9).cast("double").alias("ap"),
     )
@@ -44,24 +44,24 @@ def items(spark, folder) -> DataFrame:
 STATES = """
     s AS (SELECT row_number() OVER () AS rid, CAST(year(l_shipdate) AS VARCHAR) AS match_id, l_orderkey AS participant_id, l_linenumber AS minute,
                  CAST(year(l_shipdate) AS VARCHAR) || '.' || month(l_shipdate) || '.1' AS game_version, l_linestatus AS team_id, l_partkey % 40 AS champion_id,
-                 nullif(l_returnflag, 'A') AS role, l_tax > 0.04 AS win, l_extendedprice AS total_gold,
+                 nullif(l_returnflag, 'A') AS role, l_tax > 0.04 AS win, CAST(floor(l_extendedprice) AS BIGINT) AS total_gold,
                  CASE WHEN l_quantity < 10 THEN [] ELSE [l_partkey, l_suppkey, l_orderkey + 1000] END AS inventory FROM lineitem)
 """
 STOCK = """
     u AS (SELECT rid, unnest(inventory) AS item_id, generate_subscripts(inventory, 1) AS pos FROM s),
-    v AS (SELECT rid, sum(p_retailprice) AS cost, string_agg(coalesce(p_name, CAST(item_id AS VARCHAR)), ', ' ORDER BY pos) AS names,
+    v AS (SELECT rid, CAST(sum(floor(p_retailprice)) AS DOUBLE) AS cost, string_agg(coalesce(p_name, CAST(item_id AS VARCHAR)), ', ' ORDER BY pos) AS names,
                  sum(p_size) AS ad, sum(p_size % 9) AS ap FROM u LEFT JOIN part ON p_partkey = item_id GROUP BY 1),
     i AS (SELECT s.*, coalesce(cost, 0) AS inventory_cost, coalesce(names, '') AS item_names, CAST(coalesce(ad, 0) AS DOUBLE) AS inventory_ad,
                  CAST(coalesce(ap, 0) AS DOUBLE) AS inventory_ap FROM s LEFT JOIN v USING (rid))
 """
 TEAMS = """
-    t AS (SELECT match_id, minute, team_id, sum(total_gold) AS g FROM s GROUP BY ALL),
+    t AS (SELECT match_id, minute, team_id, CAST(sum(total_gold) AS BIGINT) AS g FROM s GROUP BY ALL),
     td AS (SELECT a.match_id, a.minute, a.team_id, a.g AS team_total_gold, b.g AS team_total_gold_opponent, a.g - b.g AS team_gold_diff
            FROM t a LEFT JOIN t b ON a.match_id = b.match_id AND a.minute = b.minute AND a.team_id <> b.team_id)
 """
 LANES = """
     l1 AS (SELECT match_id, minute, team_id, role, total_gold FROM
-             (SELECT *, row_number() OVER (PARTITION BY match_id, minute, team_id, role ORDER BY participant_id, match_id, minute, game_version, team_id, champion_id, role, win, total_gold) AS rn FROM s)
+             (SELECT *, row_number() OVER (PARTITION BY match_id, minute, team_id, role ORDER BY participant_id, total_gold) AS rn FROM s)
            WHERE rn = 1),
     ld AS (SELECT a.match_id, a.minute, a.team_id, a.role, b.total_gold AS total_gold_opponent
            FROM l1 a LEFT JOIN l1 b ON a.match_id = b.match_id AND a.minute = b.minute AND a.role IS NOT DISTINCT FROM b.role AND a.team_id <> b.team_id)
@@ -74,18 +74,18 @@ CONTEXT = """
 ALL_PARTS = f"WITH {STATES}, {STOCK}, {TEAMS}, {LANES}, {CONTEXT}"
 
 COHORT = "count(participant_id) AS sample_players, count(DISTINCT match_id) AS sample_matches, round(avg(observed_win), 6) AS observed_win_rate"
-MEANS = """round(avg(inventory_cost), 9) AS average_inventory_cost, round(avg(team_gold_diff), 2) AS average_team_gold_diff,
-           round(avg(lane_gold_diff), 9) AS average_lane_gold_diff"""
+MEANS = """round(avg(inventory_cost), 6) AS average_inventory_cost, round(avg(team_gold_diff), 6) AS average_team_gold_diff,
+           round(avg(lane_gold_diff), 6) AS average_lane_gold_diff"""
 STOCK_MEANS = "round(avg(inventory_ad), 6) AS average_inventory_ad, round(avg(inventory_ap), 6) AS average_inventory_ap"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     digits = {
         "observed_win_rate": 6,
-        "average_total_gold": 9,
-        "average_inventory_cost": 9,
-        "average_team_gold_diff": 2,
-        "average_lane_gold_diff": 9,
+        "average_total_gold": 6,
+        "average_inventory_cost": 6,
+        "average_team_gold_diff": 6,
+        "average_lane_gold_diff": 6,
         "average_inventory_ad": 6,
         "average_inventory_ap": 6,
         "inventory_missing_ratio": 6,
@@ -110,7 +110,7 @@ def inventory_cost(spark, folder):
     "inventory_by_patch",
     f"""
     WITH {STATES},
-    k AS (SELECT CAST(y AS VARCHAR) || '.' || m AS patch, p_partkey AS item_id, p_retailprice + y % 5 + m AS price FROM part, (SELECT unnest(range(1995, 1999)) AS y), (SELECT unnest([1, 6]) AS m)),
+    k AS (SELECT CAST(y AS VARCHAR) || '.' || m AS patch, p_partkey AS item_id, floor(p_retailprice) + y % 5 + m AS price FROM part, (SELECT unnest(range(1995, 1999)) AS y), (SELECT unnest([1, 6]) AS m)),
     u AS (SELECT rid, unnest(inventory) AS item_id FROM s)
     SELECT participant_id, minute, total_gold, round(coalesce(sum(price), 0), 2) AS inventory_cost
     FROM s LEFT JOIN u USING (rid) LEFT JOIN k ON k.item_id = u.item_id AND k.patch = split_part(game_version, '.', 1) || '.' || split_part(game_version, '.', 2)
@@ -127,23 +127,23 @@ def inventory_by_patch(spark, folder):
 
 @query(
     "team_diff",
-    f"WITH {STATES}, {TEAMS} SELECT match_id, minute, team_id, round(team_total_gold, 2) AS team_total_gold, round(team_total_gold_opponent, 2) AS team_total_gold_opponent, round(team_gold_diff, 2) AS team_gold_diff FROM td",
+    f"WITH {STATES}, {TEAMS} SELECT match_id, minute, team_id, team_total_gold, team_total_gold_opponent, team_gold_diff FROM td",
 )
 def team_diff(spark, folder):
-    return rounded(marts.team_diff(states(spark, folder)), 2, "team_total_gold", "team_total_gold_opponent", "team_gold_diff")
+    return marts.team_diff(states(spark, folder))
 
 
 @query(
     "lane_diff",
     f"""
     WITH {STATES}, {LANES}
-    SELECT participant_id, s.minute, total_gold, total_gold_opponent, round(total_gold - total_gold_opponent, 2) AS lane_gold_diff FROM s
+    SELECT participant_id, s.minute, total_gold, total_gold_opponent, total_gold - total_gold_opponent AS lane_gold_diff FROM s
     JOIN ld ON s.match_id = ld.match_id AND s.minute = ld.minute AND s.team_id = ld.team_id AND s.role IS NOT DISTINCT FROM ld.role
     """,
 )
 def lane_diff(spark, folder):
     rows = marts.lane_diff(states(spark, folder))
-    return rounded(rows.select("participant_id", "minute", "total_gold", "total_gold_opponent", "lane_gold_diff"), 2, "lane_gold_diff")
+    return rows.select("participant_id", "minute", "total_gold", "total_gold_opponent", "lane_gold_diff")
 
 
 @query(
@@ -151,7 +151,7 @@ def lane_diff(spark, folder):
     f"""
     {ALL_PARTS}
     SELECT game_version, minute, role, CAST(floor(total_gold / 5000) * 5000 AS BIGINT) AS gold_bucket_start, CAST(floor(total_gold / 5000) * 5000 + 4999 AS BIGINT) AS gold_bucket_end,
-           {COHORT}, round(avg(total_gold), 9) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2, 3, 4, 5
+           {COHORT}, round(avg(total_gold), 6) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2, 3, 4, 5
     """,
 )
 def bucket_cohorts(spark, folder):
@@ -163,7 +163,7 @@ PATCH = "split_part(game_version, '.', 1) || '.' || split_part(game_version, '.'
 
 @query(
     "trend_by_period",
-    f"{ALL_PARTS} SELECT {PATCH}, minute, {COHORT}, round(avg(total_gold), 9) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2",
+    f"{ALL_PARTS} SELECT {PATCH}, minute, {COHORT}, round(avg(total_gold), 6) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2",
 )
 def trend_by_period(spark, folder):
     return _rounded(marts.patch_trend(context(spark, folder)))
@@ -172,7 +172,7 @@ def trend_by_period(spark, folder):
 @query(
     "coverage",
     f"""
-    {ALL_PARTS} SELECT {PATCH}, minute, role, {COHORT}, count(DISTINCT champion_id) AS sample_champions, round(avg(total_gold), 9) AS average_total_gold,
+    {ALL_PARTS} SELECT {PATCH}, minute, role, {COHORT}, count(DISTINCT champion_id) AS sample_champions, round(avg(total_gold), 6) AS average_total_gold,
            round(avg(CASE WHEN len(inventory) = 0 THEN 1 ELSE 0 END), 6) AS inventory_missing_ratio FROM c GROUP BY 1, 2, 3
     """,
 )
