@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkbi.functions.hashing import hmac_sha256
 from sparkbi.functions.text import patch_key
-from sparkbi.operators.inventory import ITEM_PREFIX, inventory_at, life_spans, number_events
+from sparkbi.operators.inventory import DESTROYED, ITEM_PREFIX, PURCHASED, SOLD, UNDO
 
 MINUTE_MS = 60_000
 DEFAULT_MINUTES = (10, 15, 20)
@@ -89,26 +89,125 @@ def item_events(timelines: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.join(listed.distinct(), ["match_id", "participant_id"], "left_semi")
 
 
-def frame_snapshots(timelines: DataFrame, minutes: Sequence[int] = DEFAULT_MINUTES) -> DataFrame:
-    """Per requested minute the last frame at or before it, one row per participant in it.
+def _moves() -> Column:
+    """The item events of one document in time order, ties in document order."""
+
+    def moves_of(frame: Column, frame_pos: Column) -> Column:
+        return F.transform(
+            frame["events"],
+            lambda e, event_pos: F.struct(
+                F.coalesce(e["timestamp"], F.lit(0)).alias("at"),
+                frame_pos.alias("frame_pos"),
+                event_pos.alias("event_pos"),
+                e["participantId"].alias("player"),
+                e["type"].alias("kind"),
+                F.coalesce(e["itemId"], F.lit(0)).alias("item"),
+                F.coalesce(e["beforeId"], F.lit(0)).alias("before"),
+                F.coalesce(e["afterId"], F.lit(0)).alias("after"),
+            ),
+        )
+
+    per_frame = F.filter(F.transform("info.frames", moves_of), lambda moves: moves.isNotNull())
+    return F.array_sort(F.filter(F.flatten(per_frame), lambda move: move["kind"].startswith(ITEM_PREFIX)))
+
+
+def _next_state(held: Column, move: Column) -> Column:
+    """The inventory after one event: drop the first copy of one item, append another."""
+    kind = move["kind"]
+    gone = F.when(kind.isin(SOLD, DESTROYED), move["item"]).when(kind == UNDO, move["before"]).otherwise(0)
+    come = F.when(kind == PURCHASED, move["item"]).when(kind == UNDO, move["after"]).otherwise(0)
+    place = F.array_position(held, gone)
+    rest = F.concat(F.slice(held, 1, F.greatest(place - 1, F.lit(0)).cast("int")), F.slice(held, (place + 1).cast("int"), F.size(held)))
+    kept = F.when(place > 0, rest).otherwise(held)
+    return F.when(come != 0, F.concat(kept, F.array(come))).otherwise(kept)
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _paired(matches: DataFrame, timelines: DataFrame) -> DataFrame:
+    """One row per match with its frames, its moves and its participants' attributes."""
+    players = F.transform(
+        "info.participants",
+        lambda p: F.struct(
+            p["participantId"].alias("id"), p["teamId"].alias("team"), p["championId"].alias("champion"), p["teamPosition"].alias("role"), p["win"].alias("win")
+        ),
+    )
+    known = matches.select("match_id", F.col("info.gameVersion").alias("game_version"), F.coalesce(players, F.array()).alias("players"))
+    return timelines.select("match_id", "info.frames", _moves().alias("moves")).join(known, "match_id", "left")
+
+
+def match_item_events(matches: DataFrame, timelines: DataFrame) -> DataFrame:
+    """Item events with the inventory before and after, folded inside each document row.
+
+    A document is one input record, so its fold needs no shuffle. For a flat event table of
+    any size use ``fold_inventory``, which gives the same result.
+    """
+
+    def history(player: Column) -> Column:
+        def step(state: Column, move: Column) -> Column:
+            after = _next_state(state["held"], move)
+            entry = F.struct(move.alias("move"), state["held"].alias("earlier"), after.alias("later"))
+            return F.struct(after.alias("held"), F.concat(state["log"], F.array(entry)).alias("log"))
+
+        move_type = "struct<at:bigint,frame_pos:int,event_pos:int,player:bigint,kind:string,item:bigint,before:bigint,after:bigint>"
+        empty_log = F.array().cast(f"array<struct<move:{move_type},earlier:array<bigint>,later:array<bigint>>>")
+        start = F.struct(_nothing().alias("held"), empty_log.alias("log"))
+        own = F.filter("moves", lambda move: move["player"] == player["id"])
+        return F.aggregate(own, start, step, lambda state: state["log"])
+
+    rows = _paired(matches, timelines).select("match_id", F.explode(F.flatten(F.transform("players", history))).alias("e"))
+    return rows.select(
+        "match_id",
+        F.col("e.move.player").alias("participant_id"),
+        F.col("e.move.at").alias("timestamp_ms"),
+        F.col("e.move.frame_pos").alias("frame_pos"),
+        F.col("e.move.event_pos").alias("event_pos"),
+        F.col("e.move.kind").alias("event_type"),
+        F.col("e.move.item").alias("item_id"),
+        F.col("e.earlier").alias("inventory_before"),
+        F.col("e.later").alias("inventory_after"),
+    )
+
+
+def snapshots(matches: DataFrame, timelines: DataFrame, minutes: Sequence[int] = DEFAULT_MINUTES) -> DataFrame:
+    """Player states at the requested minutes, with attributes and the inventory held then.
 
-    Works inside each document row, without a shuffle; a minute before the first frame
-    yields nothing.
+    Per minute the last frame at or before it counts, and a minute before the first frame
+    yields nothing. Match and timeline rows meet in one join on the match id; the rest
+    happens inside each row.
     """
     wanted = F.array(*[F.lit(int(minute)) for minute in sorted(set(minutes))])
-    per_minute = timelines.select("match_id", "info.frames", F.explode(wanted).alias("minute"))
     limit = F.col("minute") * MINUTE_MS
     usable = F.filter("frames", lambda frame: F.coalesce(frame["timestamp"], F.lit(0)) <= limit)
     # get() with a size of zero asks for position -1 and gives null
-    last = per_minute.select("match_id", "minute", F.get(usable, F.size(usable) - 1).alias("frame"))
-    rows = last.where(F.col("frame").isNotNull()).select(
-        "match_id", "minute", F.explode("frame.participantFrames").alias("participant", "s")
+    per_minute = (
+        _paired(matches, timelines)
+        .withColumn("minute", F.explode(wanted))
+        .withColumn("frame", F.get(usable, F.size(usable) - 1))
+        .where(F.col("frame").isNotNull())
     )
-    s = F.col("s")
-    return rows.select(
+
+    def player_state(entry: Column) -> Column:
+        number = entry["key"].cast("long")
+        known = F.get(F.filter("players", lambda p: p["id"] == number), F.lit(0))
+        own = F.filter("moves", lambda move: (move["player"] == number) & (move["at"] <= limit))
+        held = F.when(known.isNotNull(), F.aggregate(own, _nothing(), _next_state)).otherwise(_nothing())
+        return F.struct(number.alias("participant_id"), entry["value"].alias("s"), known.alias("p"), held.alias("inventory"))
+
+    states = F.transform(F.map_entries("frame.participantFrames"), player_state)
+    s, p = F.col("s"), F.col("p")
+    return per_minute.select("match_id", "game_version", "minute", F.inline(states)).select(
         "match_id",
-        F.col("participant").cast("long").alias("participant_id"),
+        "participant_id",
         "minute",
+        _member_key().alias("match_participant_key"),
+        "game_version",
+        p["team"].alias("team_id"),
+        p["champion"].alias("champion_id"),
+        p["role"].alias("role"),
+        F.coalesce(p["win"], F.lit(False)).alias("win"),
         s["totalGold"].alias("total_gold"),
         s["currentGold"].alias("current_gold"),
         s["level"].alias("level"),
@@ -117,53 +216,7 @@ def frame_snapshots(timelines: DataFrame, minutes: Sequence[int] = DEFAULT_MINUT
         s["jungleMinionsKilled"].alias("jungle_cs"),
         s["position"]["x"].alias("position_x"),
         s["position"]["y"].alias("position_y"),
-    )
-
-
-def snapshots(matches: DataFrame, timelines: DataFrame, minutes: Sequence[int] = DEFAULT_MINUTES) -> DataFrame:
-    """Snapshots with participant attributes and the inventory held at that minute."""
-    p = F.col("p")
-    details = matches.select(
-        "match_id", F.col("info.gameVersion").alias("game_version"), F.explode_outer("info.participants").alias("p")
-    )
-    known = details.select(
-        "match_id",
-        p["participantId"].alias("participant_id"),
-        p["teamId"].alias("team_id"),
-        p["championId"].alias("champion_id"),
-        p["teamPosition"].alias("role"),
-        p["win"].alias("win"),
-    ).dropDuplicates(["match_id", "participant_id"])
-    versions = matches.select("match_id", F.col("info.gameVersion").alias("game_version"))
-    spans = life_spans(number_events(item_events(timelines, matches)))
-    held = inventory_at(spans, [minute * MINUTE_MS for minute in minutes], mark="_at").withColumn(
-        "minute", (F.col("_at") / MINUTE_MS).cast("int")
-    )
-    rows = (
-        frame_snapshots(timelines, minutes)
-        .join(versions, "match_id", "left")
-        .join(known, ["match_id", "participant_id"], "left")
-        .join(held.drop("_at"), ["match_id", "participant_id", "minute"], "left")
-    )
-    return rows.select(
-        "match_id",
-        "participant_id",
-        "minute",
-        _member_key().alias("match_participant_key"),
-        "game_version",
-        "team_id",
-        "champion_id",
-        "role",
-        F.coalesce("win", F.lit(False)).alias("win"),
-        "total_gold",
-        "current_gold",
-        "level",
-        "xp",
-        "cs",
-        "jungle_cs",
-        "position_x",
-        "position_y",
-        F.coalesce("inventory", F.array().cast("array<bigint>")).alias("inventory"),
+        "inventory",
     )
 
 

@@ -54,11 +54,10 @@ def inventory_stats(
 
 def _looked_up(states: DataFrame, facts: DataFrame, sums: list[str], high: int) -> DataFrame:
     """Catalog facts as one array indexed by item id: at most ``DENSE_IDS`` entries."""
-    entry = F.struct("name", *sums)
-    pairs = facts.groupBy("item_id").agg(F.max(entry).alias("entry"))
-    by_id = pairs.agg(F.map_from_entries(F.collect_list(F.struct("item_id", "entry"))).alias("m"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(high)), lambda i: F.try_element_at("m", i.cast(facts.schema["item_id"].dataType)))
-    shelf = by_id.select(slots.alias("shelf")).scalar()
+    pairs = facts.groupBy(F.col("item_id").cast("long").alias("id")).agg(F.max(F.struct("name", *sums)).alias("entry"))
+    slots = facts.sparkSession.range(high + 1).join(pairs, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", "entry")))
+    shelf = slots.agg(F.transform(ordered, lambda slot: slot["entry"]).alias("shelf")).scalar()
 
     def entry_of(item: Column) -> Column:
         return F.when(item.between(0, high), F.get(F.col("_shelf"), item.cast("int")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkbi.operators.catalog import champion_catalog, efficiency, item_catalog, reference_prices, rune_catalog
-from sparkbi.operators.documents import flatten_events, participants, snapshots
+from sparkbi.operators.documents import flatten_events, match_item_events, participants, snapshots
 from sparkbi.operators.inventory import joined_text
 from sparkbi.operators.pricing import price_model
 from sparkbi.plans.bi import rounded
@@ -282,3 +282,24 @@ def efficiency_query(spark, folder):
 def price_model_query(spark, folder):
     items = priced_items(spark, folder)
     return price_model(items, ["ad", "ap"], row_key=["item_id"], references=reference_prices(items, PAIRS))
+
+
+@query(
+    "doc_item_events",
+    """
+    WITH e AS (SELECT 'M_' || o_orderkey AS match_id, o_orderkey % 20 + 1 AS a, o_custkey % 20 + 1 AS b FROM orders)
+    SELECT match_id, t.* FROM e, LATERAL (VALUES
+      (1, 3, 'ITEM_PURCHASED', a, b || '', b || ',' || a), (1, 2, 'ITEM_PURCHASED', b, '', b || ''),
+      (1, 11, 'ITEM_SOLD', a, b || ',' || a, CASE WHEN a = b THEN a || '' ELSE b || '' END),
+      (2, 4, 'ITEM_PURCHASED', b, '', b || ''), (1, 14, 'ITEM_UNDO', 0, CASE WHEN a = b THEN a || '' ELSE b || '' END, a || ''),
+      (2, 16, 'ITEM_DESTROYED', a, b || '', CASE WHEN a = b THEN '' ELSE b || '' END),
+      (2, 16, 'ITEM_PURCHASED', a, CASE WHEN a = b THEN '' ELSE b || '' END, CASE WHEN a = b THEN a || '' ELSE b || ',' || a END)
+    ) t(participant_id, minute, event_type, item_id, inventory_before, inventory_after)
+    """,
+)
+def doc_item_events(spark, folder):
+    rows = match_item_events(matches(spark, folder), timelines(spark, folder))
+    return rows.select(
+        "match_id", F.col("participant_id").cast("int").alias("participant_id"), (F.col("timestamp_ms") / 60000).cast("int").alias("minute"), "event_type", "item_id",
+        joined_text(F.col("inventory_before")).alias("inventory_before"), joined_text(F.col("inventory_after")).alias("inventory_after"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkbi.functions.hashing import hmac_sha256
 from sparkbi.operators.catalog import champion_catalog, item_catalog, rune_catalog
-from sparkbi.operators.documents import check_patch, flatten_events, item_events, participants, snapshots
+from sparkbi.operators.documents import MATCH_SCHEMA, TIMELINE_SCHEMA, check_patch, flatten_events, item_events, match_item_events, participants, snapshots
 from sparkbi.operators.inventory import final_inventory, fold_inventory, inventory_at, life_spans, number_events
 from sparkbi.sources.catalogs import read_champions, read_items, read_runes
 from sparkbi.sources.matches import read_matches
@@ -157,6 +157,10 @@ def test_events_and_snapshots(spark, documents):
     folded = fold_inventory(item_events(timelines, matches)).orderBy("timestamp_ms").collect()
     assert [row["event_type"] for row in folded][0] == "ITEM_PURCHASED"
     assert [row["inventory_after"] for row in folded] == [[1001], [1001, 1002], [1002]]
+    inside = match_item_events(matches, timelines).orderBy("timestamp_ms").collect()
+    assert [(row["event_type"], row["inventory_before"], row["inventory_after"]) for row in inside] == [
+        (row["event_type"], row["inventory_before"], row["inventory_after"]) for row in folded
+    ]
     got = {(row["minute"], row["participant_id"]): row for row in snapshots(matches, timelines, [4, 5, 10, 15, 15]).collect()}
     assert set(got) == {(5, 1), (10, 1), (10, 9), (15, 1), (15, 9)}  # minute 4 lies before the first frame
     assert got[5, 1]["inventory"] == [1001] and got[10, 1]["inventory"] == [1001, 1002] and got[15, 1]["inventory"] == [1002]
@@ -167,6 +171,21 @@ def test_events_and_snapshots(spark, documents):
     assert stranger["game_version"] == "16.18.1" and stranger["match_participant_key"] == "KR_1:9"
 
 
+def test_document_fold_equals_the_table_fold(spark):
+    rows = [row for row in moves(21, 400) if row[1] < 8]
+    frames = {}
+    for m, player, at, f, e, kind, item, before, after in sorted(rows, key=lambda r: (r[3], r[4])):
+        frames.setdefault(f, []).append(happened(kind, player, at, item, beforeId=before, afterId=after))
+    timeline = {"info": {"frames": [frame(i, 0, *events) for i, events in frames.items()] + [{"timestamp": 9}]}}
+    match = {"info": {"participants": [{"participantId": i} for i in range(8)]}}
+    read = lambda document, schema: spark.createDataFrame([(json.dumps(document),)], "j string").select(F.from_json("j", schema).alias("d")).select(F.lit("m").alias("match_id"), "d.*")
+    matches, timelines = read(match, MATCH_SCHEMA), read(timeline, TIMELINE_SCHEMA)
+    names = ["participant_id", "timestamp_ms", "event_type", "item_id", "inventory_before", "inventory_after"]
+    inside = sorted(map(tuple, match_item_events(matches, timelines).select(names).collect()))
+    assert inside == sorted(map(tuple, fold_inventory(item_events(timelines, matches)).select(names).collect()))
+    assert len(inside) > 200
+
+
 def test_patch_check(spark):
     states = spark.createDataFrame([("16.18.1",), ("16.17.3",), (None,)], "game_version string")
     check_patch(states, spark.createDataFrame([("16.18.1",), ("16.17.1",)], "patch string"))
