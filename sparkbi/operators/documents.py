@@ -108,7 +108,7 @@ def _moves() -> Column:
         )
 
     per_frame = F.filter(F.transform("info.frames", moves_of), lambda moves: moves.isNotNull())
-    return F.array_sort(F.filter(F.flatten(per_frame), lambda move: move["kind"].startswith(ITEM_PREFIX)))
+    return F.sort_array(F.filter(F.flatten(per_frame), lambda move: move["kind"].startswith(ITEM_PREFIX)))
 
 
 def _next_state(held: Column, move: Column) -> Column:

@@ -92,7 +92,7 @@ def life_spans(numbered: DataFrame, keys: Sequence[str] = KEYS, time: str = ORDE
 
 def _ordered_items() -> Column:
     """Item ids of one state, oldest copy first; the list is as long as the inventory itself."""
-    copies = F.array_sort(F.collect_list(F.struct("start_seq", "item_id")))
+    copies = F.sort_array(F.collect_list(F.struct("start_seq", "item_id")))
     return F.transform(copies, lambda copy: copy["item_id"])
 
 
@@ -113,7 +113,7 @@ def fold_inventory(events: DataFrame, keys: Sequence[str] = KEYS, order: Sequenc
     )
     # A chunk holds the copies carried into it plus at most CHUNK purchases.
     per_chunk = placed.groupBy(*keys, "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct("start_seq", "item_id", "end_seq"))).alias("_copies")
+        F.sort_array(F.collect_list(F.struct("start_seq", "item_id", "end_seq"))).alias("_copies")
     )
     rows = numbered.withColumn("_chunk", chunk_of(F.col("seq"))).join(per_chunk, [*keys, "_chunk"], "left")
     seq = F.col("seq")

@@ -56,7 +56,7 @@ def _looked_up(states: DataFrame, facts: DataFrame, sums: list[str], high: int)
     """Catalog facts as one array indexed by item id: at most ``DENSE_IDS`` entries."""
     pairs = facts.groupBy(F.col("item_id").cast("long").alias("id")).agg(F.max(F.struct("name", *sums)).alias("entry"))
     slots = facts.sparkSession.range(high + 1).join(pairs, "id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", "entry")))
+    ordered = F.sort_array(F.collect_list(F.struct("id", "entry")))
     shelf = slots.agg(F.transform(ordered, lambda slot: slot["entry"]).alias("shelf")).scalar()
 
     def entry_of(item: Column) -> Column:
@@ -86,7 +86,7 @@ def _joined_up(states: DataFrame, facts: DataFrame, sums: list[str], by_patch: b
         match = match & (patch_key(F.col("game_version")) == F.col("_patch"))
     shown = F.coalesce(F.col("_name"), F.col("_item").cast("string"))
     # As long as one snapshot's own inventory, which already fitted in its row.
-    names = F.array_sort(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("_pos", shown.alias("shown")))))
+    names = F.sort_array(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("_pos", shown.alias("shown")))))
     return (
         held.join(catalog, match, "left")
         .groupBy(*states.columns)

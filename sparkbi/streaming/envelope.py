@@ -43,7 +43,7 @@ def validate(raw: DataFrame, strict: bool = False) -> DataFrame:
     first bad event instead of marking it.
     """
     keys = F.json_object_keys("value")
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(name) for name in FIELDS]), keys))
+    missing = F.sort_array(F.array_except(F.array(*[F.lit(name) for name in FIELDS]), keys))
     major = F.substring_index("schema_version", ".", 1)
     reason = (
         F.when(keys.isNull(), "not a JSON object")
