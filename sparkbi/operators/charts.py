@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkbi.functions.columns import as_double, require
 from sparkbi.functions.text import three_digits
@@ -101,15 +101,17 @@ def boxplot(df: DataFrame, group: str | None, x: str, filters: Sequence[Filter]
         .select(F.col(group).alias("category"), as_double(df, x).alias("v"))
         .where(F.col("category").isNotNull() & F.col("v").isNotNull())
     )
-    top = _top(pairs, "category")
-    # top holds at most 30 rows, so broadcasting it is bounded.
-    kept = pairs.join(F.broadcast(top.select("category")), "category", "left_semi")
-    boxes = exact_quantiles(kept, ["category"], "v", BOX)
-    size = top.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("size")).scalar()
+    # At most 30 rows reach the driver; the names then filter the scan itself.
+    top = _top(pairs, "category").collect()
+    kept = pairs.where(F.col("category").isin([row["category"] for row in top])) if top else pairs.where("false")
+    sizes = df.sparkSession.createDataFrame(
+        [(row["category"], row["rows"]) for row in top], T.StructType([pairs.schema["category"], T.StructField("rows", T.LongType())])
+    )
     return (
-        boxes.join(F.broadcast(top), "category")
+        exact_quantiles(kept, ["category"], "v", BOX)
+        .join(F.broadcast(sizes), "category")
         .select(F.col("category").cast("string").alias("category"), *BOX, "rows")
-        .withColumn("sample_size", size)
+        .withColumn("sample_size", F.lit(sum(row["rows"] for row in top)).cast("long"))
         .orderBy(F.col("rows").desc(), "category")
     )
 

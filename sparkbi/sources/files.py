@@ -19,17 +19,24 @@ def _has_broken_text(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
     """CSV with a header; UTF-8 with or without BOM, otherwise the Korean code page.
 
-    Give ``schema`` to skip the extra pass that infers types. The code page needs
-    ``spark.sql.legacy.javaCharsets`` on the session.
+    For large files give ``encoding`` and ``schema``, which skips the passes that find them
+    out, and ``multi_line=False`` when no quoted value holds a line break, which lets Spark
+    split a file over many tasks. The code page needs ``spark.sql.legacy.javaCharsets``.
     """
     if encoding is None:
         encoding = KOREAN_CODE_PAGE if _has_broken_text(spark, path) else "UTF-8"
     if encoding == KOREAN_CODE_PAGE and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
         raise ValueError("set spark.sql.legacy.javaCharsets=true to read this code page")
-    reader = spark.read.options(header=True, encoding=encoding, multiLine=True, escape='"')
+    reader = spark.read.options(header=True, encoding=encoding, multiLine=multi_line, escape='"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return clean_nan(reader.csv(path))
 
