@@ -157,9 +157,11 @@ def match_item_events(matches: DataFrame, timelines: DataFrame) -> DataFrame:
         own = F.filter("moves", lambda move: move["player"] == player["id"])
         return F.aggregate(own, start, step, lambda state: state["log"])
 
-    rows = _paired(matches, timelines).select("match_id", F.explode(F.flatten(F.transform("players", history))).alias("e"))
+    logs = F.flatten(F.transform("players", history))
+    rows = _paired(matches, timelines).select("match_id", "game_version", F.explode(logs).alias("e"))
     return rows.select(
         "match_id",
+        "game_version",
         F.col("e.move.player").alias("participant_id"),
         F.col("e.move.at").alias("timestamp_ms"),
         F.col("e.move.frame_pos").alias("frame_pos"),

@@ -218,15 +218,25 @@ def win_summary(context: DataFrame) -> DataFrame:
     return context.groupBy("game_version", "minute", "champion_id", "role", "item_names").agg(*_cohort(context), *_differences())
 
 
-def item_event_mart(events: DataFrame, items: DataFrame) -> DataFrame:
-    """Item events with item facts, fractional minute and a completion flag."""
+def item_event_mart(events: DataFrame, items: DataFrame, by_patch: bool = False) -> DataFrame:
+    """Item events with item facts, fractional minute and a completion flag.
+
+    With ``by_patch`` an event takes the facts of its own ``game_version``'s patch.
+    """
     wanted = ["item_name", "total_gold", "item_tier", "is_final_item"]
     facts = [name for name in wanted if name in items.columns]
-    place = F.row_number().over(W.partitionBy("item_id").orderBy(*facts))
-    unique = items.select("item_id", *facts).withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
+    keys = ["item_id", *(["_patch"] if by_patch else [])]
+    catalog, rows = items, events
+    if by_patch:
+        catalog = items.withColumn("_patch", patch_key(F.col("patch")))
+        rows = events.withColumn("_patch", patch_key(F.col("game_version")))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*facts))
+    unique = catalog.select(*keys, *facts).withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
     final = F.coalesce(F.col("is_final_item"), F.lit(False)) if "is_final_item" in facts else F.lit(False)
+    bought = F.coalesce(F.col("event_type") == "ITEM_PURCHASED", F.lit(False))
     return (
-        events.join(unique, "item_id", "left")
+        rows.join(unique, keys, "left")
+        .drop("_patch")
         .withColumn("minute", F.col("timestamp_ms") / MINUTE_MS)
-        .withColumn("is_completion_event", F.coalesce(F.col("event_type") == "ITEM_PURCHASED", F.lit(False)) & final)
+        .withColumn("is_completion_event", bought & final)
     )

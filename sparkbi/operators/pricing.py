@@ -162,5 +162,5 @@ def price_model(
         "nnls_gold_per_unit",
         "ci95_low",
         "ci95_high",
-        F.lit(masses["rows"]).alias("sample_items"),
+        F.lit(masses["rows"]).cast("long").alias("sample_items"),
     )

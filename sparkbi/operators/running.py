@@ -22,12 +22,12 @@ GROUP, BLOCK = "_group", "_block"
 def blocked(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Tag rows with their group key and a block number that follows the order.
 
-    The result is checkpointed: block numbers come from sampled range bounds, and two
-    readers of the tags must see the same ones.
+    Adaptive execution merges neighbouring small blocks, which keeps their order. The
+    result is checkpointed: block numbers come from sampled range bounds, and two readers
+    of the tags must see the same ones.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*[F.col(name) for name in group]) if group else F.struct(F.lit(0).alias("all"))
-    ranged = df.withColumn(GROUP, key).repartitionByRange(tasks, GROUP, *[F.col(name) for name in order])
+    ranged = df.withColumn(GROUP, key).repartitionByRange(GROUP, *[F.col(name) for name in order])
     return cut_lineage(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 

@@ -187,6 +187,22 @@ def scatter_sample(spark, folder):
     return charts.scatter(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", 2000)
 
 
+@query(
+    "scatter_size",
+    """
+    SELECT least(count(*), 500) AS points, least(count(*), 500) AS sample_size, CAST(0 AS BIGINT) AS strangers FROM part
+    """,
+)
+def scatter_size(spark, folder):
+    """The sample has the exact size and holds only points of the table."""
+    rows = table(spark, folder, "part")
+    points = charts.scatter(rows, "p_partkey", "p_retailprice", 500)
+    real = rows.select(F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.lit(1).alias("known"))
+    return points.join(real, ["x", "y"], "left").agg(
+        F.count(F.lit(1)).alias("points"), F.max("sample_size").alias("sample_size"), F.count_if(F.col("known").isNull()).alias("strangers")
+    )
+
+
 @query(
     "metrics_all",
     """
@@ -305,22 +321,39 @@ def profile_orders(spark, folder):
     return rounded(profile(rows).drop("sample_values"), 4, "mean")
 
 
+def _semantic_sql(dataset: str, source: str, columns: dict[str, str]) -> str:
+    """The type rules spelled out per column; ``columns`` maps names to number, time or text."""
+    parts = []
+    for name, kind in columns.items():
+        named = "true" if name == "id" or name.endswith("_id") else "false"
+        hinted = f"count(DISTINCT {name}) / greatest(count({name}), 1) > 0.98" if "id" in name else "false"
+        dated = kind == "text" and any(word in name for word in ("date", "time"))
+        parsed = f"avg(CASE WHEN TRY_CAST({name} AS TIMESTAMP) IS NULL THEN 0 ELSE 1 END) >= 0.9" if dated else "false"
+        few = f"count(DISTINCT {name}) <= least(50, greatest(10, floor(0.2 * count({name})))) AND avg(length(CAST({name} AS VARCHAR))) < 80"
+        parts.append(
+            f"SELECT '{dataset}' AS dataset, '{name}' AS name, CASE WHEN {named} OR {hinted} THEN 'identifier' "
+            f"WHEN {'true' if kind == 'time' else parsed} THEN 'datetime' WHEN {'true' if kind == 'number' else 'false'} THEN 'numeric' "
+            f"WHEN {few} THEN 'categorical' ELSE 'text' END AS semantic_type FROM {source}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+TYPED = {
+    "documents": {"doc_id": "number", "text": "text", "lang": "text", "source": "text", "n_chars": "number"},
+    "customer": {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"},
+    "events": {"event_id": "number", "ts": "time", "user_id": "number", "event_type": "text", "value": "number", "props": "text", "time_text": "text"},
+}
+
+
 @query(
     "semantic_types_all",
-    """
-    SELECT * FROM (VALUES
-      ('documents', 'doc_id', 'identifier'), ('documents', 'text', 'text'), ('documents', 'lang', 'categorical'),
-      ('documents', 'source', 'categorical'), ('documents', 'n_chars', 'numeric'),
-      ('customer', 'c_custkey', 'numeric'), ('customer', 'c_name', 'text'), ('customer', 'c_nationkey', 'numeric'),
-      ('customer', 'c_acctbal', 'numeric'), ('customer', 'c_mktsegment', 'categorical'),
-      ('events', 'event_id', 'identifier'), ('events', 'ts', 'datetime'), ('events', 'user_id', 'identifier'),
-      ('events', 'event_type', 'categorical'), ('events', 'value', 'numeric'), ('events', 'props', 'text'),
-      ('events', 'time_text', 'datetime')
-    ) t(dataset, name, semantic_type)
-    """,
+    " UNION ALL ".join(
+        _semantic_sql(name, "(SELECT *, CAST(ts AS VARCHAR) AS time_text FROM events)" if name == "events" else name, columns)
+        for name, columns in TYPED.items()
+    ),
 )
 def semantic_types_all(spark, folder):
-    tables = {name: table(spark, folder, name) for name in ("documents", "customer", "events")}
+    tables = {name: table(spark, folder, name) for name in TYPED}
     tables["events"] = tables["events"].withColumn("time_text", F.col("ts").cast("string"))
     parts = [semantic_types(rows).select(F.lit(name).alias("dataset"), "name", "semantic_type") for name, rows in tables.items()]
     return reduce(DataFrame.unionByName, parts)

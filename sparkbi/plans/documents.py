@@ -286,6 +286,25 @@ def price_model_query(spark, folder):
     return price_model(items, ["ad", "ap"], row_key=["item_id"], references=reference_prices(items, PAIRS))
 
 
+@query(
+    "price_model_point",
+    """
+    WITH t AS (SELECT CAST(p_size AS DOUBLE) AS a, CAST(p_size % 9 AS DOUBLE) AS b, 30 * p_size + 70 * (p_size % 9) + p_retailprice AS y FROM part),
+    m AS (SELECT count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_,
+                 count(*) * var_pop(a) + 10 AS caa, count(*) * covar_pop(a, b) AS cab, count(*) * var_pop(b) + 10 AS cbb,
+                 count(*) * covar_pop(a, y) AS cay, count(*) * covar_pop(b, y) AS cby FROM t)
+    SELECT 'ad' AS stat, round((cay * cbb - cby * cab) / (caa * cbb - cab * cab), 4) AS ridge_gold_per_unit, round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 4) AS nnls_gold_per_unit, n AS sample_items FROM m
+    UNION ALL
+    SELECT 'ap', round((cby * caa - cay * cab) / (caa * cbb - cab * cab), 4), round((by_ * aa - ay * ab) / (aa * bb - ab * ab), 4), n FROM m
+    """,
+)
+def price_model_point(spark, folder):
+    """Both price estimates where no bound is active, so the normal equations give them."""
+    items = priced_items(spark, folder).withColumn("total_gold", 30 * F.col("ad") + 70 * F.col("ap") + F.col("total_gold"))
+    found = price_model(items, ["ad", "ap"], row_key=["item_id"], bootstrap=20)
+    return rounded(found.select("stat", "ridge_gold_per_unit", "nnls_gold_per_unit", "sample_items"), 4, "ridge_gold_per_unit", "nnls_gold_per_unit")
+
+
 @query(
     "doc_item_events",
     """

@@ -31,12 +31,11 @@ def derive_marts(states: DataFrame, events: DataFrame, items: DataFrame) -> dict
     """All marts of one or many patches; the catalog is joined on patch, without a loop."""
     check_patch(states, items)
     context = marts.context_mart(states, items, by_patch=True)
-    unique_items = items.dropDuplicates(["item_id"])
     return {
         "context_mart": context,
         "observed_win_summary": marts.win_summary(context),
         "gold_win_timeseries": marts.bucket_cohorts(context),
-        "item_event_mart": marts.item_event_mart(events, unique_items),
+        "item_event_mart": marts.item_event_mart(events, items, by_patch=True),
         "patch_stat_trend": marts.patch_trend(context),
         "sample_coverage": marts.coverage(context),
     }

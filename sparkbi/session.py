@@ -24,6 +24,8 @@ def build_session(cores: int | str = "*", app: str = "sparkbi", **extra: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files go away with the frames that needed them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # lets read_csv name the Korean code page MS949
         .config("spark.sql.legacy.javaCharsets", "true")
     )

@@ -20,8 +20,11 @@ def spark():
 
 @pytest.fixture(params=[1, 4, 64])
 def partitions(request, spark):
-    """Results must not depend on how the data is spread."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    """Results must not depend on how the data is spread; small blocks stay apart here."""
+    wanted = {"spark.sql.shuffle.partitions": request.param, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     yield request.param
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for key, value in before.items():
+        spark.conf.set(key, value)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window as W, functions as F
 
 from sparkbi.operators.asof import attach_asof
-from sparkbi.operators.running import exact_quantiles, hash_sample, ranked_values, running
+from sparkbi.operators.running import BLOCK, blocked, exact_quantiles, hash_sample, ranked_values, running
 
 
 def hot(spark, rows=3000):
@@ -30,11 +30,19 @@ def test_running_equals_a_plain_window(spark, partitions):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(got.columns).collect()))
 
 
-def test_a_hot_group_is_spread_over_blocks(spark):
-    from sparkbi.operators.running import BLOCK, blocked
+def test_a_hot_group_is_spread_over_blocks(spark, partitions):
+    blocks = blocked(hot(spark), ["g"], ["o"]).where("g = 'hot'").groupBy(BLOCK).agg(F.min("o").alias("a"), F.max("o").alias("b"))
+    found = [(row["a"], row["b"]) for row in blocks.orderBy(BLOCK).collect()]
+    assert len(found) >= partitions // 4
+    assert all(earlier[1] < later[0] for earlier, later in zip(found, found[1:]))
 
-    spread = blocked(hot(spark), ["g"], ["o"]).where("g = 'hot'").select(BLOCK).distinct().count()
-    assert spread > 1
+
+def test_merged_blocks_keep_their_order(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    blocks = blocked(hot(spark, 6000), [], ["o"]).groupBy(BLOCK).agg(F.min("o").alias("a"), F.max("o").alias("b")).orderBy(BLOCK).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(earlier["b"] < later["a"] for earlier, later in zip(blocks, blocks[1:]))
 
 
 def test_running_without_groups_and_with_null_groups(spark):
