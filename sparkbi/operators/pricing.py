@@ -6,15 +6,20 @@ per bootstrap replicate; Spark adds them up and only p-by-p systems are solved.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from sparkbi.functions.columns import as_double, require
 from sparkbi.functions.hashing import row_hash
 
+# The functions below run inside tasks; they travel with the job, so executors need only numpy and pandas.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_BOOTSTRAP, MAX_BOOTSTRAP = 20, 2000
 REPLICATES_AT_ONCE = 100
 POISSON_CDF = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 16)])])
