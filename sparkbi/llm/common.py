@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkbi.session import checkpoint_dir
@@ -40,3 +45,19 @@ def words(text: Column) -> Column:
 def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """Broadcast ``df`` when its counted ``rows`` stay within ``bound``; join it by shuffle beyond."""
     return F.broadcast(df) if rows <= bound else df
+
+
+def per_worker(key, make: Callable[[], Any]) -> Any:
+    """Make a value once per Python worker process and reuse it in later tasks."""
+    store = sys.modules.setdefault("_sparkbi_per_worker", ModuleType("_sparkbi_per_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def ship_by_value(module: str) -> None:
+    """Send a module's task code with the job, so executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship_by_value(__name__)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkbi.llm.bk_tree import near_copies
 from sparkbi.llm.mixing import mix
+from sparkbi.llm.packing import pack
 from sparkbi.llm.sharding import shard_by_bytes
+from sparkbi.llm.simhash_words import hex64
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +26,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
 @_query
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in eight contiguous shards of nearly equal bytes."""
@@ -69,3 +79,10 @@ SELECT doc_id, size, source_size, target,
        size * least(2, whole + CASE WHEN budget > 0 AND (h < cut OR h = cut AND upto - budget < budget - (upto - here)) THEN 1 ELSE 0 END) AS taken
 FROM filled f JOIN edge e ON f.source IS NOT DISTINCT FROM e.source
 """
+
+
+@_query
+def op10_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in at most three bits."""
+    found = near_copies(_table(spark, folder, "documents"), radius=3, shingle=3)
+    return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
