@@ -47,6 +47,20 @@ def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, share: float = 0.005) -> DataFrame:
+    """Inner join on ``key`` where ``classes`` has one row per key and counts its rows in ``n``.
+
+    A key with ``share`` of all rows or more would fill one task, so such keys, 1 / share at
+    most, are joined by broadcast and only the others by shuffle.
+    """
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") >= max(1, share * total)
+    by_broadcast = F.broadcast(classes.where(heavy).drop("n"))
+    many = rows.join(by_broadcast, key)
+    few = rows.join(by_broadcast.select(key), key, "left_anti").join(classes.where(~heavy).drop("n"), key)
+    return many.unionByName(few)
+
+
 def per_worker(key, make: Callable[[], Any]) -> Any:
     """Make a value once per Python worker process and reuse it in later tasks."""
     store = sys.modules.setdefault("_sparkbi_per_worker", ModuleType("_sparkbi_per_worker")).__dict__

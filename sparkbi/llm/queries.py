@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkbi.llm.bk_tree import near_copies
+from sparkbi.llm.extraction import extract
+from sparkbi.llm.language import held_out, identify, learn_profiles
 from sparkbi.llm.mixing import mix
 from sparkbi.llm.packing import pack
 from sparkbi.llm.sharding import shard_by_bytes
 from sparkbi.llm.simhash_words import hex64
+from sparkbi.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +42,21 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt from four fifths of them."""
+    docs = _table(spark, folder, "documents")
+    held = held_out(F.col("doc_id"))
+    found = identify(docs.select("doc_id", "text"), learn_profiles(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "similarity")
+
+
+@_query
+def op5_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(_table(spark, folder, "pages"))
+
+
 @_query
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source: weights 3, 1, 2 repeating, 150% of all words, twice at most."""
@@ -81,6 +99,30 @@ FROM filled f JOIN edge e ON f.source IS NOT DISTINCT FROM e.source
 """
 
 
+@_query
+def op8_embedding_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings with cosine of at least 0.95."""
+    return near_vectors(_table(spark, folder, "embeddings"), threshold=0.95)
+
+
+ORACLE_SQL["op8_embedding_near_copies"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), found AS (
+    SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+)
+SELECT f.vec_id, (SELECT count(*) FROM links l WHERE l.a = f.vec_id) AS n_links, component_id, f.vec_id = component_id AS kept FROM found f
+"""
+
+
 @_query
 def op10_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose fingerprints differ in at most three bits."""
