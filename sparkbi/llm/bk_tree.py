@@ -18,19 +18,16 @@ often as they came in. An empty table gives an empty result. Other columns are n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sparkbi.llm.common import ascii_lower, saved, ship_by_value, words
+from sparkbi.llm.common import ascii_lower, join_classes, saved, ship_by_value, words
 from sparkbi.llm.components import connected_components
-from sparkbi.llm.simhash_words import BITS, hex64, majority, shingle_hashes, votes
+from sparkbi.llm.simhash_words import block_count, block_keys, block_masks, majority, shingle_hashes, votes
 
 PART = 1000
-#: A fingerprint with this share of all rows is looked up by broadcast: at most 1 / HEAVY of them.
-HEAVY = 0.005
 
 
 def text_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
@@ -44,25 +41,6 @@ def text_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: s
     return counted.select(*keys, "copies", majority().alias("fingerprint"))
 
 
-def _block_count(fingerprints: int, radius: int) -> int:
-    """Blocks whose shared bits leave a few dozen random fingerprints to a shard; any number gives the same links."""
-    blocks = radius + 1
-    while fingerprints >> (BITS * (blocks - radius) // blocks) > 64 and blocks < 2 * radius + 2:
-        blocks += 1
-    return blocks
-
-
-def _shard_keys(fingerprint: Column, radius: int, blocks: int) -> Column:
-    """For each choice of blocks that may agree: its number and the bits there."""
-    edges = [BITS * place // blocks for place in range(blocks + 1)]
-    masks = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(edges, edges[1:])]
-    keys = []
-    for table, chosen in enumerate(combinations(masks, blocks - radius)):
-        mask = sum(chosen)
-        keys.append(F.struct(F.lit(table).alias("table"), fingerprint.bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("bits")))
-    return F.array(*keys)
-
-
 class BkTree:
     """Fingerprints under their parents by Hamming distance."""
 
@@ -155,8 +133,8 @@ def _link_shards(radius: int):
 
 def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) that join all fingerprints within ``radius`` bits; ``distinct`` has one row per ``fingerprint``."""
-    blocks = _block_count(distinct.count(), radius)
-    keyed = distinct.select("fingerprint", F.explode(_shard_keys(F.col("fingerprint"), radius, blocks)).alias("shard")).select("fingerprint", "shard.*")
+    masks = block_masks(radius, block_count(distinct.count(), radius))
+    keyed = distinct.select("fingerprint", F.explode(block_keys(F.col("fingerprint"), masks)).alias("shard")).select("fingerprint", "shard.*")
     # Shards that need dividing; no bound on their number, so the join is left to the engine.
     large = keyed.groupBy("table", "bits").count().where(F.col("count") > PART)
     large = large.select("table", "bits", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
@@ -185,12 +163,7 @@ def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, id_column: s
     labelled = distinct.join(components, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fingerprint"))
     groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_rows"))
     classes = saved(labelled.join(groups, "root").select("fingerprint", "n", "component_id", "group_rows"))
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = F.col("n") >= max(1, HEAVY * total)
-    by_broadcast = F.broadcast(classes.where(heavy).drop("n"))
-    many = rows.join(by_broadcast, "fingerprint")
-    few = rows.join(by_broadcast, "fingerprint", "left_anti").join(classes.where(~heavy).drop("n"), "fingerprint")
-    repeated = many.unionByName(few).withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
+    repeated = join_classes(rows, classes, "fingerprint").withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
     return repeated.select(F.col("id").alias(id_column), "text_hash", "fingerprint", "component_id", "group_rows")
 
 

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkbi.llm.bk_tree import near_copies
+from sparkbi.llm.common import saved
 from sparkbi.llm.extraction import extract
+from sparkbi.llm.fingerprints import count_neighbours, edited_fingerprints
 from sparkbi.llm.language import held_out, identify, learn_profiles
 from sparkbi.llm.mixing import mix
 from sparkbi.llm.packing import pack
@@ -29,6 +31,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts; neighbours of every twentieth document among all."""
+    found = saved(edited_fingerprints(_table(spark, folder, "documents")))
+    counted = count_neighbours(found, F.col("doc_id") % 20 == 0, radius=3)
+    hexed = {name: hex64(F.col(name)) for name in ("fingerprint", "edited_fingerprint")}
+    return counted.withColumns(hexed)
+
+
 @_query
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,3 +52,27 @@ def shingle_hashes(rows: DataFrame, keys: Sequence[str], words: Column, size: in
 def hex64(number: Column) -> Column:
     """Sixteen lowercase hex digits."""
     return F.lpad(F.lower(F.hex(number)), 16, "0")
+
+
+def block_count(fingerprints: int, radius: int) -> int:
+    """Blocks whose shared bits leave a few dozen random fingerprints to a key; any number finds the same pairs."""
+    blocks = radius + 1
+    while fingerprints >> (BITS * (blocks - radius) // blocks) > 64 and blocks < 2 * radius + 2:
+        blocks += 1
+    return blocks
+
+
+def block_masks(radius: int, blocks: int) -> list[int]:
+    """One mask per table: two fingerprints within ``radius`` bits agree under at least one of them.
+
+    They differ in at most ``radius`` of the blocks, so some choice of the others agrees wholly.
+    """
+    edges = [BITS * place // blocks for place in range(blocks + 1)]
+    parts = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(edges, edges[1:])]
+    masks = [sum(chosen) for chosen in combinations(parts, blocks - radius)]
+    return [mask - (mask >> (BITS - 1) << BITS) for mask in masks]
+
+
+def block_keys(fingerprint: Column, masks: Sequence[int]) -> Column:
+    """Array of (table, bits): the fingerprint under every mask."""
+    return F.array(*[F.struct(F.lit(table).alias("table"), fingerprint.bitwiseAND(F.lit(mask)).alias("bits")) for table, mask in enumerate(masks)])
