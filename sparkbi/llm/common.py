@@ -61,12 +61,12 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, share: float = 0
     return many.unionByName(few)
 
 
-def per_worker(key, make: Callable[[], Any]) -> Any:
-    """Make a value once per Python worker process and reuse it in later tasks."""
+def per_worker(name: str, key: Any, make: Callable[[], Any]) -> Any:
+    """Make a value once per Python worker process and reuse it in later tasks; one value per name is kept."""
     store = sys.modules.setdefault("_sparkbi_per_worker", ModuleType("_sparkbi_per_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get(name, (None,))[0] != key:
+        store[name] = (key, make())
+    return store[name][1]
 
 
 def ship_by_value(module: str) -> None:

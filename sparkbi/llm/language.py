@@ -59,7 +59,7 @@ def _add(codes: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.nd
 
 def n_grams(text: str) -> Iterator[np.ndarray]:
     """All n-grams of a text as numbers, in arrays of bounded size."""
-    letters = per_worker("letters", _letters)
+    letters = per_worker("letters", 0, _letters)
     at = 0
     while at < len(text):
         # chunks end at a blank, where n-grams end too; a text without one is a single chunk

@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(("word_bpe", tokenizer), lambda: WordBpe(tokenizer))
+        encoder = per_worker("word_bpe", tokenizer, lambda: WordBpe(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):

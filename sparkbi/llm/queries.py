@@ -16,6 +16,7 @@ from sparkbi.llm.mixing import mix
 from sparkbi.llm.packing import pack
 from sparkbi.llm.sharding import shard_by_bytes
 from sparkbi.llm.simhash_words import hex64
+from sparkbi.llm.suffix_tree import held_out as not_learnt, score_texts
 from sparkbi.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +111,14 @@ FROM filled f JOIN edge e ON f.source IS NOT DISTINCT FROM e.source
 """
 
 
+@_query
+def op7_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents under a suffix tree learnt from six sevenths of them."""
+    docs = _table(spark, folder, "documents")
+    found = score_texts(docs, docs.where(~not_learnt(F.col("doc_id"))))
+    return found.select("doc_id", not_learnt(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op8_embedding_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all embeddings with cosine of at least 0.95."""
