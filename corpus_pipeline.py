@@ -1,7 +1,72 @@
-"""Documents to packed training sequences: language, near copies, mixture, packing."""
-STAGES = []
+"""Documents to packed training sequences: language, near copies, mixture, packing.
+
+Each stage takes the documents its predecessor kept, with all their columns, and its decisions take
+effect; the last returns the packing. Nulls, repeated rows and empty tables are handled as the
+operators' modules say: a null or wordless text has no language and goes in the first stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from sparkbi.llm.bk_tree import near_copies
+from sparkbi.llm.common import saved
+from sparkbi.llm.language import UNKNOWN, held_out, identify, learn_profiles
+from sparkbi.llm.mixing import mixed_documents
+from sparkbi.llm.packing import pack
+
+#: A text that shares less of its language's n-gram order is taken for noise; prose is far above it.
+LEAST_SIMILARITY = 0.2
+
+
+def _whole(docs: DataFrame) -> Column:
+    """All columns of a row in one, out of the way of the columns that a stage adds."""
+    return F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_document")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a known language. Profiles are learnt from four fifths of the stage's own input."""
+    profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
+    found = identify(docs.select(_whole(docs), "text"), profiles)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("similarity") >= LEAST_SIMILARITY)).select("_document.*")
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the smallest id, of equal ids the smallest text hash, once."""
+    members = saved(near_copies(docs, radius=3, shingle=3).where("group_rows > 1").select("doc_id", "text_hash", "component").distinct())
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    chosen = members.groupBy("component").agg(F.min(place).alias("chosen"))
+    # id and text hash without nulls, for a plain join
+    key = lambda text_hash: [F.col("doc_id").isNotNull().alias("_known"), F.coalesce("doc_id", F.lit(0)).alias("_number"), text_hash.alias("_hash")]
+    marks = members.join(chosen, "component").select(*key(F.col("text_hash")), place.eqNullSafe(F.col("chosen")).alias("_stays"))
+    rows = docs.select(_whole(docs), *key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    keys = ["_known", "_number", "_hash"]
+    others = [F.col(f"_document.`{name}`") for name in docs.columns if name != "text"]
+    copy = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*others)))
+    marked = rows.join(marks, keys, "left").withColumn("_copy", copy)
+    # rows outside all groups are unmarked and stay
+    return marked.where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_copy") == 1))).select("_document.*")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: weights 3, 1, 2 over the sources, 150% of all words, twice at most."""
+    return mixed_documents(docs, weights=(3, 1, 2), share=1.5, most=2)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all token pieces in sequences of at most 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
+STAGES = [("language", language_stage), ("near copies", near_copies_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+#: Language profiles, 64-bit hashes of shingles and tokenizers are beyond SQL; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; each result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -153,18 +153,19 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, ``text_hash``, ``fingerprint`` (long), ``component_id`` and ``group_rows``.
+    """One row per document: id, ``text_hash``, ``fingerprint`` (long), ``component_id``, ``component`` and ``group_rows``.
 
-    ``component_id`` is the smallest id that links reach; ``group_rows`` counts the rows of the component.
+    ``component_id`` is the smallest id that links reach, ``component`` the smallest fingerprint;
+    ``group_rows`` counts the rows of the component.
     """
     rows = saved(text_fingerprints(docs, id_column, text_column, shingle))
     distinct = saved(rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.sum("copies").alias("n")))
     components = connected_components(near_links(distinct, radius))
     labelled = distinct.join(components, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fingerprint"))
     groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_rows"))
-    classes = saved(labelled.join(groups, "root").select("fingerprint", "n", "component_id", "group_rows"))
+    classes = saved(labelled.drop("component").join(groups, "root").select("fingerprint", "n", "component_id", F.col("root").alias("component"), "group_rows"))
     repeated = join_classes(rows, classes, "fingerprint").withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
-    return repeated.select(F.col("id").alias(id_column), "text_hash", "fingerprint", "component_id", "group_rows")
+    return repeated.select(F.col("id").alias(id_column), "text_hash", "fingerprint", "component_id", "component", "group_rows")
 
 
 ship_by_value(__name__)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkbi.llm.bk_tree import near_copies
 from sparkbi.llm.common import saved
@@ -17,6 +17,7 @@ from sparkbi.llm.packing import pack
 from sparkbi.llm.sharding import shard_by_bytes
 from sparkbi.llm.simhash_words import hex64
 from sparkbi.llm.suffix_tree import held_out as not_learnt, score_texts
+from sparkbi.llm.token_counts import apply_edits, with_trees
 from sparkbi.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +144,37 @@ SELECT f.vec_id, (SELECT count(*) FROM links l WHERE l.a = f.vec_id) AS n_links,
 """
 
 
+def sample_edits() -> Column:
+    """Three edits per document that its id and text decide: an exchange anywhere, an insertion in the middle, a cut near the end."""
+    number = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    length = F.length("text")
+    edit = lambda at, drop, put: F.struct(at.cast("int").alias("at"), drop.cast("int").alias("drop"), put.alias("put"))
+    return F.array(
+        edit(number % (length + 1), number % 40, F.substring(F.col("text"), (number % 97 + 1).cast("int"), F.lit(24))),
+        edit(F.floor(length / 2), F.lit(0), F.concat(F.lit(" "), F.substring("text", 1, 10))),
+        edit(F.greatest(length - 20, F.lit(0)), F.lit(10), F.lit("")),
+    )
+
+
+@_query
+def op9_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents, and after three edits each by encoding only what they touch."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trees = with_trees(docs, tokenizer).withColumns({"n_chars": F.length("text"), "tokens_before": F.col("n_tokens")})
+    after = apply_edits(trees, tokenizer, sample_edits())
+    return after.select(
+        "doc_id",
+        "n_chars",
+        F.col("tokens_before").alias("n_tokens"),
+        F.length("text").alias("edited_chars"),
+        F.col("n_tokens").alias("edited_tokens"),
+        "encoded_chars",
+        F.crc32(F.encode("text", "UTF-8")).alias("edited_crc32"),
+        F.size("leaf_chars").alias("leaves"),
+    )
+
+
 @_query
 def op10_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose fingerprints differ in at most three bits."""
