@@ -14,7 +14,6 @@ from sparkbi.operators.catalog import REFERENCE_ITEMS
 
 MINUTE_MS = 60_000
 BUCKET = 500
-DENSE_IDS = 1 << 16  # catalogs with ids below this are looked up in place
 TEAM = ("match_id", "minute", "team_id")
 LANE = (*TEAM, "role")
 
@@ -25,86 +24,57 @@ def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(moved, match, "left").drop(*[f"_k_{key}" for key in keys])
 
 
+def _catalog(items: DataFrame, stats: Sequence[str], by_patch: bool) -> DataFrame:
+    """One row per item id (and patch): of repeated ids the largest name, then cost, then stats."""
+    facts = F.struct(
+        F.col("item_name").cast("string").alias("name"),
+        F.col("total_gold").cast("double").alias("cost"),
+        *[F.col(stat).cast("double").alias(f"inventory_{stat}") for stat in stats],
+    )
+    keys = [F.col("item_id").cast("long").alias("_item_id"), *([patch_key(F.col("patch")).alias("_of_patch")] if by_patch else [])]
+    return items.groupBy(*keys).agg(F.max(facts).alias("_facts"))
+
+
 def inventory_stats(
     states: DataFrame, items: DataFrame, stats: Sequence[str] = tuple(REFERENCE_ITEMS), by_patch: bool = False
 ) -> DataFrame:
     """Add ``inventory_cost``, ``item_names`` and one ``inventory_<stat>`` sum per stat.
 
-    An unknown item costs nothing and shows its id. With ``by_patch`` each state uses the
-    catalog of its own patch, so mixed batches need no loop.
+    An unknown item costs nothing and shows its id; a repeated item counts each time; a
+    repeated id in the catalog counts once. With ``by_patch`` each state uses the catalog of
+    its own patch, so mixed batches need no loop.
 
-    A catalog whose ids all lie in a small range is looked up inside each row, without any
-    shuffle. The range is checked first; any other catalog is joined.
+    States with the same inventory share one computation: distinct inventories are opened and
+    priced, and the totals are joined back, so rows are neither merged nor numbered.
     """
     known = [stat for stat in stats if stat in items.columns]
-    facts = items.select(
-        F.col("item_id"),
-        *([patch_key(F.col("patch")).alias("_patch")] if by_patch else []),
-        F.col("item_name").alias("name"),
-        F.col("total_gold").cast("double").alias("cost"),
-        *[F.col(stat).cast("double").alias(f"inventory_{stat}") for stat in known],
-    )
     sums = ["cost", *[f"inventory_{stat}" for stat in known]]
-    if not by_patch:
-        ids = facts.agg(F.min("item_id").alias("low"), F.max("item_id").alias("high")).first()
-        if ids["low"] is not None and ids["low"] >= 0 and ids["high"] < DENSE_IDS:
-            return _looked_up(states, facts, sums, int(ids["high"]))
-    return _joined_up(states, facts, sums, by_patch)
-
-
-def _looked_up(states: DataFrame, facts: DataFrame, sums: list[str], high: int) -> DataFrame:
-    """Catalog facts as one array indexed by item id: at most ``DENSE_IDS`` entries."""
-    pairs = facts.groupBy(F.col("item_id").cast("long").alias("id")).agg(F.max(F.struct("name", *sums)).alias("entry"))
-    slots = facts.sparkSession.range(high + 1).join(pairs, "id", "left")
-    ordered = F.sort_array(F.collect_list(F.struct("id", "entry")))
-    shelf = slots.agg(F.transform(ordered, lambda slot: slot["entry"]).alias("shelf")).scalar()
-
-    def entry_of(item: Column) -> Column:
-        return F.when(item.between(0, high), F.get(F.col("_shelf"), item.cast("int")))
-
-    held = F.coalesce(F.col("inventory"), F.array().cast(states.schema["inventory"].dataType))
-    rows = states.withColumn("_shelf", shelf).withColumn("_held", F.transform(held, lambda i: F.struct(i.alias("id"), entry_of(i).alias("e"))))
+    patch = F.coalesce(patch_key(F.col("game_version")), F.lit("")) if by_patch else F.lit("")
+    keyed = states.withColumns({"_held": F.when(F.size("inventory") > 0, F.col("inventory").cast("array<long>")), "_patch": patch})
+    opened = keyed.where(F.col("_held").isNotNull()).select("_held", "_patch").distinct()
+    opened = opened.select("_held", "_patch", F.posexplode("_held").alias("_pos", "_item"))
+    match = F.col("_item") == F.col("_item_id")
+    if by_patch:
+        match = match & (F.col("_patch") == F.col("_of_patch"))
+    shown = F.coalesce(F.col("_facts.name"), F.col("_item").cast("string"))
+    # In order of position: as long as one snapshot's own inventory, which already fitted in its row.
+    entry = F.struct(F.col("_pos").alias("pos"), shown.alias("shown"), *[F.coalesce(F.col(f"_facts.{name}"), F.lit(0.0)).alias(name) for name in sums])
+    priced = opened.join(_catalog(items, known, by_patch), match, "left").groupBy("_held", "_patch").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
 
     def total(name: str) -> Column:
-        return F.aggregate("_held", F.lit(0.0), lambda so_far, one: so_far + F.coalesce(one["e"][name], F.lit(0.0)))
+        return F.coalesce(F.aggregate("_entries", F.lit(0.0), lambda so_far, one: so_far + one[name]), F.lit(0.0))
 
-    names = F.transform("_held", lambda one: F.coalesce(one["e"]["name"], one["id"].cast("string")))
-    return rows.select(
+    names = F.array_join(F.transform("_entries", lambda one: one["shown"]), ", ")
+    return keyed.join(priced, ["_held", "_patch"], "left").select(
         *states.columns,
         total("cost").alias("inventory_cost"),
-        F.array_join(names, ", ").alias("item_names"),
+        F.coalesce(names, F.lit("")).alias("item_names"),
         *[total(name).alias(name) for name in sums[1:]],
     )
 
 
-def _joined_up(states: DataFrame, facts: DataFrame, sums: list[str], by_patch: bool) -> DataFrame:
-    """Explode, join, and gather each state again; state rows are taken to be distinct."""
-    held = states.select("*", F.posexplode_outer("inventory").alias("_pos", "_item"))
-    catalog = facts.withColumnsRenamed({"item_id": "_item_id", "name": "_name", **{name: f"_{name}" for name in sums}})
-    match = F.col("_item") == F.col("_item_id")
-    if by_patch:
-        match = match & (patch_key(F.col("game_version")) == F.col("_patch"))
-    shown = F.coalesce(F.col("_name"), F.col("_item").cast("string"))
-    # As long as one snapshot's own inventory, which already fitted in its row.
-    names = F.sort_array(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("_pos", shown.alias("shown")))))
-    return (
-        held.join(catalog, match, "left")
-        .groupBy(*states.columns)
-        .agg(
-            sum0(F.col("_cost")).cast("double").alias("inventory_cost"),
-            F.array_join(F.transform(names, lambda entry: entry["shown"]), ", ").alias("item_names"),
-            *[sum0(F.col(f"_{name}")).cast("double").alias(name) for name in sums[1:]],
-        )
-    )
-
-
-def team_diff(states: DataFrame) -> DataFrame:
-    """Team total, opponent total and difference per match, minute and team.
-
-    Totals are aggregated first, so the self-join sees one row per team; two teams per
-    match and minute are assumed, as in the data model.
-    """
-    own = states.groupBy(*TEAM).agg(sum0(F.col("total_gold")).alias("team_total_gold"))
+def _facing(own: DataFrame) -> DataFrame:
+    """Team totals beside those of the other team of the match and minute."""
     other = own.select(
         F.col("match_id").alias("_m"), F.col("minute").alias("_t"), F.col("team_id").alias("_o"), F.col("team_total_gold").alias("team_total_gold_opponent")
     )
@@ -118,21 +88,37 @@ def team_diff(states: DataFrame) -> DataFrame:
     )
 
 
-def lane_opponents(states: DataFrame, order_by: Sequence[str] = ("participant_id",)) -> DataFrame:
-    """The first opponent's gold for each match, minute, team and role.
+def team_diff(states: DataFrame) -> DataFrame:
+    """Team total, opponent total and difference per match, minute and team.
 
-    The first member of every team is found by aggregation; within a lane a team then faces
-    the earliest of the others, so no pair of players is ever formed.
+    Totals are aggregated first, so the self-join sees one row per team; two teams per
+    match and minute are assumed, as in the data model.
     """
-    order = [name for name in order_by if name in states.columns]
-    first = states.groupBy(*LANE).agg(F.min(position(states, order, "total_gold")).alias("_first"))
-    # One row per team and lane.
+    return _facing(states.groupBy(*TEAM).agg(sum0(F.col("total_gold")).alias("team_total_gold")))
+
+
+def _lane_order(states: DataFrame, order_by: Sequence[str] = ("participant_id",)) -> list[str]:
+    return [name for name in order_by if name in states.columns]
+
+
+def _rivals(first: DataFrame) -> DataFrame:
+    """Per team and lane the gold of the earliest first member (``_first``) among the other teams."""
     lane = W.partitionBy("match_id", "minute", "role").orderBy("_first")
     whole = lane.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rival = F.when(F.row_number().over(lane) == 1, F.nth_value("_first", 2).over(whole)).otherwise(F.first("_first").over(whole))
     return first.withColumn("_rival", rival).select(*LANE, F.col("_rival.total_gold").alias("total_gold_opponent"))
 
 
+def lane_opponents(states: DataFrame, order_by: Sequence[str] = ("participant_id",)) -> DataFrame:
+    """The first opponent's gold for each match, minute, team and role.
+
+    The first member of every team is found by aggregation; within a lane a team then faces
+    the earliest of the others, so no pair of players is ever formed.
+    """
+    order = _lane_order(states, order_by)
+    return _rivals(states.groupBy(*LANE).agg(F.min(position(states, order, "total_gold")).alias("_first")))
+
+
 def lane_diff(states: DataFrame, order_by: Sequence[str] = ("participant_id",)) -> DataFrame:
     """States with ``total_gold_opponent`` and ``lane_gold_diff``."""
     rows = _attach(states, lane_opponents(states, order_by), LANE)
@@ -140,16 +126,28 @@ def lane_diff(states: DataFrame, order_by: Sequence[str] = ("participant_id",))
 
 
 def context_mart(
-    states: DataFrame, items: DataFrame, stats: Sequence[str] = tuple(REFERENCE_ITEMS), by_patch: bool = False
+    states: DataFrame,
+    items: DataFrame,
+    stats: Sequence[str] = tuple(REFERENCE_ITEMS),
+    by_patch: bool = False,
+    catalog_version: str | None = None,
 ) -> DataFrame:
-    """Snapshots with inventory value, team and lane difference and the outcome as 0/1."""
+    """Snapshots with inventory value, team and lane difference and the outcome as 0/1.
+
+    ``catalog_version`` is stamped on every row when given. Team totals and the first player of
+    every lane come from one aggregate; they meet as small tables, so the snapshots are joined
+    to them once.
+    """
     require(states, [*LANE, "total_gold", "inventory", "win"])
     priced = inventory_stats(states, items, stats, by_patch)
-    teams = _attach(priced, team_diff(states), TEAM)
-    lanes = _attach(teams, lane_opponents(states), LANE)
-    return lanes.withColumn("lane_gold_diff", F.col("total_gold") - F.col("total_gold_opponent")).withColumn(
-        "observed_win", F.col("win").cast("int")
+    first = F.min(position(states, _lane_order(states), "total_gold")).alias("_first")
+    lanes = states.groupBy(*LANE).agg(sum0(F.col("total_gold")).alias("_gold"), first)
+    teams = _facing(lanes.groupBy(*TEAM).agg(sum0(F.col("_gold")).alias("team_total_gold")))
+    facts = _attach(_rivals(lanes), teams, TEAM)
+    made = _attach(priced, facts, LANE).withColumns(
+        {"lane_gold_diff": F.col("total_gold") - F.col("total_gold_opponent"), "observed_win": F.col("win").cast("int")}
     )
+    return made if catalog_version is None else made.withColumn("catalog_version", F.lit(catalog_version))
 
 
 def _cohort(context: DataFrame) -> list[Column]:

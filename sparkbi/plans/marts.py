@@ -106,6 +106,54 @@ def inventory_cost(spark, folder):
     return rounded(rows.select("participant_id", "minute", "total_gold", "inventory_cost", "item_names", "inventory_ad", "inventory_ap"), 2, "inventory_cost")
 
 
+def _scaled(spark, folder, factor: int) -> DataFrame:
+    """The inventory query over ids ``factor`` times as large: the answer must not depend on it."""
+    larger = states(spark, folder).withColumn("inventory", F.transform("inventory", lambda item: item * factor))
+    catalog = items(spark, folder).withColumn("item_id", F.col("item_id") * factor)
+    rows = marts.inventory_stats(larger, catalog, STATS)
+    return rounded(rows.select("participant_id", "minute", "total_gold", "inventory_cost", "item_names", "inventory_ad", "inventory_ap"), 2, "inventory_cost")
+
+
+@query(
+    "inventory_large_ids",
+    f"""
+    WITH {STATES}, {STOCK.replace("CAST(item_id AS VARCHAR)", "CAST(item_id * 100000 AS VARCHAR)")}
+    SELECT participant_id, minute, total_gold, round(inventory_cost, 2) AS inventory_cost, item_names, inventory_ad, inventory_ap FROM i
+    """,
+)
+def inventory_large_ids(spark, folder):
+    return _scaled(spark, folder, 100_000)
+
+
+@query(
+    "inventory_duplicates",
+    f"""
+    WITH {STATES}, {STOCK.replace("FROM s)", "FROM (SELECT * REPLACE (list_concat(inventory, inventory[1:1]) AS inventory) FROM s))", 1)},
+    d AS (SELECT participant_id, minute, total_gold, inventory_cost, item_names, inventory_ad FROM i, (SELECT unnest([1, 2])))
+    SELECT participant_id, minute, total_gold, round(inventory_cost, 2) AS inventory_cost, item_names, inventory_ad FROM d
+    """,
+)
+def inventory_duplicates(spark, folder):
+    """Each snapshot twice, its first item held twice, and every catalog entry listed twice."""
+    doubled = states(spark, folder).withColumn("inventory", F.concat("inventory", F.slice("inventory", 1, 1)))
+    rows = marts.inventory_stats(doubled.unionByName(doubled), items(spark, folder).unionByName(items(spark, folder)), STATS)
+    return rounded(rows.select("participant_id", "minute", "total_gold", "inventory_cost", "item_names", "inventory_ad"), 2, "inventory_cost")
+
+
+@query(
+    "context_mart",
+    f"""
+    {ALL_PARTS}
+    SELECT match_id, minute, team_id, role, participant_id, total_gold, round(inventory_cost, 2) AS inventory_cost, item_names, team_total_gold, team_gold_diff,
+           total_gold_opponent, lane_gold_diff, observed_win, 'parts' AS catalog_version FROM c
+    """,
+)
+def context_mart(spark, folder):
+    rows = marts.context_mart(states(spark, folder), items(spark, folder), STATS, catalog_version="parts")
+    names = ["match_id", "minute", "team_id", "role", "participant_id", "total_gold", "inventory_cost", "item_names", "team_total_gold", "team_gold_diff"]
+    return rounded(rows.select(*names, "total_gold_opponent", "lane_gold_diff", "observed_win", "catalog_version"), 2, "inventory_cost")
+
+
 @query(
     "inventory_by_patch",
     f"""

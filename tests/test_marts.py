@@ -40,6 +40,20 @@ def test_context_mart(states, items):
     assert (got[200, "MIDDLE"]["item_names"], got[200, "MIDDLE"]["inventory_cost"]) == ("", 0.0)
 
 
+def test_inventory_has_one_meaning(spark, items):
+    """Small and large ids, repeated snapshots, repeated items, repeated catalog rows, null and unknown ids."""
+    held = [[1], [1], [1, 1, 2], [], None, [99], [None, 2], [-5, 1]]
+    rows = [("m", 10, 100, "TOP", 5, inventory, True, 1, "16.18.1", 1) for inventory in held]
+    answers = []
+    for factor in (1, 1_000_000):
+        shifted = [(*row[:5], row[5] and [i and i * factor for i in row[5]], *row[6:]) for row in rows]
+        catalog = items.union(items).withColumn("item_id", (F.col("item_id") * factor).cast("long"))
+        got = marts.inventory_stats(spark.createDataFrame(shifted, STATES), catalog).collect()
+        answers.append(sorted((row["inventory_cost"], row["inventory_ad"], row["inventory_ap"]) for row in got))
+    assert answers[0] == answers[1]
+    assert answers[0] == sorted([(350.0, 10.0, 0.0)] * 3 + [(1100.0, 20.0, 20.0), (400.0, 0.0, 20.0)] + [(0.0, 0.0, 0.0)] * 3)
+
+
 def test_cohorts(states, items):
     context = marts.context_mart(states, items)
     assert sum(row["sample_players"] for row in marts.bucket_cohorts(context).collect()) == 4
