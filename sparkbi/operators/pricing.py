@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkbi.functions.columns import as_double, require
 from sparkbi.functions.hashing import row_hash
+from sparkbi.operators.running import numbered_copies
 
 # The functions below run inside tasks; they travel with the job, so executors need only numpy and pandas.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -62,9 +63,13 @@ def _partial_sums(features: Sequence[str], target: str, bootstrap: int, seed: in
 
 
 def non_negative(gram: np.ndarray, moment: np.ndarray, sweeps: int = 20_000, tolerance: float = 1e-12) -> np.ndarray:
-    """Minimise w'Gw/2 - m'w over w >= 0 for a stack of systems, by coordinate descent."""
+    """Minimise w'Gw/2 - m'w over w >= 0 for a stack of systems, by coordinate descent.
+
+    Raises when ``sweeps`` do not reach the ``tolerance``.
+    """
     solution = np.zeros_like(moment)
     diagonal = np.einsum("bjj->bj", gram)
+    largest = 0.0
     for _ in range(sweeps):
         largest = 0.0
         for j in range(moment.shape[1]):
@@ -74,8 +79,8 @@ def non_negative(gram: np.ndarray, moment: np.ndarray, sweeps: int = 20_000, tol
             largest = max(largest, float(np.max(np.abs(updated - solution[:, j]) / (1.0 + np.abs(updated)))))
             solution[:, j] = updated
         if largest < tolerance:
-            break
-    return solution
+            return solution
+    raise ArithmeticError(f"no convergence in {sweeps} sweeps: last change {largest:.1e}")
 
 
 def _solver(features: Sequence[str], names: list[str], alpha: float):
@@ -132,8 +137,10 @@ def price_model(
     data = items.where(F.col(target) > 0).select(
         *[F.coalesce(as_double(items, name), F.lit(0.0)).alias(name) for name in features],
         as_double(items, target).alias(target),
-        row_hash(key).alias("_hash"),
+        row_hash(key).alias("_row"),
     )
+    # Equal rows are drawn each on its own, so they need different hashes.
+    data = numbered_copies(data, "_copy").withColumn("_hash", F.xxhash64("_row", "_copy"))
     # The mass of each feature over all items decides whether it takes part.
     masses = items.agg(
         F.count_if(F.col(target) > 0).alias("rows"), *[F.sum(F.abs(as_double(items, name))).alias(name) for name in features]

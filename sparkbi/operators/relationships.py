@@ -10,15 +10,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sparkbi.functions.columns import as_double, dtype, is_number, number, require, row_order, to_time
 from sparkbi.operators.aggregates import first_value
 from sparkbi.operators.profile import profile
 from sparkbi.operators.running import hash_sample, quantile_columns, ranked_values
+from sparkbi.session import cut_lineage
 
 MAX_LEVELS, MIN_DAYS = 30, 3
-NULL_RATIO_LIMIT = 0.8
 NO_DIRECTION = 1e-12
 CLIP = {"low": 0.01, "middle": 0.5, "high": 0.99}
 
@@ -46,25 +46,41 @@ class Request:
     time_column: str | None = None
     grain: str | None = None
     order_by: Sequence[str] = ()
+    max_levels: int = 30
+    null_limit: float = 0.8
 
 
-def candidates(rows: Sequence[Row], column: str, limit: int = 30) -> list[Row]:
-    """Candidate columns from collected profile rows, most complete and varied first."""
-    chosen = next((row for row in rows if row["name"] == column), None)
-    if chosen is None:
-        raise KeyError(column)
-    if chosen["semantic_type"] in ("identifier", "text"):
-        raise ValueError("identifier and free text columns are not compared")
-    fit = [
-        row
-        for row in rows
-        if row["name"] != column
-        and row["semantic_type"] not in ("identifier", "text")
-        and row["unique_count"] > 1
-        and row["null_ratio"] < NULL_RATIO_LIMIT
-    ]
-    fit.sort(key=lambda row: (row["null_ratio"], row["unique_count"] == row["row_count"], -row["unique_count"]))
-    return fit[:limit]
+def judged(profiled: DataFrame, request: Request) -> DataFrame:
+    """The profile with ``place`` for columns to compare, best first, and ``skipped`` saying why others are not.
+
+    The most complete columns come first, among them those that do not number the rows, then the
+    most varied. ``profiled`` has one row per column.
+    """
+    plain = F.col("semantic_type").isin("identifier", "text")
+    skipped = (
+        F.when(F.col("name") == request.column, "chosen column")
+        .when(plain, "identifier or free text")
+        .when(F.col("unique_count") <= 1, "no variation")
+        .when(F.col("null_ratio") >= request.null_limit, "too many nulls")
+    )
+    numbers_rows = (F.col("unique_count") == F.col("row_count")).cast("int")
+    best = W.partitionBy("fit").orderBy("null_ratio", numbers_rows, F.desc("unique_count"), "position")
+    ranked = profiled.withColumn("skipped", skipped).withColumn("fit", F.col("skipped").isNull()).withColumn("place", F.row_number().over(best))
+    late = F.when(F.col("fit") & (F.col("place") > request.candidate_limit), "beyond the candidate limit")
+    # Of two categories both must have few levels, of a category and a number the category.
+    chosen = F.max(F.when(F.col("name") == request.column, F.struct("semantic_type", "unique_count"))).over(W.partitionBy())
+    levels = F.greatest(*[F.when(kind == "categorical", count).otherwise(0) for kind, count in ((F.col("semantic_type"), F.col("unique_count")), (chosen["semantic_type"], chosen["unique_count"]))])
+    crowded = F.when(levels > request.max_levels, "too many levels")
+    # Levels are judged again on the pairs that are scored; at an entity's grain there may be fewer.
+    compared = F.col("fit") & (F.col("place") <= request.candidate_limit)
+    reason = F.coalesce("skipped", late, crowded if not request.entity_key else F.lit(None))
+    return ranked.withColumns({"place": F.when(compared, F.col("place")), "skipped": reason}).drop("fit")
+
+
+def skipped_candidates(df: DataFrame, request: Request, profiled: DataFrame | None = None) -> DataFrame:
+    """``column`` and ``reason`` of every column that ``analyze`` leaves out before scoring."""
+    found = judged(profile(df) if profiled is None else profiled, request)
+    return found.where(F.col("skipped").isNotNull() & (F.col("name") != request.column)).select(F.col("name").alias("column"), F.col("skipped").alias("reason"))
 
 
 def latest_grain(df: DataFrame, entity_key: str, time_column: str, order_by: Sequence[str] = ()) -> DataFrame:
@@ -151,8 +167,8 @@ def numeric_numeric(pairs: DataFrame) -> DataFrame:
     )
 
 
-def categorical_categorical(pairs: DataFrame) -> DataFrame:
-    """Bias-corrected Cramér's V per candidate; candidates above 30 levels are left out."""
+def categorical_categorical(pairs: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Bias-corrected Cramér's V per candidate; candidates above ``max_levels`` levels are left out."""
     cells = _merged(pairs)
     n, size = F.col("n"), F.col("size")
     rows = cells.groupBy("column", "x").agg(F.sum("n").alias("row_n"))
@@ -161,7 +177,7 @@ def categorical_categorical(pairs: DataFrame) -> DataFrame:
         rows.groupBy("column")
         .agg(F.count(F.lit(1)).alias("r"), F.sum("row_n").alias("size"))
         .join(columns.groupBy("column").agg(F.count(F.lit(1)).alias("k")), "column")
-        .where(F.greatest("r", "k") <= MAX_LEVELS)
+        .where(F.greatest("r", "k") <= max_levels)
     )
     # One row per candidate column, so the broadcast is bounded by the candidate limit.
     known = cells.join(F.broadcast(levels), "column").join(rows, ["column", "x"]).join(columns, ["column", "y"])
@@ -178,14 +194,14 @@ def categorical_categorical(pairs: DataFrame) -> DataFrame:
     return table.select("column", score.alias("score"), F.lit(None).cast("double").alias("pearson"), size.alias("sample_size"))
 
 
-def categorical_numeric(groups: DataFrame) -> DataFrame:
+def categorical_numeric(groups: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Eta squared per candidate from ``column, category, n, average, spread`` rows."""
     weighted = F.sum(F.col("n") * F.col("average"))
     whole = groups.groupBy("column").agg(
         F.count(F.lit(1)).alias("levels"), F.sum("n").alias("size"), (weighted / F.sum("n")).alias("middle")
     )
     # One row per candidate column, so the broadcast is bounded by the candidate limit.
-    seen = groups.join(F.broadcast(whole.where(F.col("levels") <= MAX_LEVELS)), "column")
+    seen = groups.join(F.broadcast(whole.where(F.col("levels") <= max_levels)), "column")
     away = F.col("average") - F.col("middle")
     between = F.sum(F.col("n") * away * away)
     share = F.try_divide(between, F.sum(F.col("spread")) + between)
@@ -270,37 +286,41 @@ def _relation(chosen: str, other: str) -> str | None:
     return "datetime_numeric" if kinds == {"datetime", "numeric"} else None
 
 
-def _score(df: DataFrame, relation: str, chosen: str, chosen_type: str, names: list[str]) -> DataFrame:
+def _score(df: DataFrame, relation: str, chosen: str, chosen_type: str, names: list[str], max_levels: int) -> DataFrame:
     if relation == "numeric_numeric":
         return numeric_numeric(_long(df, names, as_double(df, chosen), {n: as_double(df, n) for n in names}))
     if relation == "categorical_categorical":
         texts = {n: F.col(n).cast("string") for n in names}
-        return categorical_categorical(_long(df, names, F.col(chosen).cast("string"), texts))
+        return categorical_categorical(_long(df, names, F.col(chosen).cast("string"), texts), max_levels)
     if relation == "categorical_numeric":
         fixed = chosen_type == "categorical"
         category = {n: F.col(chosen if fixed else n).cast("string") for n in names}
         value = {n: as_double(df, n if fixed else chosen) for n in names}
-        return categorical_numeric(_category_groups(df, names, category, value))
+        return categorical_numeric(_category_groups(df, names, category, value), max_levels)
     fixed = chosen_type == "datetime"
     time = {n: to_time(df, chosen if fixed else n) for n in names}
     value = {n: as_double(df, n if fixed else chosen) for n in names}
     return daily_trend(_day_pairs(df, names, time, value))
 
 
+#: Chart of each relation type: its kind, aggregate, time grain, and the semantic type that belongs on the x axis.
+#: Without one the chosen column is x.
+CHARTS = {
+    "numeric_numeric": ("scatter", None, None, None),
+    "categorical_categorical": ("heatmap", "count", None, None),
+    "categorical_numeric": ("boxplot", None, None, "categorical"),
+    "datetime_numeric": ("line", "mean", "day", "datetime"),
+}
+
+
 def _charts(relation: str, chosen: str, chosen_type: str) -> dict[str, Column]:
     """The suggested chart: its type, what goes on each axis, aggregate and time grain."""
-    here, there, nothing = F.lit(chosen), F.col("column"), F.lit(None).cast("string")
-    if relation == "numeric_numeric":
-        kind, x, y, aggregate, grain = "scatter", here, there, nothing, nothing
-    elif relation == "categorical_categorical":
-        kind, x, y, aggregate, grain = "heatmap", here, there, F.lit("count"), nothing
-    elif relation == "datetime_numeric":
-        x, y = (here, there) if chosen_type == "datetime" else (there, here)
-        kind, aggregate, grain = "line", F.lit("mean"), F.lit("day")
-    else:
-        x, y = (here, there) if chosen_type == "categorical" else (there, here)
-        kind, aggregate, grain = "boxplot", nothing, nothing
-    return {"chart_type": F.lit(kind), "chart_x": x, "chart_y": y, "chart_aggregate": aggregate, "chart_time_grain": grain}
+    kind, aggregate, grain, across = CHARTS[relation]
+    axes = {"chart_x": F.lit(chosen), "chart_y": F.col("column")}
+    if across not in (None, chosen_type):
+        axes = dict(zip(axes, reversed(axes.values())))
+    fixed = {"chart_aggregate": F.lit(aggregate).cast("string"), "chart_time_grain": F.lit(grain).cast("string")}
+    return {"chart_type": F.lit(kind), **axes, **fixed}
 
 
 def at_grain(df: DataFrame, request: Request) -> DataFrame:
@@ -324,10 +344,16 @@ def analyze(df: DataFrame, request: Request, profiled: DataFrame | None = None)
     The profile is collected (one row per column) to choose candidates; everything after
     that is lazy. ``sample_limit`` is off unless given: statistics use all rows.
     """
-    facts = (profile(df) if profiled is None else profiled).collect()
+    # One row per column of the table.
+    facts = judged(profile(df) if profiled is None else profiled, request).orderBy("place").collect()
     chosen_type = next((row["semantic_type"] for row in facts if row["name"] == request.column), None)
-    kept = candidates(facts, request.column, request.candidate_limit)
-    rows = at_grain(df, request)
+    if chosen_type is None:
+        raise KeyError(request.column)
+    if chosen_type in ("identifier", "text"):
+        raise ValueError("identifier and free text columns are not compared")
+    kept = [row for row in facts if row["place"] is not None]
+    needed = list(dict.fromkeys([request.column, *[row["name"] for row in kept]]))
+    rows = at_grain(df, request).select(*[F.col(f"`{name}`") for name in needed])
     counted = rows.agg(F.count(F.lit(1)).alias("rows"))
     sampled = F.lit(False)
     total = counted.scalar()
@@ -335,8 +361,9 @@ def analyze(df: DataFrame, request: Request, profiled: DataFrame | None = None)
         limit = request.sample_limit
         sampled = counted.select(F.col("rows") > limit).scalar()
         total = counted.select(F.least(F.col("rows"), F.lit(limit))).scalar()
-        needed = list(dict.fromkeys([request.column, *[row["name"] for row in kept]]))
-        rows = hash_sample(rows.select(*needed), limit, request.seed)
+        rows = hash_sample(rows, limit, request.seed)
+    if request.sample_limit or request.entity_key:
+        rows = cut_lineage(rows)  # every relation below reads it, and its making shuffles
 
     by_relation: dict[str, list[str]] = {}
     for row in kept:
@@ -345,7 +372,7 @@ def analyze(df: DataFrame, request: Request, profiled: DataFrame | None = None)
             by_relation.setdefault(relation, []).append(row["name"])
     parts = []
     for relation, names in by_relation.items():
-        scored = _score(rows, relation, request.column, chosen_type, names)
+        scored = _score(rows, relation, request.column, chosen_type, names, request.max_levels)
         parts.append(
             scored.where(F.col("sample_size") >= request.minimum_pair_samples)
             .withColumn("relation_type", F.lit(relation))

@@ -17,6 +17,7 @@ from sparkbi.functions.hashing import row_hash
 from sparkbi.session import cut_lineage
 
 GROUP, BLOCK = "_group", "_block"
+COPIES_PER_RUN = 1_000_000
 
 
 def blocked(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -147,16 +148,32 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probabiliti
     return ranked.groupBy(*group).agg(*quantile_columns(value, probabilities))
 
 
+def numbered_copies(df: DataFrame, number: str) -> DataFrame:
+    """The rows of ``df`` with ``number`` counting equal rows from 0, whatever the partitioning.
+
+    Equal rows are counted first and written out again from their count. A row with very many
+    copies is cut into runs that are dealt to different tasks before they are written out.
+    """
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.where(F.col("_n") <= COPIES_PER_RUN).select(*columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(number))
+    runs = counted.where(F.col("_n") > COPIES_PER_RUN).withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(COPIES_PER_RUN))))
+    dealt = runs.repartition("_from", *columns)
+    upto = F.least(F.col("_from") + COPIES_PER_RUN, F.col("_n")) - 1
+    return few.unionByName(dealt.select(*columns, F.explode(F.sequence(F.col("_from"), upto)).alias(number)))
+
+
 def hash_sample(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """Exactly ``min(size, rows)`` rows, the same ones for any partitioning.
+    """Exactly ``min(size, rows)`` rows drawn uniformly, the same ones for any partitioning.
 
-    Rows are ordered by a seeded content hash. A count per hash prefix first finds the
-    smallest prefix range that holds enough rows, so the final top-k sees little more than
-    the sample itself instead of ``size`` rows from every scan task.
+    Every row, equal ones told apart by their number, gets a seeded hash; the smallest hashes
+    make the sample. A count per hash prefix first finds the smallest prefix range that holds
+    enough rows, so the final top-k sees little more than the sample itself.
     """
     columns = list(df.columns)
     prefix_bits = 16
-    hashed = df.withColumn("_hash", row_hash(df, seed))
+    rows = numbered_copies(df.withColumn("_row", row_hash(df, seed)), "_copy")
+    hashed = rows.withColumn("_hash", F.xxhash64("_row", "_copy"))
     hashed = hashed.withColumn("_prefix", F.shiftrightunsigned("_hash", 64 - prefix_bits))
     counted = hashed.groupBy("_prefix").count()
     # At most 65,536 prefix rows whatever the input size, so a single-task window is bounded.

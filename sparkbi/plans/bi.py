@@ -187,6 +187,23 @@ def scatter_sample(spark, folder):
     return charts.scatter(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", 2000)
 
 
+@query(
+    "scatter_share",
+    """
+    SELECT CAST(l_linenumber AS DOUBLE) AS y, true AS within, least((SELECT count(*) FROM lineitem), 2000) AS sample_size FROM lineitem GROUP BY 1
+    """,
+)
+def scatter_share(spark, folder):
+    """Each heavy value's share of the sample lies within five standard errors of its share of the rows."""
+    rows = table(spark, folder, "lineitem")
+    points = charts.scatter(rows, "l_quantity", "l_linenumber", 2000)
+    drawn = points.groupBy("y").agg(F.count(F.lit(1)).alias("drawn"), F.max("sample_size").alias("sample_size"))
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    whole = rows.groupBy(F.col("l_linenumber").cast("double").alias("y")).agg((F.count(F.lit(1)) / F.max(F.lit(1.0))).alias("n")).withColumn("share", F.col("n") / total)
+    error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("sample_size"))
+    return drawn.join(whole, "y").select("y", (F.abs(F.col("drawn") / F.col("sample_size") - F.col("share")) <= 5 * error).alias("within"), "sample_size")
+
+
 @query(
     "scatter_size",
     """

@@ -152,3 +152,34 @@ def rel_ranked(spark, folder):
 @query("rel_recommend", f"SELECT * FROM ({RANKED}) ORDER BY abs(score) DESC, \"column\" LIMIT 1")
 def rel_recommend(spark, folder):
     return rel.recommend(_orders(spark, folder), "o_totalprice").select(*RANKED_COLUMNS)
+
+
+@query(
+    "rel_sampled",
+    """
+    SELECT unnest(['l_quantity', 'l_discount']) AS "column", count(*) > 5000 AS sampled, least(count(*), 5000) AS sample_size, true AS close FROM lineitem
+    """,
+)
+def rel_sampled(spark, folder):
+    """Scores over a sample of 5000 rows lie near those over all rows."""
+    rows = table(spark, folder, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
+    names = ["column", "score", "sampled", "sample_size"]
+    part = rel.analyze(rows, rel.Request("l_extendedprice", sample_limit=5000)).select(*names)
+    whole = rel.analyze(rows, rel.Request("l_extendedprice")).select("column", F.col("score").alias("exact"))
+    return part.join(whole, "column").select("column", "sampled", "sample_size", (F.abs(F.col("score") - F.col("exact")) < 0.06).alias("close"))
+
+
+@query(
+    "rel_skipped",
+    """
+    SELECT * FROM (VALUES ('o_orderkey', 'beyond the candidate limit'), ('buyer', 'too many nulls'), ('constant', 'no variation'),
+                          ('clerk', 'too many levels'), ('row_id', 'identifier or free text')) v("column", reason)
+    """,
+)
+def rel_skipped(spark, folder):
+    """Why columns take no part: every reason once."""
+    sparse = F.when(F.col("o_orderkey") % 8 == 1, F.col("buyer")).alias("buyer")
+    clerk = F.concat(F.lit("clerk "), F.col("o_orderkey") % 7).alias("clerk")
+    names = ["o_totalprice", "o_orderkey", "o_orderstatus", "o_orderpriority"]
+    rows = _orders(spark, folder).select(*names, F.lit(1).alias("constant"), F.col("o_orderkey").alias("row_id"), clerk, sparse)
+    return rel.skipped_candidates(rows, rel.Request("o_totalprice", candidate_limit=3, max_levels=6))

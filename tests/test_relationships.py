@@ -155,9 +155,9 @@ def test_no_comparable_column_gives_an_empty_result(spark):
     assert rel.analyze(df, rel.Request("v")).count() == 0
 
 
-def test_candidate_order_and_limits():
+def test_candidate_order_and_limits(spark):
     def fact(name, kind, unique, nulls):
-        return {"name": name, "semantic_type": kind, "unique_count": unique, "null_ratio": nulls, "row_count": 100}
+        return (name, kind, unique, nulls, 100)
 
     facts = [
         fact("x", "numeric", 50, 0.0),
@@ -170,8 +170,21 @@ def test_candidate_order_and_limits():
         fact("key", "identifier", 100, 0.0),
         fact("words", "text", 90, 0.0),
     ]
-    assert [row["name"] for row in rel.candidates(facts, "x")] == ["many", "few", "unique", "holes"]
-    assert [row["name"] for row in rel.candidates(facts, "x", 1)] == ["many"]
+    schema = "name string, semantic_type string, unique_count long, null_ratio double, row_count long, position int"
+    table = spark.createDataFrame([(*fact, place) for place, fact in enumerate(facts)], schema)
+
+    def kept(request):
+        return [row["name"] for row in rel.judged(table, request).where("place is not null").orderBy("place").collect()]
+
+    assert kept(rel.Request("x")) == ["many", "few", "unique", "holes"]
+    assert kept(rel.Request("x", candidate_limit=1)) == ["many"]
+    assert kept(rel.Request("x", null_limit=0.2)) == ["many", "few", "unique"]
+    assert rel.judged(table, rel.Request("x", max_levels=2)).where("skipped = 'too many levels'").first()["name"] == "few"
+    why = {row["column"]: row["reason"] for row in rel.skipped_candidates(table, rel.Request("x", candidate_limit=3), table).collect()}
+    assert why == {
+        "holes": "beyond the candidate limit", "empty": "too many nulls", "single": "no variation",
+        "key": "identifier or free text", "words": "identifier or free text",
+    }
 
 
 def test_semantic_rules(spark):

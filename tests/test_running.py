@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window as W, functions as F
 
 from sparkbi.operators.asof import attach_asof
+import sparkbi.operators.running as running_module
 from sparkbi.operators.running import BLOCK, blocked, exact_quantiles, hash_sample, ranked_values, running
 
 
@@ -89,3 +90,17 @@ def test_asof_keeps_a_null_value_as_the_latest(spark):
     known = spark.createDataFrame([("a", 1, 5), ("a", 2, None)], "k string, t int, v int")
     asked = spark.createDataFrame([("a", 3)], "k string, t int")
     assert attach_asof(asked, known, ["k"], "t", "v").first()["v"] is None
+
+
+def test_hash_sample_draws_rows_not_values(spark):
+    """Equal rows come in one by one: heavy values keep their share, also when their copies are dealt out in runs."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, "heavy").otherwise(F.concat(F.lit("v"), F.col("id") % 50)).alias("value"))
+    before = running_module.COPIES_PER_RUN
+    samples = []
+    for runs, parts in ((before, 3), (1000, 9)):
+        running_module.COPIES_PER_RUN = runs
+        samples.append(sorted(row["value"] for row in hash_sample(df.repartition(parts), 1000, 5).collect()))
+    running_module.COPIES_PER_RUN = before
+    assert samples[0] == samples[1] and len(samples[0]) == 1000
+    assert abs(samples[0].count("heavy") - 700) < 75 and len(set(samples[0])) > 10
+    assert sorted(row["value"] for row in hash_sample(df.limit(30), 50, 5).collect()) == sorted(row["value"] for row in df.limit(30).collect())
