@@ -17,7 +17,8 @@ from sparkbi.plans.bi import rounded
 from sparkbi.plans.registry import query, table
 from sparkbi.session import checkpoint_dir
 from sparkbi.streaming.compaction import compact_batch, compact_stream, read_compacted
-from sparkbi.streaming.envelope import validate
+from sparkbi.streaming.envelope import ENVELOPE, file_stream, validate
+from sparkbi.streaming.landing import write_bronze, write_quarantine
 
 PEPPER = "sample-pepper"
 KEYS, ORDER = ("user_id",), ("ts", "event_id")
@@ -291,7 +292,7 @@ def stream_compact(spark, folder):
         (F.col("value") >= 1000).alias("late"),
     )
     for late in (False, True):
-        part = landed.where(F.col("late") == late).drop("late").repartition("dt")
+        part = landed.where(F.col("late") == late).drop("late").hint("rebalance", "dt")
         part.write.mode("append").partitionBy("dt", "hour").json(f"{root}/bronze")
         compact_stream(spark, f"{root}/bronze", f"{root}/silver", f"{root}/offsets").awaitTermination()
     newest = read_compacted(spark, f"{root}/silver")
@@ -301,3 +302,34 @@ def stream_compact(spark, folder):
         F.col("event_time").cast("timestamp_ntz").alias("ts"),
         F.round(F.get_json_object("payload", "$.value").cast("double"), 4).alias("value"),
     )
+
+
+@query("compact_mixed_offsets", NEWEST)
+def compact_mixed_offsets(spark, folder):
+    """Old copies are written with an offset that makes their text look later than the new copies in UTC."""
+    rows = _copies(spark, folder)
+    old = F.concat(F.date_format(F.col("ts") + F.expr("interval 9 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+09:00"))
+    new = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    spelled = rows.withColumn("event_time", F.when(F.col("value") < 1000, old).otherwise(new))
+    return rounded(compact_batch(spelled), 4, "value").select("event_id", "user_id", "ts", "value")
+
+
+@query(
+    "stream_land",
+    """
+    SELECT dt, CASE WHEN dt IS NULL THEN 'quarantine' ELSE 'bronze' END AS landed, count(*) AS events FROM (
+        SELECT CASE WHEN event_id % 101 = 0 OR event_id % 13 = 0 OR event_id % 7 = 0 OR (event_id % 11 = 0 AND event_id % 17 <> 0) THEN NULL
+                    ELSE strftime(ts, '%Y-%m-%d') END AS dt FROM events)
+    GROUP BY dt
+    """,
+)
+def stream_land(spark, folder):
+    """Good and bad events through both file sinks, the whole stream offered twice."""
+    root = f"{checkpoint_dir(spark)}/land-{uuid.uuid4().hex}"
+    _envelopes(table(spark, folder, "events")).select("value").write.text(f"{root}/inbox")
+    for _ in range(2):  # the second run finds nothing new
+        write_bronze(file_stream(spark, f"{root}/inbox"), f"{root}/bronze", f"{root}/offsets/good", once=True).awaitTermination()
+        write_quarantine(file_stream(spark, f"{root}/inbox"), f"{root}/bad", f"{root}/offsets/bad", once=True).awaitTermination()
+    good = spark.read.schema(ENVELOPE + ", dt string, hour string").json(f"{root}/bronze").select("dt", F.lit("bronze").alias("landed"))
+    bad = spark.read.schema("value string, reason string").json(f"{root}/bad").select(F.lit(None).cast("string").alias("dt"), F.lit("quarantine").alias("landed"))
+    return good.unionByName(bad).groupBy("dt", "landed").agg(F.count(F.lit(1)).alias("events"))

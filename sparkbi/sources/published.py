@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, types as T
 
 from sparkbi.functions.hashing import fingerprint_columns, fingerprint_text
 from sparkbi.operators.profile import profile
@@ -25,7 +25,7 @@ MANIFEST_NAME = re.compile(r"v(\d{6})\.json")
 SYNC_RECIPE = "source synchronization"
 
 
-class _Store:
+class Store:
     """The few file operations publishing needs."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -59,6 +59,9 @@ class _Store:
         if not self._files.rename(beside, self.path(text)):
             raise OSError(f"could not move {text} into place")
 
+    def remove(self, folder: str) -> None:
+        self._files.delete(self.path(folder), True)
+
     def read(self, text: str) -> str:
         stream = self._files.open(self.path(text))
         try:
@@ -73,7 +76,7 @@ def _folder(root: str, dataset: str) -> str:
     return f"{root.rstrip('/')}/{dataset}"
 
 
-def _versions(store: _Store, folder: str) -> list[int]:
+def _versions(store: Store, folder: str) -> list[int]:
     found = (MANIFEST_NAME.fullmatch(name) for name in store.sizes(f"{folder}/manifests"))
     return sorted(int(match.group(1)) for match in found if match)
 
@@ -84,27 +87,36 @@ def fingerprint(df: DataFrame) -> str:
     return fingerprint_text(df.columns, row["row_count"], row["hash_a"], row["hash_b"])
 
 
-def _write(spark, root, dataset, df, source_type, recipe_name, steps, with_profile) -> dict[str, Any]:
-    folder = _folder(root, dataset)
-    store = _Store(spark, root)
+def _stage(spark: SparkSession, root: str, dataset: str, df: DataFrame) -> dict[str, Any]:
+    """Write the files of a version without sealing it; row count and content hash come from the same pass."""
     data_id = uuid.uuid4().hex
-    target = f"{folder}/data/{data_id}"
-    # Row count and content hash come from the writing pass itself.
     seen = Observation(data_id)
-    df.observe(seen, *fingerprint_columns(df)).write.option("compression", "zstd").parquet(target)
+    df.observe(seen, *fingerprint_columns(df)).write.option("compression", "zstd").parquet(f"{_folder(root, dataset)}/data/{data_id}")
     facts = seen.get
-    files = {name: size for name, size in store.sizes(target).items() if name.endswith(".parquet")}
-    described = profile(spark.read.schema(df.schema).parquet(target)).toJSON().collect() if with_profile else []
+    return {
+        "version_id": data_id,
+        "row_count": facts["row_count"],
+        "fingerprint": fingerprint_text(df.columns, facts["row_count"], facts["hash_a"], facts["hash_b"]),
+        "schema": df.schema,
+    }
+
+
+def _seal(spark, root, dataset, staged, source_type, recipe_name, steps, with_profile) -> dict[str, Any]:
+    folder = _folder(root, dataset)
+    store = Store(spark, root)
+    data = f"data/{staged['version_id']}"
+    files = {name: size for name, size in store.sizes(f"{folder}/{data}").items() if name.endswith(".parquet")}
+    described = profile(spark.read.schema(staged["schema"]).parquet(f"{folder}/{data}")).toJSON().collect() if with_profile else []
     manifest = {
         "dataset": dataset,
         "source_type": source_type,
-        "version_id": data_id,
+        "version_id": staged["version_id"],
         "created_at": datetime.now(UTC).isoformat(),
-        "row_count": facts["row_count"],
-        "column_count": len(df.columns),
-        "columns": json.loads(df.schema.json())["fields"],
-        "fingerprint": fingerprint_text(df.columns, facts["row_count"], facts["hash_a"], facts["hash_b"]),
-        "data": f"data/{data_id}",
+        "row_count": staged["row_count"],
+        "column_count": len(staged["schema"].fields),
+        "columns": json.loads(staged["schema"].json())["fields"],
+        "fingerprint": staged["fingerprint"],
+        "data": data,
         "files": [{"path": name, "bytes": size} for name, size in sorted(files.items())],
         "profile": [json.loads(line) for line in described],
         "recipe": {"name": recipe_name, "steps": steps},
@@ -117,10 +129,14 @@ def _write(spark, root, dataset, df, source_type, recipe_name, steps, with_profi
     return manifest
 
 
+def _write(spark, root, dataset, df, source_type, recipe_name, steps, with_profile) -> dict[str, Any]:
+    return _seal(spark, root, dataset, _stage(spark, root, dataset, df), source_type, recipe_name, steps, with_profile)
+
+
 def publish(df: DataFrame, root: str, dataset: str, source_type: str = "upload", with_profile: bool = True) -> dict[str, Any]:
     """Publish ``df`` as version 1 of a new dataset and return its manifest."""
     spark = df.sparkSession
-    if _versions(_Store(spark, root), _folder(root, dataset)):
+    if _versions(Store(spark, root), _folder(root, dataset)):
         raise ValueError(f"dataset exists already: {dataset}")
     return _write(spark, root, dataset, df, source_type, None, [], with_profile)
 
@@ -136,7 +152,7 @@ def publish_version(
 
 def manifest(spark: SparkSession, root: str, dataset: str, version: int | None = None) -> dict[str, Any]:
     """The manifest of one version, the current one by default."""
-    folder, store = _folder(root, dataset), _Store(spark, root)
+    folder, store = _folder(root, dataset), Store(spark, root)
     numbers = _versions(store, folder)
     if not numbers or (version is not None and version not in numbers):
         raise KeyError(dataset)
@@ -147,23 +163,34 @@ def read_current(spark: SparkSession, root: str, dataset: str, version: int | No
     """A published version, refusing when a file its manifest lists is missing."""
     sealed = manifest(spark, root, dataset, version)
     target = f"{_folder(root, dataset)}/{sealed['data']}"
-    present = _Store(spark, root).sizes(target)
+    present = Store(spark, root).sizes(target)
     lost = [item["path"] for item in sealed["files"] if item["path"] not in present]
     if lost:
         raise FileNotFoundError(f"published files are missing: {', '.join(lost[:5])}")
-    return spark.read.parquet(target)
+    short = [item["path"] for item in sealed["files"] if present[item["path"]] != item["bytes"]]
+    if short:
+        raise OSError(f"published files have changed: {', '.join(short[:5])}")
+    schema = T.StructType.fromJson({"type": "struct", "fields": sealed["columns"]})
+    # Only what the manifest lists: a file that somebody left in the folder is no part of the version.
+    return spark.read.schema(schema).parquet(*[f"{target}/{item['path']}" for item in sealed["files"]])
 
 
-def sync_named(df: DataFrame, root: str, dataset: str, source_type: str) -> dict[str, Any]:
-    """Publish only when the content differs from the current version."""
+def sync_named(df: DataFrame, root: str, dataset: str, source_type: str, with_profile: bool = True) -> dict[str, Any]:
+    """Publish only when the content differs from the current version.
+
+    The frame is evaluated once: its files are written first, sealed if their fingerprint is new
+    and removed if it is not.
+    """
     spark = df.sparkSession
     try:
         current = manifest(spark, root, dataset)
     except KeyError:
-        return publish(df, root, dataset, source_type)
-    if current["fingerprint"] == fingerprint(df):
+        return publish(df, root, dataset, source_type, with_profile)
+    staged = _stage(spark, root, dataset, df)
+    if current["fingerprint"] == staged["fingerprint"]:
+        Store(spark, root).remove(f"{_folder(root, dataset)}/data/{staged['version_id']}")
         return current
-    return publish_version(df, root, dataset, SYNC_RECIPE)
+    return _seal(spark, root, dataset, staged, current["source_type"], SYNC_RECIPE, [], with_profile)
 
 
 def run_recipe(

@@ -1,50 +1,120 @@
-"""Newest-wins compaction of landed events."""
+"""Newest-wins compaction of landed events.
+
+Silver holds one row per event in plain Parquet files by day and hour. A manifest lists the
+folder that is valid for each day and hour; it is written last, so readers never see half a
+run, and they need no deduplication of their own.
+"""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkbi.functions.columns import row_order
+from sparkbi.functions.columns import is_time, parse_timestamp, row_order
+from sparkbi.sources.published import Store
 from sparkbi.streaming.envelope import ENVELOPE
 
 QUERY_ID = "sql.streaming.queryId"
+SILVER = ENVELOPE + ", event_at timestamp, dt string, hour string"
+MANIFEST = re.compile(r"v(\d{9})\.json")
+
+
+def event_moment(events: DataFrame, time: str) -> Column:
+    """The event time as a moment: text in any accepted form and offset is parsed."""
+    return F.col(time) if is_time(events.schema[time].dataType) else parse_timestamp(F.col(time))
 
 
 def compact_batch(events: DataFrame, key: str = "event_id", time: str = "event_time", tie: Sequence[str] = ()) -> DataFrame:
-    """The newest row of each event; full content breaks ties, so reruns agree.
+    """The newest row of each event by the moment it names, unreadable times last.
 
-    Filtering on row number 1 makes every task keep one row per event before the shuffle,
-    so an event copied millions of times costs no more than one per task.
+    The time as written and the full content break ties, so reruns agree. Filtering on row
+    number 1 makes every task keep one row per event before the shuffle, so an event copied
+    millions of times costs no more than one per task.
     """
-    order = row_order(events, [f"{time} desc", *tie])
+    timed = events.withColumn("_moment", event_moment(events, time))
+    order = row_order(timed, ["_moment desc", f"{time} desc", *tie])
     place = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return events.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
+    return timed.withColumn("_place", place).where(F.col("_place") == 1).drop("_place", "_moment")
+
+
+def _current(store: Store, silver: str) -> tuple[int, dict[str, Any]]:
+    numbers = sorted(int(found[1]) for found in map(MANIFEST.fullmatch, store.sizes(f"{silver}/manifests")) if found)
+    if not numbers:
+        return 0, {"run": None, "partitions": {}}
+    return numbers[-1], json.loads(store.read(f"{silver}/manifests/v{numbers[-1]:09d}.json"))
+
+
+def compact_into(batch: DataFrame, silver: str, run: str) -> None:
+    """Merge a batch into ``silver`` and seal the result; repeating the last ``run`` changes nothing.
+
+    Only the days and hours that the batch names, or that hold an older copy of one of its events,
+    are written again. Older copies are found by a semi-join on the ids alone.
+    """
+    spark = batch.sparkSession
+    store = Store(spark, silver)
+    number, sealed = _current(store, silver)
+    if sealed["run"] == run:
+        return
+    partitions: dict[str, str] = sealed["partitions"]
+    incoming = f"{silver}/incoming/{run}"
+    newest = compact_batch(batch).withColumn("event_at", event_moment(batch, "event_time"))
+    newest.select(*[part.split()[0] for part in SILVER.split(", ")]).write.mode("overwrite").parquet(incoming)
+    fresh = spark.read.schema(SILVER).parquet(incoming)
+    touched = {f"dt={row['dt']}/hour={row['hour']}" for row in fresh.select("dt", "hour").distinct().collect()}
+    if partitions:
+        known = read_compacted(spark, silver).select("event_id", "dt", "hour").join(fresh.select("event_id"), "event_id", "left_semi")
+        touched |= {f"dt={row['dt']}/hour={row['hour']}" for row in known.select("dt", "hour").distinct().collect()}
+    merged = fresh
+    old = [f"{silver}/{partitions[name]}" for name in sorted(touched & set(partitions))]
+    if old:
+        merged = compact_batch(fresh.unionByName(spark.read.schema(SILVER).parquet(*old)))
+    target = f"data/{run}"
+    # Adaptive execution splits a large hour over several files and joins small ones.
+    placed = merged.withColumns({"_dt": F.col("dt"), "_hour": F.col("hour")}).hint("rebalance", "_dt", "_hour")
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("_dt", "_hour").parquet(f"{silver}/{target}")
+    written = {
+        f"dt={day.removeprefix('_dt=')}/hour={hour.removeprefix('_hour=')}": f"{target}/{day}/{hour}"
+        for day in store.sizes(f"{silver}/{target}")
+        if day.startswith("_dt=")
+        for hour in store.sizes(f"{silver}/{target}/{day}")
+        if hour.startswith("_hour=")
+    }
+    kept = {name: folder for name, folder in partitions.items() if name not in touched}
+    store.write(f"{silver}/manifests/v{number + 1:09d}.json", json.dumps({"run": run, "partitions": kept | written}, sort_keys=True))
 
 
 def compact_stream(spark: SparkSession, bronze: str, silver: str, checkpoint: str) -> StreamingQuery:
     """Compact everything landed since the last run and stop.
 
-    Each batch is deduplicated and written to its own folder, named by query and batch, so
-    a repeated batch overwrites itself. Inputs already done are known to the checkpoint.
+    A batch is named by query and number, so a repeated one is recognised. Inputs already done
+    are known to the checkpoint.
     """
     landed = spark.readStream.schema(ENVELOPE + ", dt string, hour string").json(bronze)
 
     def write(batch: DataFrame, number: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID)
-        newest = compact_batch(batch)
-        newest.write.mode("overwrite").option("compression", "zstd").parquet(f"{silver}/run={query}/batch={number}")
+        compact_into(batch, silver, f"{query}-{number}")
 
     stream = landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return stream.trigger(availableNow=True).start()
 
 
-def read_compacted(spark: SparkSession, silver: str) -> DataFrame:
-    """One row per event over all runs: a later copy of an old event replaces it."""
-    rows = spark.read.option("basePath", silver).parquet(f"{silver}/run=*/batch=*")
-    return compact_batch(rows.drop("run", "batch"))
+def read_compacted(spark: SparkSession, silver: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row per event over all runs, from the files of the current manifest.
+
+    ``since`` and ``until`` are days (``yyyy-MM-dd``, both included); other days are not opened.
+    """
+    partitions = _current(Store(spark, silver), silver)[1]["partitions"]
+    days = {name: name.split("/")[0].removeprefix("dt=") for name in partitions}
+    wanted = [name for name, day in days.items() if (since is None or day >= since) and (until is None or day <= until)]
+    if not wanted:
+        return spark.createDataFrame([], SILVER)
+    return spark.read.schema(SILVER).parquet(*[f"{silver}/{partitions[name]}" for name in sorted(wanted)])
 
 
 def first_wins(events: DataFrame, time: str, delay: str = "1 day", key: str = "event_id") -> DataFrame:

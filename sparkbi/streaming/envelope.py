@@ -49,6 +49,7 @@ def validate(raw: DataFrame, strict: bool = False) -> DataFrame:
         F.when(keys.isNull(), "not a JSON object")
         .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
         .when(~major.eqNullSafe(F.lit(MAJOR_VERSION)), F.concat(F.lit("unsupported schema version: "), F.coalesce("schema_version", F.lit("null"))))
+        .when(parse_timestamp(F.col("event_time")).isNull(), F.concat(F.lit("unreadable event time: "), F.coalesce("event_time", F.lit("null"))))
     )
     parsed = raw.select("value", F.json_tuple("value", *FIELDS).alias(*FIELDS)).withColumn("reason", reason)
     if strict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkbi.operators.recipe import Step
 from sparkbi.sources.files import coerce_datetimes, preview, read_csv, read_file, read_parquet, union_all
 from sparkbi.sources.published import fingerprint, manifest, publish, publish_version, read_current, run_recipe, sync_named
-from sparkbi.streaming.compaction import compact_batch, compact_stream, first_wins, read_compacted
+from sparkbi.streaming.compaction import compact_batch, compact_into, compact_stream, first_wins, read_compacted
 from sparkbi.streaming.envelope import accepted, file_stream, validate
 from sparkbi.streaming.landing import write_bronze, write_quarantine
 
@@ -162,6 +162,53 @@ def test_landing_and_compaction(spark, tmp_path):
     assert values() == {"same": 3, "other": 9}
 
 
+def test_newest_goes_by_moment_and_bad_times_are_quarantined(spark):
+    rows = [("a", "2024-01-01T09:00:00+09:00", 1), ("a", "2024-01-01T05:00:00Z", 2), ("a", "not a time", 3), ("b", None, 4), ("b", "2024/01/02", 5)]
+    got = {row["event_id"]: row["v"] for row in compact_batch(spark.createDataFrame(rows, "event_id string, event_time string, v int")).collect()}
+    assert got == {"a": 2, "b": 5}
+    cases = [event("x", at="yesterday"), event("y", at=None), event("z", at="2024-01-01T00:00:00+09:00")]
+    checked = validate(spark.createDataFrame(lines(cases), "value string"))
+    assert [row["reason"] for row in checked.collect()] == ["unreadable event time: yesterday", "unreadable event time: null", None]
+    assert [(row["dt"], row["hour"]) for row in accepted(checked).collect()] == [("2023-12-31", "15")]
+
+
+def test_silver_is_plain_files_and_only_touched_hours_are_rewritten(spark, tmp_path):
+    silver = str(tmp_path / "silver")
+
+    def batch(*events):
+        rows = [(name, "d", "s", "1.0", at, str(v), at[:10], at[11:13]) for name, at, v in events]
+        return spark.createDataFrame(rows, "event_id string, domain string, dataset string, schema_version string, event_time string, payload string, dt string, hour string")
+
+    def folders():
+        newest = sorted((tmp_path / "silver" / "manifests").glob("v*.json"))[-1]
+        return json.loads(newest.read_text())["partitions"]
+
+    first = batch(("a", "2024-01-01T01:00:00", 1), ("b", "2024-01-01T02:00:00", 2), ("c", "2024-01-02T03:00:00", 3))
+    compact_into(first, silver, "q-0")
+    compact_into(first, silver, "q-0")  # the same batch again
+    before = folders()
+    compact_into(batch(("a", "2024-01-03T00:00:00", 9), ("b", "2023-12-31T00:00:00", 0)), silver, "q-1")
+    after = folders()
+    assert {row["event_id"]: row["payload"] for row in read_compacted(spark, silver).collect()} == {"a": "9", "b": "2", "c": "3"}
+    assert "dt=2024-01-01/hour=01" not in after and after["dt=2024-01-02/hour=03"] == before["dt=2024-01-02/hour=03"]
+    assert {row["event_id"] for row in read_compacted(spark, silver, since="2024-01-02").collect()} == {"a", "c"}
+    plan = read_compacted(spark, silver)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    assert read_compacted(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_current_version_is_what_the_manifest_lists(spark, tmp_path):
+    root = str(tmp_path)
+    sealed = publish(spark.createDataFrame([("a", 1.0), ("b", float("nan"))], "k string, v double"), root, "d")
+    folder = tmp_path / "d" / sealed["data"]
+    spark.createDataFrame([("stray", 2.0)], "k string, v double").coalesce(1).write.parquet(str(tmp_path / "stray"))
+    (next((tmp_path / "stray").glob("part-*.parquet"))).rename(folder / "part-stray.parquet")
+    assert sorted(row["k"] for row in read_current(spark, root, "d").collect()) == ["a", "b"]
+    runs = len(list((tmp_path / "d" / "data").iterdir()))
+    assert sync_named(read_current(spark, root, "d"), root, "d", "api")["version_number"] == 1
+    assert len(list((tmp_path / "d" / "data").iterdir())) == runs
+
+
 def test_compaction_does_not_depend_on_order(spark, partitions):
     rows = [(f"e{i % 5}" if i % 3 else "hot", f"2024-01-{1 + i % 9:02d}", i) for i in range(300)]
     forward = spark.createDataFrame(rows, "event_id string, event_time string, v int")
