@@ -39,7 +39,7 @@ LEAST_WORD = 1e-6  # share of a word that tasks know by heart: at most a million
 LEAST_GRAM = 5e-6  # share of an n-gram: at most 200,000 of each length
 DISCOUNT = 0.5
 DIVERGENCE = 10.0
-CHUNK = 4_000_000  # tokens whose n-grams are sorted at a time
+CHUNK = 2_500_000  # tokens of a local count at least, where there are as many; twice as many at most
 FOLDS, HELD_FOLD = 7, 2
 
 
@@ -103,7 +103,7 @@ def _locally_frequent(listed, share: float, depth: int, key: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = per_worker("vocabulary", key, lambda: _vocabulary(listed.value))
         width = len(vocabulary) + 1
-        for ids in _frames(batches, vocabulary, CHUNK):
+        for ids in _frames(batches, vocabulary, 2 * CHUNK):
             least = share / 2 * np.count_nonzero(ids >= 0)
             found, grams = ids, [np.arange(width - 1)[:, None]]
             for _ in range(depth):
@@ -286,7 +286,9 @@ def score_texts(
     listed = spark.sparkContext.broadcast(vocabulary)
     key = uuid.uuid4().hex
 
-    local = lessons.mapInArrow(_locally_frequent(listed, least_gram, depth, key), "gram array<int>, n long")
+    # Small partitions are read together: in a part of a few thousand tokens everything would be frequent.
+    parts = lessons.coalesce(max(1, total // CHUNK))
+    local = parts.mapInArrow(_locally_frequent(listed, least_gram, depth, key), "gram array<int>, n long")
     summed = local.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_gram * total / 2)
     # at most 2 / least_gram n-grams of each length
     table = summed.select("gram").toArrow().column(0).combine_chunks()
