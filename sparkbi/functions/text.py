@@ -6,18 +6,24 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-NUMBER = r"(\d+(?:\.\d+)?)"
+DIGITS = r"\d+(?:\.\d+)?"
+TAGS = "<[^>]+>"
+
+
+def _number_near(plain: Column, pattern: str) -> Column:
+    """The first captured number, and where its match starts; null without a match."""
+    place = F.regexp_instr(plain, F.lit(pattern))
+    return F.when(place > 0, F.struct(place.alias("place"), F.regexp_extract(plain, pattern, 1).try_cast("double").alias("value")))
 
 
 def text_stat(column: Column, label: str) -> Column:
-    """First number next to ``label`` (after it, or before it) once tags are stripped; else 0."""
-    words = re.escape(label).replace(r"\ ", " ")
-    plain = F.regexp_replace(column, r"<[^>]+>", " ")
-    pattern = rf"(?i)(?:{words}\s*\+?\s*{NUMBER}|{NUMBER}\s*{words})"
-    after = F.regexp_extract(plain, pattern, 1)
-    before = F.regexp_extract(plain, pattern, 2)
-    found = F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit("")))
-    return F.coalesce(found.try_cast("double"), F.lit(0.0))
+    """The number next to ``label`` that comes first in the text, after or before it; tags are ignored, else 0."""
+    name = " ".join(re.escape(word) for word in label.split(" "))
+    plain = F.regexp_replace(column, TAGS, " ")
+    behind = _number_near(plain, rf"(?i){name}\s*\+?\s*({DIGITS})")
+    ahead = _number_near(plain, rf"(?i)({DIGITS})\s*{name}")
+    first = F.array_min(F.array_compact(F.array(behind, ahead)))
+    return F.coalesce(first["value"], F.lit(0.0))
 
 
 def patch_key(version: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from sparkbi.functions.columns import as_double, require
 from sparkbi.functions.text import three_digits
@@ -81,18 +81,18 @@ def scatter(
     return hash_sample(pairs, limit, seed).withColumn("sample_size", size)
 
 
-def _top(values: DataFrame, column: str) -> DataFrame:
-    """The most frequent categories, at most ``TOP_CATEGORIES`` rows; names break ties."""
+def _top(values: DataFrame, column: str, top: int) -> DataFrame:
+    """The ``top`` most frequent categories; names break ties."""
     return (
         values.groupBy(column)
         .agg(F.count(F.lit(1)).alias("rows"))
         .orderBy(F.col("rows").desc(), F.col(column).asc())
-        .limit(TOP_CATEGORIES)
+        .limit(top)
     )
 
 
-def boxplot(df: DataFrame, group: str | None, x: str, filters: Sequence[Filter] = ()) -> DataFrame:
-    """Minimum, quartiles and maximum for the 30 most frequent groups."""
+def boxplot(df: DataFrame, group: str | None, x: str, filters: Sequence[Filter] = (), top: int = TOP_CATEGORIES) -> DataFrame:
+    """Minimum, quartiles and maximum for the ``top`` most frequent groups."""
     if not group:
         raise ValueError("a box plot needs a group column")
     require(df, [group, x])
@@ -101,53 +101,46 @@ def boxplot(df: DataFrame, group: str | None, x: str, filters: Sequence[Filter]
         .select(F.col(group).alias("category"), as_double(df, x).alias("v"))
         .where(F.col("category").isNotNull() & F.col("v").isNotNull())
     )
-    # At most 30 rows reach the driver; the names then filter the scan itself.
-    top = _top(pairs, "category").collect()
-    kept = pairs.where(F.col("category").isin([row["category"] for row in top])) if top else pairs.where("false")
+    # At most ``top`` rows reach the driver; the names then filter the scan itself.
+    most = _top(pairs, "category", top).collect()
+    kept = pairs.where(F.col("category").isin([row["category"] for row in most])) if most else pairs.where("false")
     sizes = df.sparkSession.createDataFrame(
-        [(row["category"], row["rows"]) for row in top], T.StructType([pairs.schema["category"], T.StructField("rows", T.LongType())])
+        [(row["category"], row["rows"]) for row in most], T.StructType([pairs.schema["category"], T.StructField("rows", T.LongType())])
     )
     return (
         exact_quantiles(kept, ["category"], "v", BOX)
         .join(F.broadcast(sizes), "category")
         .select(F.col("category").cast("string").alias("category"), *BOX, "rows")
-        .withColumn("sample_size", F.lit(sum(row["rows"] for row in top)).cast("long"))
+        .withColumn("sample_size", F.lit(sum(row["rows"] for row in most)).cast("long"))
         .orderBy(F.col("rows").desc(), "category")
     )
 
 
-def heatmap(df: DataFrame, x: str, y: str | None, filters: Sequence[Filter] = ()) -> DataFrame:
-    """Counts on a dense grid of the 30 most frequent x and y texts, zeros included."""
+def heatmap(df: DataFrame, x: str, y: str | None, filters: Sequence[Filter] = (), top: int = TOP_CATEGORIES) -> DataFrame:
+    """Counts on a dense grid of the ``top`` most frequent x and y texts, zeros included.
+
+    Both axes are counted in one scan; only rows in the grid are then counted as cells.
+    """
     if not y:
         raise ValueError("a heat map needs a second category column")
     require(df, [x, y])
-    cells = (
+    rows = (
         apply_filters(df, filters)
         .select(F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
-    axes = _axis(cells, "x").unionByName(_axis(cells, "y"))
-    # One row holding two lists of at most 30 names; the grid is their 900 combinations.
-    lists = axes.agg(
-        F.collect_list(F.when(F.col("axis") == "x", F.col("name"))).alias("xs"),
-        F.collect_list(F.when(F.col("axis") == "y", F.col("name"))).alias("ys"),
-    )
-    grid = lists.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size")).scalar()
+    sides = F.inline(F.array(*[F.struct(F.lit(side).alias("axis"), F.col(side).alias("name")) for side in "xy"]))
+    names = rows.select(sides).groupBy("axis", "name").agg(F.count(F.lit(1)).alias("rows"))
+    # Tasks keep ``top`` names per axis before the shuffle.
+    place = F.row_number().over(W.partitionBy("axis").orderBy(F.desc("rows"), "name"))
+    kept = names.withColumn("place", place).where(F.col("place") <= top).collect()
+    axes = {side: [row["name"] for row in sorted(kept, key=lambda row: row["place"]) if row["axis"] == side] for side in "xy"}
+    size = rows.agg(F.count(F.lit(1)).alias("size")).scalar()
+    inside = F.col("x").isin(axes["x"]) & F.col("y").isin(axes["y"]) if kept else F.lit(False)
+    cells = rows.where(inside).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.createDataFrame([(one, two) for one in axes["x"] for two in axes["y"]], "x string, y string")
     return (
-        grid.join(cells, ["x", "y"], "left")
+        grid.join(F.broadcast(cells), ["x", "y"], "left")  # at most top times top rows
         .select("x", "y", F.coalesce("n", F.lit(0)).alias("count"))
         .withColumn("sample_size", size)
     )
-
-
-def _axis(cells: DataFrame, side: str) -> DataFrame:
-    return (
-        cells.groupBy(F.col(side).alias("name"))
-        .agg(F.sum("n").alias("rows"))
-        .orderBy(F.col("rows").desc(), "name")
-        .limit(TOP_CATEGORIES)
-        .select(F.lit(side).alias("axis"), "name")
-    )

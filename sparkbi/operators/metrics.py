@@ -14,7 +14,7 @@ from sparkbi.operators.query import AGGREGATIONS, Filter, aggregate_column, appl
 
 CHART_KINDS = ("histogram", "scatter", "boxplot", "heatmap")
 QUERY_KINDS = ("kpi", "bar", "line")
-WIDGET_ROWS = 100
+MAX_WIDGET_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -70,10 +70,17 @@ class Widget:
     dimension: str | None = None
     series: str | None = None
     secondary: str | None = None
+    limit: int = 100
+    bins: int = 20
+    sample_limit: int = 2000
+    seed: int = 42
+    top: int = charts.TOP_CATEGORIES
 
     def __post_init__(self) -> None:
         if self.kind not in (*QUERY_KINDS, *CHART_KINDS):
             raise ValueError(f"unknown widget type: {self.kind}")
+        if not 1 <= self.limit <= MAX_WIDGET_ROWS:
+            raise ValueError(f"limit must be between 1 and {MAX_WIDGET_ROWS}")
 
 
 def dashboard(
@@ -114,23 +121,27 @@ def _grouped(df: DataFrame, dimension: str | None, series: str | None, members:
     }
     table = df.groupBy(*[F.col(name) for name in keys]).agg(*[c.alias(name) for name, c in aggregates.items()])
     values = F.array(
-        *[F.struct(F.lit(w.widget_id).alias("widget_id"), F.col(f"v{i}").alias("value")) for i, w in enumerate(members)]
+        *[
+            F.struct(F.lit(w.widget_id).alias("widget_id"), F.lit(w.limit).alias("_limit"), F.col(f"v{i}").alias("value"))
+            for i, w in enumerate(members)
+        ]
     )
     long = table.select(*keys, F.inline(values))
     if dimension:
         order = [F.col(name).asc_nulls_last() for name in keys]
         if not is_ordered(df, dimension):
             order.insert(0, F.col("value").desc_nulls_last())
-        # A rank limit per widget; Spark prunes each task to WIDGET_ROWS rows before the shuffle.
+        # A rank limit per widget; Spark prunes each task to the largest limit before the shuffle.
         place = F.row_number().over(W.partitionBy("widget_id").orderBy(*order))
-        long = long.withColumn("_place", place).where(F.col("_place") <= WIDGET_ROWS)
+        most = max(widget.limit for widget in members)
+        long = long.withColumn("_place", place).where((F.col("_place") <= most) & (F.col("_place") <= F.col("_limit")))
     return long.select("widget_id", _text(dimension).alias("category"), _text(series).alias("series"), "value")
 
 
 def _chart(df: DataFrame, widget: Widget) -> DataFrame:
     label = F.lit(widget.widget_id).alias("widget_id")
     if widget.kind == "histogram":
-        rows = charts.histogram(df, widget.column)
+        rows = charts.histogram(df, widget.column, widget.bins)
         return rows.select(
             label,
             F.col("label").alias("category"),
@@ -138,15 +149,15 @@ def _chart(df: DataFrame, widget: Widget) -> DataFrame:
             F.col("count").cast("double").alias("value"),
         )
     if widget.kind == "scatter":
-        rows = charts.scatter(df, widget.column, widget.secondary)
+        rows = charts.scatter(df, widget.column, widget.secondary, widget.sample_limit, widget.seed)
         return rows.select(
             label, F.col("x").cast("string").alias("category"), _text(None).alias("series"), F.col("y").alias("value")
         )
     if widget.kind == "boxplot":
-        rows = charts.boxplot(df, widget.dimension, widget.column)
+        rows = charts.boxplot(df, widget.dimension, widget.column, top=widget.top)
         corners = F.array(*[F.struct(F.lit(name).alias("series"), F.col(name).alias("value")) for name in charts.BOX])
         return rows.select(label, "category", F.inline(corners))
-    rows = charts.heatmap(df, widget.column, widget.secondary)
+    rows = charts.heatmap(df, widget.column, widget.secondary, top=widget.top)
     return rows.select(
         label, F.col("x").alias("category"), F.col("y").alias("series"), F.col("count").cast("double").alias("value")
     )

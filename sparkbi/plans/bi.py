@@ -374,3 +374,25 @@ def semantic_types_all(spark, folder):
     tables["events"] = tables["events"].withColumn("time_text", F.col("ts").cast("string"))
     parts = [semantic_types(rows).select(F.lit(name).alias("dataset"), "name", "semantic_type") for name, rows in tables.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "dashboard_limits",
+    """
+    SELECT * FROM (SELECT 'bar' AS widget_id, 3 AS points UNION ALL SELECT 'line', least(5, count(DISTINCT year(l_shipdate))) FROM lineitem
+                   UNION ALL SELECT 'bins', 7 UNION ALL SELECT 'dots', least(count(*), 150) FROM lineitem
+                   UNION ALL SELECT 'grid', 2 * 2 UNION ALL SELECT 'boxes', 2 * 5)
+    """,
+)
+def dashboard_limits(spark, folder):
+    """Every widget kind with a limit of its own: how many points each returns."""
+    rows = table(spark, folder, "lineitem").withColumn("year", F.year("l_shipdate"))
+    widgets = [
+        Widget("bar", "bar", "l", "l_quantity", dimension="l_partkey", limit=3),
+        Widget("line", "line", "l", "l_quantity", dimension="year", limit=5),
+        Widget("bins", "histogram", "l", "l_quantity", bins=7),
+        Widget("dots", "scatter", "l", "l_quantity", secondary="l_linenumber", sample_limit=150, seed=3),
+        Widget("grid", "heatmap", "l", "l_returnflag", secondary="l_linenumber", top=2),
+        Widget("boxes", "boxplot", "l", "l_quantity", dimension="l_returnflag", top=2),
+    ]
+    return dashboard({"l": rows}, widgets).groupBy("widget_id").agg(F.count(F.lit(1)).alias("points"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from sparkbi.functions.text import patch_key
 from sparkbi.operators import marts
 from sparkbi.plans.bi import rounded
+from sparkbi.plans.match_marts import run_workflow
 from sparkbi.plans.registry import query, table
+from sparkbi.session import checkpoint_dir
+from sparkbi.sources.published import read_current
 
 STATS = ("ad", "ap")
 
@@ -234,3 +240,21 @@ def coverage(spark, folder):
 )
 def cohort_summary(spark, folder):
     return _rounded(marts.win_summary(context(spark, folder)))
+
+
+@query(
+    "match_workflow",
+    f"""
+    {ALL_PARTS}
+    SELECT {PATCH}, minute, {COHORT}, round(avg(total_gold), 6) AS average_total_gold, {MEANS}, {STOCK_MEANS} FROM c GROUP BY 1, 2
+    """,
+)
+def match_workflow(spark, folder):
+    """Snapshots of all patches published, priced by the catalog of their patch, and the trend read from its published files."""
+    root = f"{checkpoint_dir(spark)}/workflow-{uuid.uuid4().hex}"
+    rows = states(spark, folder)
+    # One catalog per patch that occurs, as a game has them; a few dozen months here.
+    patches = [row["patch"] for row in rows.select(patch_key(F.col("game_version")).alias("patch")).distinct().orderBy("patch").collect()]
+    catalog = items(spark, folder).withColumn("patch", F.explode(F.array(*[F.lit(f"{patch}.1") for patch in patches])))
+    run_workflow({"player_states": rows}, catalog, root, "parts", with_profile=False)
+    return _rounded(read_current(spark, root, "patch_stat_trend"))

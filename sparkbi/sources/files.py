@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparkbi.functions.columns import clean_nan, is_time, parse_timestamp
 from sparkbi.operators.profile import semantic_types
+from sparkbi.operators.query import Filter, apply_filters
 
 KOREAN_CODE_PAGE = "MS949"
 MAX_PREVIEW = 1000
@@ -24,13 +25,13 @@ def read_csv(
     path: str,
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header; UTF-8 with or without BOM, otherwise the Korean code page.
 
-    For large files give ``encoding`` and ``schema``, which skips the passes that find them
-    out, and ``multi_line=False`` when no quoted value holds a line break, which lets Spark
-    split a file over many tasks. The code page needs ``spark.sql.legacy.javaCharsets``.
+    A file is split over many tasks; pass ``multi_line=True`` when quoted values hold line
+    breaks, which keeps each file in one task. Give ``encoding`` and ``schema`` to read once:
+    finding them out takes a pass each. The code page needs ``spark.sql.legacy.javaCharsets``.
     """
     if encoding is None:
         encoding = KOREAN_CODE_PAGE if _has_broken_text(spark, path) else "UTF-8"
@@ -41,8 +42,16 @@ def read_csv(
     return clean_nan(reader.csv(path))
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    return clean_nan(spark.read.parquet(*paths))
+def read_parquet(spark: SparkSession, *paths: str, filters: Sequence[Filter] = ()) -> DataFrame:
+    """Parquet with NaN read as null; ``filters`` reach the scan.
+
+    A comparison on a cleaned column cannot be pushed down, so each filter is applied to the raw
+    column first, which Parquet can skip by, and again after cleaning. Filters that ask for nulls,
+    which NaN becomes, wait for the cleaning.
+    """
+    raw = spark.read.parquet(*paths)
+    pushed = [item for item in filters if item.operator in ("gt", "gte", "lt", "lte") or (item.operator == "eq" and item.value is not None)]
+    return apply_filters(clean_nan(apply_filters(raw, pushed)), filters)
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +74,9 @@ def coerce_datetimes(df: DataFrame, max_columns: int | None = None) -> DataFrame
 
 def preview(df: DataFrame, limit: int = 100) -> DataFrame:
     """The first rows with timestamps in ISO text; the limit reaches the scan."""
-    rows = df.limit(min(limit, MAX_PREVIEW))
+    if not 1 <= limit <= MAX_PREVIEW:
+        raise ValueError(f"a preview has 1 to {MAX_PREVIEW} rows")
+    rows = df.limit(limit)
     iso = {
         f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" if not isinstance(f.dataType, T.DateType) else "yyyy-MM-dd")
         for f in df.schema.fields

@@ -16,6 +16,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession, types as T
 
+from sparkbi.functions.columns import clean_nan
 from sparkbi.functions.hashing import fingerprint_columns, fingerprint_text
 from sparkbi.operators.profile import profile
 from sparkbi.operators.recipe import Step, build_recipe
@@ -88,7 +89,11 @@ def fingerprint(df: DataFrame) -> str:
 
 
 def _stage(spark: SparkSession, root: str, dataset: str, df: DataFrame) -> dict[str, Any]:
-    """Write the files of a version without sealing it; row count and content hash come from the same pass."""
+    """Write the files of a version without sealing it; row count and content hash come from the same pass.
+
+    NaN becomes null here, so filters on published data reach the scan as they are.
+    """
+    df = clean_nan(df)
     data_id = uuid.uuid4().hex
     seen = Observation(data_id)
     df.observe(seen, *fingerprint_columns(df)).write.option("compression", "zstd").parquet(f"{_folder(root, dataset)}/data/{data_id}")

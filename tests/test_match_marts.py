@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkbi.operators.catalog import item_catalog
-from sparkbi.plans.match_marts import derive_marts, flatten_matches, publish_marts
+from sparkbi.plans.match_marts import derive_marts, flatten_matches, publish_marts, run_workflow
 from sparkbi.sources.catalogs import read_items
 from sparkbi.sources.matches import read_matches
 from sparkbi.sources.published import read_current
@@ -67,3 +67,16 @@ def test_publishing_twice_makes_no_new_version(spark, tables, tmp_path):
     states = read_current(spark, str(tmp_path), "player_states")
     assert dict(states.dtypes)["inventory"] == "string"
     assert sorted(row["inventory"] for row in states.where(F.col("participant_id") == 1).collect()) == ["1036", "1036"]
+
+
+def test_workflow_publishes_once_and_derives_from_files(spark, tables, tmp_path):
+    flat, items = tables
+    first = run_workflow(flat, items, str(tmp_path), "catalogs 1")
+    again = run_workflow(flat, items, str(tmp_path), "catalogs 1")
+    assert len(first) == 9 and {name: sealed["version_number"] for name, sealed in again.items()} == dict.fromkeys(first, 1)
+    lazy = derive_marts(flat["player_states"], flat["item_events"], items)
+    for name, table in lazy.items():
+        published = read_current(spark, str(tmp_path), name)
+        shared = [column for column in table.columns if column not in ("inventory", "inventory_before", "inventory_after")]
+        assert sorted(map(str, published.select(*shared).collect())) == sorted(map(str, table.select(*shared).collect()))
+    assert {row["catalog_version"] for row in read_current(spark, str(tmp_path), "context_mart").collect()} == {"catalogs 1"}

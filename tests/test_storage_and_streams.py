@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkbi.operators.recipe import Step
+from sparkbi.operators.query import Filter, apply_filters
 from sparkbi.sources.files import coerce_datetimes, preview, read_csv, read_file, read_parquet, union_all
 from sparkbi.sources.published import fingerprint, manifest, publish, publish_version, read_current, run_recipe, sync_named
 from sparkbi.streaming.compaction import compact_batch, compact_into, compact_stream, first_wins, read_compacted
@@ -26,7 +27,7 @@ def test_csv_encodings(spark, tmp_path):
 
 def test_csv_quotes_and_schema(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a,b\n"x, ""y""\nz",2\n')
-    assert read_csv(spark, str(tmp_path / "q.csv"), schema="a string, b int").collect() == [('x, "y"\nz', 2)]
+    assert read_csv(spark, str(tmp_path / "q.csv"), schema="a string, b int", multi_line=True).collect() == [('x, "y"\nz', 2)]
     with pytest.raises(ValueError):
         read_file(spark, "table.xlsx")
 
@@ -36,9 +37,29 @@ def test_parquet_read_turns_nan_into_null(spark, tmp_path):
     assert read_parquet(spark, str(tmp_path / "p")).where("v IS NULL").count() == 1
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    rows = [(float(v), str(v)) for v in range(10)] + [(float("nan"), "n"), (None, "m")]
+    df = spark.createDataFrame(rows, "v double, k string")
+    df.write.parquet(str(tmp_path / "p"))
+
+    def plan(made):
+        return made._jdf.queryExecution().executedPlan().toString()
+
+    above = read_parquet(spark, str(tmp_path / "p"), filters=[Filter("v", "gt", 5)])
+    assert "GreaterThan(v,5.0)" in plan(above) and sorted(row["k"] for row in above.collect()) == ["6", "7", "8", "9"]
+    assert sorted(row["k"] for row in read_parquet(spark, str(tmp_path / "p"), filters=[Filter("v", "eq", None)]).collect()) == ["m", "n"]
+    assert read_parquet(spark, str(tmp_path / "p"), filters=[Filter("v", "ne", 3)]).count() == 11
+    publish(df, str(tmp_path), "d")
+    current = read_current(spark, str(tmp_path), "d")
+    assert current.where("v is null").count() == 2
+    assert "GreaterThan(v,5.0)" in plan(apply_filters(current, [Filter("v", "gt", 5)]))
+
+
 def test_preview_and_union(spark):
     df = spark.sql("SELECT id, timestamp_ntz'2024-01-02 03:04:05' AS t, date'2024-01-02' AS d FROM range(2000)")
-    got = preview(df, 5000)
+    with pytest.raises(ValueError):
+        preview(df, 1001)
+    got = preview(df, 1000)
     assert got.count() == 1000 and got.first()["t"].startswith("2024-01-02T03:04:05") and got.first()["d"] == "2024-01-02"
     both = union_all([spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2, "x")], "a int, b string")])
     assert sorted(map(tuple, both.collect())) == [(1, None), (2, "x")]
