@@ -173,12 +173,27 @@ def match_item_events(matches: DataFrame, timelines: DataFrame) -> DataFrame:
     )
 
 
+def _histories() -> Column:
+    """Per listed player the inventory after each of their moves, in time order: each player is folded once."""
+
+    def history(player: Column) -> Column:
+        def step(state: Column, move: Column) -> Column:
+            after = _next_state(state["held"], move)
+            return F.struct(after.alias("held"), F.concat(state["log"], F.array(F.struct(move["at"].alias("at"), after.alias("held")))).alias("log"))
+
+        own = F.filter("moves", lambda move: move["player"] == player["id"])
+        start = F.struct(_nothing().alias("held"), F.array().cast("array<struct<at:bigint,held:array<bigint>>>").alias("log"))
+        return F.struct(player["id"].alias("id"), F.aggregate(own, start, step, lambda state: state["log"]).alias("log"))
+
+    return F.transform("players", history)
+
+
 def snapshots(matches: DataFrame, timelines: DataFrame, minutes: Sequence[int] = DEFAULT_MINUTES) -> DataFrame:
     """Player states at the requested minutes, with attributes and the inventory held then.
 
     Per minute the last frame at or before it counts, and a minute before the first frame
     yields nothing. Match and timeline rows meet in one join on the match id; the rest
-    happens inside each row.
+    happens inside each row. Inventories are folded once per player and looked up per minute.
     """
     wanted = F.array(*[F.lit(int(minute)) for minute in sorted(set(minutes))])
     limit = F.col("minute") * MINUTE_MS
@@ -186,6 +201,7 @@ def snapshots(matches: DataFrame, timelines: DataFrame, minutes: Sequence[int] =
     # get() with a size of zero asks for position -1 and gives null
     per_minute = (
         _paired(matches, timelines)
+        .withColumn("histories", _histories())
         .withColumn("minute", F.explode(wanted))
         .withColumn("frame", F.get(usable, F.size(usable) - 1))
         .where(F.col("frame").isNotNull())
@@ -194,8 +210,9 @@ def snapshots(matches: DataFrame, timelines: DataFrame, minutes: Sequence[int] =
     def player_state(entry: Column) -> Column:
         number = entry["key"].cast("long")
         known = F.get(F.filter("players", lambda p: p["id"] == number), F.lit(0))
-        own = F.filter("moves", lambda move: (move["player"] == number) & (move["at"] <= limit))
-        held = F.when(known.isNotNull(), F.aggregate(own, _nothing(), _next_state)).otherwise(_nothing())
+        log = F.get(F.filter("histories", lambda one: one["id"] == number), F.lit(0))["log"]
+        past = F.filter(log, lambda one: one["at"] <= limit)
+        held = F.coalesce(F.get(past, F.size(past) - 1)["held"], _nothing())
         return F.struct(number.alias("participant_id"), entry["value"].alias("s"), known.alias("p"), held.alias("inventory"))
 
     states = F.transform(F.map_entries("frame.participantFrames"), player_state)

@@ -42,8 +42,7 @@ def matches(spark, folder) -> DataFrame:
             player(2, 200, F.concat(F.lit("clerk-"), key % 10), F.col("o_orderpriority")),
         ).alias("participants"),
     )
-    rows = table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), info.alias("info"))
-    return rows.repartition("match_id")  # spread as a landing table is; the join of both documents reuses it
+    return table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), info.alias("info"))
 
 
 def timelines(spark, folder) -> DataFrame:
@@ -83,8 +82,7 @@ def timelines(spark, folder) -> DataFrame:
         frame(12, event("ITEM_UNDO", 1, F.lit(14), None, b, a), event("ITEM_PURCHASED", 3, F.lit(15), a)),
         frame(18, event("ITEM_DESTROYED", 2, F.lit(16), a), event("ITEM_PURCHASED", 2, F.lit(16), a)),
     )
-    rows = table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), F.struct(frames.alias("frames")).alias("info"))
-    return rows.repartition("match_id")
+    return table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), F.struct(frames.alias("frames")).alias("info"))
 
 
 VERSION = "CAST(year(o_orderdate) AS VARCHAR) || '.' || month(o_orderdate) || '.1'"
@@ -159,9 +157,16 @@ def doc_snapshots(spark, folder):
 def _item_documents(spark, folder) -> DataFrame:
     """Each part as a catalog document with one item."""
     size = F.col("p_size").cast("double")
+    brand = F.concat(F.lit("<b>"), F.col("p_brand"), F.lit("</b>"))
+    # The number before the label, after it, and a tag between the words, which is no match.
+    described = (
+        F.when(F.col("p_size") % 4 == 0, F.concat(brand, F.lit("<br>"), F.col("p_size"), F.lit(" ability haste")))
+        .when(F.col("p_size") % 4 == 1, F.concat(F.lit("Ability Haste <i>+"), F.col("p_size"), F.lit(".5</i>"), brand))
+        .otherwise(F.concat(brand, F.lit("<br>"), F.col("p_size"), F.lit(" <i>Ability</i> Haste")))
+    )
     item = F.struct(
         F.col("p_name").alias("name"),
-        F.concat(F.lit("<b>"), F.col("p_brand"), F.lit("</b><br>"), F.col("p_size"), F.lit(" <i>Ability</i> Haste")).alias("description"),
+        described.alias("description"),
         F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 4).cast("long").alias("depth"),
         F.array("p_type", "p_brand").alias("tags"),
         F.when(F.col("p_size") % 2 == 0, F.array(F.lit("next"))).alias("into"),
@@ -177,13 +182,13 @@ def _item_documents(spark, folder) -> DataFrame:
     """
     SELECT p_partkey AS item_id, p_name AS item_name, p_retailprice AS total_gold, p_type || ',' || p_brand AS tags,
            CAST(CASE WHEN p_size % 4 = 0 THEN 1 ELSE p_size % 4 END AS INTEGER) AS item_tier, p_size % 2 <> 0 AS is_final_item,
-           CAST(p_size AS DOUBLE) AS ad, CAST(p_size * 10 AS DOUBLE) AS hp, 0::DOUBLE AS ap, 0::DOUBLE AS ability_haste
+           CAST(p_size AS DOUBLE) AS ad, CAST(p_size * 10 AS DOUBLE) AS hp, 0::DOUBLE AS ap,
+           CAST(CASE p_size % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 ELSE 0 END AS DOUBLE) AS ability_haste
     FROM part WHERE p_size % 5 <> 0 AND p_size % 3 <> 0
     """,
 )
 def catalog_items(spark, folder):
     rows = item_catalog(_item_documents(spark, folder))
-    # The tag between the two words becomes a space, so "Ability  Haste" is no match.
     return rows.select("item_id", "item_name", "total_gold", "tags", "item_tier", "is_final_item", "ad", "hp", "ap", "ability_haste")
 
 

@@ -67,8 +67,12 @@ def coerce_datetimes(df: DataFrame, max_columns: int | None = None) -> DataFrame
     """Parse the text columns whose semantic type is datetime; bad values become null."""
     if max_columns and len(df.columns) > max_columns:
         raise ValueError(f"more than {max_columns} columns")
-    dated = {row["name"] for row in semantic_types(df).where("semantic_type = 'datetime'").collect()}
-    text = [f.name for f in df.schema.fields if f.name in dated and not is_time(f.dataType)]
+    # Only text can need parsing, so only text columns are profiled.
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df
+    kinds = semantic_types(df.select(*[F.col(f"`{name}`") for name in text]))
+    text = [row["name"] for row in kinds.where("semantic_type = 'datetime'").collect()]
     return df.withColumns({name: parse_timestamp(F.col(name)) for name in text}) if text else df
 
 
