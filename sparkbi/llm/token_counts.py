@@ -21,10 +21,10 @@ import base64
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkbi.llm.common import per_worker, ship_by_value
 
@@ -159,17 +159,36 @@ def leaves_of(tree: Node | None) -> list[tuple[int, int]]:
     return found
 
 
+TREE = [T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+AGAIN = T.StructField("encoded_chars", T.LongType())
+ROWS = 256  # rows whose trees are held at a time
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
+def _tree_columns(chars: list[list[int]], tokens: list[list[int]]) -> list[pa.Array]:
+    lists = pa.list_(pa.int32())
+    return [pa.array(chars, lists), pa.array(tokens, lists), pa.array([sum(own) for own in tokens], pa.int64())]
+
+
 def with_trees(docs: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
     """``docs`` with ``leaf_chars``, ``leaf_tokens`` and ``n_tokens``. ``tokenizer``: path of a rank file on every executor."""
+    kept = docs.drop(*[field.name for field in TREE])
+    schema = T.StructType([*kept.schema.fields, *TREE])
+    place = kept.columns.index(text_column)
 
-    @F.pandas_udf("leaf_chars array<int>, leaf_tokens array<int>, n_tokens long")
-    def grow(texts: pd.Series) -> pd.DataFrame:
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = per_worker("piece_counts", tokenizer, lambda: PieceCounts(tokenizer))
-        made = [counts.leaves(text or "") for text in texts]
-        return pd.DataFrame({"leaf_chars": [chars for chars, _ in made], "leaf_tokens": [tokens for _, tokens in made], "n_tokens": [sum(tokens) for _, tokens in made]})
+        for batch in _slices(batches):
+            made = [counts.leaves(text.as_py() or "") for text in batch.column(place)]
+            columns = _tree_columns([chars for chars, _ in made], [tokens for _, tokens in made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
 
-    kept = docs.drop("leaf_chars", "leaf_tokens", "n_tokens", "_tree")
-    return kept.withColumn("_tree", grow(F.col(text_column))).select("*", "_tree.*").drop("_tree")
+    return kept.mapInArrow(grow, schema)
 
 
 def apply_edits(docs: DataFrame, tokenizer: str, edits: Column, text_column: str = "text") -> DataFrame:
@@ -178,26 +197,32 @@ def apply_edits(docs: DataFrame, tokenizer: str, edits: Column, text_column: str
     Text and tree are replaced by the edited ones, ``n_tokens`` is the new root's sum and
     ``encoded_chars`` says how many characters were encoded again.
     """
+    made = [*TREE, AGAIN]
+    kept = [field for field in docs.schema.fields if field.name not in {own.name for own in made}]
+    schema = T.StructType([*kept, *made])
+    place = [field.name for field in kept].index(text_column)
+    rows = docs.select(*[F.col(f"`{field.name}`") for field in kept], "leaf_chars", "leaf_tokens", edits.alias("_edits"))
 
-    @F.pandas_udf("text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long, encoded_chars long")
-    def change(texts: pd.Series, chars: pd.Series, tokens: pd.Series, lists: pd.Series) -> pd.DataFrame:
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = per_worker("piece_counts", tokenizer, lambda: PieceCounts(tokenizer))
-        rows = []
-        for text, own_chars, own_tokens, changes in zip(texts, chars, tokens, lists):
-            text, tree, again = text or "", build(list(zip(map(int, own_chars), map(int, own_tokens)))), 0
-            for change in changes if changes is not None else ():
-                at, drop, put = change["at"], change["drop"], change["put"]
-                text, tree, more = edited(counts, text, tree, int(at or 0), int(drop or 0), put or "")
-                again += more
-            leaves = leaves_of(tree)
-            rows.append((text, [leaf[0] for leaf in leaves], [leaf[1] for leaf in leaves], tree.tokens if tree else 0, again))
-        return pd.DataFrame(rows, columns=["text", "leaf_chars", "leaf_tokens", "n_tokens", "encoded_chars"])
-
-    changed = change(F.col(text_column), F.col("leaf_chars"), F.col("leaf_tokens"), edits)
-    rest = docs.withColumn("_edited", changed).drop("leaf_chars", "leaf_tokens", "n_tokens", "encoded_chars")
-    after = rest.withColumn(text_column, F.col("_edited.text"))
-    names = ("leaf_chars", "leaf_tokens", "n_tokens", "encoded_chars")
-    return after.withColumns({name: F.col(f"_edited.{name}") for name in names}).drop("_edited")
+        for batch in _slices(batches):
+            *columns, chars, tokens, lists = batch.columns
+            texts, new_chars, new_tokens, encoded = [], [], [], []
+            for text, own_chars, own_tokens, changes in zip(columns[place], chars, tokens, lists):
+                after, again = text.as_py() or "", 0
+                tree = build(list(zip(own_chars.as_py(), own_tokens.as_py())))
+                for one in changes.as_py() or ():
+                    after, tree, more = edited(counts, after, tree, one["at"] or 0, one["drop"] or 0, one["put"] or "")
+                    again += more
+                leaves = leaves_of(tree)
+                texts.append(after)
+                new_chars.append([leaf[0] for leaf in leaves])
+                new_tokens.append([leaf[1] for leaf in leaves])
+                encoded.append(again)
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, *_tree_columns(new_chars, new_tokens), pa.array(encoded, pa.int64())], schema.names)
+
+    return rows.mapInArrow(change, schema)
 
 
 ship_by_value(__name__)
