@@ -39,7 +39,7 @@ LEAST_WORD = 1e-6  # share of a word that tasks know by heart: at most a million
 LEAST_GRAM = 5e-6  # share of an n-gram: at most 200,000 of each length
 DISCOUNT = 0.5
 DIVERGENCE = 10.0
-CHUNK = 2_500_000  # tokens of a local count at least, where there are as many; twice as many at most
+CHUNK = 2_000_000  # tokens of a local count at least, where there are as many; twice as many at most
 FOLDS, HELD_FOLD = 7, 2
 
 
