@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkbi.llm.common import ascii_lower, join_classes, saved, ship_by_value, words
+from sparkbi.llm.common import ascii_lower, join_classes, repeated, saved, ship_by_value, words
 from sparkbi.llm.components import connected_components
 from sparkbi.llm.simhash_words import block_count, block_keys, block_masks, majority, shingle_hashes, votes
 
@@ -164,8 +164,8 @@ def near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, id_column: s
     labelled = distinct.join(components, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fingerprint"))
     groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_rows"))
     classes = saved(labelled.drop("component").join(groups, "root").select("fingerprint", "n", "component_id", F.col("root").alias("component"), "group_rows"))
-    repeated = join_classes(rows, classes, "fingerprint").withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
-    return repeated.select(F.col("id").alias(id_column), "text_hash", "fingerprint", "component_id", "component", "group_rows")
+    found = repeated(join_classes(rows, classes, "fingerprint"), F.col("copies"))
+    return found.select(F.col("id").alias(id_column), "text_hash", "fingerprint", "component_id", "component", "group_rows")
 
 
 ship_by_value(__name__)

@@ -47,6 +47,17 @@ def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+RUN = 100_000
+
+
+def repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Every row ``times`` times (0 drops it); no list of more than ``RUN`` entries is ever built."""
+    numbered = df.withColumn("_times", times.cast("long"))
+    runs = numbered.where("_times > 0").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_times") - 1), F.lit(RUN).cast("long"))))
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_times") - F.col("_run"), F.lit(RUN).cast("long"))))
+    return runs.withColumn("_one", one).drop("_times", "_run", "_one")
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, share: float = 0.005) -> DataFrame:
     """Inner join on ``key`` where ``classes`` has one row per key and counts its rows in ``n``.
 

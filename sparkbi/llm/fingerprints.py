@@ -18,10 +18,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sparkbi.llm.common import join_classes, saved, words
+from sparkbi.llm.common import join_classes, repeated, saved, words
 from sparkbi.llm.simhash_words import BITS, block_count, block_keys, block_masks, majority, shingle_hashes, votes
 
 TERM_WORDS = 2
+HEAVY = 0.005
 SHA_DIGITS = 15  # hex digits that fit a signed 64-bit number
 
 
@@ -84,32 +85,43 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     links = saved(_followers(docs.select(*place, F.length(text).cast("long").alias("n_chars"))))
     before = [F.col(f"before_{name}").alias(name) for name in PLACE]
 
+    # One text per place is enough. A row that fills a large share of the table is thinned before it moves.
+    rows = docs.select(*place, text.alias("text"))
+    total = links.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    often = F.broadcast(links.where(F.col("copies") >= max(2, HEAVY * total)).select(*PLACE))  # at most 1 / HEAVY places
+    thinned = rows.join(often, PLACE, "left_semi").dropDuplicates(PLACE)
+    rows = rows.join(often, PLACE, "left_anti").unionByName(thinned)
+
     # Texts move twice: to their own place, and the first half at most to the place before.
-    joined = docs.select(*place, text.alias("text")).join(links, PLACE)
-    numbered = joined.withColumn("copy", F.row_number().over(W.partitionBy(*PLACE).orderBy("text_hash")))
-    gives = numbered.where("copy = 1").select(*before, F.expr("substring(text, 1, cast(before_n_chars div 2 as int))").alias("given"))
+    joined = rows.join(links, PLACE)
+    copy = F.row_number().over(W.partitionBy(*PLACE).orderBy("text_hash"))
+    single = joined.withColumn("copy", copy).where("copy = 1").drop("copy")
+    gives = single.select(*before, F.expr("substring(text, 1, cast(before_n_chars div 2 as int))").alias("given"))
     half = "cast(n_chars div 2 as int)"
-    own_half = F.expr(f"substring(text, 1, {half})")  # the next of an equal row is the same text
-    given = F.when(F.col("copy") == F.col("copies"), F.col("given")).otherwise(own_half)
+    # The last of equal rows is followed by another place (variant 1), the others by their equal (variant 2).
+    own_half = F.expr(f"substring(text, 1, {half})")
+    given = F.when(F.col("variant") == 1, F.col("given")).otherwise(own_half)
     edited = F.concat(F.expr(f"substring(text, 1, cast(n_chars as int) - {half})"), given)
-    texts = numbered.join(gives, PLACE).select(*PLACE, "copy", "copies", "text", F.coalesce(edited, F.lit("")).alias("edited"))
+    variants = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(2)).cast("int")))
+    texts = single.join(gives, PLACE).withColumn("variant", variants).select(*PLACE, "variant", "copies", "text", F.coalesce(edited, F.lit("")).alias("edited"))
 
     # The digest travels as numbers, which hash aggregation can carry.
     pieces = {f"sha_{at}": F.conv(F.substring("sha", at, SHA_DIGITS), 16, 10).cast("long") for at in range(1, 65, SHA_DIGITS)}
     bodies = F.explode(F.array(*[F.struct(F.lit(version).alias("version"), F.col(name).alias("body")) for version, name in enumerate(("text", "edited"))]))
     versions = texts.withColumn("sha", F.sha2("edited", 256)).withColumns(pieces).withColumn("v", bodies)
-    keys = [*PLACE, "copy", "copies", "version"]
+    keys = [*PLACE, "variant", "copies", "version"]
     rows = versions.select(*keys[:-1], *pieces, F.col("v.version").alias("version"), F.col("v.body").alias("body"))
     printed = fingerprints(rows, keys, F.col("body"), carried=list(pieces))
     of = lambda version: F.max(F.when(F.col("version") == version, F.col("fingerprint")))
     result = saved(
         printed.groupBy(*keys[:-1]).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"), *[F.max(name).alias(name) for name in pieces])
     )
-    follows = result.where("copy = 1").join(links, PLACE).select(*before, F.col("fingerprint").alias("next_fingerprint"))
+    follows = result.where("variant = 1").join(links, PLACE).select(*before, F.col("fingerprint").alias("next_fingerprint"))
     found = result.join(follows, PLACE).join(links.select(*PLACE, "n_chars"), PLACE)
     digits = [F.lpad(F.lower(F.hex(name)), min(SHA_DIGITS, 65 - int(name[4:])), "0") for name in pieces]
-    next_ = F.when(F.col("copy") == F.col("copies"), F.col("next_fingerprint")).otherwise(F.col("fingerprint"))
-    return found.select(
+    next_ = F.when(F.col("variant") == 1, F.col("next_fingerprint")).otherwise(F.col("fingerprint"))
+    every = repeated(found, F.when(F.col("variant") == 1, 1).otherwise(F.col("copies") - 1))
+    return every.select(
         F.when(F.col("known"), F.col("number")).alias(id_column),
         "n_chars",
         F.concat(*digits).alias("edited_sha256"),
