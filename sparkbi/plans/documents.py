@@ -329,3 +329,43 @@ def doc_item_events(spark, folder):
         "match_id", F.col("participant_id").cast("int").alias("participant_id"), (F.col("timestamp_ms") / 60000).cast("int").alias("minute"), "event_type", "item_id",
         joined_text(F.col("inventory_before")).alias("inventory_before"), joined_text(F.col("inventory_after")).alias("inventory_after"),
     )
+
+
+@query(
+    "price_model_interval",
+    """
+    SELECT stat, true AS ordered, true AS holds_point, true AS repeatable, (SELECT count(*) FROM part WHERE p_retailprice > 0) AS sample_items
+    FROM (SELECT unnest(['ad', 'ap']) AS stat)
+    """,
+)
+def price_model_interval(spark, folder):
+    """The bootstrap interval is ordered, holds the point estimate, and is the same for rows in another order."""
+    items = priced_items(spark, folder).withColumn("total_gold", 40 + 7 * F.col("ad") + 3 * F.col("ap") + F.col("item_id") % 13)
+    one = price_model(items, ["ad", "ap"], row_key=["item_id"], bootstrap=60)
+    two = price_model(items.repartition(7, "brand"), ["ad", "ap"], row_key=["item_id"], bootstrap=60)
+    again = two.select("stat", F.col("ci95_low").alias("low"), F.col("ci95_high").alias("high"))
+    point = F.col("ridge_gold_per_unit")
+    same = (F.abs(F.col("low") - F.col("ci95_low")) < 1e-6) & (F.abs(F.col("high") - F.col("ci95_high")) < 1e-6)
+    return one.join(again, "stat").select(
+        "stat",
+        ((F.col("ci95_low") >= 0) & (F.col("ci95_low") < F.col("ci95_high"))).alias("ordered"),
+        ((F.col("ci95_low") <= point) & (point <= F.col("ci95_high"))).alias("holds_point"),
+        same.alias("repeatable"),
+        "sample_items",
+    )
+
+
+@query(
+    "price_model_bound",
+    """
+    WITH i AS (SELECT CAST(p_size AS DOUBLE) AS ad, 100 - 2.0 * p_size AS g, CAST(p_size % 9 AS DOUBLE) AS ap FROM part),
+    k AS (SELECT ad, ap, 1000 + g + 5 * ap AS y FROM i),
+    c AS (SELECT sum((ap - m) * (y - n)) AS xy, sum((ap - m) * (ap - m)) AS xx FROM k, (SELECT avg(ap) AS m, avg(y) AS n FROM k))
+    SELECT stat, CASE stat WHEN 'ad' THEN 0.0 ELSE (SELECT round(xy / (xx + 10), 4) FROM c) END AS ridge_gold_per_unit FROM (SELECT unnest(['ad', 'ap']) AS stat)
+    """,
+)
+def price_model_bound(spark, folder):
+    """A feature that lowers the price is held at zero; the other is then solved alone."""
+    items = priced_items(spark, folder).withColumn("total_gold", 1000 + (100 - 2.0 * F.col("ad")) + 5 * F.col("ap"))
+    found = price_model(items, ["ad", "ap"], row_key=["item_id"], bootstrap=20)
+    return rounded(found.select("stat", "ridge_gold_per_unit"), 4, "ridge_gold_per_unit")

@@ -130,7 +130,14 @@ RANKED = f"""
     )
     SELECT "column", relation_type, round(score, 6) AS score, round(pearson, 6) AS pearson, sample_size,
            CASE WHEN relation_type = 'categorical_numeric' THEN 'none' WHEN score > 0 THEN 'positive' ELSE 'negative' END AS direction,
-           round(1 - sample_size / (SELECT count(*) FROM orders), 6) AS null_ratio
+           round(1 - sample_size / (SELECT count(*) FROM orders), 6) AS null_ratio,
+           CASE relation_type WHEN 'numeric_numeric' THEN 'Spearman' WHEN 'categorical_numeric' THEN 'Eta squared' ELSE 'Daily trend Spearman' END AS method,
+           CASE relation_type WHEN 'numeric_numeric' THEN 'scatter' WHEN 'categorical_numeric' THEN 'boxplot' ELSE 'line' END AS chart_type,
+           CASE WHEN relation_type = 'numeric_numeric' THEN 'o_totalprice' ELSE "column" END AS chart_x,
+           CASE WHEN relation_type = 'numeric_numeric' THEN "column" ELSE 'o_totalprice' END AS chart_y,
+           CASE WHEN relation_type = 'datetime_numeric' THEN 'mean' END AS chart_aggregate,
+           CASE WHEN relation_type = 'datetime_numeric' THEN 'day' END AS chart_time_grain,
+           5 AS compared_candidates, false AS sampled
     FROM s
 """
 
@@ -141,7 +148,8 @@ def _orders(spark, folder):
     return rows.select("o_orderkey", buyer, "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
-RANKED_COLUMNS = ["column", "relation_type", "score", "pearson", "sample_size", "direction", "null_ratio"]
+RANKED_COLUMNS = ["column", "relation_type", "score", "pearson", "sample_size", "direction", "null_ratio", "method"]
+RANKED_COLUMNS += ["chart_type", "chart_x", "chart_y", "chart_aggregate", "chart_time_grain", "compared_candidates", "sampled"]
 
 
 @query("rel_ranked", RANKED)
