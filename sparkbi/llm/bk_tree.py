@@ -93,42 +93,26 @@ def _link_shards(radius: int):
     """Task code: rows sorted by (group, searching) to links. One group in memory at a time, two parts at most."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matches(tree, forest, value, searching, same):
-            for other in tree.within(value, radius):
-                if forest.joins(value, other):
-                    yield value, other
-            if not searching or same:
-                tree.add(value)
-
-        carried = None
+        key, tree, forest = None, BkTree(), _Forest()
         for batch in batches:
-            group, same, searching, value = (batch.column(place).to_numpy(zero_copy_only=False) for place in range(4))
-            size, found = len(group), []
+            group, same, searching, signed = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            value, size, found = signed.view(np.uint64).tolist(), len(group), []
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            stops = np.r_[starts[1:], size]
-            for start, stop in zip(starts, stops):
-                key = group[start]
-                going_on = carried is not None and carried[0] == key
-                if not going_on:
+            for start, stop in zip(starts, np.r_[starts[1:], size]):
+                if group[start] != key:
                     if stop - start == 1 and stop < size:
                         continue  # alone in its shard
-                    carried = (key, BkTree(), _Forest())
-                _, tree, forest = carried
+                    key, tree, forest = group[start], BkTree(), _Forest()
                 for place in range(start, stop):
+                    number = value[place]
                     if same[place] or searching[place]:
-                        found += matches(tree, forest, int(value[place]), bool(searching[place]), bool(same[place]))
-                    else:
-                        tree.add(int(value[place]))
+                        found += [(number, other) for other in tree.within(number, radius) if forest.joins(number, other)]
+                    if same[place] or not searching[place]:
+                        tree.add(number)
             pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    def unsigned(batches):
-        for batch in batches:
-            columns = [batch.column(place) for place in range(3)]
-            numbers = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers)], ["group", "same", "searching", "value"])
-
-    return lambda batches: link(unsigned(batches))
+    return link
 
 
 def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:

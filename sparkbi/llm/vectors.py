@@ -87,11 +87,11 @@ def _compare(threshold: float):
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left, right = block[block.side == 0], block[block.side == 1]
-        same = not len(right)
+        same = block.low.iloc[0] == block.high.iloc[0]
         if same:
             right = left
         nothing = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
-        if not len(left):
+        if not len(left) or not len(right):
             return nothing
         a, b = (_unit(np.array(side.vec.tolist(), dtype=np.float64)) for side in (left, right))
         near = a @ b.T >= threshold
