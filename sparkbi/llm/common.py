@@ -9,13 +9,15 @@ from types import ModuleType
 from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkbi.session import checkpoint_dir
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths of the intermediate tables of this driver.
+SAVED: list[str] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -23,14 +25,24 @@ def saved(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, so lost executors cost only re-reads, and fixes values that would
     depend on a sample or on task order. Meant for narrow rows; the folder is scratch space
-    of the application.
+    of the application, and ``clear_saved`` empties it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    SAVED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_saved(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far and say how many; call it once their results are written."""
+    cleared = 0
+    while SAVED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SAVED.pop())
+        cleared += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return cleared
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character alone."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

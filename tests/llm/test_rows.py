@@ -293,3 +293,23 @@ def test_edit_counts(spark):
             text = text[:at] + (put or "") + text[at + drop :]
         assert row.text == text and row.n_tokens == fresh[row.doc_id].n_tokens == sum(row.leaf_tokens)
         assert sum(row.leaf_chars) == len(text)
+
+
+# shared helpers
+
+
+def test_saved_tables_can_be_cleared(spark):
+    from sparkbi.llm import common
+
+    common.clear_saved(spark)
+    made = common.saved(spark.range(5).withColumn("odd", F.col("id") % 2 == 1))
+    assert made.where("odd").count() == 2 and len(common.SAVED) == 1
+    assert common.clear_saved(spark) == 1 and not common.SAVED
+
+
+def test_repeated_rows_in_runs(spark, monkeypatch):
+    from sparkbi.llm import common
+
+    monkeypatch.setattr(common, "RUN", 3)
+    rows = spark.createDataFrame([("a", 0), ("b", 1), ("c", 3), ("d", 7), ("e", None)], "k string, n long")
+    assert Counter(row.k for row in common.repeated(rows, F.col("n")).collect()) == Counter(b=1, c=3, d=7)
