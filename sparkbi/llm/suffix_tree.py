@@ -39,7 +39,7 @@ LEAST_WORD = 1e-6  # share of a word that tasks know by heart: at most a million
 LEAST_GRAM = 5e-6  # share of an n-gram: at most 200,000 of each length
 DISCOUNT = 0.5
 DIVERGENCE = 10.0
-CHUNK = 2_000_000  # tokens of a local count at least, where there are as many; twice as many at most
+CHUNK = 1_500_000  # tokens of a local count at least, where there are as many; twice as many at most
 FOLDS, HELD_FOLD = 7, 2
 
 
@@ -82,19 +82,23 @@ def _vocabulary(listed: list[str]) -> dict[bytes, int]:
 
 
 def _frames(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int], size: int) -> Iterator[np.ndarray]:
-    """Token ids of many texts in arrays of about ``size``; rare words and gaps between texts are -1."""
-    end, waiting, held = vocabulary.get(END.encode(), -1), [], 0
+    """Token ids of many texts; rare words and gaps between texts are -1.
+
+    An array has ``size`` to twice as many tokens, more only for the last text in it; all of them if they are fewer.
+    """
+    end, waiting, held, ready = vocabulary.get(END.encode(), -1), [], 0, None
+    get = vocabulary.get
     for batch in batches:
         for value in batch.column(0).cast(pa.binary()):
-            get = vocabulary.get
-            ids = [get(word, -1) for word in tokens_of(value.as_py())]
-            waiting.append(np.array([*ids, end, -1], dtype=np.int64))
-            held += len(ids) + 2
+            waiting.append(np.array([*[get(word, -1) for word in tokens_of(value.as_py())], end, -1], dtype=np.int32))
+            held += len(waiting[-1])
             if held >= size:
-                yield np.concatenate(waiting)
-                waiting, held = [], 0
-    if waiting:
-        yield np.concatenate(waiting)
+                if ready is not None:
+                    yield ready.astype(np.int64)
+                ready, waiting, held = np.concatenate(waiting), [], 0
+    rest = [part for part in (ready, *waiting) if part is not None]
+    if rest:
+        yield np.concatenate(rest).astype(np.int64)
 
 
 def _locally_frequent(listed, share: float, depth: int, key: str):
@@ -103,21 +107,17 @@ def _locally_frequent(listed, share: float, depth: int, key: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = per_worker("vocabulary", key, lambda: _vocabulary(listed.value))
         width = len(vocabulary) + 1
-        for ids in _frames(batches, vocabulary, 2 * CHUNK):
+        for ids in _frames(batches, vocabulary, CHUNK):
             least = share / 2 * np.count_nonzero(ids >= 0)
             found, grams = ids, [np.arange(width - 1)[:, None]]
             for _ in range(depth):
                 shorter = np.r_[-1, found[:-1]]
-                valid = np.flatnonzero((shorter >= 0) & (ids >= 0) & (found >= 0))
-                codes = shorter[valid] * width + ids[valid]
-                distinct, place, counts = np.unique(codes, return_inverse=True, return_counts=True)
-                keep = counts >= least
-                number = np.where(keep, np.cumsum(keep) - 1, -1)
-                distinct, counts = distinct[keep], counts[keep]
+                valid = (shorter >= 0) & (ids >= 0) & (found >= 0)
+                distinct, counts = np.unique(shorter[valid] * width + ids[valid], return_counts=True)
+                distinct, counts = distinct[counts >= least], counts[counts >= least]
                 grams.append(np.c_[grams[-1][distinct // width], distinct % width])
                 yield _gram_batch(grams[-1], counts)
-                found = np.full(len(ids), -1, dtype=np.int64)
-                found[valid] = number[place]
+                found = Level(distinct).find(shorter, ids, width)
 
     return find
 
