@@ -42,7 +42,8 @@ def matches(spark, folder) -> DataFrame:
             player(2, 200, F.concat(F.lit("clerk-"), key % 10), F.col("o_orderpriority")),
         ).alias("participants"),
     )
-    return table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), info.alias("info"))
+    rows = table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), info.alias("info"))
+    return rows.repartition("match_id")  # spread as a landing table is; the table here is one file in one task
 
 
 def timelines(spark, folder) -> DataFrame:
@@ -82,7 +83,8 @@ def timelines(spark, folder) -> DataFrame:
         frame(12, event("ITEM_UNDO", 1, F.lit(14), None, b, a), event("ITEM_PURCHASED", 3, F.lit(15), a)),
         frame(18, event("ITEM_DESTROYED", 2, F.lit(16), a), event("ITEM_PURCHASED", 2, F.lit(16), a)),
     )
-    return table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), F.struct(frames.alias("frames")).alias("info"))
+    rows = table(spark, folder, "orders").select(F.concat(F.lit("M_"), key).alias("match_id"), F.struct(frames.alias("frames")).alias("info"))
+    return rows.repartition("match_id")
 
 
 VERSION = "CAST(year(o_orderdate) AS VARCHAR) || '.' || month(o_orderdate) || '.1'"
