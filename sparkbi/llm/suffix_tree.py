@@ -1,18 +1,20 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to ``DEPTH`` words. As in the published method, a context or a next word is
-considered if its share of the corpus reaches a least probability, which bounds the tree whatever
-the corpus size: at most 1 / probability n-grams of each length. A context is kept if its next-word
-distribution diverges from that of its suffix: its count times the Kullback-Leibler divergence must
-reach a threshold. Distributions are smoothed: listed next words give up a discount, and the mass of
-all others follows the suffix state, down to the add-one word distribution at the root, which covers
-every word. A text is scored from the state of the longest kept suffix before each token.
-
-All training rows are counted. Word counts are a table in Spark. Frequent n-grams are found in two passes:
-an n-gram with share p of all tokens has at least half that share in parts of the corpus that hold most
-of its occurrences, so summing the counts of locally frequent ones (share p / 2) and keeping sums above
-half of the bound loses none and leaves at most 2 / p candidates, which are then counted exactly. Rare
-words meet their counts in a shuffle join; a word that is not rare is in the broadcast list.
+States are contexts of up to ``DEPTH`` words. A context is kept if its next-word distribution diverges
+from that of its suffix: its count times the Kullback-Leibler divergence must reach a threshold; the
+suffix of a state is a state. Distributions are smoothed: listed next words give up a discount, and the
+mass of all others follows the suffix state, down to the add-one word distribution at the root, which
+covers every word. A text is scored from the state of the longest kept suffix before each token.
+
+Every n-gram of the training rows counts, however rare, so the tree grows with the corpus and is a table
+in Spark. A context seen once is left out early only while its divergence cannot reach the threshold
+(``fewest_occurrences``). ``least_word`` and ``least_gram`` can demand shares of the corpus; both are 0.
+Tasks count the n-grams of a chunk, a shuffle by context adds them up. Words and n-grams are known by
+64-bit hashes.
+
+At scoring, tasks know by heart what has a share of at least ``HOT_WORD`` or ``HOT_GRAM`` of the tokens
+(bounded by 1 / share), so no hot key is shuffled, and a bit map of fixed size that tells most contexts
+that are no state; it never misses one. All other look-ups meet the tree in a shuffle join.
 
 Nulls: a null text is an empty one, a single end token. Null ids are kept and belong to the training part.
 Repeated rows are scored and counted each. Without training rows every score is that of an empty model. An
@@ -22,236 +24,264 @@ empty table gives an empty result. Other columns are not looked at.
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sparkbi.llm.common import ascii_lower, per_worker, saved, ship_by_value, words
+from sparkbi.llm.common import ascii_lower, saved, ship_by_value, words
 
 END = " "  # the end token; no word holds a blank
 DEPTH = 3
-LEAST_WORD = 1e-6  # share of a word that tasks know by heart: at most a million words
-LEAST_GRAM = 5e-6  # share of an n-gram: at most 200,000 of each length
+HOT_WORD = 2e-6  # share of a word that tasks know by heart: at most 500,000 words
+HOT_GRAM = 2e-5  # share of an n-gram: at most 50,000 of each length
+MAP_BITS = 26  # size of the bit map of states as a power of two
 DISCOUNT = 0.5
 DIVERGENCE = 10.0
-CHUNK = 1_500_000  # tokens of a local count at least, where there are as many; twice as many at most
+CHUNK = 1_000_000  # tokens of a local count at least, where there are as many
 FOLDS, HELD_FOLD = 7, 2
+LOOKUP = "array<struct<place: int, slot: int, key: long, value: double>>"
 
 
 def held_out(id_: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(id_.cast("string"), F.lit("")), "UTF-8")) % FOLDS == HELD_FOLD
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Words with A-Z in lower case; bytes split at exactly the six white-space characters."""
-    return text.lower().split() if text else []
+def token_hashes(text: Column) -> Column:
+    """Hashes of the words, A-Z in lower case, and of the end token."""
+    return F.transform(F.array_append(words(ascii_lower(F.coalesce(text, F.lit("")))), F.lit(END)), lambda word: F.xxhash64(word))
 
 
-@dataclass
-class Level:
-    """N-grams of one length, sorted by code = place of the first n-1 words * width + last word."""
+def fewest_occurrences(room: int, divergence: float) -> int:
+    """Occurrences that a state needs at least.
 
-    codes: np.ndarray
+    A context seen once lists one word with p = 1/2. With q of that word at its suffix, the divergence is
+    -ln(4 q (1 - q)) / 2, and q and 1 - q are at least 1 / (2 room), so it is at most ln(room) / 2.
+    """
+    return 2 if math.log(room) / 2 < divergence else 1
 
-    def find(self, prefix: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
-        """Place of each n-gram, or -1."""
-        if not len(self.codes):
-            return np.full(len(prefix), -1, dtype=np.int64)
-        wanted = np.where((prefix >= 0) & (last >= 0), prefix * width + last, -1)
-        at = np.searchsorted(self.codes, wanted)
-        at[at == len(self.codes)] = 0
-        return np.where(self.codes[at] == wanted, at, -1)
 
+def _mix(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from the hash of all but its last word and that of the last."""
+    x = (prefix ^ (prefix >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _places(ids: np.ndarray, levels: list[Level], width: int) -> list[np.ndarray]:
-    """Per length the place of the n-gram that ends at each position; -1 for none. ``ids`` is -1 between texts."""
-    found = [ids]
-    for level in levels:
-        shorter = np.r_[-1, found[-1][:-1]]
-        found.append(level.find(shorter, ids, width))
-    return found
 
+def _before(values: np.ndarray) -> np.ndarray:
+    """The entry of the position before; zero or False at the start."""
+    return np.concatenate([np.zeros(1, values.dtype), values[:-1]])
 
-def _vocabulary(listed: list[str]) -> dict[bytes, int]:
-    return {word.encode(): number for number, word in enumerate(listed)}
 
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of many texts with a gap after each, and which entries are tokens."""
+    ends = np.cumsum([len(own) + 1 for own in lists]) - 1
+    flat = np.concatenate([part for own in lists for part in (own, np.zeros(1, np.int64))]).view(np.uint64)
+    present = np.ones(len(flat), dtype=bool)
+    present[ends] = False
+    return flat, present
 
-def _frames(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int], size: int) -> Iterator[np.ndarray]:
-    """Token ids of many texts; rare words and gaps between texts are -1.
 
-    An array has ``size`` to twice as many tokens, more only for the last text in it; all of them if they are fewer.
-    """
-    end, waiting, held, ready = vocabulary.get(END.encode(), -1), [], 0, None
-    get = vocabulary.get
+def _grams(flat: np.ndarray, valid: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per length from 1 the hash of the n-gram that ends at each position, and whether there is one."""
+    keys, there = [flat], [valid]
+    for _ in range(depth):
+        keys.append(_mix(_before(keys[-1]), flat))
+        there.append(_before(there[-1]) & valid)
+    return keys, there
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, offsets = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
+    held, waiting = 0, []
     for batch in batches:
-        for value in batch.column(0).cast(pa.binary()):
-            waiting.append(np.array([*[get(word, -1) for word in tokens_of(value.as_py())], end, -1], dtype=np.int32))
-            held += len(waiting[-1])
+        for own in _lists(batch.column(0)):
+            waiting.append(own.copy())
+            held += len(own)
             if held >= size:
-                if ready is not None:
-                    yield ready.astype(np.int64)
-                ready, waiting, held = np.concatenate(waiting), [], 0
-    rest = [part for part in (ready, *waiting) if part is not None]
-    if rest:
-        yield np.concatenate(rest).astype(np.int64)
-
-
-def _locally_frequent(listed, share: float, depth: int, key: str):
-    """Task code of the first pass: (n-gram as word numbers, count) where its share of a chunk is large enough."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = per_worker("vocabulary", key, lambda: _vocabulary(listed.value))
-        width = len(vocabulary) + 1
-        for ids in _frames(batches, vocabulary, CHUNK):
-            least = share / 2 * np.count_nonzero(ids >= 0)
-            found, grams = ids, [np.arange(width - 1)[:, None]]
-            for _ in range(depth):
-                shorter = np.r_[-1, found[:-1]]
-                valid = (shorter >= 0) & (ids >= 0) & (found >= 0)
-                distinct, counts = np.unique(shorter[valid] * width + ids[valid], return_counts=True)
-                distinct, counts = distinct[counts >= least], counts[counts >= least]
-                grams.append(np.c_[grams[-1][distinct // width], distinct % width])
-                yield _gram_batch(grams[-1], counts)
-                found = Level(distinct).find(shorter, ids, width)
-
-    return find
-
-
-def _gram_batch(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    offsets = np.arange(len(grams) + 1, dtype=np.int32) * grams.shape[1]
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams.ravel().astype(np.int32)))
-    return pa.RecordBatch.from_arrays([lists, pa.array(counts, pa.int64())], ["gram", "n"])
-
-
-def _levels(grams: dict[int, np.ndarray], width: int, depth: int) -> tuple[list[Level], list[np.ndarray]]:
-    """Levels from n-grams as rows of word numbers, and per level which rows went in, in level order."""
-    levels, orders = [], []
-    for length in range(2, depth + 2):
-        rows = grams.get(length, np.empty((0, length), dtype=np.int64)).astype(np.int64)
-        prefix = rows[:, 0]
-        for level, column in zip(levels, range(1, length - 1)):
-            prefix = level.find(prefix, rows[:, column], width)
-        codes = np.where(prefix >= 0, prefix * width + rows[:, -1], -1)
-        order = np.argsort(codes, kind="stable")
-        order = order[codes[order] >= 0]
-        levels.append(Level(codes[order]))
-        orders.append(order)
-    return levels, orders
-
-
-def _exact_counts(listed, levels, key: str):
-    """Task code of the second pass: (level, place, count) of the candidates."""
+                yield waiting
+                held, waiting = 0, []
+    if waiting:
+        yield waiting
+
+
+def _count_grams(common, depth: int):
+    """Task code: n-grams of a chunk as (prefix, key, suffix, suffix of the prefix, last word, count).
+
+    Words outside ``common`` (None: all are in) are followers without a key, which count for their context only.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = per_worker("vocabulary", key, lambda: _vocabulary(listed.value))
-        kept = [Level(codes) for codes in levels.value]
-        totals = [np.zeros(len(level.codes), dtype=np.int64) for level in kept]
-        for ids in _frames(batches, vocabulary, CHUNK // 8):
-            for total, found in zip(totals, _places(ids, kept, len(vocabulary) + 1)[1:]):
-                total += np.bincount(found[found >= 0], minlength=len(total))
-        for level, total in enumerate(totals):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level), pa.int32()), pa.array(at), pa.array(total[at])], ["level", "at", "n"])
+        listed = None if common is None else common.value
+        for lists in _chunks(batches, CHUNK):
+            flat, present = _flat(lists)
+            valid = present if listed is None else present & np.isin(flat, listed)
+            keys, there = _grams(flat, valid, depth)
+            for length in range(2, depth + 2):
+                at = np.flatnonzero(there[length - 1])
+                _, first, n = np.unique(keys[length - 1][at], return_index=True, return_counts=True)
+                at = at[first]
+                above = keys[length - 3][at - 1] if length > 2 else None
+                yield from _rows(keys[length - 2][at - 1], keys[length - 1][at], keys[length - 2][at], above, flat[at], n)
+                if listed is not None:
+                    at = np.flatnonzero(_before(there[length - 2]) & present & ~valid)
+                    prefixes, n = np.unique(keys[length - 2][at - 1], return_counts=True)
+                    yield from _rows(prefixes, None, None, None, None, n)
 
     return count
 
 
-@dataclass
-class Tree:
-    """The tree as arrays: per level log10 of the listed probabilities; per context length what leaving the state costs."""
-
-    width: int
-    levels: list[Level]
-    listed: list[np.ndarray]  # log10 P(last word | words before), by n-gram length from 2
-    leave: list[np.ndarray]  # log10 of the factor for words not listed, by context length from 1
-    kept: list[np.ndarray]  # whether the context is a state, by context length from 1
-
-    def score(self, found: list[np.ndarray], root: np.ndarray) -> np.ndarray:
-        """log10 probability per position; ``root`` is the root's value of each token."""
-        total, open_ = np.zeros(len(root)), np.ones(len(root), dtype=bool)
-        for length in range(len(self.levels), 0, -1):
-            context = np.r_[-1, found[length - 1][:-1]]
-            state = open_ & (context >= 0)
-            state[state] = self.kept[length - 1][context[state]]
-            gram = found[length]
-            hit = state & (gram >= 0)
-            total[hit] += self.listed[length - 1][gram[hit]]
-            missed = state & ~hit
-            total[missed] += self.leave[length - 1][context[missed]]
-            open_ &= ~hit
-        return total + np.where(open_, root, 0.0)
-
-
-def build_tree(levels: list[Level], counts: list[np.ndarray], word_counts: np.ndarray, root: np.ndarray, divergence: float = DIVERGENCE) -> Tree:
-    """Probabilities, divergence tests and states from n-gram counts; ``root`` holds P(word) at the root."""
-    width = len(word_counts) + 1
-    context_counts, suffix = word_counts, None
-    listed, leave, kept, suffixes = [], [], [], []
-    probability = root
-    for length, (level, count) in enumerate(zip(levels, counts), start=1):
-        context, last = level.codes // width, level.codes % width
-        p = (count - DISCOUNT) / context_counts[context]
-        # the n-gram without its first word: the last word itself, or a listed n-gram one shorter
-        suffix = last if length == 1 else levels[length - 2].find(suffixes[-1][context], last, width)
-        q = probability[suffix]
-        size = len(context_counts)
-        mass, taken = np.bincount(context, p, size), np.minimum(np.bincount(context, q, size), 1 - 1e-9)
-        rest = np.maximum(1 - mass, 1e-12)
-        gain = np.bincount(context, p * np.log(p / q), size) + rest * np.log(rest / (1 - taken))
-        kept.append(context_counts * gain >= divergence)
-        listed.append(np.log10(p))
-        leave.append(np.log10(rest / (1 - taken)))
-        suffixes.append(suffix)
-        probability, context_counts = p, count
-    for length in range(len(levels) - 1, 0, -1):  # the suffix of a state is a state
-        kept[length - 1][suffixes[length - 1][kept[length]]] = True
-    return Tree(width, levels, listed, leave, kept)
-
-
-def _score(listed, tree, constants: tuple[float, bool], key: str):
-    """Task code: (id, text) to what is known at once and the rare words that still need their counts."""
-    names = ["id", "n_tokens", "n_known", "base_score", "score", "rare", "times"]
+def _rows(prefix, key, suffix, above, word, n) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(n), 50_000):
+        part = slice(start, start + 50_000)
+        size = len(n[part])
+        columns = [pa.nulls(size, pa.int64()) if values is None else pa.array(values[part].view(np.int64)) for values in (prefix, key, suffix, above, word)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n[part].astype(np.int64))], ["prefix", "key", "suffix", "above", "word", "n"])
+
+
+def _meet(rows: DataFrame, table: DataFrame, key: str, least: float) -> DataFrame:
+    """Inner join on ``key``, one row per key in ``table``; keys with ``n`` of ``least`` or more are broadcast."""
+    hot = F.broadcast(table.where(F.col("n") >= least).drop("n"))
+    cold = table.where(F.col("n") < least).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def learn_tree(counted: DataFrame, roots: DataFrame, total: int, depth: int, divergence: float) -> DataFrame:
+    """The tree as a table by ``key`` of an n-gram: ``leave``, log10 of what a word that the state does not list
+    costs (null if the n-gram is no state), and ``gain``, log10 of P(last word | words before) over P(last word),
+    null if it is not listed in a state.
+
+    ``counted``: prefix, key, suffix, above, word, n, context_n; ``roots``: key, n, p of the words.
+    """
+    p = (F.col("n") - DISCOUNT) / F.col("context_n")
+    below = roots.select(F.col("key").alias("suffix"), "n", F.col("p").alias("q"))
+    below = below.unionByName(counted.select(F.col("key").alias("suffix"), "n", p.alias("q")))
+    graded = saved(_meet(counted.withColumn("p", p).drop("n"), below, "suffix", max(2, HOT_GRAM * total)))
+    rest = F.greatest(1 - F.col("mass"), F.lit(1e-12))
+    leave = rest / (1 - F.least("taken", F.lit(1 - 1e-9)))
+    contexts = saved(
+        graded.groupBy("prefix")
+        .agg(
+            F.max("above").alias("above"),
+            F.max("context_n").alias("n"),
+            F.sum("p").alias("mass"),
+            F.sum("q").alias("taken"),
+            F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("information"),
+        )
+        .select("prefix", "above", F.log10(leave).alias("leave"), (F.col("n") * (F.col("information") + rest * F.log(leave)) >= divergence).alias("kept"))
+    )
+    found = contexts.where("kept")
+    states = found
+    for _ in range(depth - 1):  # the suffix of a state is a state
+        shorter = found.where("above is not null").select(F.col("above").alias("prefix")).distinct()
+        found = contexts.join(shorter, "prefix", "left_semi")
+        states = states.unionByName(found)
+    states = saved(states.dropDuplicates(["prefix"]).select("prefix", "leave"))
+    listed = graded.join(states.select("prefix"), "prefix", "left_semi").select("key", F.col("word").alias("last"), "p")
+    last = roots.select(F.col("key").alias("last"), "n", F.col("p").alias("root"))
+    gains = _meet(listed, last, "last", max(2, HOT_GRAM * total)).select("key", F.lit(None).cast("double").alias("leave"), F.log10(F.col("p") / F.col("root")).alias("gain"))
+    entries = gains.unionByName(states.select(F.col("prefix").alias("key"), "leave", F.lit(None).cast("double").alias("gain")))
+    return saved(entries.groupBy("key").agg(F.max("leave").alias("leave"), F.max("gain").alias("gain")))
+
+
+def _bit_map(tree: DataFrame) -> np.ndarray:
+    """Bits set at the upper bits of the keys of all states; at most 2 ** (MAP_BITS - 3) rows reach the driver."""
+    placed = tree.where("leave is not null").select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("place"))
+    rows = placed.groupBy(F.expr("cast(shiftright(place, 3) as int)")).agg(F.expr("cast(bit_or(shiftleft(1, cast(place & 7 as int))) as short)")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return bits
+
+
+def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each key, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(sorted_keys, wanted)
+    at[at == len(sorted_keys)] = 0
+    return np.where(sorted_keys[at] == wanted, at, -1)
+
+
+def _score(model, room: int, depth: int):
+    """Task code: (id, token hashes) to what is known at once and the look-ups that still need the tables.
+
+    Slot 0 is a word, slots 1 to ``depth`` are contexts and the following ones the n-grams one word longer. A look-up
+    without a key has its value; all of a place are handed on as soon as one of them is open.
+    """
+    names = ["id", "n_tokens", "n_known", "base_score", "score", "lookups"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = per_worker("vocabulary", key, lambda: _vocabulary(listed.value))
-        codes, listed_logs, leave, states, root = tree.value
-        model = Tree(len(vocabulary) + 1, [Level(own) for own in codes], listed_logs, leave, states)
-        end_log, end_known = constants
-        end, get = vocabulary.get(END.encode(), -1), vocabulary.get
+        word_keys, word_logs, hot_keys, hot_leave, hot_gain, bits = model.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                ids, sizes, rare_words, rare_times, offsets = [], [], [], [], [0]
-                for value in batch.column(1).cast(pa.binary()):
-                    tokens = tokens_of(value.as_py())
-                    own = [get(token, -1) for token in tokens]
-                    rare = Counter(token for token, number in zip(tokens, own) if number < 0)
-                    rare_words += rare
-                    rare_times += rare.values()
-                    offsets.append(len(rare_words))
-                    ids.append(np.array([*own, end, -1], dtype=np.int64))
-                    sizes.append(len(own) + 2)
-                flat = np.concatenate(ids)
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                lists = _lists(batch.column(1))
+                flat, present = _flat(lists)
+                sizes = np.array([len(own) + 1 for own in lists])
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                ends = np.cumsum(sizes) - 2
-                base = root[flat]  # the last entry is 0, for rare words and gaps
-                base[ends] = end_log  # also where the end token is not among the listed words
-                scores = model.score(_places(flat, model.levels, model.width), base)
-                scores[ends + 1] = 0.0
-                known = (flat >= 0).astype(np.int64)
-                known[ends] = end_known
-                add = lambda values: pa.array(np.add.reduceat(values, starts))
-                counted = pa.array(np.array(sizes, dtype=np.int64) - 1)
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([word.decode() for word in rare_words], pa.string())),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare_times, pa.int32())),
+                keys, there = _grams(flat, present, depth)
+                own = _find(word_keys, flat)
+                known = present & (own >= 0)
+                root = np.where(present, -math.log10(room), 0.0)
+                root[known] = word_logs[own[known]]
+                hot = [_find(hot_keys, own) for own in keys]
+                unsettled, maybe, parts = np.zeros(len(flat), dtype=bool), present, []
+                for length in range(1, depth + 1):  # what the tables may hold for a context and its n-gram
+                    context, is_hot = _before(keys[length - 1]), _before(hot[length - 1] + 1) - 1
+                    at_hot = is_hot >= 0
+                    leave = np.full(len(flat), np.nan)
+                    leave[at_hot] = hot_leave[is_hot[at_hot]]
+                    bit = context >> np.uint64(64 - MAP_BITS)
+                    in_map = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+                    maybe = maybe & there[length] & np.where(at_hot, ~np.isnan(leave), in_map == 1)
+                    gram, gram_hot = keys[length], hot[length]
+                    gain = np.full(len(flat), np.nan)
+                    gain[gram_hot >= 0] = hot_gain[gram_hot[gram_hot >= 0]]
+                    open_context, open_gram = maybe & ~at_hot, maybe & (gram_hot < 0)
+                    unsettled |= open_context | open_gram
+                    parts.append((maybe, open_context, context, leave, open_gram, gram, gain))
+                extra, going = np.zeros(len(flat)), ~unsettled
+                for maybe_, _, _, leave, _, _, gain in reversed(parts):
+                    here = going & maybe_
+                    hit = here & ~np.isnan(gain)
+                    extra[hit] += gain[hit]
+                    extra[here & ~hit] += leave[here & ~hit]
+                    going &= ~hit
+                at_rows, slot_rows, key_rows, value_rows, null_rows = [], [], [], [], []
+
+                def hand_on(mask, slot, own_keys, own_values, open_):
+                    at = np.flatnonzero(mask)
+                    at_rows.append(at)
+                    slot_rows.append(np.full(len(at), slot, dtype=np.int32))
+                    key_rows.append(own_keys[at].view(np.int64))
+                    value_rows.append(own_values[at])
+                    null_rows.append(~open_[at])
+
+                hand_on(present & ~known, 0, flat, root, present)
+                for length, (maybe_, open_context, context, leave, open_gram, gram, gain) in enumerate(parts, start=1):
+                    hand_on(unsettled & maybe_, length, context, leave, open_context)
+                    hand_on(unsettled & maybe_ & (open_gram | ~np.isnan(gain)), depth + length, gram, gain, open_gram)
+                at, slot, key, value, settled = (np.concatenate(own) for own in (at_rows, slot_rows, key_rows, value_rows, null_rows))
+                order = np.argsort(at, kind="stable")
+                at, slot, key, value, settled = at[order], slot[order], key[order], value[order], settled[order]
+                owner = np.searchsorted(starts, at, side="right") - 1
+                offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(starts)))].astype(np.int32)
+                fields = [
+                    pa.array((at - starts[owner]).astype(np.int32)),
+                    pa.array(slot),
+                    pa.array(key, mask=settled),
+                    pa.array(value, mask=~settled),
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0), counted, add(known), add(base), add(scores), *lists], names)
+                lookups = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["place", "slot", "key", "value"]))
+                add = lambda own: pa.array(np.add.reduceat(own, starts))
+                counted = pa.array(sizes.astype(np.int64) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), counted, add(known.astype(np.int64)), add(root), add(root + extra), lookups], names)
 
     return score
 
@@ -261,8 +291,8 @@ def score_texts(
     training: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    least_word: float = LEAST_WORD,
-    least_gram: float = LEAST_GRAM,
+    least_word: float = 0.0,
+    least_gram: float = 0.0,
     depth: int = DEPTH,
     divergence: float = DIVERGENCE,
 ) -> DataFrame:
@@ -271,80 +301,60 @@ def score_texts(
     Columns: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10).
     """
     spark = docs.sparkSession
-    lessons = training.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    tokens = lessons.select(F.explode(F.array_append(words(ascii_lower(F.col("text"))), F.lit(END))).alias("word"))
-    counts = saved(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    lessons = training.select(token_hashes(F.col(text_column)).alias("ids"))
+    counts = saved(lessons.select(F.explode("ids").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     room = total + distinct + 1
-    # at most 1 / least_word words
-    frequent = F.col("n") >= least_word * total
-    common = sorted((-row["n"], row["word"]) for row in counts.where(frequent).collect())
-    vocabulary = [word for _, word in common]
-    word_counts = np.array([-n for n, _ in common], dtype=np.int64)
-    width = len(vocabulary) + 1
-    root = (word_counts + 1) / room
-    listed = spark.sparkContext.broadcast(vocabulary)
-    key = uuid.uuid4().hex
-
-    # Small partitions are read together: in a part of a few thousand tokens everything would be frequent.
-    parts = lessons.coalesce(max(1, total // CHUNK))
-    local = parts.mapInArrow(_locally_frequent(listed, least_gram, depth, key), "gram array<int>, n long")
-    summed = local.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_gram * total / 2)
-    # at most 2 / least_gram n-grams of each length
-    table = summed.select("gram").toArrow().column(0).combine_chunks()
-    lengths = np.diff(table.offsets.to_numpy()) if len(table) else np.array([], dtype=np.int64)
-    values = table.flatten().to_numpy() if len(table) else np.array([], dtype=np.int64)
-    begins = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-    grams = {n: values[begins[:-1][lengths == n][:, None] + np.arange(n)] for n in range(2, depth + 2) if (lengths == n).any()}
-    levels, _ = _levels(grams, width, depth)
-    candidates = spark.sparkContext.broadcast([level.codes for level in levels])
-    exact = lessons.mapInArrow(_exact_counts(listed, candidates, key), "level int, at long, n long")
-    rows = exact.groupBy("level", "at").agg(F.sum("n").alias("n")).where(F.col("n") >= least_gram * total).toArrow()
-    level_of, at, n = (rows.column(place).to_numpy() for place in range(3))
-    levels, gram_counts = _frequent(levels, level_of, at, n, width)
-    tree = build_tree(levels, gram_counts, word_counts, root, divergence)
-
-    model = spark.sparkContext.broadcast(([level.codes for level in levels], tree.listed, tree.leave, tree.kept, np.r_[np.log10(root), 0.0]))
-    ended = dict(zip(vocabulary, word_counts)).get(END)
-    if ended is None:
-        ended = counts.where(F.col("word") == END).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    constants = (math.log10((ended + 1) / room), bool(ended))
-    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    roots = counts.withColumn("p", (F.col("n") + 1) / F.lit(float(room)))
+
+    common = None
+    if least_word * total > 1:  # at most 1 / least_word words
+        common = spark.sparkContext.broadcast(np.sort(counts.where(F.col("n") >= least_word * total).select("key").toArrow().column(0).to_numpy().view(np.uint64)))
+    # Small partitions are read together, so that equal n-grams meet before the shuffle.
+    local = lessons.coalesce(max(1, total // CHUNK)).mapInArrow(_count_grams(common, depth), "prefix long, key long, suffix long, above long, word long, n long")
+    # by context, which also serves the sums per n-gram and per context
+    summed = local.repartition("prefix").groupBy("prefix", "key").agg(*[F.max(name).alias(name) for name in ("suffix", "above", "word")], F.sum("n").alias("n"))
+    whole = summed.withColumn("context_n", F.sum("n").over(W.partitionBy("prefix")))
+    enough = (F.col("context_n") >= fewest_occurrences(room, divergence)) & (F.col("n") >= least_gram * total)
+    counted = saved(whole.where(F.col("key").isNotNull() & enough))
+    tree = learn_tree(counted, roots, total, depth, divergence)
+
+    hot_words = counts.where(F.col("n") >= max(1, HOT_WORD * total)).toArrow()
+    hot = counts.unionByName(counted.select("key", "n")).where(F.col("n") >= max(2, HOT_GRAM * total)).select("key")
+    known = hot.join(tree, "key", "left").toArrow()
+    word_keys, hot_keys = (table.column(0).to_numpy().view(np.uint64) for table in (hot_words, known))
+    by_word, by_key = np.argsort(word_keys), np.argsort(hot_keys)
+    word_logs = np.log10((hot_words.column(1).to_numpy() + 1) / room)
+    leave, gain = (known.column(place).to_numpy(zero_copy_only=False).astype(np.float64) for place in (1, 2))
+    model = spark.sparkContext.broadcast((word_keys[by_word], word_logs[by_word], hot_keys[by_key], leave[by_key], gain[by_key], _bit_map(tree)))
+
+    texts = docs.select(F.col(id_column).alias("id"), token_hashes(F.col(text_column)).alias("ids"))
     id_type = texts.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<int>"
-    scored = saved(texts.mapInArrow(_score(listed, model, constants, key), schema).withColumn("row", F.monotonically_increasing_id()))
-
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(room)))
-    met = rare.join(counts.where(~frequent), "word", "left").groupBy("row")
-    added = met.agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
+    schema = f"id {id_type}, n_tokens long, n_known long, base_score double, score double, lookups {LOOKUP}"
+    scored = saved(texts.mapInArrow(_score(model, room, depth), schema).withColumn("row", F.monotonically_increasing_id()))
+
+    rows = scored.select("row", F.explode("lookups").alias("own")).select("row", "own.*")
+    cold = counts.where(F.col("n") < max(1, HOT_WORD * total))
+    met = rows.where("slot = 0").select("row", "key").join(cold, "key").groupBy("row")
+    rare = met.agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
+    asked = rows.where("slot > 0 and key is not null").select("row", "place", "slot", "key").join(tree, "key")
+    found = asked.select("row", "place", "slot", F.when(F.col("slot") <= depth, F.col("leave")).otherwise(F.col("gain")).alias("value")).where("value is not null")
+    found = found.unionByName(rows.where("slot > 0 and value is not null").select("row", "place", "slot", "value"))
+    by_slot = [F.max(F.when(F.col("slot") == slot, F.col("value"))).alias(f"v{slot}") for slot in range(1, 2 * depth + 1)]
+    extra = F.lit(0.0)
+    for length in range(1, depth + 1):  # a listed word ends the way down
+        state, listed = F.col(f"v{length}"), F.col(f"v{depth + length}")
+        extra = F.when(state.isNull(), extra).when(listed.isNotNull(), listed).otherwise(state + extra)
+    places = found.groupBy("row", "place").agg(*by_slot).groupBy("row").agg(F.sum(extra).alias("extra"))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare", "times").join(added, "row", "left").select(
+    return scored.drop("lookups").join(rare, "row", "left").join(places, "row", "left").select(
         F.col("id").alias(id_column),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + more + F.coalesce("extra", F.lit(0.0))).alias("score"),
     )
 
 
-def _frequent(levels: list[Level], level_of: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> tuple[list[Level], list[np.ndarray]]:
-    """The levels cut down to the n-grams that are frequent by exact count, renumbered, and their counts."""
-    kept_levels, counts, renumber = [], [], None
-    for number, level in enumerate(levels):
-        here = level_of == number
-        order = np.argsort(at[here])
-        places, own = at[here][order], n[here][order]
-        codes = level.codes[places]
-        if renumber is not None:
-            prefix = renumber[codes // width] if len(codes) else codes
-            codes, own, places = (values[prefix >= 0] for values in (prefix * width + codes % width, own, places))
-        kept_levels.append(Level(codes))
-        counts.append(own)
-        renumber = np.full(len(level.codes), -1, dtype=np.int64)
-        renumber[places] = np.arange(len(places))
-    return kept_levels, counts
-
-
 ship_by_value(__name__)

@@ -125,3 +125,14 @@ def test_empty_tables_and_odd_rows(spark):
     assert sorted(row.n_tokens for row in alone) == [1, 3, 3, 3] and {row.score for row in alone} == {0.0}
     again = score_texts(docs, docs).collect()
     assert len(again) == 4 and len({(row.doc_id, row.score) for row in again}) == 3
+
+
+def test_rare_contexts_stay_in_a_larger_corpus(spark):
+    """A habit seen ten times is a state, whatever the corpus size: no n-gram needs a share of it."""
+    docs = spark.range(150_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 20), x -> concat('w', hash(id, x) & 15))) AS text")
+    habit = spark.createDataFrame([(-n, "odd bird sings twice") for n in range(1, 11)], "doc_id long, text string")
+    found = score_texts(habit.where("doc_id = -1"), docs.unionByName(habit)).first()
+    # after the first word each token follows with p = 9.5 / 10, as n-grams seen ten times in 3,150,050 tokens
+    assert found.train_tokens == 3_150_050
+    first = math.log10(11 / (3_150_050 + 21 + 1))
+    assert found.score == pytest.approx(first + 4 * math.log10(0.95), rel=1e-9)
