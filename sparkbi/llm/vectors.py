@@ -4,9 +4,10 @@ Unit vectors go to the cell of the centroid with the largest cosine. Two vectors
 least ``threshold`` are at most ``chord`` apart, so the partner of a vector can lie in another cell
 only if the vector is near the boundary: its lead over that cell's centroid is at most chord times
 the distance of the two centroids. A difference of length chord rarely points straight at the
-boundary: its part in one direction has standard deviation chord / sqrt(dimensions). ``reach`` says how
-many of these a vector looks beyond; None takes the full chord, which misses nothing. A vector looks only
-into cells with a higher number, so each pair is compared once.
+boundary if differences spread over all dimensions: its part in one direction then has standard deviation
+chord / sqrt(dimensions). ``reach`` says how many of these a vector looks beyond, which misses links where
+vectors differ along few directions; None, the default, takes the full chord, which misses nothing. A vector
+looks only into cells with a higher number, so each pair is compared once.
 
 Cells are cut into blocks of ``BLOCK`` vectors and every task multiplies two blocks; it reports
 link counts and one star per linked group, never the pairs. Equal vectors are one node with a
@@ -157,7 +158,7 @@ def _links(nodes: DataFrame, threshold: float, reach: float | None) -> DataFrame
     return _blocks(placed).groupBy("cell", "low", "high").applyInPandas(_compare(threshold), "a long, b long, links long")
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.95, reach: float | None = 4.0, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.95, reach: float | None = None, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id`` and ``kept`` (whether it stands for its component)."""
     rows = table.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vec"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))

@@ -63,6 +63,17 @@ def test_vectors_against_brute_force(spark, monkeypatch, reach, block):
     assert Counter(map(tuple, near_vectors(table, 0.95, reach).collect())) == brute(rows, 0.95)
 
 
+def test_vectors_near_a_subspace(spark):
+    """Differences along few of many directions cross cell boundaries; the default must find every link."""
+    random = np.random.default_rng(11)
+    basis = np.linalg.qr(random.normal(size=(384, 5)))[0]
+    vectors = random.normal(size=(3000, 5)) @ basis.T + random.normal(size=(3000, 384)) * 1e-3
+    table = spark.createDataFrame([(number, vector.tolist()) for number, vector in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert {row.vec_id: row.n_links for row in near_vectors(table).collect()} == dict(enumerate(links.tolist()))
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, near_vectors(table).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
