@@ -5,7 +5,8 @@ them to the nearest container, half to the next, less further out. An element's
 reduced by the share of its text that is links. The best element is kept together with those of
 its siblings that look like text too; an article or main element around it is taken whole.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are cut out
-beforehand by element and by the words of their class, id and role.
+beforehand by element and by the words of their class, id and role. A wrapper that only mentions
+such a word, like ``has-sidebar``, is not cut by its name if it holds the page's article or most of its points.
 
 White space inside a block becomes one space, character references are decoded, blocks are
 joined by an empty line in page order. Nulls: a null page is an empty one and gives empty text;
@@ -54,9 +55,9 @@ NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s
 SPLIT_NAMES = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _names(attributes: str) -> tuple[frozenset[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    found, hidden = set(), False
+def _names(attributes: str) -> tuple[frozenset[str], bool, bool]:
+    """Words of class, id and role, whether the element is hidden, and whether a whole name is a word of ``NOISE``."""
+    found, hidden, exact = set(), False, False
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -65,7 +66,13 @@ def _names(attributes: str) -> tuple[frozenset[str], bool]:
             hidden = hidden or "display:none" in value.replace(" ", "").lower()
         elif name in ("class", "id", "role"):
             found.update(word.lower() for word in SPLIT_NAMES.split(value) if word)
-    return frozenset(found), hidden
+            exact = exact or not NOISE.isdisjoint(value.lower().split())
+    return frozenset(found), hidden, exact
+
+
+def _points(text: str, links: int) -> float:
+    """What a block of text gives to the elements around it."""
+    return ((len(text) >= 25) + text.count(",") + len(text) / 100) * (1 - links / len(text))
 
 
 class _Page:
@@ -73,12 +80,14 @@ class _Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.names, self.dropped = ["#page"], [-1], [frozenset()], [False]
+        self.named = [0]  # cut by name only: 1 if the name mentions a word of NOISE, 2 if it is one
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [0]
         self.links = 0
         self.pieces: list[str] = []
         self.link_characters = 0
         self._read(source)
+        self._cut_by_name()
 
     def _container(self) -> int:
         return next(node for node in reversed(self.open) if self.tags[node] not in INLINE)
@@ -127,16 +136,18 @@ class _Page:
             return
         if tag == "a" and self.links:
             self._end("a")
-        names, hidden = _names(attributes) if attributes else (frozenset(), False)
+        names, hidden, exact = _names(attributes) if attributes else (frozenset(), False, False)
         parent = self.open[-1]
         whole = tag in ("html", "body", "main", "article")
-        noise = not whole and (hidden or tag in DROPPED or bool(names & NOISE))
+        noisy = not whole and bool(names & NOISE)
+        noise = not whole and (hidden or tag in DROPPED or (noisy and tag in INLINE))
         if tag == "header" and not any(self.tags[node] == "article" for node in self.open):
             noise = True
         self.tags.append(tag)
         self.parents.append(parent)
         self.names.append(names)
         self.dropped.append(self.dropped[parent] or noise)
+        self.named.append(noisy * (1 + exact))
         self.open.append(len(self.tags) - 1)
         self.links += tag == "a"
 
@@ -169,6 +180,44 @@ class _Page:
         self._close_to(1)
         self._end_block()
 
+    def _cut_by_name(self) -> None:
+        """Drop what is noise by its name, but no element that holds the page's article or most of its points."""
+        if not any(self.named):
+            return
+        count = len(self.tags)
+        under = [0] * count  # the plainest name of noise at or above
+        for node in range(1, count):
+            under[node] = max(under[self.parents[node]], self.named[node])
+        points, mains, articles = [0.0] * count, [0] * count, [0] * count
+        for container, text, links in self.blocks:
+            if self.tags[container] not in HEADING:
+                points[container] += _points(text, links)
+        for node in range(count):
+            if not self.dropped[node]:
+                mains[node] = self.tags[node] == "main"
+                articles[node] = self.tags[node] in ("article", "main") and not self.names[node] & NOISE
+        outside = [sum(value for value, noisy in zip(values, under) if not noisy) for values in (points, mains, articles)]
+        rivals = [sum(own for own, noisy in zip(points, under) if noisy <= named) / 2 for named in range(3)]
+        for last in (False, True):  # plain names are weighed at last, if all else leaves nothing
+            cut, held = [False] * count, [list(values) for values in (points, mains, articles)]
+            for node in range(count - 1, 0, -1):  # children follow their parents; what is cut counts for nothing above
+                if self.named[node]:
+                    most = held[0][node] > max(outside[0], rivals[self.named[node]])
+                    article = held[2][node] > 0 and not outside[2]
+                    if self.named[node] == 1:
+                        kept = most or article
+                    else:
+                        kept = (held[1][node] > 0 and not outside[1]) or (most and (article or last))
+                    cut[node] = not kept
+                if not cut[node]:
+                    for values in held:
+                        values[self.parents[node]] += values[node]
+            if held[0][0]:
+                break
+        for node in range(1, count):
+            self.dropped[node] = self.dropped[node] or cut[node] or self.dropped[self.parents[node]]
+        self.blocks = [block for block in self.blocks if not self.dropped[block[0]]]
+
     def main_blocks(self) -> list[str]:
         if not self.blocks:
             return []
@@ -179,8 +228,7 @@ class _Page:
             linked[container] += links
             if self.tags[container] in HEADING:
                 continue
-            points = (len(text) >= 25) + text.count(",") + len(text) / 100
-            points *= 1 - links / len(text)
+            points = _points(text, links)
             node, level = (self.parents[container] if self.tags[container] in TEXT_BLOCK else container), 0
             while node >= 0:
                 score[node] += points / (1, 2)[level] if level < 2 else points / (3 * level)

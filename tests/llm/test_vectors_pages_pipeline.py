@@ -111,6 +111,19 @@ def test_main_text():
     assert main_text(long).count("\n\n") == 19_999
 
 
+@pytest.mark.parametrize("wrapper", ['class="has-sidebar"', 'class="content with-sidebar"', 'class="no-ads"', 'id="page-header-fixed"', 'role="main" class="site-header"'])
+def test_wrappers_that_mention_noise(wrapper):
+    body = "<p>First paragraph, long enough, with commas.</p><p>Second paragraph, which goes on, and on.</p>"
+    noise = '<div class="sidebar"><p>Side story, with commas, many of them.</p></div><div class="ad-box"><p>Buy this, now.</p></div>'
+    text = "First paragraph, long enough, with commas.\n\nSecond paragraph, which goes on, and on."
+    for inner in (f"<article>{body}</article>", f"<div>{body}</div>", f"<main>{body}</main>"):
+        assert main_text(f"<body><div {wrapper}>{inner}{noise}</div><p>x</p></body>").startswith(text)
+        assert "Side story" not in main_text(f"<body><div {wrapper}>{inner}{noise}</div></body>")
+        assert "Buy" not in main_text(f"<body><div {wrapper}>{inner}{noise}</div></body>")
+    comments = '<div id="comments"><article class="comment"><p>' + "I like it, very much, really. " * 20 + "</p></article></div>"
+    assert main_text(f"<body><div {wrapper}><div>{body}</div></div>{comments}</body>") == text
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (None, None, None, None), (2, "v", "", "x")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
