@@ -168,6 +168,17 @@ def test_stages(spark):
         assert stage(spark, nothing, FOLDER).count() == 0
 
 
+def test_repeated_rows_are_thinned_before_they_move(spark):
+    rows = [(n, text_of(n, 60), f"s{n}") for n in range(20)]
+    repeated = [(7, rows[7][1], f"t{n % 3}") for n in range(500)] + [(None, rows[8][1], "u")] * 300 + [(3, rows[3][1], "v")]
+    docs = spark.createDataFrame(rows + repeated, "doc_id long, text string, source string").repartition(4)
+    kept = corpus_pipeline.near_copies_stage(spark, docs, FOLDER)
+    got = kept.collect()
+    assert sorted(row.doc_id for row in got) == list(range(20))
+    assert {row.doc_id: row.text for row in got} == {number: text for number, text, _ in rows}
+    assert "partial_min_by" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 @sample
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
