@@ -11,6 +11,7 @@ from sparkbi.llm.bk_tree import near_copies
 from sparkbi.llm.common import saved
 from sparkbi.llm.extraction import extract
 from sparkbi.llm.fingerprints import count_neighbours, edited_fingerprints
+from sparkbi.llm.hard_negatives import hard_negatives
 from sparkbi.llm.language import held_out, identify, learn_profiles
 from sparkbi.llm.mixing import mix
 from sparkbi.llm.packing import pack
@@ -19,6 +20,7 @@ from sparkbi.llm.simhash_words import hex64
 from sparkbi.llm.suffix_tree import held_out as not_learnt, score_texts
 from sparkbi.llm.token_counts import apply_edits, with_trees
 from sparkbi.llm.vectors import near_vectors
+from sparkbi.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -180,3 +182,39 @@ def op10_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose fingerprints differ in at most three bits."""
     found = near_copies(_table(spark, folder, "documents"), radius=3, shingle=3)
     return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings on the first eight whitened components; a deviation beyond a long is null."""
+    found = whitened(_table(spark, folder, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every hundredth embedding; labels of every seventh are moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings"), F.col("id") % 100 == 0, moved, positives=5, negatives=10, window=(30, 90))
+
+
+ORACLE_SQL["op12_hard_negatives"] = """
+WITH usable AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.id AS anchor_id, b.id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM usable a JOIN usable b ON a.id % 100 = 0 AND a.id <> b.id
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER w::INTEGER AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+ AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 10
+"""
