@@ -18,6 +18,7 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Paths of the intermediate tables of this driver.
 SAVED: list[str] = []
+TABLES: list[str] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -34,9 +35,26 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed by ``key``; grouping it by ``key`` moves no row again.
+
+    The rows are not shuffled to be written either: a task writes a file for each bucket that its rows fall
+    into, so ``key`` should take few values in a task.
+    """
+    spark = df.sparkSession
+    name = f"saved_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}"
+    SAVED.append(path)
+    TABLES.append(name)
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def clear_saved(spark: SparkSession) -> int:
     """Delete the intermediate tables made so far and say how many; call it once their results are written."""
     cleared = 0
+    while TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
     while SAVED:
         path = spark._jvm.org.apache.hadoop.fs.Path(SAVED.pop())
         cleared += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

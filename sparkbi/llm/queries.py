@@ -15,6 +15,7 @@ from sparkbi.llm.hard_negatives import hard_negatives
 from sparkbi.llm.language import held_out, identify, learn_profiles
 from sparkbi.llm.mixing import mix
 from sparkbi.llm.packing import pack
+from sparkbi.llm.repeats import without_repeats
 from sparkbi.llm.sharding import shard_by_bytes
 from sparkbi.llm.simhash_words import hex64
 from sparkbi.llm.suffix_tree import held_out as not_learnt, score_texts
@@ -218,3 +219,29 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
 WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)
 QUALIFY row_number() OVER w <= 10
 """
+
+
+@_query
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the words of 50-word windows that a document with a smaller id has too."""
+    kept = without_repeats(_table(spark, folder, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op13_repeats"] = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS content
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM docs WHERE len(words) >= 50)
+), firsts AS (
+    SELECT content, min(doc_id) AS least FROM windows GROUP BY content
+), again AS (
+    SELECT w.doc_id, list_distinct(flatten(list(range(w.s, w.s + 50)))) AS gone
+    FROM windows w JOIN firsts f ON w.content = f.content AND f.least < w.doc_id GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(CASE WHEN gone IS NULL THEN array_to_string(words, ' ')
+            ELSE array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]), ' ') END, '')) AS kept_sha256
+FROM docs d LEFT JOIN again a ON d.doc_id IS NOT DISTINCT FROM a.doc_id
+"""
