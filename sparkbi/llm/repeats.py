@@ -15,7 +15,7 @@ work). Second exchange: 96 bits of each window around a hit and its smallest id.
 ``chunk_bytes`` and ``bucket_bytes`` together, so that a chunk still sends dozens of hashes to each bucket.
 
 Null text has no words; a document shorter than the window keeps all of them. A null id counts as larger than all
-others, so such rows lose what documents with ids have and take nothing from anyone, nor do rows of the same
+others (the largest long is kept for it and not allowed as an id), so such rows lose what documents with ids have and take nothing from anyone, nor do rows of the same
 id from each other: repeated rows get equal results. An empty table gives an empty result. Other columns
 are not looked at. A very long text is a chunk of its own and takes about 150 bytes of memory a word.
 """
@@ -108,9 +108,8 @@ class Chunk:
         self.hashes = np.fromiter((lookup[word] for words in self.words for word in words), np.uint64, int(self.sizes.sum()))
         self.document = np.repeat(np.arange(len(rows)), self.sizes)
         self.place = np.arange(len(self.hashes)) - self.starts[self.document]
-        ids = rows.id.fillna(LAST_ID).astype("int64").to_numpy() if rows.id.hasnans else rows.id.to_numpy().astype(np.int64)
         #: ids as unsigned numbers of the same order
-        self.ids = ids.view(np.uint64) ^ SIGN
+        self.ids = rows.id.to_numpy().astype(np.int64).view(np.uint64) ^ SIGN
 
     def _inside(self, length: int) -> np.ndarray:
         """Where runs of ``length`` words begin that stay in their document, among documents that hold a window."""
@@ -235,7 +234,7 @@ def _remove(window: int):
 
     def remove(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"id": pd.Series(dtype="Int64"), "n_words": pd.Series(dtype="int64"), "n_removed": pd.Series(dtype="int64"), "text": pd.Series(dtype=object)})
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "n_words": pd.Series(dtype="int64"), "n_removed": pd.Series(dtype="int64"), "text": pd.Series(dtype=object)})
         chunk = Chunk(rows, window)
         (far_high, far_low, far_ids), _ = _received(found, 3)
         at, high, low = chunk.windows()
@@ -254,7 +253,7 @@ def _remove(window: int):
             b" ".join(words if not cut else [word for word, drop in zip(words, gone[start : start + len(words)]) if not drop]).decode()
             for words, start, cut in zip(chunk.words, chunk.starts, removed)
         ]
-        return pd.DataFrame({"id": rows.id.astype("Int64"), "n_words": chunk.sizes, "n_removed": removed, "text": texts})
+        return pd.DataFrame({"id": rows.id, "n_words": chunk.sizes, "n_removed": removed, "text": texts})
 
     return remove
 
@@ -282,7 +281,8 @@ def without_repeats(
     """A row per document: id, ``n_words``, ``n_removed`` and ``text``, the kept words joined by one space."""
     if window < 1:
         raise ValueError("window must be at least 1")
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    # no nulls among the ids that meet pandas, which would turn them into doubles
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     files = min(MOST_TABLE_BUCKETS, max(size // TABLE_BUCKET_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism))
     buckets = size // bucket_bytes + 1
@@ -296,7 +296,7 @@ def without_repeats(
     around = by_chunk(hits).applyInPandas(_extend(window, buckets), SENT)
     earlier = around.groupBy("bucket").applyInPandas(_decide, "chunk long, entries binary")
     kept = by_chunk(earlier).applyInPandas(_remove(window), "id long, n_words long, n_removed long, text string")
-    return kept.withColumnRenamed("id", id_column)
+    return kept.select(F.nullif("id", F.lit(LAST_ID)).alias(id_column), "n_words", "n_removed", "text")
 
 
 ship_by_value(__name__)
