@@ -288,11 +288,12 @@ def stream_compact(spark, folder):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("event_time"),
         payload.alias("payload"),
         F.date_format("ts", "yyyy-MM-dd").alias("dt"),
-        F.lit("00").alias("hour"),
+        # four landing hours a day, so some later copies lie in another hour or day than the copy they replace
+        F.lpad((F.floor(F.hour("ts") / 6) * 6).cast("string"), 2, "0").alias("hour"),
         (F.col("value") >= 1000).alias("late"),
     )
     for late in (False, True):
-        part = landed.where(F.col("late") == late).drop("late").hint("rebalance", "dt")
+        part = landed.where(F.col("late") == late).drop("late").hint("rebalance", "dt", "hour")
         part.write.mode("append").partitionBy("dt", "hour").json(f"{root}/bronze")
         compact_stream(spark, f"{root}/bronze", f"{root}/silver", f"{root}/offsets").awaitTermination()
     newest = read_compacted(spark, f"{root}/silver")

@@ -218,6 +218,72 @@ def test_silver_is_plain_files_and_only_touched_hours_are_rewritten(spark, tmp_p
     assert read_compacted(spark, str(tmp_path / "none")).count() == 0
 
 
+def silver_batch(spark, *events):
+    rows = [(name, "d", "s", "1.0", at, str(v), at[:10], at[11:13]) for name, at, v in events]
+    return spark.createDataFrame(rows, "event_id string, domain string, dataset string, schema_version string, event_time string, payload string, dt string, hour string")
+
+
+def test_compaction_opens_only_hours_that_may_hold_its_events(spark, tmp_path):
+    silver = str(tmp_path / "silver")
+    hours = [f"2024-01-{day:02d}T{hour:02d}:00:00" for day in (1, 2, 3) for hour in range(0, 24, 3)]
+    first = [(f"{at}-{number}", at, number) for at in hours for number in range(40)]
+    assert compact_into(silver_batch(spark, *first), silver, "q-0")["opened"] == []
+    # hours that no filter names are not read: their files may even be away
+    away = tmp_path / "silver" / "data" / "q-0" / "_dt=2024-01-03"
+    away.rename(tmp_path / "elsewhere")
+    did = compact_into(silver_batch(spark, ("2024-01-01T03:00:00-7", "2024-01-04T01:00:00", "later"), ("new", "2024-01-04T02:00:00", "new")), silver, "q-1")
+    assert did == {"opened": ["dt=2024-01-01/hour=03"], "written": ["dt=2024-01-01/hour=03", "dt=2024-01-04/hour=01", "dt=2024-01-04/hour=02"]}
+    # the moved event is known in its new hour and no longer in its old one
+    did = compact_into(silver_batch(spark, ("2024-01-01T03:00:00-7", "2024-01-05T00:00:00", "last")), silver, "q-2")
+    assert did["opened"] == ["dt=2024-01-04/hour=01"] and "dt=2024-01-01/hour=03" not in did["written"]
+    (tmp_path / "elsewhere").rename(away)
+    got = {row["event_id"]: row["payload"] for row in read_compacted(spark, silver).collect()}
+    assert got == {name: str(v) for name, _, v in first} | {"2024-01-01T03:00:00-7": "last", "new": "new"}
+    assert list((tmp_path / "silver" / "incoming").iterdir()) == []
+
+
+def test_filters_of_many_runs_are_joined_and_false_hits_do_no_harm(spark, tmp_path, monkeypatch):
+    from sparkbi.streaming import compaction, key_index
+
+    monkeypatch.setattr(compaction, "MOST_FILTER_RUNS", 2)
+    monkeypatch.setattr(key_index, "BITS_PER_KEY", 1)  # nearly every filter says yes
+    silver, want, opened = str(tmp_path / "silver"), {}, 0
+    for run in range(6):
+        events = [(f"e{(run * 17 + step) % 60}", f"2024-01-0{1 + (run * step) % 9}T{step % 24:02d}:{run:02d}:00", f"{run}-{step}") for step in range(25)]
+        did = compact_into(silver_batch(spark, *events), silver, f"q-{run}")
+        opened += len(did["opened"])
+        for name, at, v in events:
+            want[name] = max(want.get(name, ("", "")), (at, v))
+        assert {row["event_id"]: (row["event_time"], row["payload"]) for row in read_compacted(spark, silver).collect()} == want
+    sealed = json.loads(sorted((tmp_path / "silver" / "manifests").glob("v*.json"))[-1].read_text())
+    assert set(sealed["filters"]) == set(sealed["partitions"]) and len({run for run, _ in sealed["filters"].values()}) <= 3 and opened
+
+
+def test_silver_written_before_there_were_filters(spark, tmp_path):
+    silver = str(tmp_path / "silver")
+    compact_into(silver_batch(spark, ("a", "2024-01-01T01:00:00", 1), ("b", "2024-01-02T01:00:00", 2)), silver, "q-0")
+    old = next((tmp_path / "silver" / "manifests").glob("v*.json"))
+    sealed = json.loads(old.read_text())
+    del sealed["filters"]
+    old.write_text(json.dumps(sealed))
+    (old.parent / f".{old.name}.crc").unlink()
+    did = compact_into(silver_batch(spark, ("b", "2024-01-03T01:00:00", 3)), silver, "q-1")
+    assert did["opened"] == ["dt=2024-01-01/hour=01", "dt=2024-01-02/hour=01"]
+    assert {row["event_id"]: row["payload"] for row in read_compacted(spark, silver).collect()} == {"a": "1", "b": "3"}
+
+
+def test_filters_miss_nothing_and_name_little_in_vain(spark):
+    from sparkbi.streaming.key_index import build_filters, may_hold, sizes
+
+    events = spark.range(60_000).select(F.concat(F.lit("event-"), "id").alias("event_id"), F.lit("2024-01-01").alias("dt"), (F.col("id") % 7 * F.col("id") % 5).cast("string").alias("hour"))
+    chosen = sizes(events.groupBy("dt", "hour").agg(F.count(F.lit(1)).alias("events")))
+    size = F.element_at(F.create_map(*[F.lit(x) for (_, hour), n in chosen.items() for x in (hour, n)]), F.col("hour"))
+    filters = build_filters(events, size)
+    assert may_hold(events, filters, sorted(set(chosen.values()))).join(events, ["event_id", "dt", "hour"]).count() == 60_000
+    others = spark.range(60_000, 160_000).select(F.concat(F.lit("event-"), "id").alias("event_id"))
+    assert may_hold(others, filters, sorted(set(chosen.values()))).count() < 20
+
+
 def test_current_version_is_what_the_manifest_lists(spark, tmp_path):
     root = str(tmp_path)
     sealed = publish(spark.createDataFrame([("a", 1.0), ("b", float("nan"))], "k string, v double"), root, "d")
