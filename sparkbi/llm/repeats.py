@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, functions as F
 from sparkbi.llm.common import per_worker, saved_in_buckets, ship_by_value
 
 WINDOW = 50
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 MOST_CHUNK_ROWS = 1 << 16
 #: Files of the chunk table hold about this much text each.
 TABLE_BUCKET_BYTES, MOST_TABLE_BUCKETS = 32 << 20, 50_000
-ANCHOR_BITS = 40
+ANCHOR_BITS, FLAGS = 40, 2
 #: Odd factors of the two rolling hashes; each has an inverse modulo 2 ** 64.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SIGN = np.uint64(1 << 63)
@@ -168,7 +168,7 @@ def _received(rows: pd.DataFrame, columns: int) -> tuple[list[np.ndarray], np.nd
     parts = [unpack(entries, columns) for entries in rows.entries]
     if not parts:
         return [np.zeros(0, np.uint64)] * columns, np.zeros(0, np.int64)
-    return [np.concatenate(column) for column in zip(*parts)], np.repeat(np.arange(len(parts)), [len(part[0]) for part in parts])
+    return [np.concatenate(column) for column in zip(*parts)], np.repeat(np.arange(len(parts), dtype=np.int32), [len(part[0]) for part in parts])
 
 
 def _probe(window: int, buckets: int):
@@ -185,20 +185,23 @@ def _probe(window: int, buckets: int):
             flags = block + 2 * several.astype(np.uint64)
         else:
             flags = np.zeros(0, np.uint64)
-        return _send(int(rows.chunk.iloc[0]), buckets, ANCHOR_BITS, [anchor[order][first], flags])
+        # the flags are the last bits of the number that is sent
+        return _send(int(rows.chunk.iloc[0]), buckets, ANCHOR_BITS + FLAGS, [(anchor[order][first] << np.uint64(FLAGS)) | flags])
 
     return probe
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     """Task code: the stretches of a bucket that are a block somewhere and occur in two documents, to every chunk that has them."""
-    (anchor, flags), of = _received(rows, 2)
-    order, first, group = _groups(anchor)
-    flags = np.bitwise_or.reduceat(flags[order], first)
-    many = np.diff(np.r_[first, len(order)])
-    hit = ((flags & np.uint64(1)) > 0) & ((many > 1) | (flags > 1))
-    kept = order[hit[group]]
-    return _answer(rows.chunk.to_numpy(), of[kept], [anchor[kept]])
+    (sent,), of = _received(rows, 1)
+    order = np.argsort(sent)
+    sent, of = sent[order], of[order]
+    anchor = sent >> np.uint64(FLAGS)
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    flags = np.bitwise_or.reduceat(sent & np.uint64(3), first)
+    many = np.diff(np.r_[first, len(sent)])
+    hit = np.repeat(((flags & np.uint64(1)) > 0) & ((many > 1) | (flags > 1)), many)
+    return _answer(rows.chunk.to_numpy(), of[hit], [anchor[hit]])
 
 
 def _extend(window: int, buckets: int):
