@@ -39,9 +39,9 @@ SHARD = 8192
 QUERIES_PER_BLOCK = 4096
 #: Top split points, at most; their ranges are the square of that many pairs of numbers, at any size of the table.
 MOST_SPLITS = 256
-ROWS_PER_SPLIT = 2048
+ROWS_PER_SPLIT = 4096
 SAMPLE_PER_SPLIT = 8
-DEGREE, LEAF = 16, 64
+DEGREE, LEAF = 16, 256
 #: Distances carry rounding of about 1e-16 of themselves; windows are widened by more than that.
 SLACK = 1e-6
 LOWEST, HIGHEST = -(2**62), 2**62
@@ -49,23 +49,24 @@ FOUND = "anchor long, other long, node long, id long, tie long, score long"
 
 
 def whole(column: pd.Series, dimensions: int) -> np.ndarray:
-    """Vectors of whole numbers as a float matrix, zeros behind short ones; products stay exact, see ``_products``."""
+    """Vectors of whole numbers as a float matrix, zeros behind short ones; products stay exact, see ``exact_type``."""
     matrix = np.zeros((len(column), dimensions))
     for at, vector in enumerate(column):
         matrix[at, : len(vector)] = vector
     return matrix
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where every partial sum stays below 2 ** 53, else in longs."""
+def exact_type(a: np.ndarray, b: np.ndarray) -> type:
+    """The number type in which inner products of rows are exact: doubles below 2 ** 53 in every partial sum, else longs."""
     top = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
     if top >= 2.0**62:
         raise ValueError("vector entries are too large for exact scores")
-    return (a @ b.T if top < 2.0**53 else a.astype(np.int64) @ b.astype(np.int64).T).astype(np.int64)
+    return np.float64 if top < 2.0**53 else np.int64
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2.0 * _products(a, b)
+    kind = exact_type(a, b)
+    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2.0 * (a.astype(kind, copy=False) @ b.astype(kind, copy=False).T)
     return np.sqrt(np.maximum(squares, 0))
 
 
@@ -143,7 +144,10 @@ class Search:
         self.labels, self.asked_labels = labels[: len(tree_rows)], labels[len(tree_rows) :]
         self.ids, self.ties, self.nodes = (tree_rows[name].to_numpy() for name in ("id", "tie", "node"))
         self.own = queries.own.to_numpy()
-        self.low, self.high = queries.low.to_numpy().copy(), queries.high.to_numpy()
+        kind = exact_type(self.asked, self.matrix)
+        self.numbers, self.asked_numbers = self.matrix.astype(kind, copy=False), self.asked.astype(kind, copy=False)
+        # the ends of an open window are powers of two, other ends are scores: both types hold them exactly
+        self.low, self.high = queries.low.to_numpy().astype(kind), queries.high.to_numpy().astype(kind)
         self.squares = (self.asked**2).sum(axis=1)
         self.same_label, self.places = same_label, places
         self.score = np.full((len(queries), places), LOWEST - 1, dtype=np.int64)
@@ -159,25 +163,33 @@ class Search:
             # windows may have narrowed in the children before
             one = slice(child, child + 1)
             norms = (node.norms[0][one], node.norms[1][one])
-            may = open_children(to_points, self.squares[asking], self.low[asking].astype(float), self.high[asking].astype(float), node.near[one], node.far[one], norms)
+            low, high = self.low[asking].astype(float), self.high[asking].astype(float)
+            may = open_children(to_points, self.squares[asking], low, high, node.near[one], node.far[one], norms)
             self.visit(node.children[child], asking[may[:, 0]])
 
     def _leaf(self, rows: np.ndarray, asking: np.ndarray) -> None:
-        scores = _products(self.asked[asking], self.matrix[rows])
-        alike = self.asked_labels[asking][:, None] == self.labels[rows]
-        fits = (alike == self.same_label) & (scores >= self.low[asking][:, None]) & (scores <= self.high[asking][:, None])
-        fits &= self.own[asking][:, None] != self.ids[rows]
+        scores = self.asked_numbers[asking] @ self.numbers[rows].T
+        some = (scores >= self.low[asking][:, None]).any(axis=1)
+        who, scores = asking[some], scores[some]
+        fits = (scores >= self.low[who][:, None]) & (scores <= self.high[who][:, None])
+        fits &= (self.asked_labels[who][:, None] == self.labels[rows]) == self.same_label
+        fits &= self.own[who][:, None] != self.ids[rows]
         some = fits.any(axis=1)
-        who = asking[some]
+        who, scores, fits = who[some], scores[some], fits[some]
         if not len(who):
             return
-        score = np.concatenate([self.score[who], np.where(fits[some], scores[some], LOWEST - 1)], axis=1)
-        row = np.concatenate([self.row[who], np.where(fits[some], rows, -1)], axis=1)
+        # only as many columns as the fullest query needs
+        width = int(fits.sum(axis=1).max())
+        places = np.argsort(~fits, axis=1, kind="stable")[:, :width]
+        found = np.take_along_axis(fits, places, axis=1)
+        new_score = np.where(found, np.take_along_axis(scores, places, axis=1), LOWEST - 1).astype(np.int64)
+        score = np.concatenate([self.score[who], new_score], axis=1)
+        row = np.concatenate([self.row[who], np.where(found, rows[places], -1)], axis=1)
         order = np.lexsort((self.ties[row], self.ids[row], -score), axis=1)[:, : self.places]
         self.score[who] = np.take_along_axis(score, order, axis=1)
         self.row[who] = np.take_along_axis(row, order, axis=1)
         # a row must now reach the last place; equal scores may still win by their id
-        self.low[who] = np.maximum(self.low[who], self.score[who, -1])
+        self.low[who] = np.maximum(self.low[who], self.score[who, -1].astype(self.low.dtype))
 
 
 def _search_task(dimensions: int, places: int, same_label: bool):
@@ -294,17 +306,32 @@ def _visits(queries: DataFrame, index: Index, first: bool) -> DataFrame:
     return queries.mapInArrow(visit, f"home int, subtree int, {kinds}")
 
 
+def _block_of(queries: dict[int, int]) -> Column:
+    """The block of a query: neighbouring homes share one until it is full, a home with more queries has several."""
+    number, filled, ranges = 0, 0, []
+    for home, many in queries.items():
+        if filled and filled + many > QUERIES_PER_BLOCK:
+            number, filled = number + 1, 0
+        parts = -(-many // QUERIES_PER_BLOCK)
+        ranges.append((home, number, parts))
+        number, filled = (number + parts, 0) if parts > 1 else (number, filled + many)
+    if not ranges:
+        return F.lit(0)
+    first = F.create_map(*[F.lit(x) for home, number, _ in ranges for x in (home, number)])
+    parts = F.create_map(*[F.lit(x) for home, _, parts in ranges for x in (home, parts)])
+    return F.element_at(first, F.col("home")) + F.pmod(F.xxhash64("anchor", "other"), F.element_at(parts, F.col("home"))).cast("int")
+
+
 def _round(index: Index, queries: DataFrame, first: bool, places: int, same_label: bool) -> DataFrame:
     """The best rows per query and shard among the subtrees that this round looks into."""
     visits = saved(_visits(queries.where("low <= high"), index, first))
-    homes = visits.groupBy("home").agg(F.ceil(F.count_distinct("anchor", "other") / QUERIES_PER_BLOCK).cast("int").alias("parts"))  # a row per split point
-    part = F.pmod(F.xxhash64("anchor", "other"), F.col("parts")).cast("int")
-    blocks = visits.join(F.broadcast(homes), "home").withColumn("part", part).drop("parts")
-    pairs = blocks.select("subtree", "home", "part").distinct()
+    counted = visits.groupBy("home").agg(F.count_distinct("anchor", "other").alias("n")).orderBy("home").collect()  # a row per split point
+    blocks = visits.withColumn("block", _block_of({row["home"]: row["n"] for row in counted}))
+    pairs = blocks.select("subtree", "block").distinct()
     served = index.placed.join(broadcast_if(pairs, pairs.count(), 1_000_000), "subtree")
     shards = index.placed.select("subtree", "shard").distinct()
     asked = blocks.join(broadcast_if(shards, shards.count(), 1_000_000), "subtree")
-    keys = ["subtree", "shard", "home", "part"]
+    keys = ["subtree", "shard", "block"]
     task = _search_task(index.dimensions, places, same_label)
     # toDF gives the two sides columns of their own, though both come from the same visits
     left, right = served.toDF(*served.columns), asked.toDF(*asked.columns)
