@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkbi.functions.columns import as_double, dtype, is_number, number, require, sum0
-from sparkbi.operators.running import exact_quantiles
+from sparkbi.operators.quantiles import exact_quantiles
 
 FUNCTIONS = (
     "sum", "mean", "count", "min", "max", "median", "std", "var",

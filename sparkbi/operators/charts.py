@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from sparkbi.functions.columns import as_double, require
 from sparkbi.functions.text import three_digits
 from sparkbi.operators.query import Filter, apply_filters
-from sparkbi.operators.running import exact_quantiles, hash_sample
+from sparkbi.operators.quantiles import exact_quantiles
+from sparkbi.operators.running import hash_sample
 
 TOP_CATEGORIES = 30
 MIN_BINS, MAX_BINS = 5, 100

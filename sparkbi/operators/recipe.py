@@ -26,7 +26,7 @@ from sparkbi.functions.columns import (
     typed_literal,
 )
 from sparkbi.operators.aggregates import group_aggregate
-from sparkbi.operators.running import exact_quantiles
+from sparkbi.operators.quantiles import exact_quantiles
 
 MAX_STEPS = 50
 VALIDATIONS = {

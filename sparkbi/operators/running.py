@@ -3,8 +3,7 @@
 A plain window sends a whole group to a single task. Here rows are range-partitioned by
 (group, order), so a hot group spreads over as many blocks as its size needs. Each block
 is scanned on its own, block totals are carried across blocks (one small row per block),
-and both parts are combined. Ranks, exact quantiles, as-of joins and the inventory fold
-are all built on this.
+and both parts are combined. Ranks, as-of joins and the inventory fold are built on this.
 """
 
 from __future__ import annotations
@@ -123,31 +122,6 @@ def _at(position: Column, value: str) -> Column:
     return F.when(covers, F.col(value))
 
 
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group, one column per entry of ``probabilities``.
-
-    Block totals alone tell which blocks hold the wanted positions, so only those are
-    sorted and scanned: a couple per quantile and group, however large the group.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_in_n"))
-    tagged = blocked(counted, group, [value])
-    n = F.col("_in_n")
-    per_block = tagged.groupBy(GROUP, BLOCK).agg(F.sum(n).alias("_here"))
-    # At most one row per block and group here.
-    before = W.partitionBy(GROUP).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    placed = per_block.withColumn("_before", F.coalesce(F.sum("_here").over(before), F.lit(0))).withColumn(
-        "total", F.sum("_here").over(W.partitionBy(GROUP))
-    )
-    reach = F.col("_before") + F.col("_here")
-    wanted = F.lit(False)
-    for place in _places(probabilities).values():
-        wanted = wanted | ((F.ceil(place) >= F.col("_before")) & (F.floor(place) < reach))
-    rows = tagged.join(placed.where(wanted).drop("_here"), [GROUP, BLOCK])
-    local = W.partitionBy(GROUP, BLOCK).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = rows.withColumn("seen", F.sum(n).over(local) + F.col("_before")).withColumn("n", n)
-    return ranked.groupBy(*group).agg(*quantile_columns(value, probabilities))
-
-
 def numbered_copies(df: DataFrame, number: str) -> DataFrame:
     """The rows of ``df`` with ``number`` counting equal rows from 0, whatever the partitioning.
 

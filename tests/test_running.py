@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window as W, functions as F
 
 from sparkbi.operators.asof import attach_asof
 import sparkbi.operators.running as running_module
-from sparkbi.operators.running import BLOCK, blocked, exact_quantiles, hash_sample, ranked_values, running
+from sparkbi.operators import quantiles
+from sparkbi.operators.quantiles import exact_quantiles
+from sparkbi.operators.running import BLOCK, blocked, hash_sample, ranked_values, running
 
 
 def hot(spark, rows=3000):
@@ -68,6 +72,26 @@ def test_exact_quantiles_equal_numpy(spark, partitions):
         assert np.allclose([row[name] for name in asked], np.quantile(values[row["g"]], list(asked.values())), atol=1e-12)
 
 
+@pytest.mark.parametrize("sketch,ranks,margin", [(4096, 2048, 0.002), (64, 32, 0.02), (16, 8, 0.0)])
+def test_exact_quantiles_over_many_scans(spark, monkeypatch, sketch, ranks, margin):
+    """Small sketches need many scans, and cuts without a margin miss; ties, infinities, null keys and tiny groups stay exact."""
+    for name, value in {"SKETCH": sketch, "RANKS": ranks, "FITS": ranks // 2, "MARGIN": margin}.items():
+        monkeypatch.setattr(quantiles, name, value)
+    rnd = np.random.default_rng(4)
+    # a value with a third of the rows
+    values = {None: np.r_[rnd.normal(size=700), np.zeros(350)], "t": rnd.integers(0, 3, 900).astype(float), "two": np.array([1.0, 2.0]), "one": np.array([-0.0]), "inf": np.array([-math.inf, 0.0, 1.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("t", None), ("t", math.nan), ("none", None)], "g string, v double").repartition(5)
+    asked = {"p0": 0.0, "p1": 0.013, "p33": 0.33, "p50": 0.5, "p100": 1.0}
+    got = {row["g"]: row for row in exact_quantiles(df, ["g"], "v", asked).collect()}
+    assert set(got) == set(values)
+    for g in (None, "t", "two", "one"):
+        assert np.allclose([got[g][name] for name in asked], np.quantile(values[g], list(asked.values())), atol=1e-12)
+    assert got["inf"]["p0"] == -math.inf and got["inf"]["p50"] == 0.0
+    alone = exact_quantiles(df.where("g is null"), [], "v", {"m": 0.5, "q": 0.9}).collect()
+    assert np.allclose(list(alone[0]), np.quantile(values[None], [0.5, 0.9]))
+    assert exact_quantiles(df.where("false"), [], "v", {"m": 0.5}).collect() == [(None,)] and exact_quantiles(df.where("false"), ["g"], "v", {"m": 0.5}).collect() == []
+
+
 def test_hash_sample_spreads_over_the_data(spark):
     df = spark.range(20000)
     got = [row["id"] for row in hash_sample(df, 2000, 1).collect()]
