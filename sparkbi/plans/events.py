@@ -19,6 +19,7 @@ from sparkbi.session import checkpoint_dir
 from sparkbi.streaming.compaction import compact_batch, compact_stream, read_compacted
 from sparkbi.streaming.envelope import ENVELOPE, file_stream, validate
 from sparkbi.streaming.landing import write_bronze, write_quarantine
+from sparkbi.streaming.newest import latest, newest_wins, rocksdb_state
 
 PEPPER = "sample-pepper"
 KEYS, ORDER = ("user_id",), ("ts", "event_id")
@@ -288,8 +289,8 @@ def stream_compact(spark, folder):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("event_time"),
         payload.alias("payload"),
         F.date_format("ts", "yyyy-MM-dd").alias("dt"),
-        # four landing hours a day, so some later copies lie in another hour or day than the copy they replace
-        F.lpad((F.floor(F.hour("ts") / 6) * 6).cast("string"), 2, "0").alias("hour"),
+        # two landing hours a day, so some later copies lie in another hour or day than the copy they replace
+        F.lpad((F.floor(F.hour("ts") / 12) * 12).cast("string"), 2, "0").alias("hour"),
         (F.col("value") >= 1000).alias("late"),
     )
     for late in (False, True):
@@ -305,6 +306,21 @@ def stream_compact(spark, folder):
     )
 
 
+@query("stream_newest", NEWEST)
+def stream_newest(spark, folder):
+    """The events and then their later copies through the stateful stream, in two runs; the corrections add up to the newest copies."""
+    root = f"{checkpoint_dir(spark)}/newest-{uuid.uuid4().hex}"
+    rows = _copies(spark, folder)
+    fields = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema)
+    for late in (False, True):
+        rows.where((F.col("value") >= 1000) == F.lit(late)).write.mode("append").parquet(f"{root}/inbox")
+        told = newest_wins(spark.readStream.schema(fields).parquet(f"{root}/inbox"), time="ts", delay="60 days")
+        with rocksdb_state(spark):
+            told.writeStream.option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start(f"{root}/told").awaitTermination()
+    newest = latest(spark.read.parquet(f"{root}/told"), time="ts")
+    return rounded(newest, 4, "value").select("event_id", "user_id", "ts", "value")
+
+
 @query("compact_mixed_offsets", NEWEST)
 def compact_mixed_offsets(spark, folder):
     """Old copies are written with an offset that makes their text look later than the new copies in UTC."""

@@ -142,8 +142,7 @@ def _write_filters(spark: SparkSession, silver: str, run: str, folders: list[str
     if len({name for name, _ in kept.values()}) >= MOST_FILTER_RUNS:
         made = made.unionByName(_live_filters(spark, silver, kept))
         kept = {name: [run, size] for name, (_, size) in kept.items()}
-    # neighbouring blocks share files and row groups, so a small batch of ids reads few of them
-    made.repartitionByRange("size", "block").sortWithinPartitions("size", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{silver}/filters/{run}")
+    made.hint("rebalance", "size", "block").sortWithinPartitions("size", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{silver}/filters/{run}")
     return kept | own
 
 

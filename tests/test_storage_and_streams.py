@@ -13,6 +13,7 @@ from sparkbi.sources.published import fingerprint, manifest, publish, publish_ve
 from sparkbi.streaming.compaction import compact_batch, compact_into, compact_stream, first_wins, read_compacted
 from sparkbi.streaming.envelope import accepted, file_stream, validate
 from sparkbi.streaming.landing import write_bronze, write_quarantine
+from sparkbi.streaming.newest import latest, newest_wins, rocksdb_state
 
 
 def test_csv_encodings(spark, tmp_path):
@@ -304,6 +305,33 @@ def test_compaction_does_not_depend_on_order(spark, partitions):
     assert compact_batch(forward).count() == 6
 
 
+def test_newest_copy_wins_in_a_stream(spark, tmp_path):
+    told = str(tmp_path / "told")
+
+    def run(name, *events):
+        """One run from the checkpoint; what it told and how many events are in its state."""
+        before = {tuple(row) for row in spark.read.parquet(told).collect()} if os.path.isdir(told) else set()
+        drop(tmp_path / "in", name, [event(*e[:2], value=e[2]) for e in events])
+        stream = newest_wins(accepted(validate(spark.readStream.text(str(tmp_path / "in")))), delay="1 day")
+        with rocksdb_state(spark):
+            query = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(told)
+            query.awaitTermination()
+        new = [row for row in spark.read.parquet(told).collect() if tuple(row) not in before]
+        return {row["event_id"]: (json.loads(row["payload"])["v"], row["revision"]) for row in new}, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    at = "2024-01-{:02d}T{:02d}:00:00".format
+    assert run("a.json", ("x", at(1, 3), 1), ("x", at(1, 5), 2), ("x", at(1, 4), 3), ("y", at(1, 9), 4))[0] == {"x": (2, 1), "y": (4, 1)}
+    # a restart: an older copy says nothing, a newer one corrects
+    assert run("b.json", ("x", at(1, 2), 5), ("y", at(1, 10), 6), ("z", at(1, 11), 7))[0] == {"y": (6, 2), "z": (7, 1)}
+    full = run("c.json", ("w", at(9, 0), 8))
+    assert full[0] == {"w": (8, 1)}
+    # the watermark has passed x, y and z: their state is gone, a newer copy still corrects and an old one is dropped
+    again = run("d.json", ("x", at(9, 1), 9), ("y", at(1, 8), 10))
+    assert again[0] == {"x": (9, 1)} and again[1] <= 2 * 4
+    got = {row["event_id"]: json.loads(row["payload"])["v"] for row in latest(spark.read.parquet(told)).collect()}
+    assert got == {"x": 9, "y": 6, "z": 7, "w": 8}
+
+
 def test_first_copy_wins_in_a_stream(spark, tmp_path):
     drop(tmp_path / "in", "a.json", [event("x", value=1)])
     raw = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
