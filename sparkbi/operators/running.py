@@ -8,6 +8,7 @@ and both parts are combined. Ranks, as-of joins and the inventory fold are built
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -140,18 +141,25 @@ def numbered_copies(df: DataFrame, number: str) -> DataFrame:
 def hash_sample(df: DataFrame, size: int, seed: int) -> DataFrame:
     """Exactly ``min(size, rows)`` rows drawn uniformly, the same ones for any partitioning.
 
-    Every row, equal ones told apart by their number, gets a seeded hash; the smallest hashes
-    make the sample. A count per hash prefix first finds the smallest prefix range that holds
-    enough rows, so the final top-k sees little more than the sample itself.
+    Every copy of a row has a place drawn from a seeded hash of its content; the smallest places make the
+    sample. The copies of a row are counted and never written out: places of n copies in ascending
+    order are sums of exponential gaps, the k-th with rate n - k + 1, so only the first few of a row
+    have to be drawn, those below a bound that leaves a little more than ``size`` places among all rows
+    (fewer than ``size`` would be a deviation of ten standard errors).
     """
-    columns = list(df.columns)
-    prefix_bits = 16
-    rows = numbered_copies(df.withColumn("_row", row_hash(df, seed)), "_copy")
-    hashed = rows.withColumn("_hash", F.xxhash64("_row", "_copy"))
-    hashed = hashed.withColumn("_prefix", F.shiftrightunsigned("_hash", 64 - prefix_bits))
-    counted = hashed.groupBy("_prefix").count()
-    # At most 65,536 prefix rows whatever the input size, so a single-task window is bounded.
-    reach = counted.withColumn("upto", F.sum("count").over(W.orderBy("_prefix")))
-    bound = reach.where(F.col("upto") >= size).agg(F.min("_prefix").alias("bound"))
-    kept = hashed.where(F.col("_prefix") <= F.coalesce(bound.scalar(), F.lit(2**prefix_bits)))
-    return kept.orderBy("_prefix", "_hash", *[F.col(f"`{name}`") for name in columns]).limit(size).select(*columns)
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    total = df.agg(F.count(F.lit(1))).scalar()
+    share = F.lit(size + 10 * math.sqrt(size) + 50) / total
+    bound = F.when(share >= 1, F.lit(math.inf)).otherwise(-F.log1p(-share))
+    counted = df.withColumn("_row", row_hash(df, seed)).groupBy(*columns, "_row").agg(F.count(F.lit(1)).alias("_n"))
+    unit = lambda number: (F.shiftrightunsigned(F.xxhash64("_row", number), 11) + 0.5) / F.lit(2.0**53)
+    gap = lambda number: -F.log(unit(number)) / (F.col("_n") - number + 1)
+    first = F.lit(1).cast("long")
+    reached = counted.where(gap(first) < bound)
+    # no row has more places below the bound than this, up to a deviation of ten standard errors
+    mean = F.col("_n") * share
+    most = F.when(share >= 1, F.col("_n")).otherwise(F.least(F.col("_n"), F.ceil(mean + 10 * F.sqrt(mean) + 30)))
+    places = reached.withColumn("_copy", F.explode(F.sequence(first, most.cast("long"))))
+    upto = W.partitionBy(*columns, "_row").orderBy("_copy").rowsBetween(W.unboundedPreceding, W.currentRow)
+    drawn = places.withColumn("_place", F.sum(gap(F.col("_copy"))).over(upto)).where(F.col("_place") < bound)
+    return drawn.orderBy("_place", "_row", *columns).limit(size).select(*columns)

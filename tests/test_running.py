@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from sparkbi.operators.asof import attach_asof
-import sparkbi.operators.running as running_module
 from sparkbi.operators import quantiles
 from sparkbi.operators.quantiles import exact_quantiles
 from sparkbi.operators.running import BLOCK, blocked, hash_sample, ranked_values, running
@@ -117,14 +116,25 @@ def test_asof_keeps_a_null_value_as_the_latest(spark):
 
 
 def test_hash_sample_draws_rows_not_values(spark):
-    """Equal rows come in one by one: heavy values keep their share, also when their copies are dealt out in runs."""
+    """Equal rows come in one by one: heavy values keep their share, though their copies are never written out."""
     df = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, "heavy").otherwise(F.concat(F.lit("v"), F.col("id") % 50)).alias("value"))
-    before = running_module.COPIES_PER_RUN
-    samples = []
-    for runs, parts in ((before, 3), (1000, 9)):
-        running_module.COPIES_PER_RUN = runs
-        samples.append(sorted(row["value"] for row in hash_sample(df.repartition(parts), 1000, 5).collect()))
-    running_module.COPIES_PER_RUN = before
+    samples = [sorted(row["value"] for row in hash_sample(df.repartition(parts), 1000, 5).collect()) for parts in (3, 9)]
     assert samples[0] == samples[1] and len(samples[0]) == 1000
     assert abs(samples[0].count("heavy") - 700) < 75 and len(set(samples[0])) > 10
     assert sorted(row["value"] for row in hash_sample(df.limit(30), 50, 5).collect()) == sorted(row["value"] for row in df.limit(30).collect())
+
+
+def test_hash_sample_has_the_right_law_and_size(spark):
+    """Copies of a value in the sample follow the hypergeometric law; sizes near the number of rows and above are exact."""
+    df = spark.range(4000).select(F.when(F.col("id") < 1200, 0).when(F.col("id") < 1600, 1).otherwise(F.col("id")).alias("v"))
+    counts = np.array([[sum(row["v"] == v for row in got) for v in (0, 1)] for got in (hash_sample(df, 200, seed).collect() for seed in range(40))])
+    for column, many in enumerate((1200, 400)):
+        share = many / 4000
+        spread = math.sqrt(200 * share * (1 - share) * (3800 / 3999))
+        assert abs(counts[:, column].mean() - 200 * share) < 4 * spread / math.sqrt(40) and 0.6 * spread < counts[:, column].std() < 1.5 * spread
+    for size in (1, 3700, 3999, 4000, 9000):
+        got = hash_sample(df, size, 3).collect()
+        assert len(got) == min(size, 4000) and sum(row["v"] == 0 for row in got) <= 1200 and len({row["v"] for row in got if row["v"] > 1}) == sum(row["v"] > 1 for row in got)
+    assert hash_sample(df.where("false"), 5, 1).count() == 0
+    plan = hash_sample(df, 200, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
