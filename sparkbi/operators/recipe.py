@@ -26,6 +26,7 @@ from sparkbi.functions.columns import (
     typed_literal,
 )
 from sparkbi.operators.aggregates import group_aggregate
+from sparkbi.operators.heavy import heavy_keys, join_split
 from sparkbi.operators.quantiles import exact_quantiles
 
 MAX_STEPS = 50
@@ -206,7 +207,10 @@ def _check_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:
 
 
 def join(df: DataFrame, config: dict, context: Context) -> DataFrame:
-    """Left or inner join on key pairs; null keys match, name clashes get ``_right``."""
+    """Left or inner join on key pairs; null keys match, name clashes get ``_right``.
+
+    ``split_heavy`` looks for keys with a large share of the left rows first and splits these over tasks.
+    """
     left_on = list(config.get("left_on", []))
     right_on = list(config.get("right_on", left_on))
     how, validate = config.get("how", "left"), config.get("validate")
@@ -232,11 +236,11 @@ def join(df: DataFrame, config: dict, context: Context) -> DataFrame:
         raise ValueError(f"columns would appear twice: {', '.join(clash)}")
     # Unique temporary names keep both sides addressable while joining.
     moved = right.select(*[F.col(f"`{name}`").alias(f"_r_{name}") for name in right.columns])
-    match = reduce(
-        Column.__and__, [F.col(f"`{l}`").eqNullSafe(F.col(f"`_r_{r}`")) for l, r in zip(left_on, right_on)]
-    )
     kept = [F.col(f"`_r_{name}`").alias(new) for name, new in final.items() if name not in merged]
-    return df.join(moved, match, how).select(*[F.col(f"`{name}`") for name in df.columns], *kept)
+    heavy = heavy_keys(df, left_on) if config.get("split_heavy") else {}
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = join_split(df, moved, left_on, [f"_r_{name}" for name in right_on], how, heavy, tasks)
+    return joined.select(*[F.col(f"`{name}`") for name in df.columns], *kept)
 
 
 OPERATIONS: dict[str, Callable[[DataFrame, dict, Context], DataFrame]] = {

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sparkbi.functions.columns import as_double, dtype, is_number, number, require, row_order, to_time
 from sparkbi.operators.aggregates import first_value
 from sparkbi.operators.profile import profile
-from sparkbi.operators.running import hash_sample, quantile_columns, ranked_values
+from sparkbi.operators.ranks import with_ranks
+from sparkbi.operators.running import hash_sample
 from sparkbi.session import cut_lineage
 
 MAX_LEVELS, MIN_DAYS = 30, 3
@@ -121,29 +122,37 @@ def _merged(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _cuts(side: str) -> dict[str, Column]:
+    """The clipping quantiles of one ranked side as aggregates, linearly interpolated."""
+    found = {}
+    for name, p in CLIP.items():
+        place = F.lit(float(p)) * (F.col(f"{side}_total") - 1)
+        before, upto = F.col(f"{side}_before"), F.col(f"{side}_before") + F.col(f"{side}_same")
+        low, high = (F.max(F.when((before <= edge(place)) & (edge(place) < upto), F.col(side))) for edge in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        found[name] = F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
+    return found
+
+
 def numeric_numeric(pairs: DataFrame) -> DataFrame:
-    """Spearman and winsorised Pearson per candidate from ``column, x, y`` rows."""
-    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in ("x", "y")])
-    ranks = ranked_values(pairs.select("column", F.inline(both)), ["column", "side"], "v")
-    cuts = ranks.groupBy("column", "side").agg(*quantile_columns("v", CLIP), F.count(F.lit(1)).alias("levels"))
-    limits = cuts.groupBy("column").agg(
-        *[
-            F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{side}_{name}")
-            for side in ("x", "y")
-            for name in (*CLIP, "levels")
-        ]
-    )
-    centred = F.col("rank") - (F.col("total") + 1) / 2
+    """Spearman and winsorised Pearson per candidate from ``column, x, y`` rows.
+
+    Equal pairs are counted first; then each side is ranked where its rows lie, so ranks are never joined back
+    and a value with a third of all rows spreads over tasks.
+    """
     joined = _merged(pairs)
-    for side in ("x", "y"):
-        one = ranks.where(F.col("side") == side).select("column", F.col("v").alias(side), centred.alias(f"r{side}"))
-        joined = joined.join(one, ["column", side])
+    for side, other in (("x", "y"), ("y", "x")):
+        joined = with_ranks(joined, ["column"], side, "n", [other], prefix=f"{side}_")
+    limits = joined.groupBy("column").agg(
+        *[cut.alias(f"{side}_{name}") for side in ("x", "y") for name, cut in _cuts(side).items()],
+        *[F.count_if(f"{side}_opens").alias(f"{side}_levels") for side in ("x", "y")],
+    )
     # One row per candidate column, so the broadcast is bounded by the candidate limit.
     joined = joined.join(F.broadcast(limits), "column")
     for side in ("x", "y"):
         clipped = F.least(F.greatest(F.col(side), F.col(f"{side}_low")), F.col(f"{side}_high"))
         # Measuring from the median keeps the sums of squares well conditioned.
-        joined = joined.withColumn(f"c{side}", clipped - F.col(f"{side}_middle"))
+        joined = joined.withColumns({f"c{side}": clipped - F.col(f"{side}_middle"), f"r{side}": F.col(f"{side}_rank") - (F.col(f"{side}_total") + 1) / 2})
     n = F.col("n")
     sums = joined.groupBy("column").agg(
         F.sum(n).alias("size"),

@@ -3,7 +3,7 @@
 A plain window sends a whole group to a single task. Here rows are range-partitioned by
 (group, order), so a hot group spreads over as many blocks as its size needs. Each block
 is scanned on its own, block totals are carried across blocks (one small row per block),
-and both parts are combined. Ranks, as-of joins and the inventory fold are built on this.
+and both parts are combined. As-of joins and the inventory fold are built on this.
 """
 
 from __future__ import annotations
@@ -89,40 +89,6 @@ def _carry(rows, order, sums, peaks, lasts, totals) -> DataFrame:
     return shifted.select(GROUP, BLOCK, *[f"_c_{name}" for name in (*sums, *peaks, *lasts, *totals)])
 
 
-def ranked_values(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """One row per (group, distinct value) with its count, position and average rank.
-
-    Columns: group, value, ``n`` (copies), ``seen`` (rows up to and including the value),
-    ``total`` (rows in the group) and ``rank`` (average rank of the tied copies).
-    """
-    copies = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counted = df.groupBy(*group, value).agg(copies.alias("n"))
-    scanned = running(counted, group, [value], sums={"seen": F.col("n")}, totals={"total": F.col("n")})
-    return scanned.withColumn("rank", F.col("seen") - (F.col("n") - 1) / 2)
-
-
-def quantile_columns(value: str, probabilities: dict[str, float]) -> list[Column]:
-    """Aggregates over ranked rows giving exact, linearly interpolated quantiles.
-
-    Needs ``n``, ``seen`` and ``total`` as ``ranked_values`` makes them.
-    """
-    return [
-        (F.max(_at(F.floor(place), value)) * (1 - F.max(place - F.floor(place))) + F.max(_at(F.ceil(place), value)) * F.max(place - F.floor(place))).alias(name)
-        for name, place in _places(probabilities).items()
-    ]
-
-
-def _places(probabilities: dict[str, float]) -> dict[str, Column]:
-    """Zero-based, possibly fractional position of each quantile in its group."""
-    return {name: F.lit(float(p)) * (F.col("total") - 1) for name, p in probabilities.items()}
-
-
-def _at(position: Column, value: str) -> Column:
-    """The value of a row whose copies cover ``position``, else null."""
-    covers = (F.col("seen") - F.col("n") <= position) & (position < F.col("seen"))
-    return F.when(covers, F.col(value))
-
-
 def numbered_copies(df: DataFrame, number: str) -> DataFrame:
     """The rows of ``df`` with ``number`` counting equal rows from 0, whatever the partitioning.
 

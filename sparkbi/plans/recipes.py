@@ -246,14 +246,14 @@ def recipe_pivot(spark, folder):
 CUSTOMERS = "(SELECT nullif(c_custkey % 100, 7) AS k, min(c_name) AS c_name, count(*) AS o_orderstatus FROM customer GROUP BY 1)"
 
 
-def _join(how: str):
+def _join(how: str, **more):
     def build(spark, folder):
         orders = table(spark, folder, "orders").select(
             "o_orderkey", F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey") % 200).alias("k"), "o_orderstatus"
         )
         right = table(spark, folder, "customer").groupBy(F.nullif(F.col("c_custkey") % 100, F.lit(7)).alias("k"))
         right = right.agg(F.min("c_name").alias("c_name"), F.count(F.lit(1)).alias("o_orderstatus"))
-        config = {"right_dataset_id": "customers", "left_on": ["k"], "how": how, "validate": "many_to_one"}
+        config = {"right_dataset_id": "customers", "left_on": ["k"], "how": how, "validate": "many_to_one", **more}
         return build_recipe(orders, [Step("join", config)], lookup={"customers": right}.__getitem__)
 
     return build
@@ -269,6 +269,7 @@ def _join_sql(kind: str) -> str:
 
 query("recipe_join_left_nullkeys", _join_sql("LEFT"))(_join("left"))
 query("recipe_join_inner_nullkeys", _join_sql("INNER"))(_join("inner"))
+query("recipe_join_split", _join_sql("LEFT"))(_join("left", split_heavy=True))
 
 
 @query(

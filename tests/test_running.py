@@ -10,7 +10,8 @@ from pyspark.sql import Window as W, functions as F
 from sparkbi.operators.asof import attach_asof
 from sparkbi.operators import quantiles
 from sparkbi.operators.quantiles import exact_quantiles
-from sparkbi.operators.running import BLOCK, blocked, hash_sample, ranked_values, running
+from sparkbi.operators.ranks import with_ranks
+from sparkbi.operators.running import BLOCK, blocked, hash_sample, running
 
 
 def hot(spark, rows=3000):
@@ -56,12 +57,6 @@ def test_running_without_groups_and_with_null_groups(spark):
     assert sorted(row["s"] for row in alone.collect()) == [5, 11, 18]
 
 
-def test_average_ranks(spark):
-    df = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9, 5, 5)], "g string, v int")
-    got = {row["v"]: (row["n"], row["seen"], row["total"], row["rank"]) for row in ranked_values(df, ["g"], "v").collect()}
-    assert got == {1: (2, 2, 6, 1.5), 5: (3, 5, 6, 4.0), 9: (1, 6, 6, 6.0)}
-
-
 def test_exact_quantiles_equal_numpy(spark, partitions):
     rnd = np.random.default_rng(2)
     values = {"a": rnd.normal(size=501), "b": rnd.integers(0, 4, 300).astype(float), "c": np.array([7.0])}
@@ -138,3 +133,24 @@ def test_hash_sample_has_the_right_law_and_size(spark):
     assert hash_sample(df.where("false"), 5, 1).count() == 0
     plan = hash_sample(df, 200, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_ranks_in_place(spark, partitions):
+    """Groups and single values over many blocks, null groups and weights; against ranks of the written-out rows."""
+    rnd = np.random.default_rng(8)
+    rows = [(g, float(v), int(t), int(w)) for g in ("a", None, "c") for v, t, w in zip(np.round(rnd.normal(size=120), 1), rnd.permutation(120), rnd.integers(1, 5, 120))]
+    rows += [("a", 0.5, 1000 + t, 2) for t in range(260)] + [("one", 7.0, 0, 3)]  # one value with more than a third of all rows
+    df = spark.createDataFrame(rows, "g string, v double, t int, w int").repartition(6)
+    got = with_ranks(df, ["g"], "v", "w", ["t"], prefix="v_").collect()
+    assert sorted((row["g"] or "", row["v"], row["t"], row["w"]) for row in got) == sorted((g or "", v, t, w) for g, v, t, w in rows)
+    for g in ("a", None, "c", "one"):
+        written = np.array([v for key, v, _, w in rows if key == g for _ in range(w)])
+        mine = [row for row in got if row["g"] == g]
+        for row in mine:
+            assert (row["v_before"], row["v_same"], row["v_total"]) == ((written < row["v"]).sum(), (written == row["v"]).sum(), len(written))
+            assert row["v_rank"] == (written < row["v"]).sum() + ((written == row["v"]).sum() + 1) / 2
+        assert sorted(row["v"] for row in mine if row["v_opens"]) == sorted(set(written))
+    if partitions == 64:  # the hot value is ranked in many tasks
+        hot = with_ranks(df, ["g"], "v", "w", ["t"]).where("g = 'a' and v = 0.5").groupBy(F.spark_partition_id()).count().collect()
+        assert len(hot) > 10 and max(row["count"] for row in hot) < 60
+    assert with_ranks(df.where("false"), ["g"], "v", "w").count() == 0
