@@ -222,10 +222,15 @@ def snapshots(matches: DataFrame, timelines: DataFrame, minutes: Sequence[int] =
     )
 
 
-def check_patch(states: DataFrame, items: DataFrame) -> None:
-    """Refuse a catalog that lacks the patch of some match."""
+def lacking_patches(states: DataFrame, items: DataFrame) -> DataFrame:
+    """The patches (``patch``) of played matches that an item catalog lacks."""
     played = states.where(F.col("game_version").isNotNull()).select(patch_key(F.col("game_version")).alias("patch"))
     known = items.select(patch_key(F.col("patch")).alias("patch")).distinct()
-    lacking = [row["patch"] for row in played.distinct().join(known, "patch", "left_anti").limit(20).collect()]
+    return played.distinct().join(known, "patch", "left_anti")
+
+
+def check_patch(states: DataFrame, items: DataFrame) -> None:
+    """Refuse a catalog that lacks the patch of some match."""
+    lacking = [row["patch"] for row in lacking_patches(states, items).limit(20).collect()]
     if lacking:
         raise ValueError(f"no item catalog for patches: {', '.join(sorted(lacking))}")

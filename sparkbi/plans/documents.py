@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkbi.operators.catalog import champion_catalog, efficiency, item_catalog, reference_prices, rune_catalog
-from sparkbi.operators.documents import flatten_events, match_item_events, participants, snapshots
+from sparkbi.operators.documents import flatten_events, lacking_patches, match_item_events, participants, snapshots
 from sparkbi.operators.inventory import joined_text
 from sparkbi.operators.pricing import price_model
 from sparkbi.plans.bi import rounded
@@ -371,3 +371,15 @@ def price_model_bound(spark, folder):
     items = priced_items(spark, folder).withColumn("total_gold", 1000 + (100 - 2.0 * F.col("ad")) + 5 * F.col("ap"))
     found = price_model(items, ["ad", "ap"], row_key=["item_id"], bootstrap=20)
     return rounded(found.select("stat", "ridge_gold_per_unit"), 4, "ridge_gold_per_unit")
+
+
+@query(
+    "patch_refusals",
+    "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) || '.' || month(o_orderdate) AS patch FROM orders WHERE month(o_orderdate) > 6",
+)
+def patch_refusals(spark, folder):
+    """Patches played in the second half of each year, for which a catalog made of the first half has no items."""
+    states = participants(matches(spark, folder), PEPPER).select("game_version")
+    known = table(spark, folder, "orders").where(F.month("o_orderdate") <= 6)
+    items = known.select(F.concat(F.year("o_orderdate").cast("string"), F.lit("."), F.month("o_orderdate"), F.lit(".1")).alias("patch"))
+    return lacking_patches(states, items)

@@ -50,6 +50,15 @@ def previewed(spark, folder):
     return preview(table(spark, folder, "orders"), 100)
 
 
+@query(
+    "preview_ordered",
+    "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS o_orderdate) FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
+)
+def preview_ordered(spark, folder):
+    """The preview of an ordered table is its first rows, times in ISO text."""
+    return preview(table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey"), 100)
+
+
 @query(
     "union_all",
     "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier",
