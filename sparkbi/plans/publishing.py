@@ -10,6 +10,7 @@ from sparkbi.functions.hashing import fingerprint_columns
 from sparkbi.operators.recipe import Step
 from sparkbi.plans.registry import query, table
 from sparkbi.session import checkpoint_dir
+from sparkbi.operators.query import Filter
 from sparkbi.sources.files import coerce_datetimes, preview, read_csv, read_parquet, union_all
 from sparkbi.sources.published import publish, read_current, run_recipe, sync_named
 
@@ -59,6 +60,22 @@ def preview_ordered(spark, folder):
     return preview(table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey"), 100)
 
 
+@query(
+    "publish_clustered",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, true AS few_files FROM orders
+    WHERE o_totalprice > 400000 AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'
+    """,
+)
+def publish_clustered(spark, folder):
+    """Orders clustered by price and date; a filter on both opens at most half of the sixteen files."""
+    root = _scratch(spark)
+    publish(table(spark, folder, "orders"), root, "orders", with_profile=False, cluster_by=["o_totalprice", "o_orderdate"], files=16)
+    filters = [Filter("o_totalprice", "gt", 400000), Filter("o_orderdate", "gte", "1997-01-01"), Filter("o_orderdate", "lt", "1998-01-01")]
+    found = read_current(spark, root, "orders", filters=filters)
+    return found.withColumn("few_files", F.lit(len(found.inputFiles()) <= 8))
+
+
 @query(
     "union_all",
     "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier",

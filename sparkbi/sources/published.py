@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, types as T
 from sparkbi.functions.columns import clean_nan
 from sparkbi.functions.hashing import fingerprint_columns, fingerprint_text
 from sparkbi.operators.profile import profile
+from sparkbi.operators.query import Filter, apply_filters
 from sparkbi.operators.recipe import Step, build_recipe
+from sparkbi.sources.clustering import clustered, file_ranges, files_for
 
 DATASET_NAME = re.compile(r"[\w][\w .\-]*")
 MANIFEST_NAME = re.compile(r"v(\d{6})\.json")
@@ -88,12 +90,14 @@ def fingerprint(df: DataFrame) -> str:
     return fingerprint_text(df.columns, row["row_count"], row["hash_a"], row["hash_b"])
 
 
-def _stage(spark: SparkSession, root: str, dataset: str, df: DataFrame) -> dict[str, Any]:
+def _stage(spark: SparkSession, root: str, dataset: str, df: DataFrame, cluster_by: Sequence[str] = (), files: int | None = None) -> dict[str, Any]:
     """Write the files of a version without sealing it; row count and content hash come from the same pass.
 
     NaN becomes null here, so filters on published data reach the scan as they are.
     """
     df = clean_nan(df)
+    if cluster_by:
+        df = clustered(df, cluster_by, files)
     data_id = uuid.uuid4().hex
     seen = Observation(data_id)
     df.observe(seen, *fingerprint_columns(df)).write.option("compression", "zstd").parquet(f"{_folder(root, dataset)}/data/{data_id}")
@@ -103,6 +107,7 @@ def _stage(spark: SparkSession, root: str, dataset: str, df: DataFrame) -> dict[
         "row_count": facts["row_count"],
         "fingerprint": fingerprint_text(df.columns, facts["row_count"], facts["hash_a"], facts["hash_b"]),
         "schema": df.schema,
+        "cluster_by": list(cluster_by),
     }
 
 
@@ -111,6 +116,8 @@ def _seal(spark, root, dataset, staged, source_type, recipe_name, steps, with_pr
     store = Store(spark, root)
     data = f"data/{staged['version_id']}"
     files = {name: size for name, size in store.sizes(f"{folder}/{data}").items() if name.endswith(".parquet")}
+    by = staged["cluster_by"]
+    ranges = file_ranges(spark.read.schema(staged["schema"]).parquet(f"{folder}/{data}"), by) if by else {}
     described = profile(spark.read.schema(staged["schema"]).parquet(f"{folder}/{data}")).toJSON().collect() if with_profile else []
     manifest = {
         "dataset": dataset,
@@ -122,7 +129,8 @@ def _seal(spark, root, dataset, staged, source_type, recipe_name, steps, with_pr
         "columns": json.loads(staged["schema"].json())["fields"],
         "fingerprint": staged["fingerprint"],
         "data": data,
-        "files": [{"path": name, "bytes": size} for name, size in sorted(files.items())],
+        "files": [{"path": name, "bytes": size} | ({"ranges": ranges[name]} if name in ranges else {}) for name, size in sorted(files.items())],
+        "cluster_by": by,
         "profile": [json.loads(line) for line in described],
         "recipe": {"name": recipe_name, "steps": steps},
     }
@@ -134,25 +142,40 @@ def _seal(spark, root, dataset, staged, source_type, recipe_name, steps, with_pr
     return manifest
 
 
-def _write(spark, root, dataset, df, source_type, recipe_name, steps, with_profile) -> dict[str, Any]:
-    return _seal(spark, root, dataset, _stage(spark, root, dataset, df), source_type, recipe_name, steps, with_profile)
+def _write(spark, root, dataset, df, source_type, recipe_name, steps, with_profile, cluster_by=(), files=None) -> dict[str, Any]:
+    return _seal(spark, root, dataset, _stage(spark, root, dataset, df, cluster_by, files), source_type, recipe_name, steps, with_profile)
 
 
-def publish(df: DataFrame, root: str, dataset: str, source_type: str = "upload", with_profile: bool = True) -> dict[str, Any]:
-    """Publish ``df`` as version 1 of a new dataset and return its manifest."""
+def publish(
+    df: DataFrame, root: str, dataset: str, source_type: str = "upload", with_profile: bool = True, cluster_by: Sequence[str] = (), files: int | None = None
+) -> dict[str, Any]:
+    """Publish ``df`` as version 1 of a new dataset and return its manifest.
+
+    With ``cluster_by`` rows are placed so that every file covers small ranges of these columns, and the
+    manifest keeps the ranges, by which ``read_current`` leaves files out.
+    """
     spark = df.sparkSession
     if _versions(Store(spark, root), _folder(root, dataset)):
         raise ValueError(f"dataset exists already: {dataset}")
-    return _write(spark, root, dataset, df, source_type, None, [], with_profile)
+    return _write(spark, root, dataset, df, source_type, None, [], with_profile, cluster_by, files)
 
 
 def publish_version(
-    df: DataFrame, root: str, dataset: str, recipe_name: str, steps: Sequence[dict] = (), with_profile: bool = True
+    df: DataFrame,
+    root: str,
+    dataset: str,
+    recipe_name: str,
+    steps: Sequence[dict] = (),
+    with_profile: bool = True,
+    cluster_by: Sequence[str] | None = None,
+    files: int | None = None,
 ) -> dict[str, Any]:
-    """Publish ``df`` as the next version, keeping the recipe that made it."""
+    """Publish ``df`` as the next version, keeping the recipe that made it, clustered as the version before unless told otherwise."""
     spark = df.sparkSession
-    source_type = manifest(spark, root, dataset)["source_type"]
-    return _write(spark, root, dataset, df, source_type, recipe_name, list(steps), with_profile)
+    before = manifest(spark, root, dataset)
+    if cluster_by is None:
+        cluster_by = [name for name in before.get("cluster_by", []) if name in df.columns]
+    return _write(spark, root, dataset, df, before["source_type"], recipe_name, list(steps), with_profile, cluster_by, files)
 
 
 def manifest(spark: SparkSession, root: str, dataset: str, version: int | None = None) -> dict[str, Any]:
@@ -164,8 +187,11 @@ def manifest(spark: SparkSession, root: str, dataset: str, version: int | None =
     return json.loads(store.read(f"{folder}/manifests/v{version or numbers[-1]:06d}.json"))
 
 
-def read_current(spark: SparkSession, root: str, dataset: str, version: int | None = None) -> DataFrame:
-    """A published version, refusing when a file its manifest lists is missing."""
+def read_current(spark: SparkSession, root: str, dataset: str, version: int | None = None, filters: Sequence[Filter] = ()) -> DataFrame:
+    """A published version, refusing when a file its manifest lists is missing.
+
+    ``filters`` are applied; in a clustered version, files whose ranges rule out any match are not opened.
+    """
     sealed = manifest(spark, root, dataset, version)
     target = f"{_folder(root, dataset)}/{sealed['data']}"
     present = Store(spark, root).sizes(target)
@@ -177,7 +203,9 @@ def read_current(spark: SparkSession, root: str, dataset: str, version: int | No
         raise OSError(f"published files have changed: {', '.join(short[:5])}")
     schema = T.StructType.fromJson({"type": "struct", "fields": sealed["columns"]})
     # Only what the manifest lists: a file that somebody left in the folder is no part of the version.
-    return spark.read.schema(schema).parquet(*[f"{target}/{item['path']}" for item in sealed["files"]])
+    wanted = files_for(spark, schema, sealed["files"], filters) if filters else [item["path"] for item in sealed["files"]]
+    rows = spark.read.schema(schema).parquet(*[f"{target}/{name}" for name in wanted]) if wanted else spark.createDataFrame([], schema)
+    return apply_filters(rows, filters)
 
 
 def sync_named(df: DataFrame, root: str, dataset: str, source_type: str, with_profile: bool = True) -> dict[str, Any]:
@@ -191,7 +219,7 @@ def sync_named(df: DataFrame, root: str, dataset: str, source_type: str, with_pr
         current = manifest(spark, root, dataset)
     except KeyError:
         return publish(df, root, dataset, source_type, with_profile)
-    staged = _stage(spark, root, dataset, df)
+    staged = _stage(spark, root, dataset, df, [name for name in current.get("cluster_by", []) if name in df.columns])
     if current["fingerprint"] == staged["fingerprint"]:
         Store(spark, root).remove(f"{_folder(root, dataset)}/data/{staged['version_id']}")
         return current

@@ -103,6 +103,38 @@ def test_publish_and_versions(spark, tmp_path):
         publish(df, root, "../outside")
 
 
+def test_clustered_versions_leave_files_out(spark, tmp_path):
+    root = str(tmp_path)
+    moment = F.timestamp_micros(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10**15)))
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id"), F.lit(1000)).cast("int")).alias("x"),
+        moment.alias("t"),
+        F.concat(F.lit("k"), F.lpad(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10_000)).cast("string"), 4, "0")).alias("s"),
+        (F.col("id") / 7).alias("v"),
+    )
+    sealed = publish(df, root, "d", with_profile=False, cluster_by=["x", "t", "s"], files=64)
+    assert len(sealed["files"]) > 40 and all(set(item["ranges"]) == {"x", "t", "s"} for item in sealed["files"])
+    cases = {
+        0.8: [[Filter("x", "gt", 900)], [Filter("x", "lt", 50.5)], [Filter("t", "gte", "2001-01-01T00:00:00")], [Filter("s", "eq", "k0100")], [Filter("x", "in", [3, 990])], [Filter("x", "eq", None)]],
+        0.35: [[Filter("x", "gt", 900), Filter("t", "lt", "1972-01-01"), Filter("s", "in", ["k0007", "k0008"])]],
+        1.0: [[Filter("v", "lt", 100)], [Filter("x", "ne", 5)]],
+        0.0: [[Filter("x", "gt", 5000)], [Filter("x", "eq", "no number")]],
+    }
+    for most, groups in cases.items():
+        for filters in groups:
+            got = read_current(spark, root, "d", filters=filters)
+            assert len(got.inputFiles()) <= most * len(sealed["files"])
+            assert sorted(map(str, got.collect())) == sorted(map(str, apply_filters(df, filters).collect()))
+    # the next version keeps the layout; a frame without rows and a column of nulls are no trouble
+    assert publish_version(df.where("x > 500"), root, "d", "later", with_profile=False)["cluster_by"] == ["x", "t", "s"]
+    nothing = publish(df.where("false"), root, "e", with_profile=False, cluster_by=["x"])
+    assert nothing["row_count"] == 0 and read_current(spark, root, "e", filters=[Filter("x", "gt", 1)]).count() == 0
+    publish(df.withColumn("x", F.lit(None).cast("int")), root, "n", with_profile=False, cluster_by=["x", "s"], files=4)
+    assert read_current(spark, root, "n", filters=[Filter("x", "eq", None)]).count() == 20_000
+    with pytest.raises(ValueError):
+        publish(df, root, "f", cluster_by=["lost"])
+
+
 def test_a_claimed_number_is_not_reused(spark, tmp_path):
     root = str(tmp_path)
     df = spark.range(1)
