@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Header spellings, source tags and the preferred column order.
+# Header spellings, source tags, the preferred column order, required headers, numeric columns and rates.
 ALIASES = {
     "version": "patch",
     "patch_version": "patch",
@@ -27,7 +27,6 @@ PREFERRED = (
     "item_id", "item_name", "build_order", "sample_games", "pick_rate",
     "win_rate", "source_url", "collected_at", "benchmark_source", "usage_scope",
 )
-
 NAMED = ({"champion_id", "champion_name"}, {"item_id", "item_name", "build_order"}, {"win_rate", "pick_rate", "sample_games"})
 NUMBERS = ("champion_id", "item_id", "sample_games", "win_rate", "pick_rate")
 RATES = ("win_rate", "pick_rate")

@@ -350,8 +350,8 @@ def at_grain(df: DataFrame, request: Request) -> DataFrame:
 def analyze(df: DataFrame, request: Request, profiled: DataFrame | None = None) -> DataFrame:
     """Scored relations of ``request.column``, best first within each relation type.
 
-    The profile is collected (one row per column) to choose candidates; everything after
-    that is lazy. ``sample_limit`` is off unless given: statistics use all rows.
+    The profile is collected (one row per column) to choose candidates, and numeric relations sort
+    their pairs into checkpointed blocks while they are built; the rest is lazy. ``sample_limit`` is off unless given: statistics use all rows.
     """
     # One row per column of the table.
     facts = judged(profile(df) if profiled is None else profiled, request).orderBy("place").collect()
