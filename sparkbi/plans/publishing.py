@@ -11,6 +11,7 @@ from sparkbi.operators.recipe import Step
 from sparkbi.plans.registry import query, table
 from sparkbi.session import checkpoint_dir
 from sparkbi.operators.query import Filter
+from sparkbi.sources.differences import sync_changed
 from sparkbi.sources.files import coerce_datetimes, preview, read_csv, read_parquet, union_all
 from sparkbi.sources.published import publish, read_current, run_recipe, sync_named
 
@@ -60,6 +61,21 @@ def preview_ordered(spark, folder):
     return preview(table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey"), 100)
 
 
+@query(
+    "sync_changed_bucket",
+    "SELECT c_custkey, c_name, CASE WHEN c_custkey = 5 THEN 0 ELSE c_acctbal END AS c_acctbal, 1 AS written FROM customer WHERE c_custkey <> 6",
+)
+def sync_changed_bucket(spark, folder):
+    """A changed row rewrites one key bucket; a deleted one another, if it is not the same, in a later sync."""
+    root = _scratch(spark)
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    sync_changed(rows, root, "customers", ["c_custkey"], "api")
+    paid = rows.withColumn("c_acctbal", F.when(F.col("c_custkey") == 5, 0.0).otherwise(F.col("c_acctbal")))
+    sync_changed(paid, root, "customers", ["c_custkey"], "api")
+    last = sync_changed(paid.where("c_custkey <> 6"), root, "customers", ["c_custkey"], "api")
+    return read_current(spark, root, "customers").withColumn("written", F.lit(len(last["buckets_written"])))
+
+
 @query(
     "publish_clustered",
     """

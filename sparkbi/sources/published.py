@@ -111,14 +111,22 @@ def _stage(spark: SparkSession, root: str, dataset: str, df: DataFrame, cluster_
     }
 
 
+def _location(folder: str, data: str, item: dict[str, Any]) -> str:
+    """Where a file of a manifest lies; one that an earlier version wrote names that version's data."""
+    return f"{folder}/{item.get('data', data)}/{item['path']}"
+
+
 def _seal(spark, root, dataset, staged, source_type, recipe_name, steps, with_profile) -> dict[str, Any]:
     folder = _folder(root, dataset)
     store = Store(spark, root)
     data = f"data/{staged['version_id']}"
-    files = {name: size for name, size in store.sizes(f"{folder}/{data}").items() if name.endswith(".parquet")}
+    files = staged.get("files")
+    if files is None:
+        files = [{"path": name, "bytes": size} for name, size in sorted(store.sizes(f"{folder}/{data}").items()) if name.endswith(".parquet")]
     by = staged["cluster_by"]
     ranges = file_ranges(spark.read.schema(staged["schema"]).parquet(f"{folder}/{data}"), by) if by else {}
-    described = profile(spark.read.schema(staged["schema"]).parquet(f"{folder}/{data}")).toJSON().collect() if with_profile else []
+    paths = [_location(folder, data, item) for item in files]
+    described = profile(spark.read.schema(staged["schema"]).parquet(*paths)).toJSON().collect() if with_profile and paths else []
     manifest = {
         "dataset": dataset,
         "source_type": source_type,
@@ -129,11 +137,11 @@ def _seal(spark, root, dataset, staged, source_type, recipe_name, steps, with_pr
         "columns": json.loads(staged["schema"].json())["fields"],
         "fingerprint": staged["fingerprint"],
         "data": data,
-        "files": [{"path": name, "bytes": size} | ({"ranges": ranges[name]} if name in ranges else {}) for name, size in sorted(files.items())],
+        "files": [item | ({"ranges": ranges[item["path"]]} if item["path"] in ranges else {}) for item in files],
         "cluster_by": by,
         "profile": [json.loads(line) for line in described],
         "recipe": {"name": recipe_name, "steps": steps},
-    }
+    } | staged.get("more", {})
     number = max(_versions(store, folder), default=0) + 1
     while not store.claim(f"{folder}/manifests/v{number:06d}.claim"):
         number += 1
@@ -193,9 +201,11 @@ def read_current(spark: SparkSession, root: str, dataset: str, version: int | No
     ``filters`` are applied; in a clustered version, files whose ranges rule out any match are not opened.
     """
     sealed = manifest(spark, root, dataset, version)
-    target = f"{_folder(root, dataset)}/{sealed['data']}"
-    present = Store(spark, root).sizes(target)
-    lost = [item["path"] for item in sealed["files"] if item["path"] not in present]
+    folder, store = _folder(root, dataset), Store(spark, root)
+    at = {item["path"]: _location(folder, sealed["data"], item) for item in sealed["files"]}
+    listed = {parent: store.sizes(parent) for parent in {path.rpartition("/")[0] for path in at.values()}}
+    present = {path: listed[place.rpartition("/")[0]].get(place.rpartition("/")[2]) for path, place in at.items()}
+    lost = [path for path, size in present.items() if size is None]
     if lost:
         raise FileNotFoundError(f"published files are missing: {', '.join(lost[:5])}")
     short = [item["path"] for item in sealed["files"] if present[item["path"]] != item["bytes"]]
@@ -204,7 +214,7 @@ def read_current(spark: SparkSession, root: str, dataset: str, version: int | No
     schema = T.StructType.fromJson({"type": "struct", "fields": sealed["columns"]})
     # Only what the manifest lists: a file that somebody left in the folder is no part of the version.
     wanted = files_for(spark, schema, sealed["files"], filters) if filters else [item["path"] for item in sealed["files"]]
-    rows = spark.read.schema(schema).parquet(*[f"{target}/{name}" for name in wanted]) if wanted else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*[at[name] for name in wanted]) if wanted else spark.createDataFrame([], schema)
     return apply_filters(rows, filters)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkbi.operators.recipe import Step
 from sparkbi.operators.query import Filter, apply_filters
+from sparkbi.sources.differences import sync_changed
 from sparkbi.sources.files import coerce_datetimes, preview, read_csv, read_file, read_parquet, union_all
 from sparkbi.sources.published import fingerprint, manifest, publish, publish_version, read_current, run_recipe, sync_named
 from sparkbi.streaming.compaction import compact_batch, compact_into, compact_stream, first_wins, read_compacted
@@ -135,6 +136,35 @@ def test_clustered_versions_leave_files_out(spark, tmp_path):
         publish(df, root, "f", cluster_by=["lost"])
 
 
+def test_sync_writes_only_changed_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [(f"k{number}" if number else None, number % 7, float(number)) for number in range(300)] + [("k1", 1, 1.0)]
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "k string, g int, v double").repartition(3)
+
+    def sync(rows, **more):
+        made = sync_changed(frame(rows), root, "d", more.pop("key", ["k"]), "api", buckets=more.pop("buckets", 16))
+        got = read_current(spark, root, "d")
+        assert got.columns == ["k", "g", "v"] and sorted(map(str, got.collect())) == sorted(map(str, frame(rows).collect()))
+        assert made["fingerprint"] == fingerprint(frame(rows)) and made["row_count"] == len(rows)
+        return made
+
+    first = sync(rows)
+    assert len(first["buckets_written"]) == 16 and first["version_number"] == 1
+    assert sync(rows[::-1])["version_number"] == 1  # the order of rows does not matter
+    changed = sync([(k, g, v + 1 if k == "k7" else v) for k, g, v in rows])
+    assert len(changed["buckets_written"]) == 1 and changed["version_number"] == 2
+    assert [name for name in os.listdir(tmp_path / "d" / changed["data"]) if "=" in name] == [f"_bucket={changed['buckets_written'][0]}"]
+    assert len(sync([row for row in rows if row[0] != "k9"])["buckets_written"]) in (1, 2)  # k7 goes back, k9 goes
+    assert len(sync(rows + [rows[20]])["buckets_written"]) in (1, 2)  # a repeated row counts
+    assert sync([row for row in rows if row[0] is None or row[0] == "k3"])["row_count"] == 2
+    assert sync([])["files"] == []
+    assert len(sync(rows, buckets=4)["buckets_written"]) == 4 and len(sync(rows, key=["g"], buckets=4)["buckets_written"]) <= 4
+    publish_version(frame(rows), root, "d", "other", with_profile=False)
+    assert len(sync_changed(frame(rows), root, "d", ["k"], "api", buckets=4)["buckets_written"]) == 4
+
+
 def test_a_claimed_number_is_not_reused(spark, tmp_path):
     root = str(tmp_path)
     df = spark.range(1)
