@@ -11,7 +11,7 @@ from sparkbi.operators.recipe import Step
 from sparkbi.plans.registry import query, table
 from sparkbi.session import checkpoint_dir
 from sparkbi.operators.query import Filter
-from sparkbi.sources.differences import sync_changed
+from sparkbi.sources.differences import merged_profile, sync_changed
 from sparkbi.sources.files import coerce_datetimes, preview, read_csv, read_parquet, union_all
 from sparkbi.sources.published import publish, read_current, run_recipe, sync_named
 
@@ -76,6 +76,34 @@ def sync_changed_bucket(spark, folder):
     return read_current(spark, root, "customers").withColumn("written", F.lit(len(last["buckets_written"])))
 
 
+@query(
+    "profile_incremental",
+    """
+    SELECT name AS "column", (SELECT count(*) FROM orders) AS rows, nulls, low, high, true AS distinct_close, true AS median_close, true AS few_read FROM (
+        SELECT 'o_orderkey' AS name, 0 AS nulls, min(o_orderkey)::DOUBLE AS low, max(o_orderkey)::DOUBLE AS high FROM orders UNION ALL
+        SELECT 'o_custkey', count(*) - count(nullif(o_custkey % 9, 0)), min(CASE WHEN o_custkey % 9 <> 0 THEN o_custkey END)::DOUBLE, max(CASE WHEN o_custkey % 9 <> 0 THEN o_custkey END)::DOUBLE FROM orders UNION ALL
+        SELECT 'o_totalprice', 0, min(CASE WHEN o_orderkey = 3 THEN 1e7 ELSE o_totalprice END), max(CASE WHEN o_orderkey = 3 THEN 1e7 ELSE o_totalprice END) FROM orders)
+    """,
+)
+def profile_incremental(spark, folder):
+    """The profile after one order changed: the sketches of one bucket are new, all others are merged as they were; estimates lie within four errors."""
+    root = _scratch(spark)
+    custkey = F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey")).alias("o_custkey")
+    rows = table(spark, folder, "orders").select("o_orderkey", custkey, "o_totalprice")
+    changed = rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") == 3, 1e7).otherwise(F.col("o_totalprice")))
+    sync_changed(rows, root, "orders", ["o_orderkey"], "api")
+    last = sync_changed(changed, root, "orders", ["o_orderkey"], "api")
+    names = ["o_orderkey", "o_custkey", "o_totalprice"]
+    long = changed.select(F.inline(F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).cast("double").alias("v")) for name in names])))
+    made = merged_profile(spark, root, "orders")
+    known = long.join(F.broadcast(made.select("column", "median")), "column").groupBy("column").agg(
+        F.count_distinct("v").alias("exact"), (F.count_if(F.col("v") <= F.col("median")) / F.count("v")).alias("share")
+    )
+    near = (F.abs(F.col("distinct") - F.col("exact")) <= 2 + 0.065 * F.col("exact")).alias("distinct_close")
+    middle = (F.abs(F.col("share") - 0.5) <= 0.02).alias("median_close")
+    return made.join(known, "column").select("column", "rows", "nulls", "low", "high", near, middle, F.lit(len(last["buckets_written"]) == 1).alias("few_read"))
+
+
 @query(
     "publish_clustered",
     """

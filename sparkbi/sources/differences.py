@@ -1,4 +1,10 @@
-"""Sync by difference: only the parts of a dataset that changed are written."""
+"""Sync by difference: only the parts of a dataset that changed are written and profiled.
+
+Beside its files a bucket keeps mergeable sketches of every column, so the profile of a new version reads the rows of the
+buckets that changed and merges the sketches of all others. Distinct counts are off by 1.6 percent (one standard
+error of a HyperLogLog sketch with 2 ** ``DISTINCT_BITS`` registers), quantiles by about half a percent of the rows (KLL of size
+``QUANTILE_SIZE``); counts, nulls and ends are exact.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,15 @@ import uuid
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sparkbi.functions.columns import clean_nan, require
+from sparkbi.functions.columns import clean_nan, is_number, require
 from sparkbi.functions.hashing import fingerprint_columns, fingerprint_text, row_hash
 from sparkbi.sources.published import SYNC_RECIPE, Store, _folder, _seal, manifest
 
 BUCKETS = 64
+DISTINCT_BITS, QUANTILE_SIZE = 12, 512
+SKETCHES = "bucket string, column string, rows long, nulls long, low double, high double, distinct binary, ranks binary"
 
 
 def _added(hashes: list[str]) -> str:
@@ -20,6 +28,49 @@ def _added(hashes: list[str]) -> str:
     return "-".join(str(sum(pieces)) for pieces in zip(*[map(int, text.split("-")) for text in hashes])) if hashes else "0-0-0-0"
 
 
+def sketches(df: DataFrame, by: str) -> DataFrame:
+    """A row per value of ``by`` and column of ``df``: counts, ends and sketches, from one scan and one small shuffle."""
+    facts, columns = [], [field for field in df.schema.fields if field.name != by]
+    for at, field in enumerate(columns):
+        column = F.col(f"`{field.name}`")
+        number = column.cast("double") if is_number(field.dataType) else F.lit(None).cast("double")
+        ranks = F.when(F.count(number) > 0, F.kll_sketch_agg_double(number, F.lit(QUANTILE_SIZE))) if is_number(field.dataType) else F.lit(None).cast("binary")
+        facts += [
+            F.count(F.lit(1)).alias(f"rows{at}"),
+            F.count_if(column.isNull()).alias(f"nulls{at}"),
+            F.min(number).alias(f"low{at}"),
+            F.max(number).alias(f"high{at}"),
+            F.hll_sketch_agg(column.cast("string"), F.lit(DISTINCT_BITS)).alias(f"distinct{at}"),
+            ranks.alias(f"ranks{at}"),
+        ]
+    names = ["rows", "nulls", "low", "high", "distinct", "ranks"]
+    rows = F.array(*[F.struct(F.lit(field.name).alias("column"), *[F.col(f"{name}{at}").alias(name) for name in names]) for at, field in enumerate(columns)])
+    return df.groupBy(F.col(by).cast("string").alias("bucket")).agg(*facts).select("bucket", F.inline(rows))
+
+
+def merged_profile(spark: SparkSession, root: str, dataset: str) -> DataFrame:
+    """``column, rows, nulls, low, high, distinct, q1, median, q3`` of the current version, merged from the sketches of its buckets."""
+    sealed = manifest(spark, root, dataset)
+    if "sketched" not in sealed:
+        raise ValueError("only versions of sync_changed keep sketches")
+    live = spark.createDataFrame(list(sealed["sketched"].items()), "bucket string, run string")  # a row per bucket
+    runs = sorted(set(sealed["sketched"].values()))
+    if not runs:
+        return spark.createDataFrame([], "column string, rows long, nulls long, low double, high double, distinct long, q1 double, median double, q3 double")
+    kept = spark.read.schema(SKETCHES).parquet(*[f"{_folder(root, dataset)}/sketches/{run}" for run in runs])
+    kept = kept.withColumn("run", F.element_at(F.split("_metadata.file_path", "/"), -2)).join(F.broadcast(live), ["bucket", "run"])
+    merged = kept.groupBy("column").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("nulls").alias("nulls"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("distinct"),
+        F.when(F.count("ranks") > 0, F.kll_merge_agg_double("ranks")).alias("_ranks"),
+    )
+    quartiles = {name: F.kll_sketch_get_quantile_double("_ranks", F.lit(share)) for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    return merged.withColumns({name: F.when(F.col("_ranks").isNotNull(), column) for name, column in quartiles.items()}).drop("_ranks")
+
+
 def sync_changed(df: DataFrame, root: str, dataset: str, key: Sequence[str], source_type: str, buckets: int = BUCKETS, with_profile: bool = False) -> dict[str, Any]:
     """Publish ``df`` as the next version, writing only key buckets whose rows differ from the current version.
 
@@ -39,7 +90,7 @@ def sync_changed(df: DataFrame, root: str, dataset: str, key: Sequence[str], sou
         current = manifest(spark, root, dataset)
     except KeyError:
         current = None
-    same_layout = current is not None and current.get("bucket_layout") == layout
+    same_layout = current is not None and current.get("bucket_layout") == layout and "sketched" in current
     known: dict[str, list] = current["bucket_hashes"] if same_layout else {}
     changed = sorted(bucket for bucket, facts in found.items() if known.get(bucket) != facts)
     if same_layout and not changed and set(known) == set(found):
@@ -49,10 +100,14 @@ def sync_changed(df: DataFrame, root: str, dataset: str, key: Sequence[str], sou
     if changed:
         rows = placed.where(F.col("_bucket").isin([int(bucket) for bucket in changed])).hint("rebalance", "_bucket")
         rows.write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{folder}/data/{data_id}")
+        # from the files just written
+        again = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(f"{folder}/data/{data_id}")
+        sketches(again, "_bucket").coalesce(1).write.parquet(f"{folder}/sketches/{data_id}")
     for bucket in changed:
         for name, size in sorted(store.sizes(f"{folder}/data/{data_id}/_bucket={bucket}").items()):
             if name.endswith(".parquet"):
                 files.append({"path": f"_bucket={bucket}/{name}", "bytes": size, "bucket": bucket})
+    sketched = {bucket: data_id if bucket in changed else current["sketched"][bucket] for bucket in found}
     row_count = sum(facts[0] for facts in found.values())
     hash_a, hash_b = (_added([facts[at] for facts in found.values()]) for at in (1, 2))
     staged = {
@@ -62,7 +117,7 @@ def sync_changed(df: DataFrame, root: str, dataset: str, key: Sequence[str], sou
         "schema": df.schema,
         "cluster_by": [],
         "files": files,
-        "more": {"bucket_layout": layout, "bucket_hashes": found, "buckets_written": changed},
+        "more": {"bucket_layout": layout, "bucket_hashes": found, "buckets_written": changed, "sketched": sketched},
     }
     kind = source_type if current is None else current["source_type"]
     return _seal(spark, root, dataset, staged, kind, None if current is None else SYNC_RECIPE, [], with_profile)

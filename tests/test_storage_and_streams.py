@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkbi.operators.recipe import Step
 from sparkbi.operators.query import Filter, apply_filters
-from sparkbi.sources.differences import sync_changed
+from sparkbi.sources.differences import merged_profile, sync_changed
 from sparkbi.sources.files import coerce_datetimes, preview, read_csv, read_file, read_parquet, union_all
 from sparkbi.sources.published import fingerprint, manifest, publish, publish_version, read_current, run_recipe, sync_named
 from sparkbi.streaming.compaction import compact_batch, compact_into, compact_stream, first_wins, read_compacted
@@ -165,6 +165,23 @@ def test_sync_writes_only_changed_buckets(spark, tmp_path):
     assert len(sync_changed(frame(rows), root, "d", ["k"], "api", buckets=4)["buckets_written"]) == 4
 
 
+def test_profiles_are_merged_from_the_sketches_of_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    df = spark.range(30_000).select("id", (F.col("id") % 700).alias("few"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("t"), F.col("id") % 90)).alias("s"), F.lit(None).cast("double").alias("none"))
+    sync_changed(df, root, "d", ["id"], "api", buckets=8)
+    changed = sync_changed(df.where("id <> 77"), root, "d", ["id"], "api", buckets=8)
+    assert len(changed["buckets_written"]) == 1 and len(set(changed["sketched"].values())) == 2
+    got = {row["column"]: row for row in merged_profile(spark, root, "d").collect()}
+    assert {name: (row["rows"], row["nulls"], row["low"], row["high"]) for name, row in got.items()} == {
+        "id": (29_999, 0, 0.0, 29_999.0), "few": (29_999, 0, 0.0, 699.0), "s": (29_999, 7500, None, None), "none": (29_999, 29_999, None, None)
+    }
+    for name, exact in {"id": 29_999, "few": 700, "s": 90, "none": 0}.items():
+        assert abs(got[name]["distinct"] - exact) <= 0.065 * exact
+    assert abs(got["id"]["median"] - 15_000) < 600 and abs(got["few"]["q3"] - 525) < 15 and got["s"]["median"] is None
+    sync_changed(df.where("false"), root, "d", ["id"], "api", buckets=8)
+    assert merged_profile(spark, root, "d").count() == 0
+
+
 def test_a_claimed_number_is_not_reused(spark, tmp_path):
     root = str(tmp_path)
     df = spark.range(1)
