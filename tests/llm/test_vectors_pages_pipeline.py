@@ -158,7 +158,8 @@ def test_stages(spark):
         states.append(spark.createDataFrame(after.collect(), docs.schema))
     known = sorted(-1 if row.doc_id is None else row.doc_id for row in states[1].collect())
     assert known == sorted([row[0] for row in rows + copies] + [-1])
-    assert sorted(-1 if row.doc_id is None else row.doc_id for row in states[2].collect()) == sorted([row[0] for row in rows] + [-1])
+    # the row without an id is the start of document 7: 46 of their 56 five-word shingles are shared
+    assert sorted(-1 if row.doc_id is None else row.doc_id for row in states[2].collect()) == sorted(row[0] for row in rows)
     mixed = Counter(row.doc_id for row in states[3].collect())
     assert set(mixed) <= {row[0] for row in rows} | {None} and max(mixed.values()) <= 2
     packed = corpus_pipeline.STAGES[-1][1](spark, states[3], FOLDER).collect()
