@@ -2,24 +2,24 @@
 
 Each stage takes the documents its predecessor kept, with all their columns, and its decisions take
 effect; the last returns the packing. Nulls, repeated rows and empty tables are handled as the
-operators' modules say: a null or wordless text has no language and goes in the first stage.
+operators' modules say: a null or wordless text has no language and goes in the first stage, very long
+texts are read whole, and of languages equally near the first by name is taken. Of a group of near
+copies the smallest id stays; of equal ids the smallest text hash, of repeated rows one.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparkbi.llm.bk_tree import near_copies
 from sparkbi.llm.common import saved
 from sparkbi.llm.language import UNKNOWN, held_out, identify, learn_profiles
 from sparkbi.llm.mixing import mixed_documents
+from sparkbi.llm.near_texts import keep_one, near_texts
 from sparkbi.llm.packing import pack
 
 #: A text that shares less of its language's n-gram order is taken for noise; prose is far above it.
 LEAST_SIMILARITY = 0.2
-#: Share of the rows in groups of near copies from which equal rows are thinned before they move.
-HOT_SHARE = 0.005
 
 
 def _whole(docs: DataFrame) -> Column:
@@ -35,29 +35,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the smallest id, of equal ids the smallest text hash, once."""
-    found = near_copies(docs, radius=3, shingle=3).where("group_rows > 1")
-    members = saved(found.groupBy("doc_id", "text_hash", "component").agg(F.count(F.lit(1)).alias("_times")))
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    chosen = members.groupBy("component").agg(F.min(place).alias("chosen"))
-    # id and text hash without nulls, for a plain join
-    key = lambda text_hash: [F.col("doc_id").isNotNull().alias("_known"), F.coalesce("doc_id", F.lit(0)).alias("_number"), text_hash.alias("_hash")]
-    marks = saved(members.join(chosen, "component").select(*key(F.col("text_hash")), place.eqNullSafe(F.col("chosen")).alias("_stays"), "_times"))
-    rows = docs.select(_whole(docs), *key(F.xxhash64(F.coalesce("text", F.lit("")))))
-    keys = ["_known", "_number", "_hash"]
-    others = [F.col(f"_document.`{name}`") for name in docs.columns if name != "text"]
-    order = F.xxhash64(*others)
-    # rows repeated very often are thinned in their own tasks before they move; at most 1 / HOT_SHARE such keys
-    total = members.agg(F.coalesce(F.sum("_times"), F.lit(0))).first()[0]
-    hot = F.col("_times") >= max(2, HOT_SHARE * total)
-    staying = rows.join(F.broadcast(marks.where(hot & F.col("_stays")).select(*keys)), keys)
-    thinned = staying.groupBy(*keys).agg(F.min_by("_document", order).alias("_document")).select("_document.*")
-    copy = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    few = rows.join(F.broadcast(marks.where(hot).select(*keys)), keys, "left_anti")
-    marked = few.join(marks.where(~hot).drop("_times"), keys, "left").withColumn("_copy", copy)
-    # rows outside all groups are unmarked and stay
-    kept = marked.where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_copy") == 1))).select("_document.*")
-    return kept.unionByName(thinned)
+    """Keep one document of each group of near copies: 0.8 or more of five-word shingles shared, smallest id first."""
+    return keep_one(docs, near_texts(docs, similarity=0.8, shingle=5))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
