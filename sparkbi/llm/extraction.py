@@ -6,12 +6,15 @@ reduced by the share of its text that is links. The best element is kept togethe
 its siblings that look like text too; an article or main element around it is taken whole.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are cut out
 beforehand by element and by the words of their class, id and role. A wrapper that only mentions
-such a word, like ``has-sidebar``, is not cut by its name if it holds the page's article or most of its points.
+such a word, like ``has-sidebar``, is not cut by its name if it holds the page's article or most of its points;
+nor is a form that a page is wrapped in.
 
 White space inside a block becomes one space, character references are decoded, blocks are
 joined by an empty line in page order. Nulls: a null page is an empty one and gives empty text;
 null ids and urls are kept. Repeated pages give repeated rows. Broken markup is read like a
-browser does: unclosed elements end with their parents, stray end tags are ignored. An empty
+browser does: unclosed elements end with their parents, stray end tags are ignored; a quote that never closes is a
+plain character and a tag that never closes is text. Very long pages are read whole, in time that grows with their
+length; of equal scores the element that starts first wins. An empty
 table gives an empty result. Other columns are not looked at.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +40,7 @@ INLINE = frozenset(
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body html div section article main".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe textarea title nav footer aside form button select dialog svg object canvas "
+    "head script style noscript template iframe textarea title nav footer aside button select dialog svg object canvas "
     "audio video menu xmp noframes".split()
 )
 NOISE = frozenset(
@@ -48,9 +52,11 @@ NOISE = frozenset(
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCK = frozenset("p pre blockquote li dd dt td th figcaption".split())
+LEAST_FORM = 2.0  # points from which a form is a wrapper of text; labels and fields stay below
 WELCOME = frozenset("article content entry post story text body main".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile("[>\"']")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPLIT_NAMES = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -75,6 +81,27 @@ def _points(text: str, links: int) -> float:
     return ((len(text) >= 25) + text.count(",") + len(text) / 100) * (1 - links / len(text))
 
 
+class _Tags:
+    """Ends of tags, found in one walk over the page however broken its quotes are."""
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+        self.last = {mark: source.rfind(mark) for mark in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag read up to ``at``; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        place = at
+        while self.quotes and (found := STOP.search(self.source, place)):
+            place, mark = found.start(), found[0]
+            if mark == ">":
+                return place
+            place = self.source.index(mark, place + 1) + 1 if place < self.last[mark] else place + 1
+        self.quotes = False  # all that follows would be one quote: from here quotes do not hide a tag's end
+        return self.source.index(">", at)
+
+
 class _Page:
     """Elements in page order as parallel lists, and blocks of text: (container, text, link characters)."""
 
@@ -83,6 +110,7 @@ class _Page:
         self.named = [0]  # cut by name only: 1 if the name mentions a word of NOISE, 2 if it is one
         self.blocks: list[tuple[int, str, int]] = []
         self.open = [0]
+        self.opened: Counter[str] = Counter()  # open elements by tag
         self.links = 0
         self.pieces: list[str] = []
         self.link_characters = 0
@@ -112,10 +140,13 @@ class _Page:
                 self._end_block()
                 break
         self.links -= sum(self.tags[node] == "a" for node in self.open[place:])
+        self.opened.subtract(self.tags[node] for node in self.open[place:])
         del self.open[place:]
 
     def _close_open(self, tags: set[str] | frozenset[str]) -> None:
         """End the innermost open element of ``tags`` unless a list, table or section lies between."""
+        if not any(self.opened[tag] for tag in tags):
+            return None
         for place in range(len(self.open) - 1, 0, -1):
             tag = self.tags[self.open[place]]
             if tag in tags:
@@ -139,9 +170,9 @@ class _Page:
         names, hidden, exact = _names(attributes) if attributes else (frozenset(), False, False)
         parent = self.open[-1]
         whole = tag in ("html", "body", "main", "article")
-        noisy = not whole and bool(names & NOISE)
+        noisy = not whole and (tag == "form" or bool(names & NOISE))
         noise = not whole and (hidden or tag in DROPPED or (noisy and tag in INLINE))
-        if tag == "header" and not any(self.tags[node] == "article" for node in self.open):
+        if tag == "header" and not self.opened["article"]:
             noise = True
         self.tags.append(tag)
         self.parents.append(parent)
@@ -149,9 +180,12 @@ class _Page:
         self.dropped.append(self.dropped[parent] or noise)
         self.named.append(noisy * (1 + exact))
         self.open.append(len(self.tags) - 1)
+        self.opened[tag] += 1
         self.links += tag == "a"
 
     def _end(self, tag: str) -> None:
+        if not self.opened[tag]:
+            return None
         for place in range(len(self.open) - 1, 0, -1):
             if self.tags[self.open[place]] == tag:
                 return self._close_to(place)
@@ -159,19 +193,26 @@ class _Page:
                 return None
 
     def _read(self, source: str) -> None:
-        at = 0
-        while found := TOKEN.search(source, at):
+        at, tags = 0, _Tags(source)
+        while found := OPENING.search(source, at):
+            if found[1]:
+                close = source.find("-->", found.end())
+                end = close + 2 if close >= 0 else len(source)
+            else:
+                end = source.find(">", found.end()) if found[2] and found.end() <= tags.last[">"] else tags.end(found.end())
+            if end < 0:
+                break  # no tag ends any more
             self._text(source[at : found.start()])
-            at = found.end()
-            if not found[2]:
+            at = end + 1
+            if not found[4]:
                 continue
-            tag = found[2].lower()
-            if found[1]:
+            tag = found[4].lower()
+            if found[3]:
                 if tag not in INLINE:
                     self._end_block()
                 self._end(tag)
                 continue
-            self._start(tag, found[3])
+            self._start(tag, source[found.end() : end])
             if tag in RAW:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = close.end() if close else len(source)
@@ -203,6 +244,7 @@ class _Page:
             for node in range(count - 1, 0, -1):  # children follow their parents; what is cut counts for nothing above
                 if self.named[node]:
                     most = held[0][node] > max(outside[0], rivals[self.named[node]])
+                    most = most and (self.tags[node] != "form" or held[0][node] >= LEAST_FORM)
                     article = held[2][node] > 0 and not outside[2]
                     if self.named[node] == 1:
                         kept = most or article

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import html
 import math
 import os
 import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -124,6 +126,24 @@ def test_wrappers_that_mention_noise(wrapper):
     assert main_text(f"<body><div {wrapper}><div>{body}</div></div>{comments}</body>") == text
 
 
+def test_form_around_the_page():
+    page = "<html><body><form id='aspnetForm'><div class='menu'><a href='/'>Home</a></div><div>%s</div><input name='q'><button>Go</button></form></body></html>"
+    assert main_text(page % "".join(f"<p>{html.escape(text)}</p>" for text in TEXT)) == "\n\n".join(TEXT)
+    beside = "<html><body><div>%s</div><form><label>Your name</label><p>Your mail</p></form></body></html>"
+    assert main_text(beside % "".join(f"<p>{html.escape(text)}</p>" for text in TEXT)) == "\n\n".join(TEXT)
+    assert main_text("<body><form><label>Name</label><label>Word</label></form></body>") == ""
+
+
+@pytest.mark.parametrize("piece", ["<a b \"", "<a \">\"", "<a '\">", "<!x", "<?x", "<x>", "<div>", "</x>", "<b>", "<p><b>"])
+def test_long_broken_pages(piece):
+    whole = "".join(f"<p>{html.escape(text)}</p>" for text in TEXT)
+    start = time.perf_counter()
+    main_text(piece * (1_000_000 // len(piece)))
+    main_text("<x>" * 50_000 + "</y>" * 50_000)
+    assert time.perf_counter() - start < 20
+    assert TEXT[0] in main_text(f"<article>{whole}</article>" + "<a b \"" * 1000)
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (None, None, None, None), (2, "v", "", "x")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
