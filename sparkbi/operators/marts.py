@@ -14,6 +14,7 @@ from sparkbi.operators.catalog import REFERENCE_ITEMS
 
 MINUTE_MS = 60_000
 BUCKET = 500
+SMALL_CATALOG = 20_000  # entries; some MB
 TEAM = ("match_id", "minute", "team_id")
 LANE = (*TEAM, "role")
 
@@ -44,28 +45,31 @@ def inventory_stats(
     repeated id in the catalog counts once. With ``by_patch`` each state uses the catalog of
     its own patch, so mixed batches need no loop.
 
-    States with the same inventory share one computation: distinct inventories are opened and
-    priced, and the totals are joined back, so rows are neither merged nor numbered.
+    What a state holds travels as one number hashed from its inventory (and patch): the known items of
+    each number are gathered once and come back to the states, and each state looks up its own
+    items among them. So two inventories with the same number only widen that list, no result depends on
+    the hash, and rows are neither merged nor numbered. Looking up takes an inventory's length times
+    its distinct items.
     """
     known = [stat for stat in stats if stat in items.columns]
     sums = ["cost", *[f"inventory_{stat}" for stat in known]]
-    patch = F.coalesce(patch_key(F.col("game_version")), F.lit("")) if by_patch else F.lit("")
-    keyed = states.withColumns({"_held": F.when(F.size("inventory") > 0, F.col("inventory").cast("array<long>")), "_patch": patch})
-    opened = keyed.where(F.col("_held").isNotNull()).select("_held", "_patch").distinct()
-    opened = opened.select("_held", "_patch", F.posexplode("_held").alias("_pos", "_item"))
-    match = F.col("_item") == F.col("_item_id")
-    if by_patch:
-        match = match & (F.col("_patch") == F.col("_of_patch"))
-    shown = F.coalesce(F.col("_facts.name"), F.col("_item").cast("string"))
-    # In order of position: as long as one snapshot's own inventory, which already fitted in its row.
-    entry = F.struct(F.col("_pos").alias("pos"), shown.alias("shown"), *[F.coalesce(F.col(f"_facts.{name}"), F.lit(0.0)).alias(name) for name in sums])
-    priced = opened.join(_catalog(items, known, by_patch), match, "left").groupBy("_held", "_patch").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    patch = [F.coalesce(patch_key(F.col("game_version")), F.lit(""))] if by_patch else []
+    held = F.col("inventory").cast("array<long>")
+    number = F.when(F.size("inventory") > 0, F.xxhash64(held, *patch))
+    keys = ["_item_id", *(["_of_patch"] if by_patch else [])]
+    opened = states.select(number.alias("_number"), F.explode(F.array_distinct(held)).alias("_item_id"), *[of.alias("_of_patch") for of in patch])
+    # Sizes estimated from compressed files say little about either table: only a catalog with few entries goes to every task.
+    few = items.limit(SMALL_CATALOG + 1).count() <= SMALL_CATALOG
+    catalog = _catalog(items, known, by_patch).hint("broadcast" if few else "merge")
+    entry = F.struct(F.struct(*keys).alias("key"), F.col("_facts").alias("facts"))
+    priced = opened.join(catalog, keys).groupBy("_number").agg(F.map_from_entries(F.collect_set(entry)).alias("_entries"))
+    found = lambda item: F.try_element_at("_entries", F.struct(item.alias("_item_id"), *[of.alias("_of_patch") for of in patch]))
 
     def total(name: str) -> Column:
-        return F.coalesce(F.aggregate("_entries", F.lit(0.0), lambda so_far, one: so_far + one[name]), F.lit(0.0))
+        return F.coalesce(F.aggregate(held, F.lit(0.0), lambda so_far, item: so_far + F.coalesce(found(item)[name], F.lit(0.0))), F.lit(0.0))
 
-    names = F.array_join(F.transform("_entries", lambda one: one["shown"]), ", ")
-    return keyed.join(priced, ["_held", "_patch"], "left").select(
+    names = F.array_join(F.transform(held, lambda item: F.coalesce(found(item)["name"], item.cast("string"))), ", ")
+    return states.withColumn("_number", number).join(priced.hint("merge"), "_number", "left").select(
         *states.columns,
         total("cost").alias("inventory_cost"),
         F.coalesce(names, F.lit("")).alias("item_names"),

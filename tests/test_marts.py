@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,31 @@ def test_inventory_has_one_meaning(spark, items):
     assert answers[0] == sorted([(350.0, 10.0, 0.0)] * 3 + [(1100.0, 20.0, 20.0), (400.0, 0.0, 20.0)] + [(0.0, 0.0, 0.0)] * 3)
 
 
+def test_inventories_are_never_collected(spark, items):
+    """The facts of all inventories, or a catalog of many entries, come by shuffle whatever their files' sizes promise."""
+    rows = spark.range(2000).select(F.array("id", F.col("id") + 1, "id").alias("inventory"), F.lit("16.18.1").alias("game_version"), F.lit(1).alias("k"))
+    many = spark.range(marts.SMALL_CATALOG + 1).select(
+        F.col("id").alias("item_id"), F.concat(F.lit("i"), "id").alias("item_name"), F.col("id").alias("total_gold"), F.lit("16.18.1").alias("patch")
+    )
+    folder = tempfile.mkdtemp(prefix="catalog-")
+    rows.write.parquet(f"{folder}/rows")
+    many.write.parquet(f"{folder}/many")
+    for by_patch in (False, True):
+        priced = marts.inventory_stats(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/many"), (), by_patch)
+        assert "Broadcast" not in priced._jdf.queryExecution().executedPlan().toString()
+        got = priced.agg(F.sum("inventory_cost").alias("cost"), F.max(F.when(F.col("inventory")[0] == 7, F.col("item_names"))).alias("names")).first()
+        assert (got["cost"], got["names"]) == (float(3 * sum(range(2000)) + 2000), "i7, i8, i7")
+
+
+def test_same_number_of_two_inventories(spark, states, items, monkeypatch):
+    """No result depends on the hash that inventories travel by."""
+    want = sorted(map(str, marts.inventory_stats(states, items).collect()))
+    by_patch = items.withColumn("patch", F.lit("16.18.1"))
+    monkeypatch.setattr(marts.F, "xxhash64", lambda *columns: F.lit(1).cast("long"))
+    assert sorted(map(str, marts.inventory_stats(states, items).collect())) == want
+    assert sorted(map(str, marts.inventory_stats(states, by_patch, by_patch=True).collect())) == want
+
+
 def test_cohorts(states, items):
     context = marts.context_mart(states, items)
     assert sum(row["sample_players"] for row in marts.bucket_cohorts(context).collect()) == 4
