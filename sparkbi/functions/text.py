@@ -1,4 +1,4 @@
-"""Small text expressions, all evaluated inside the JVM."""
+"""Small text expressions, evaluated inside the JVM but for the spelling of axis labels."""
 
 from __future__ import annotations
 
@@ -32,19 +32,9 @@ def patch_key(version: Column) -> Column:
 
 
 def three_digits(value: Column) -> Column:
-    """The number with three significant digits and no padding, like C's ``%.3g``."""
-    scientific = F.format_string("%.2e", value)
-    exponent = F.substring_index(scientific, "e", -1).cast("int")
-    mantissa = _trim_zeros(F.substring_index(scientific, "e", 1))
-    plain = _trim_zeros(scientific.cast("double").cast("decimal(30,8)").cast("string"))
-    power = F.concat(
-        mantissa,
-        F.lit("e"),
-        F.when(exponent < 0, "-").otherwise("+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    return F.when((exponent >= -4) & (exponent < 3), plain).otherwise(power)
-
-
-def _trim_zeros(text: Column) -> Column:
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    """The number with three significant digits and no padding, as C's ``%.3g`` spells it.
+
+    C rounds the exact binary value, and to the even digit in the middle; no function of Spark does. For the
+    few rows of an axis: it runs in Python.
+    """
+    return F.udf(lambda number: None if number is None else f"{number:.3g}", "string")(value.cast("double"))

@@ -213,3 +213,11 @@ def test_bad_rates(spark, row, schema):
 def test_empty_rates(spark):
     with pytest.raises(ValueError):
         normalize_rates(spark.createDataFrame([], "champ string, item string, games int"))
+
+
+def test_three_digits_in_the_middle(spark):
+    """Ties go to the even digit, as the exact binary value decides them."""
+    values = [75850.0, 25950.0, 250500.0, 1.265, 26.55, 1.005, -75850.0, 999.5]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", three_digits(F.col("v")).alias("text")).collect()
+    assert {row["v"]: row["text"] for row in got} == {v: "%.3g" % v for v in values}
+    assert got[0]["text"] == "7.58e+04"
