@@ -4,11 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W, functions as F
 
 from sparkbi.operators.asof import attach_asof
-from sparkbi.operators import quantiles
+from sparkbi.operators import quantiles, ranks
 from sparkbi.operators.quantiles import exact_quantiles
 from sparkbi.operators.ranks import with_ranks
 from sparkbi.operators.running import BLOCK, blocked, hash_sample, running
@@ -154,3 +155,18 @@ def test_ranks_in_place(spark, partitions):
         hot = with_ranks(df, ["g"], "v", "w", ["t"]).where("g = 'a' and v = 0.5").groupBy(F.spark_partition_id()).count().collect()
         assert len(hot) > 10 and max(row["count"] for row in hot) < 60
     assert with_ranks(df.where("false"), ["g"], "v", "w").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_ranks_hold_a_block_of_a_fixed_size(spark, monkeypatch, size):
+    """A partition of any size is ranked block by block, over groups and values that run through many blocks."""
+    monkeypatch.setattr(ranks, "BLOCK_ROWS", size)
+    rows = [(g, float(v % 9), v) for g in ("a", None, "b") for v in range(50)] + [("a", 3.0, 100 + t) for t in range(60)]
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    for row in with_ranks(df, ["g"], "v", "w", ["w"]).collect():
+        mine = [(v, w) for g, v, w in rows if g == row["g"]]
+        before, same = sum(w for v, w in mine if v < row["v"]), sum(w for v, w in mine if v == row["v"])
+        assert (row["before"], row["same"], row["total"], row["rank"]) == (before, same, sum(w for _, w in mine), before + (same + 1) / 2)
+    batches = [pa.RecordBatch.from_pydict({"v": list(range(start, start + n))}) for start, n in ((0, 5), (5, 0), (5, 250), (255, 3))]
+    tables = list(ranks._blocks(iter(batches), size))
+    assert max(map(len, tables)) <= size and [v for table in tables for v in table.column("v").to_pylist()] == list(range(258))
