@@ -425,3 +425,23 @@ def test_first_copy_wins_in_a_stream(spark, tmp_path):
     run()
     got = {row["event_id"]: json.loads(row["payload"])["v"] for row in spark.read.json(str(tmp_path / "out")).collect()}
     assert got == {"x": 1, "y": 5}
+
+
+def test_newest_copy_takes_few_calls_for_a_key():
+    """Each call on the state or the timers is a round trip, so a new key takes three and a newer copy four."""
+    from unittest.mock import MagicMock
+
+    from sparkbi.streaming.newest import NewestCopy
+
+    handle, taken = MagicMock(), NewestCopy(["v"])
+    taken.init(handle)
+    state = handle.getValueState.return_value
+    row = lambda micros, v: {"_micros": micros, "_written": "w", "_content": 1, "v": v}
+    state.get.return_value = None
+    assert [(r.v, r.revision) for r in taken.handleInputRows(1, iter([row(5000, 1), row(7000, 2)]), None)] == [(2, 1)]
+    assert len(state.method_calls) == 2 and [call[0] for call in handle.method_calls[1:] if "getValueState" not in call[0]] == ["registerTimer"]
+    state.reset_mock(), handle.reset_mock()
+    state.get.return_value = (7000, "w", 1, 1)
+    assert [(r.v, r.revision) for r in taken.handleInputRows(1, iter([row(9000, 3)]), None)] == [(3, 2)]
+    assert [(call[0], call[1]) for call in handle.method_calls if "Timer" in call[0]] == [("deleteTimer", (8,)), ("registerTimer", (10,))]
+    assert not list(taken.handleInputRows(1, iter([row(6000, 4)]), None))
