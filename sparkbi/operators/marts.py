@@ -15,12 +15,14 @@ from sparkbi.operators.catalog import REFERENCE_ITEMS
 MINUTE_MS = 60_000
 BUCKET = 500
 SMALL_CATALOG = 20_000  # entries; some MB
+FEW_LANES = 50_000  # lanes of a match, minute and team; some MB
 TEAM = ("match_id", "minute", "team_id")
 LANE = (*TEAM, "role")
 
 
-def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
     moved = facts.withColumnsRenamed({key: f"_k_{key}" for key in keys})
+    moved = F.broadcast(moved) if few else moved
     match = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys])
     return rows.join(moved, match, "left").drop(*[f"_k_{key}" for key in keys])
 
@@ -123,9 +125,17 @@ def lane_opponents(states: DataFrame, order_by: Sequence[str] = ("participant_id
     return _rivals(states.groupBy(*LANE).agg(F.min(position(states, order, "total_gold")).alias("_first")))
 
 
+def _few_lanes(states: DataFrame) -> bool:
+    """Whether a row per lane fits into every task, from an estimate in one pass that shuffles a sketch.
+
+    Left to Spark, the join of the snapshots with their lanes would move all snapshots as soon as the input is large.
+    """
+    return states.agg(F.approx_count_distinct(F.xxhash64(*LANE))).first()[0] <= FEW_LANES
+
+
 def lane_diff(states: DataFrame, order_by: Sequence[str] = ("participant_id",)) -> DataFrame:
     """States with ``total_gold_opponent`` and ``lane_gold_diff``."""
-    rows = _attach(states, lane_opponents(states, order_by), LANE)
+    rows = _attach(states, lane_opponents(states, order_by), LANE, _few_lanes(states))
     return rows.withColumn("lane_gold_diff", F.col("total_gold") - F.col("total_gold_opponent"))
 
 
@@ -140,7 +150,7 @@ def context_mart(
 
     ``catalog_version`` is stamped on every row when given. Team totals and the first player of
     every lane come from one aggregate; they meet as small tables, so the snapshots are joined
-    to them once.
+    to them once: without moving the snapshots where there are few lanes.
     """
     require(states, [*LANE, "total_gold", "inventory", "win"])
     priced = inventory_stats(states, items, stats, by_patch)
@@ -148,7 +158,7 @@ def context_mart(
     lanes = states.groupBy(*LANE).agg(sum0(F.col("total_gold")).alias("_gold"), first)
     teams = _facing(lanes.groupBy(*TEAM).agg(sum0(F.col("_gold")).alias("team_total_gold")))
     facts = _attach(_rivals(lanes), teams, TEAM)
-    made = _attach(priced, facts, LANE).withColumns(
+    made = _attach(priced, facts, LANE, _few_lanes(states)).withColumns(
         {"lane_gold_diff": F.col("total_gold") - F.col("total_gold_opponent"), "observed_win": F.col("win").cast("int")}
     )
     return made if catalog_version is None else made.withColumn("catalog_version", F.lit(catalog_version))

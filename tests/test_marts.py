@@ -102,6 +102,31 @@ def test_lane_picks_the_first_opponent_without_pairing(spark, partitions):
     assert got == {0: 1, 3: 1, 1: 5, 2: 5, 4: 5}
 
 
+def test_few_lanes_do_not_move_the_snapshots(spark, states, items, monkeypatch):
+    """Whatever size Spark supposes: a row per lane goes to every task while there are few, and the answer is the same beyond."""
+    build = {
+        "coverage": lambda: marts.coverage(marts.context_mart(states, items)),
+        "lanes": lambda: marts.lane_diff(states),
+        "context": lambda: marts.context_mart(states, items),
+    }
+    off = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {key: spark.conf.get(key, None) for key in off}
+    try:
+        for key in off:
+            spark.conf.set(key, "-1")
+        made = {name: query() for name, query in build.items()}
+        plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in made.items()}
+        for plan in plans.values():
+            assert any("BroadcastHashJoin" in line and "role" in line for line in plan.splitlines())
+            assert not any("SortMergeJoin" in line and "role" in line for line in plan.splitlines())
+        got = {name: sorted(map(str, df.collect())) for name, df in made.items()}
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    monkeypatch.setattr(marts, "FEW_LANES", 1)
+    assert {name: sorted(map(str, query().collect())) for name, query in build.items()} == got
+
+
 def test_lane_without_opponent_and_missing_role(spark):
     rows = [("m", 10, 100, None, 5, [], True, 1, "1.1", 1), ("m", 10, 200, None, 7, [], True, 2, "1.1", 1), ("m", 10, 200, "TOP", 9, [], True, 3, "1.1", 1)]
     got = {row["participant_id"]: row["lane_gold_diff"] for row in marts.lane_diff(spark.createDataFrame(rows, STATES)).collect()}
