@@ -71,7 +71,8 @@ def inventory_stats(
         return F.coalesce(F.aggregate(held, F.lit(0.0), lambda so_far, item: so_far + F.coalesce(found(item)[name], F.lit(0.0))), F.lit(0.0))
 
     names = F.array_join(F.transform(held, lambda item: F.coalesce(found(item)["name"], item.cast("string"))), ", ")
-    return states.withColumn("_number", number).join(priced.hint("merge"), "_number", "left").select(
+    # The number of a state follows from its inventory: it is not carried through the shuffle.
+    return states.join(priced.hint("merge"), number == F.col("_number"), "left").select(
         *states.columns,
         total("cost").alias("inventory_cost"),
         F.coalesce(names, F.lit("")).alias("item_names"),

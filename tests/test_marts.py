@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -127,6 +128,19 @@ def test_few_lanes_do_not_move_the_snapshots(spark, states, items, monkeypatch):
     assert {name: sorted(map(str, query().collect())) for name, query in build.items()} == got
 
 
+def _shuffles(df, column):
+    """Shuffles of the plan by the column ``column``, among others."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(re.search(rf"Exchange hashpartitioning\(.*\b{column}#", line) is not None for line in plan.splitlines())
+
+
+def test_snapshots_carry_no_hash_of_their_inventory(spark, states, items):
+    """The number that brings items and snapshots together is computed from the inventory, not shuffled beside it."""
+    rows = marts.inventory_stats(states, items)
+    assert _shuffles(rows, "_number") == 1  # the items
+    assert _shuffles(rows, "inventory") == 1  # the snapshots
+
+
 def test_lane_without_opponent_and_missing_role(spark):
     rows = [("m", 10, 100, None, 5, [], True, 1, "1.1", 1), ("m", 10, 200, None, 7, [], True, 2, "1.1", 1), ("m", 10, 200, "TOP", 9, [], True, 3, "1.1", 1)]
     got = {row["participant_id"]: row["lane_gold_diff"] for row in marts.lane_diff(spark.createDataFrame(rows, STATES)).collect()}
