@@ -227,8 +227,13 @@ def coverage(context: DataFrame) -> DataFrame:
 
 
 def win_summary(context: DataFrame) -> DataFrame:
-    """Observed outcomes by version, minute, champion, role and item set."""
-    return context.groupBy("game_version", "minute", "champion_id", "role", "item_names").agg(*_cohort(context), *_differences())
+    """Observed outcomes by version, minute, champion, role and item set.
+
+    There are nearly as many groups as snapshots, so sums before the shuffle would save little and counting distinct
+    matches would move the item names twice: the snapshots are brought together by group once, and all is counted there.
+    """
+    keys = ["game_version", "minute", "champion_id", "role", "item_names"]
+    return context.repartition(*keys).groupBy(*keys).agg(*_cohort(context), *_differences())
 
 
 def item_event_mart(events: DataFrame, items: DataFrame, by_patch: bool = False) -> DataFrame:

@@ -141,6 +141,19 @@ def test_snapshots_carry_no_hash_of_their_inventory(spark, states, items):
     assert _shuffles(rows, "inventory") == 1  # the snapshots
 
 
+def test_item_sets_are_moved_once(spark, states, items):
+    context = marts.context_mart(states.unionByName(states.withColumn("match_id", F.lit("n"))), items)
+    summary = marts.win_summary(context)
+    assert _shuffles(summary, "item_names") == 1
+    got = {(row["champion_id"], row["item_names"]): (row["sample_players"], row["sample_matches"], row["observed_win_rate"]) for row in summary.collect()}
+    assert got == {
+        (5, "Long Sword"): (2, 2, 1.0),
+        (6, "Long Sword, Amplifying Tome"): (2, 2, 1.0),
+        (7, ""): (2, 2, 0.0),
+        (8, "99, Long Sword, Long Sword"): (2, 2, 0.0),
+    }
+
+
 def test_lane_without_opponent_and_missing_role(spark):
     rows = [("m", 10, 100, None, 5, [], True, 1, "1.1", 1), ("m", 10, 200, None, 7, [], True, 2, "1.1", 1), ("m", 10, 200, "TOP", 9, [], True, 3, "1.1", 1)]
     got = {row["participant_id"]: row["lane_gold_diff"] for row in marts.lane_diff(spark.createDataFrame(rows, STATES)).collect()}
