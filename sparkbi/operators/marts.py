@@ -63,9 +63,10 @@ def inventory_stats(
     # Sizes estimated from compressed files say little about either table: only a catalog with few entries goes to every task.
     few = items.limit(SMALL_CATALOG + 1).count() <= SMALL_CATALOG
     catalog = _catalog(items, known, by_patch).hint("broadcast" if few else "merge")
-    entry = F.struct(F.struct(*keys).alias("key"), F.col("_facts").alias("facts"))
-    priced = opened.join(catalog, keys).groupBy("_number").agg(F.map_from_entries(F.collect_set(entry)).alias("_entries"))
-    found = lambda item: F.try_element_at("_entries", F.struct(item.alias("_item_id"), *[of.alias("_of_patch") for of in patch]))
+    entry = F.struct(*keys, "_facts.*")  # flat, as most of the bytes that are sorted and shuffled are these
+    priced = opened.join(catalog, keys).groupBy("_number").agg(F.collect_set(entry).alias("_entries"))
+    same = lambda entry, item: reduce(Column.__and__, [entry["_item_id"] == item, *[entry["_of_patch"] == of for of in patch]])
+    found = lambda item: F.get(F.filter("_entries", lambda entry: same(entry, item)), F.lit(0))
 
     def total(name: str) -> Column:
         return F.coalesce(F.aggregate(held, F.lit(0.0), lambda so_far, item: so_far + F.coalesce(found(item)[name], F.lit(0.0))), F.lit(0.0))
