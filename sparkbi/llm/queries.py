@@ -119,7 +119,7 @@ FROM filled f JOIN edge e ON f.source IS NOT DISTINCT FROM e.source
 def op7_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents under a suffix tree learnt from six sevenths of them."""
     docs = _table(spark, folder, "documents")
-    found = score_texts(docs, docs.where(~not_learnt(F.col("doc_id"))))
+    found = score_texts(docs, ~not_learnt(F.col("doc_id")))
     return found.select("doc_id", not_learnt(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

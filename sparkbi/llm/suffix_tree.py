@@ -6,15 +6,15 @@ suffix of a state is a state. Distributions are smoothed: listed next words give
 mass of all others follows the suffix state, down to the add-one word distribution at the root, which
 covers every word. A text is scored from the state of the longest kept suffix before each token.
 
-Every n-gram of the training rows counts, however rare, so the tree grows with the corpus and is a table
-in Spark. A context seen once is left out early only while its divergence cannot reach the threshold
-(``fewest_occurrences``). ``least_word`` and ``least_gram`` can demand shares of the corpus; both are 0.
-Tasks count the n-grams of a chunk, a shuffle by context adds them up. Words and n-grams are known by
-64-bit hashes.
+Every n-gram of the training rows counts, however rare, so the tree grows with the corpus.
+``least_word`` and ``least_gram`` can demand shares of the corpus; both are 0.
 
-At scoring, tasks know by heart what has a share of at least ``HOT_WORD`` or ``HOT_GRAM`` of the tokens
-(bounded by 1 / share), so no hot key is shuffled, and a bit map of fixed size that tells most contexts
-that are no state; it never misses one. All other look-ups meet the tree in a shuffle join.
+The tree is never a table. Each token moves once, as a window of itself and the ``DEPTH`` words before it,
+to the part of the word before it. A part so holds all contexts that end in its words, with their suffixes
+and followers: it builds its branches of the tree, scores its windows and sends back sums per document.
+The parts are as many as keep ``PART`` tokens in each on average. Windows travel packed, by columns: the
+``KNOWN_WORDS`` most frequent words, which tasks know by heart, as their rank, others as 64-bit hashes.
+What a part must know of the other words is joined by a shuffle. N-grams are known by 64-bit hashes.
 
 Nulls: a null text is an empty one, a single end token. Null ids are kept and belong to the training part.
 Repeated rows are scored and counted each. Without training rows every score is that of an empty model. An
@@ -28,267 +28,365 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkbi.llm.common import ascii_lower, saved, ship_by_value, words
 
 END = " "  # the end token; no word holds a blank
 DEPTH = 3
-HOT_WORD = 2e-6  # share of a word that tasks know by heart: at most 500,000 words
-HOT_GRAM = 2e-5  # share of an n-gram: at most 50,000 of each length
-MAP_BITS = 26  # size of the bit map of states as a power of two
+KNOWN_WORDS = 500_000  # words that tasks know by heart, at most
 DISCOUNT = 0.5
 DIVERGENCE = 10.0
-CHUNK = 1_000_000  # tokens of a local count at least, where there are as many
+CHUNK = 1_000_000  # tokens packed together at least, where there are as many
+PART = 2_000_000  # tokens of a part of the tree on average
+SLICE = 500_000  # tokens of a part whose longer contexts are taken up together, about
 FOLDS, HELD_FOLD = 7, 2
-LOOKUP = "array<struct<place: int, slot: int, key: long, value: double>>"
+LEARN, SCORE = 1, 2  # marks of a row
+CHUNK_BITS, ROW_BITS = 16, 24  # chunks of a task, rows of a chunk
+PACKED = "chunk long, size long, body array<binary>"
 
 
 def held_out(id_: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(id_.cast("string"), F.lit("")), "UTF-8")) % FOLDS == HELD_FOLD
 
 
-def token_hashes(text: Column) -> Column:
-    """Hashes of the words, A-Z in lower case, and of the end token."""
-    return F.transform(F.array_append(words(ascii_lower(F.coalesce(text, F.lit("")))), F.lit(END)), lambda word: F.xxhash64(word))
-
+def tokens(text: Column) -> Column:
+    """The words, A-Z in lower case, and the end token."""
+    return F.array_append(words(ascii_lower(F.coalesce(text, F.lit("")))), F.lit(END))
 
-def fewest_occurrences(room: int, divergence: float) -> int:
-    """Occurrences that a state needs at least.
 
-    A context seen once lists one word with p = 1/2. With q of that word at its suffix, the divergence is
-    -ln(4 q (1 - q)) / 2, and q and 1 - q are at least 1 / (2 room), so it is at most ln(room) / 2.
-    """
-    return 2 if math.log(room) / 2 < divergence else 1
+def token_hashes(text: Column) -> Column:
+    return F.transform(tokens(text), lambda word: F.xxhash64(word))
 
 
 def _mix(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of an n-gram from the hash of all but its last word and that of the last."""
+    """Hash of an n-gram from the hash of the other words and that of one more."""
     x = (prefix ^ (prefix >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _before(values: np.ndarray) -> np.ndarray:
-    """The entry of the position before; zero or False at the start."""
-    return np.concatenate([np.zeros(1, values.dtype), values[:-1]])
+def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each key, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(sorted_keys, wanted)
+    at[at == len(sorted_keys)] = 0
+    return np.where(sorted_keys[at] == wanted, at, -1)
 
 
-def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of many texts with a gap after each, and which entries are tokens."""
-    ends = np.cumsum([len(own) + 1 for own in lists]) - 1
-    flat = np.concatenate([part for own in lists for part in (own, np.zeros(1, np.int64))]).view(np.uint64)
-    present = np.ones(len(flat), dtype=bool)
-    present[ends] = False
-    return flat, present
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each entry's group of equal keys, and the place of one entry per group."""
+    order = np.argsort(keys)
+    own = keys[order]
+    first = np.ones(len(own), dtype=bool)
+    first[1:] = own[1:] != own[:-1]
+    group = np.empty(len(own), dtype=np.int32)
+    group[order] = np.cumsum(first) - 1
+    return group, order[first]
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Compressed bytes of numbers, all first bytes before all second ones."""
+    values = np.ascontiguousarray(values)
+    return pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _expand(data: bytes, size: int, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    flat = pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(flat, dtype=np.uint8).reshape(width, size).T).view(dtype).ravel()
+
+
+class Words:
+    """Words that tasks know by heart, from the most frequent on. A word's code is its place plus 1; 0 is no word, ``other`` any other."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        by_count = np.lexsort((keys, -counts))
+        self.keys, self.counts = keys[by_count], counts[by_count]
+        self.order = np.argsort(self.keys)
+        self.sorted, self.other = self.keys[self.order], len(keys) + 1
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        at = _find(self.sorted, hashes)
+        return np.where(at < 0, self.other, (self.order[at] if len(self.order) else at) + 1).astype(np.uint32)
+
+    def pack(self, codes: np.ndarray, hashes: np.ndarray) -> list[bytes]:
+        return [_squeeze(codes), _squeeze(hashes[codes == self.other])]
+
+    def unpack(self, body: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and hashes."""
+        codes = _expand(body[0], size, np.uint32)
+        hashes = np.r_[np.uint64(0), self.keys, np.uint64(0)][codes]
+        others = codes == self.other
+        hashes[others] = _expand(body[1], np.count_nonzero(others), np.uint64)
+        return codes, hashes
+
+
+def _pack_texts(known, room: int, id_type: pa.DataType):
+    """Task code: (id, mark, token hashes) to a row per text, with what is known of its score at once, and a row per chunk of texts."""
+    names = ["id", "mark", "n_tokens", "n_known", "base_score", "row", "chunk", "size", "body"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << CHUNK_BITS
+        for batch in batches:
+            sizes_of = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat_of, ends = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(sizes_of)]
+            begin = 0
+            while begin < batch.num_rows:
+                end = min(batch.num_rows, int(np.searchsorted(ends, ends[begin] + CHUNK)))
+                flat, sizes = flat_of[ends[begin] : ends[end]], sizes_of[begin:end]
+                part, n = batch.slice(begin, end - begin), end - begin
+                codes = known.value.codes(flat)
+                counts = np.r_[0, known.value.counts, 0][codes]
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                columns = [
+                    part.column(0),
+                    part.column(1),
+                    pa.array(sizes),
+                    pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(np.log10(counts + 1.0) - math.log10(room), starts)),
+                    pa.array((number << ROW_BITS) + np.arange(n)),
+                    *(pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.binary()))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                marks = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+                body = [_squeeze(marks), _squeeze(sizes), *known.value.pack(codes, flat)]
+                whole = [pa.nulls(1, id_type), pa.nulls(1, pa.int32()), *(pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.float64()))]
+                whole += [pa.array([n], pa.int64()), pa.array([number], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([body], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(whole, names)
+                number, begin = number + 1, end
+
+    return pack
+
+
+def _windows(words_: Words, row: dict, depth: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Marks of a chunk's texts, the text of each token, its part, and codes and hashes of the token and the words before it, each by distance."""
+    marks, sizes = _expand(row["body"][0], row["row"], np.uint8), _expand(row["body"][1], row["row"], np.int64)
+    codes, hashes = words_.unpack(row["body"][2:], row["size"])
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    all_codes, all_hashes = [codes], [hashes]
+    for back in range(1, depth + 1):
+        for own in (all_codes, all_hashes):
+            own.append(np.concatenate([np.zeros(1, own[-1].dtype), own[-1][:-1]]))
+            own[-1][place == back - 1] = 0
+    # the first token of a text belongs to no word
+    part = np.where(place > 0, _mix(all_hashes[1], np.uint64(1)), text.astype(np.uint64)) % np.uint64(parts)
+    return marks, text, part.astype(np.int32), all_codes, all_hashes
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for place in range(batch.num_rows):
+            yield batch.slice(place, 1).to_pylist()[0]
 
 
-def _grams(flat: np.ndarray, valid: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per length from 1 the hash of the n-gram that ends at each position, and whether there is one."""
-    keys, there = [flat], [valid]
-    for _ in range(depth):
-        keys.append(_mix(_before(keys[-1]), flat))
-        there.append(_before(there[-1]) & valid)
-    return keys, there
+def _ask(known, depth: int, parts: int):
+    """Task code: parts and the words they must be told of, once per chunk."""
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _chunk_rows(batches):
+            _, _, part, codes, hashes = _windows(known.value, row, depth, parts)
+            others = codes[0] == known.value.other
+            part, keys = part[others], hashes[0][others]
+            _, at = _groups(_mix(keys, part.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(keys[at].view(np.int64))], ["part", "key"])
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    values, offsets = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
-    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+    return ask
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
-    held, waiting = 0, []
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task code: (part, key, n) packed by part."""
     for batch in batches:
-        for own in _lists(batch.column(0)):
-            waiting.append(own.copy())
-            held += len(own)
-            if held >= size:
-                yield waiting
-                held, waiting = 0, []
-    if waiting:
-        yield waiting
+        part, keys, n = (batch.column(place).to_numpy(zero_copy_only=False) for place in range(3))
+        order, cuts = _by_part(part)
+        part, keys, n = part[order], keys[order], n[order]
+        yield from _part_rows(part, cuts, -1, lambda at: [_squeeze(keys[at]), _squeeze(n[at])])
 
 
-def _count_grams(common, depth: int):
-    """Task code: n-grams of a chunk as (prefix, key, suffix, suffix of the prefix, last word, count).
+def _deal(known, depth: int, parts: int):
+    """Task code: windows of a chunk packed by part."""
 
-    Words outside ``common`` (None: all are in) are followers without a key, which count for their context only.
-    """
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _chunk_rows(batches):
+            marks, text, part, codes, hashes = _windows(known.value, row, depth, parts)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = None if common is None else common.value
-        for lists in _chunks(batches, CHUNK):
-            flat, present = _flat(lists)
-            valid = present if listed is None else present & np.isin(flat, listed)
-            keys, there = _grams(flat, valid, depth)
-            for length in range(2, depth + 2):
-                at = np.flatnonzero(there[length - 1])
-                _, first, n = np.unique(keys[length - 1][at], return_index=True, return_counts=True)
-                at = at[first]
-                above = keys[length - 3][at - 1] if length > 2 else None
-                yield from _rows(keys[length - 2][at - 1], keys[length - 1][at], keys[length - 2][at], above, flat[at], n)
-                if listed is not None:
-                    at = np.flatnonzero(_before(there[length - 2]) & present & ~valid)
-                    prefixes, n = np.unique(keys[length - 2][at - 1], return_counts=True)
-                    yield from _rows(prefixes, None, None, None, None, n)
-
-    return count
-
-
-def _rows(prefix, key, suffix, above, word, n) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(n), 50_000):
-        part = slice(start, start + 50_000)
-        size = len(n[part])
-        columns = [pa.nulls(size, pa.int64()) if values is None else pa.array(values[part].view(np.int64)) for values in (prefix, key, suffix, above, word)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n[part].astype(np.int64))], ["prefix", "key", "suffix", "above", "word", "n"])
-
-
-def _meet(rows: DataFrame, table: DataFrame, key: str, least: float) -> DataFrame:
-    """Inner join on ``key``, one row per key in ``table``; keys with ``n`` of ``least`` or more are broadcast."""
-    hot = F.broadcast(table.where(F.col("n") >= least).drop("n"))
-    cold = table.where(F.col("n") < least).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
-
-
-def learn_tree(counted: DataFrame, roots: DataFrame, total: int, depth: int, divergence: float) -> DataFrame:
-    """The tree as a table by ``key`` of an n-gram: ``leave``, log10 of what a word that the state does not list
-    costs (null if the n-gram is no state), and ``gain``, log10 of P(last word | words before) over P(last word),
-    null if it is not listed in a state.
-
-    ``counted``: prefix, key, suffix, above, word, n, context_n; ``roots``: key, n, p of the words.
-    """
-    p = (F.col("n") - DISCOUNT) / F.col("context_n")
-    below = roots.select(F.col("key").alias("suffix"), "n", F.col("p").alias("q"))
-    below = below.unionByName(counted.select(F.col("key").alias("suffix"), "n", p.alias("q")))
-    graded = saved(_meet(counted.withColumn("p", p).drop("n"), below, "suffix", max(2, HOT_GRAM * total)))
-    rest = F.greatest(1 - F.col("mass"), F.lit(1e-12))
-    leave = rest / (1 - F.least("taken", F.lit(1 - 1e-9)))
-    contexts = saved(
-        graded.groupBy("prefix")
-        .agg(
-            F.max("above").alias("above"),
-            F.max("context_n").alias("n"),
-            F.sum("p").alias("mass"),
-            F.sum("q").alias("taken"),
-            F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("information"),
-        )
-        .select("prefix", "above", F.log10(leave).alias("leave"), (F.col("n") * (F.col("information") + rest * F.log(leave)) >= divergence).alias("kept"))
-    )
-    found = contexts.where("kept")
-    states = found
-    for _ in range(depth - 1):  # the suffix of a state is a state
-        shorter = found.where("above is not null").select(F.col("above").alias("prefix")).distinct()
-        found = contexts.join(shorter, "prefix", "left_semi")
-        states = states.unionByName(found)
-    states = saved(states.dropDuplicates(["prefix"]).select("prefix", "leave"))
-    listed = graded.join(states.select("prefix"), "prefix", "left_semi").select("key", F.col("word").alias("last"), "p")
-    last = roots.select(F.col("key").alias("last"), "n", F.col("p").alias("root"))
-    gains = _meet(listed, last, "last", max(2, HOT_GRAM * total)).select("key", F.lit(None).cast("double").alias("leave"), F.log10(F.col("p") / F.col("root")).alias("gain"))
-    entries = gains.unionByName(states.select(F.col("prefix").alias("key"), "leave", F.lit(None).cast("double").alias("gain")))
-    return saved(entries.groupBy("key").agg(F.max("leave").alias("leave"), F.max("gain").alias("gain")))
-
-
-def _bit_map(tree: DataFrame) -> np.ndarray:
-    """Bits set at the upper bits of the keys of all states; at most 2 ** (MAP_BITS - 3) rows reach the driver."""
-    placed = tree.where("leave is not null").select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("place"))
-    rows = placed.groupBy(F.expr("cast(shiftright(place, 3) as int)")).agg(F.expr("cast(bit_or(shiftleft(1, cast(place & 7 as int))) as short)")).toArrow()
-    bits = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
-    bits[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return bits
+            order, cuts = _by_part(part)
+            text, codes, hashes = text[order], [own[order] for own in codes], [own[order] for own in hashes]
+            shared = [_squeeze(marks), _squeeze(np.array([len(marks)]))]
 
+            def body(at):
+                packed = [known.value.pack(own[at], hash_[at]) for own, hash_ in zip(codes, hashes)]
+                return [*shared, _squeeze(np.diff(text[at], prepend=0).astype(np.uint32)), *(piece for own in packed for piece in own)]
+
+            yield from _part_rows(part[order], cuts, row["chunk"], body)
+
+    return deal
+
+
+def _by_part(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by part and the bounds of the parts in it."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    return order, np.r_[np.flatnonzero(np.diff(part[order], prepend=-1)), len(part)]
 
-def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(sorted_keys, wanted)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == wanted, at, -1)
 
+def _part_rows(part: np.ndarray, cuts: np.ndarray, chunk: int, body) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+    for begin, end in zip(cuts, cuts[1:]):
+        own = (part[begin], chunk, end - begin, body(slice(begin, end)))
+        yield pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(own, kinds)], ["part", "chunk", "size", "body"])
 
-def _score(model, room: int, depth: int):
-    """Task code: (id, token hashes) to what is known at once and the look-ups that still need the tables.
 
-    Slot 0 is a word, slots 1 to ``depth`` are contexts and the following ones the n-grams one word longer. A look-up
-    without a key has its value; all of a place are handed on as soon as one of them is open.
+class Level:
+    """Contexts of one length over some windows: group of each window's context and n-gram, states, and log10 of costs."""
+
+    def __init__(self, key, follower, weights, counted, below, least, divergence):
+        """``below``: p of the token by the suffix, per window; ``counted``: whether the token can be listed."""
+        self.context, self.one = _groups(key)
+        self.gram, one_gram = _groups(_mix(key, follower))
+        many, of = len(self.one), self.context[one_gram]
+        context_n = np.bincount(self.context, weights=weights, minlength=many)
+        n = np.bincount(self.gram, weights=weights * counted, minlength=len(one_gram))
+        self.listed = (n > 0) & (n >= least)
+        p = (n - DISCOUNT) / np.maximum(context_n, 1)[of]
+        self.p, self.log_p = p, np.log10(np.where(self.listed, p, 1.0))
+        at = np.flatnonzero(self.listed)
+        of, own, q = of[at], p[at], below[one_gram[at]]
+        rest = np.maximum(1 - np.bincount(of, weights=own, minlength=many), 1e-12)
+        leave = rest / (1 - np.minimum(np.bincount(of, weights=q, minlength=many), 1 - 1e-9))
+        information = np.bincount(of, weights=own * np.log(own / q), minlength=many)
+        self.state = (np.bincount(of, minlength=many) > 0) & (context_n * (information + rest * np.log(leave)) >= divergence)
+        self.leave = np.log10(leave)
+
+    def cost(self, shorter: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each window's token, given that by the suffix of the context."""
+        own = np.where(self.listed[self.gram], self.log_p[self.gram], self.leave[self.context] + shorter)
+        return np.where(self.state[self.context], own, shorter)
+
+
+def _longer_levels(first: Level, place, hashes, valid, weights, counted, below, least, divergence) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of two words and more over windows at ``place`` that hold all their occurrences; marks the states among their suffixes.
+
+    Returns the cost as (a, b), to be read as a + b * cost by the last word alone.
+    """
+    levels, inside, key = [], [], hashes[1][place]
+    at = np.arange(len(place))
+    q = below[place]
+    for length in range(2, len(hashes)):
+        there = valid[length][place[at]]
+        at, key, q = at[there], key[there], q[there]
+        key = _mix(key, hashes[length][place[at]])
+        own = place[at]
+        level = Level(key, hashes[0][own], weights[own], counted[own], q, least, divergence)
+        levels.append(level)
+        inside.append(at)
+        q = level.p[level.gram]
+    for upper in range(len(levels) - 1, 0, -1):  # the suffix of a state is a state
+        longer, shorter = levels[upper], levels[upper - 1]
+        ends = inside[upper][longer.one[longer.state]]
+        shorter.state[shorter.context[np.searchsorted(inside[upper - 1], ends)]] = True
+    a, b = np.zeros(len(place)), np.ones(len(place))
+    for level, at in zip(levels, inside):
+        hit = level.state[level.context] & level.listed[level.gram]
+        a[at] = level.cost(a[at])
+        b[at[hit]] = 0.0
+    if levels:
+        first.state[first.context[place[inside[0][levels[0].one[levels[0].state]]]]] = True
+    return a, b
+
+
+def _grow(known, total: int, room: int, depth: int, divergence: float, least_word: float, least_gram: float):
+    """Task code: the windows of a part, and the words it was told of, to sums per text, packed by chunk.
+
+    Sums are of the score and, for words that tasks do not know by heart, of log10(n + 1) and of those seen at all.
     """
-    names = ["id", "n_tokens", "n_known", "base_score", "score", "lookups"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_keys, word_logs, hot_keys, hot_leave, hot_gain, bits = model.value
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                lists = _lists(batch.column(1))
-                flat, present = _flat(lists)
-                sizes = np.array([len(own) + 1 for own in lists])
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                keys, there = _grams(flat, present, depth)
-                own = _find(word_keys, flat)
-                known = present & (own >= 0)
-                root = np.where(present, -math.log10(room), 0.0)
-                root[known] = word_logs[own[known]]
-                hot = [_find(hot_keys, own) for own in keys]
-                unsettled, maybe, parts = np.zeros(len(flat), dtype=bool), present, []
-                for length in range(1, depth + 1):  # what the tables may hold for a context and its n-gram
-                    context, is_hot = _before(keys[length - 1]), _before(hot[length - 1] + 1) - 1
-                    at_hot = is_hot >= 0
-                    leave = np.full(len(flat), np.nan)
-                    leave[at_hot] = hot_leave[is_hot[at_hot]]
-                    bit = context >> np.uint64(64 - MAP_BITS)
-                    in_map = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                    maybe = maybe & there[length] & np.where(at_hot, ~np.isnan(leave), in_map == 1)
-                    gram, gram_hot = keys[length], hot[length]
-                    gain = np.full(len(flat), np.nan)
-                    gain[gram_hot >= 0] = hot_gain[gram_hot[gram_hot >= 0]]
-                    open_context, open_gram = maybe & ~at_hot, maybe & (gram_hot < 0)
-                    unsettled |= open_context | open_gram
-                    parts.append((maybe, open_context, context, leave, open_gram, gram, gain))
-                extra, going = np.zeros(len(flat)), ~unsettled
-                for maybe_, _, _, leave, _, _, gain in reversed(parts):
-                    here = going & maybe_
-                    hit = here & ~np.isnan(gain)
-                    extra[hit] += gain[hit]
-                    extra[here & ~hit] += leave[here & ~hit]
-                    going &= ~hit
-                at_rows, slot_rows, key_rows, value_rows, null_rows = [], [], [], [], []
-
-                def hand_on(mask, slot, own_keys, own_values, open_):
-                    at = np.flatnonzero(mask)
-                    at_rows.append(at)
-                    slot_rows.append(np.full(len(at), slot, dtype=np.int32))
-                    key_rows.append(own_keys[at].view(np.int64))
-                    value_rows.append(own_values[at])
-                    null_rows.append(~open_[at])
-
-                hand_on(present & ~known, 0, flat, root, present)
-                for length, (maybe_, open_context, context, leave, open_gram, gram, gain) in enumerate(parts, start=1):
-                    hand_on(unsettled & maybe_, length, context, leave, open_context)
-                    hand_on(unsettled & maybe_ & (open_gram | ~np.isnan(gain)), depth + length, gram, gain, open_gram)
-                at, slot, key, value, settled = (np.concatenate(own) for own in (at_rows, slot_rows, key_rows, value_rows, null_rows))
-                order = np.argsort(at, kind="stable")
-                at, slot, key, value, settled = at[order], slot[order], key[order], value[order], settled[order]
-                owner = np.searchsorted(starts, at, side="right") - 1
-                offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(starts)))].astype(np.int32)
-                fields = [
-                    pa.array((at - starts[owner]).astype(np.int32)),
-                    pa.array(slot),
-                    pa.array(key, mask=settled),
-                    pa.array(value, mask=~settled),
-                ]
-                lookups = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["place", "slot", "key", "value"]))
-                add = lambda own: pa.array(np.add.reduceat(own, starts))
-                counted = pa.array(sizes.astype(np.int64) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), counted, add(known.astype(np.int64)), add(root), add(root + extra), lookups], names)
 
-    return score
+    def grow(table: pa.Table) -> pa.Table:
+        words_, least = known.value, least_gram * total
+        rows = sorted(table.to_pylist(), key=lambda row: row["chunk"])
+        told, rows = [row for row in rows if row["chunk"] < 0], [row for row in rows if row["chunk"] >= 0]
+        told_keys, told_n = (np.concatenate([np.zeros(0, kind), *(_expand(row["body"][place], row["size"], kind) for row in told)]) for place, kind in ((0, np.uint64), (1, np.int64)))
+        told_keys, at = np.unique(told_keys, return_index=True)
+        told_n = told_n[at]
+        all_words = least_word * total <= 1  # otherwise all common words are known by heart
+        common = np.r_[False, words_.counts >= least_word * total, all_words]
+        counts = np.r_[0, words_.counts, 0]
+
+        size = sum(row["size"] for row in rows)
+        text, learns, n, other = np.zeros(size, np.int32), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, bool)
+        hashes, valid = [np.zeros(size, np.uint64) for _ in range(depth + 1)], [np.zeros(size, bool) for _ in range(depth + 1)]
+        texts, end, asked = [0], 0, []
+        for row in rows:
+            body, here = row["body"], slice(end, end + row["size"])
+            marks = _expand(body[0], int(_expand(body[1], 1, np.int64)[0]), np.uint8)
+            asked.append((marks & SCORE).any())
+            own = np.cumsum(_expand(body[2], row["size"], np.uint32))
+            text[here], learns[here] = texts[-1] + own, (marks[own] & LEARN) > 0
+            for back in range(depth + 1):
+                codes, hashes[back][here] = words_.unpack(body[3 + 2 * back : 5 + 2 * back], row["size"])
+                valid[back][here] = common[codes]
+                if back == 0:
+                    n[here], other[here] = counts[codes], codes == words_.other
+            texts.append(texts[-1] + len(marks))
+            end, row["body"] = here.stop, None
+
+        others = np.flatnonzero(other)
+        found = _find(told_keys, hashes[0][others])
+        n[others[found >= 0]] = told_n[found[found >= 0]]
+        value = np.log10((n + 1) / room)
+
+        held = np.flatnonzero(valid[1])
+        if len(held):
+            hashes, valid = [own[held] for own in hashes], [own[held] for own in valid]
+            weights = learns[held]
+            first = Level(hashes[1], hashes[0], weights, valid[0], (n[held] + 1) / room, least, divergence)
+            below = first.p[first.gram]
+            longer = np.flatnonzero(valid[2]) if depth > 1 else held[:0]
+            slices = math.ceil(len(longer) / SLICE)
+            a, b = np.zeros(len(held)), np.ones(len(held))
+            which = (_mix(hashes[1][longer], hashes[2][longer]) >> np.uint64(32)) % np.uint64(slices) if slices else None
+            for number in range(slices):
+                place = longer[which == number]
+                a[place], b[place] = _longer_levels(first, place, hashes, valid, weights, valid[0], below, least, divergence)
+            value[held] = a + b * first.cost(value[held])
+
+        sums = [np.bincount(text, weights=value, minlength=texts[-1])]
+        for own in (np.log10(n[others] + 1.0), (n[others] > 0).astype(np.float64)):
+            sums.append(np.bincount(text[others], weights=own, minlength=texts[-1]))
+        sent = [(row["part"], row["chunk"], b - a, [_squeeze(own[a:b]) for own in sums]) for row, a, b, wanted in zip(rows, texts, texts[1:], asked) if wanted]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+        return pa.table([pa.array([own[place] for own in sent], kind) for place, kind in enumerate(kinds)], names=["part", "chunk", "size", "body"])
+
+    return grow
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Task code: sums of the texts of a chunk over all parts."""
+    rows = sorted(table.to_pylist(), key=lambda row: row["part"])
+    size = rows[0]["size"]
+    score, more, seen = (sum(_expand(row["body"][place], size, np.float64) for row in rows) for place in range(3))
+    row_ids = (rows[0]["chunk"] << ROW_BITS) + np.arange(size)
+    return pa.table([pa.array(row_ids), pa.array(score), pa.array(more), pa.array(seen.astype(np.int64))], names=["row", "score", "more", "more_known"])
+
+
+def _known_words(counts: DataFrame, least: float) -> tuple[Words, int]:
+    """The most frequent words, ``KNOWN_WORDS`` at most, and the count from which on words are among them.
+
+    Words with a count of ``least`` or more, if that is above 1, are added.
+    """
+    steps = sorted({step << power for power in range(40) for step in (4, 5, 6, 7)} | {1, 2, 3})
+    many = counts.agg(*[F.count(F.when(F.col("n") >= step, 1)) for step in steps]).first()
+    enough = next(step for step, n in zip(steps, many) if n <= KNOWN_WORDS)
+    found = counts.where(F.col("n") >= (min(enough, least) if least > 1 else enough)).toArrow()
+    return Words(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()), enough
 
 
 def score_texts(
     docs: DataFrame,
-    training: DataFrame,
+    training: DataFrame | Column,
     id_column: str = "doc_id",
     text_column: str = "text",
     least_word: float = 0.0,
@@ -298,62 +396,44 @@ def score_texts(
 ) -> DataFrame:
     """Scores of ``docs`` under a tree learnt from ``training``, one row per document.
 
+    ``training``: a table, or the condition for the rows of ``docs`` to learn from, which then move only once.
     Columns: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10).
     """
     spark = docs.sparkSession
-    lessons = training.select(token_hashes(F.col(text_column)).alias("ids"))
-    counts = saved(lessons.select(F.explode("ids").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    id_type = docs.schema[id_column].dataType
+    text = F.col(text_column).alias("text")
+    if isinstance(training, Column):
+        mark = F.when(training, F.lit(LEARN | SCORE)).otherwise(F.lit(SCORE))
+        rows = docs.select(F.col(id_column).alias("id"), mark.alias("mark"), text)
+    else:
+        lessons = training.select(F.lit(None).cast(id_type).alias("id"), F.lit(LEARN).alias("mark"), text)
+        rows = docs.select(F.col(id_column).alias("id"), F.lit(SCORE).alias("mark"), text).unionByName(lessons)
+    hashed = rows.select("id", "mark", token_hashes(F.col("text")).alias("ids"))
+    learnt = rows.where(F.col("mark").bitwiseAND(LEARN) > 0).select(F.explode(tokens(F.col("text"))).alias("word"))
+    counts = saved(learnt.groupBy(F.xxhash64("word").alias("key")).agg(F.count(F.lit(1)).alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     room = total + distinct + 1
-    roots = counts.withColumn("p", (F.col("n") + 1) / F.lit(float(room)))
-
-    common = None
-    if least_word * total > 1:  # at most 1 / least_word words
-        common = spark.sparkContext.broadcast(np.sort(counts.where(F.col("n") >= least_word * total).select("key").toArrow().column(0).to_numpy().view(np.uint64)))
-    # Small partitions are read together, so that equal n-grams meet before the shuffle.
-    local = lessons.coalesce(max(1, total // CHUNK)).mapInArrow(_count_grams(common, depth), "prefix long, key long, suffix long, above long, word long, n long")
-    # by context, which also serves the sums per n-gram and per context
-    summed = local.repartition("prefix").groupBy("prefix", "key").agg(*[F.max(name).alias(name) for name in ("suffix", "above", "word")], F.sum("n").alias("n"))
-    whole = summed.withColumn("context_n", F.sum("n").over(W.partitionBy("prefix")))
-    enough = (F.col("context_n") >= fewest_occurrences(room, divergence)) & (F.col("n") >= least_gram * total)
-    counted = saved(whole.where(F.col("key").isNotNull() & enough))
-    tree = learn_tree(counted, roots, total, depth, divergence)
-
-    hot_words = counts.where(F.col("n") >= max(1, HOT_WORD * total)).toArrow()
-    hot = counts.unionByName(counted.select("key", "n")).where(F.col("n") >= max(2, HOT_GRAM * total)).select("key")
-    known = hot.join(tree, "key", "left").toArrow()
-    word_keys, hot_keys = (table.column(0).to_numpy().view(np.uint64) for table in (hot_words, known))
-    by_word, by_key = np.argsort(word_keys), np.argsort(hot_keys)
-    word_logs = np.log10((hot_words.column(1).to_numpy() + 1) / room)
-    leave, gain = (known.column(place).to_numpy(zero_copy_only=False).astype(np.float64) for place in (1, 2))
-    model = spark.sparkContext.broadcast((word_keys[by_word], word_logs[by_word], hot_keys[by_key], leave[by_key], gain[by_key], _bit_map(tree)))
-
-    texts = docs.select(F.col(id_column).alias("id"), token_hashes(F.col(text_column)).alias("ids"))
-    id_type = texts.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_tokens long, n_known long, base_score double, score double, lookups {LOOKUP}"
-    scored = saved(texts.mapInArrow(_score(model, room, depth), schema).withColumn("row", F.monotonically_increasing_id()))
-
-    rows = scored.select("row", F.explode("lookups").alias("own")).select("row", "own.*")
-    cold = counts.where(F.col("n") < max(1, HOT_WORD * total))
-    met = rows.where("slot = 0").select("row", "key").join(cold, "key").groupBy("row")
-    rare = met.agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
-    asked = rows.where("slot > 0 and key is not null").select("row", "place", "slot", "key").join(tree, "key")
-    found = asked.select("row", "place", "slot", F.when(F.col("slot") <= depth, F.col("leave")).otherwise(F.col("gain")).alias("value")).where("value is not null")
-    found = found.unionByName(rows.where("slot > 0 and value is not null").select("row", "place", "slot", "value"))
-    by_slot = [F.max(F.when(F.col("slot") == slot, F.col("value"))).alias(f"v{slot}") for slot in range(1, 2 * depth + 1)]
-    extra = F.lit(0.0)
-    for length in range(1, depth + 1):  # a listed word ends the way down
-        state, listed = F.col(f"v{length}"), F.col(f"v{depth + length}")
-        extra = F.when(state.isNull(), extra).when(listed.isNotNull(), listed).otherwise(state + extra)
-    places = found.groupBy("row", "place").agg(*by_slot).groupBy("row").agg(F.sum(extra).alias("extra"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("lookups").join(rare, "row", "left").join(places, "row", "left").select(
+    by_heart, enough = _known_words(counts, least_word * total)
+    known = spark.sparkContext.broadcast(by_heart)
+
+    arrow_id = hashed.limit(0).select("id").toArrow().schema.field(0).type
+    schema = f"id {id_type.simpleString()}, mark int, n_tokens long, n_known long, base_score double, row long, {PACKED}"
+    texts = saved(hashed.mapInArrow(_pack_texts(known, room, arrow_id), schema))
+    parts = max(1, math.ceil((texts.agg(F.sum("n_tokens")).first()[0] or 0) / PART))
+    chunks = texts.where("chunk is not null").select("row", "chunk", "size", "body")
+
+    asked = chunks.mapInArrow(_ask(known, depth, parts), "part int, key long").join(counts.where(F.col("n") < enough), "key")
+    told = asked.select("part", "key", "n").mapInArrow(_answer, f"part int, {PACKED}")
+    dealt = chunks.mapInArrow(_deal(known, depth, parts), f"part int, {PACKED}").unionByName(told)
+    grown = dealt.groupBy("part").applyInArrow(_grow(known, total, room, depth, divergence, least_word, least_gram), f"part int, {PACKED}")
+    sums = grown.groupBy("chunk").applyInArrow(_add_up, "row long, score double, more double, more_known long")
+    return texts.where(f"chunk is null and mark & {SCORE} > 0").drop("chunk", "size", "body").join(sums.withColumnRenamed("score", "whole"), "row", "left").select(
         F.col("id").alias(id_column),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.col("more_known")).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more + F.coalesce("extra", F.lit(0.0))).alias("score"),
+        (F.col("base_score") + F.col("more")).alias("base_score"),
+        F.col("whole").alias("score"),
     )
 
 

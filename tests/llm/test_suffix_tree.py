@@ -4,10 +4,12 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkbi.llm import common, suffix_tree
 from sparkbi.llm.suffix_tree import DISCOUNT, held_out, score_texts
 
 END = " "
@@ -136,3 +138,32 @@ def test_rare_contexts_stay_in_a_larger_corpus(spark):
     assert found.train_tokens == 3_150_050
     first = math.log10(11 / (3_150_050 + 21 + 1))
     assert found.score == pytest.approx(first + 4 * math.log10(0.95), rel=1e-9)
+
+
+def test_parts_slices_and_chunks_match_brute_force(spark, monkeypatch):
+    """Many parts of the tree, slices of a part, chunks of a task, and words that tasks do not know by heart."""
+    for name, value in {"PART": 700, "SLICE": 50, "CHUNK": 40, "KNOWN_WORDS": 9}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = list(enumerate([*texts_of(120), None, "", "É À unseen words", "cat " * 300, *["sat on rare1 rare2 rare3"] * 5]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    brute = Brute([text for number, text in rows if zlib.crc32(str(number).encode()) % 7 != 2], 0.0, 0.0, 3, 3.0)
+    got = {row.doc_id: row for row in score_texts(docs, ~held_out(F.col("doc_id")), divergence=3.0).collect()}
+    assert len(got) == len(rows) and any(len(state) == 3 for state in brute.states)
+    for number, text in rows:
+        row = got[number]
+        assert (row.n_tokens, row.train_tokens) == (len(tokens(text)), brute.total)
+        assert row.n_known == sum(brute.words[word] > 0 for word in tokens(text))
+        assert row.base_score == pytest.approx(brute.base(text), rel=1e-9)
+        assert row.score == pytest.approx(brute.score(text), rel=1e-9)
+
+
+def test_disk_per_token(spark):
+    """What is shuffled and saved for a token stays far below the hashes of its n-grams."""
+    text = "concat_ws(' ', transform(sequence(1, 200), x -> concat('w', cast(pow(1.0004, hash(id, x) & 32767) as int))))"
+    docs = spark.range(2_000).selectExpr("id AS doc_id", f"{text} AS text")
+    driver = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before, tables = driver(), len(common.SAVED)
+    n_tokens = score_texts(docs, docs).agg(F.sum("n_tokens")).first()[0]
+    files = [file for path in common.SAVED[tables:] for file in Path(path.removeprefix("file:")).rglob("*.parquet")]
+    assert n_tokens == 2_000 * 201 and files
+    assert (driver() - before + sum(file.stat().st_size for file in files)) / n_tokens < 60
