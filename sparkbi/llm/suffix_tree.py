@@ -16,6 +16,10 @@ The parts are as many as keep ``PART`` tokens in each on average. Windows travel
 ``KNOWN_WORDS`` most frequent words, which tasks know by heart, as their rank, others as 64-bit hashes.
 What a part must know of the other words is joined by a shuffle. N-grams are known by 64-bit hashes.
 
+A context with more tokens than ``HOT`` parts is split by the word before it, and one of ``DEPTH`` words by
+text. Its n-grams are counted by a shuffle before, and its parts are told of them like of words. Only states
+by their own divergence whose suffixes are split too are split, as the parts can't tell if longer ones are states.
+
 Nulls: a null text is an empty one, a single end token. Null ids are kept and belong to the training part.
 Repeated rows are scored and counted each. Without training rows every score is that of an empty model. An
 empty table gives an empty result. Other columns are not looked at.
@@ -23,6 +27,7 @@ empty table gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -40,6 +45,7 @@ DISCOUNT = 0.5
 DIVERGENCE = 10.0
 CHUNK = 1_000_000  # tokens packed together at least, where there are as many
 PART = 2_000_000  # tokens of a part of the tree on average
+HOT = 2  # contexts with more tokens than so many parts are split
 SLICE = 500_000  # tokens of a part whose longer contexts are taken up together, about
 FOLDS, HELD_FOLD = 7, 2
 LEARN, SCORE = 1, 2  # marks of a row
@@ -125,6 +131,33 @@ class Words:
         return codes, hashes
 
 
+class Split:
+    """Split contexts by key, with how often they occur and log10 of what an unlisted word costs; ``homes``: parts of the first words known by heart."""
+
+    def __init__(self, rows: list[tuple[int, int, float]] = ()):
+        rows = sorted((key % (1 << 64), n, leave) for key, n, leave in rows)
+        self.keys, self.n, self.leave = (np.array([row[place] for row in rows], kind) for place, kind in enumerate((np.uint64, np.int64, np.float64)))
+        self.homes = np.zeros(0, np.int32)
+
+    def settle(self, words_: Words, parts: int) -> None:
+        """Deal frequent words to the parts, the most frequent first, each to the part with the fewest tokens."""
+        counts = words_.counts[words_.counts >= PART / 50]
+        loads = [(0, part) for part in range(parts)]
+        self.homes = np.zeros(len(counts), np.int32)
+        for place, n in enumerate(counts.tolist()):
+            load, self.homes[place] = loads[0]
+            heapq.heapreplace(loads, (load + (n if n <= HOT * PART else 0), int(self.homes[place])))
+
+    def levels(self, codes: list[np.ndarray], hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per length of the context, its key at each token and whether it is split."""
+        inside, key = np.ones(len(codes[0]), dtype=bool), None
+        for own, words_ in zip(codes[1:], hashes[1:]):
+            key = words_ if key is None else _mix(key, words_)
+            inside = inside & (own > 0)
+            inside[inside] = _find(self.keys, key[inside]) >= 0
+            yield key, inside
+
+
 def _pack_texts(known, room: int, id_type: pa.DataType):
     """Task code: (id, mark, token hashes) to a row per text, with what is known of its score at once, and a row per chunk of texts."""
     names = ["id", "mark", "n_tokens", "n_known", "base_score", "row", "chunk", "size", "body"]
@@ -162,7 +195,7 @@ def _pack_texts(known, room: int, id_type: pa.DataType):
     return pack
 
 
-def _windows(words_: Words, row: dict, depth: int, parts: int) -> tuple[np.ndarray, ...]:
+def _windows(words_: Words, row: dict, depth: int, parts: int, split: Split) -> tuple[np.ndarray, ...]:
     """Marks of a chunk's texts, the text of each token, its part, and codes and hashes of the token and the words before it, each by distance."""
     marks, sizes = _expand(row["body"][0], row["row"], np.uint8), _expand(row["body"][1], row["row"], np.int64)
     codes, hashes = words_.unpack(row["body"][2:], row["size"])
@@ -174,7 +207,17 @@ def _windows(words_: Words, row: dict, depth: int, parts: int) -> tuple[np.ndarr
             own.append(np.concatenate([np.zeros(1, own[-1].dtype), own[-1][:-1]]))
             own[-1][place == back - 1] = 0
     # the first token of a text belongs to no word
-    part = np.where(place > 0, _mix(all_hashes[1], np.uint64(1)), text.astype(np.uint64)) % np.uint64(parts)
+    route, inside = np.where(place > 0, _mix(all_hashes[1], np.uint64(1)), text.astype(np.uint64)), None
+    for key, within in split.levels(all_codes, all_hashes) if len(split.keys) else ():
+        route = route if inside is None else np.where(inside, key, route)
+        inside = within
+    if inside is not None:
+        route = np.where(inside, _mix(route, text.astype(np.uint64)), route)
+    part = route % np.uint64(parts)
+    homely = (all_codes[1] > 0) & (all_codes[1] <= len(split.homes))
+    if inside is not None:
+        homely &= _find(split.keys, all_hashes[1]) < 0
+    part[homely] = split.homes[all_codes[1][homely] - 1]
     return marks, text, part.astype(np.int32), all_codes, all_hashes
 
 
@@ -184,14 +227,17 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(place, 1).to_pylist()[0]
 
 
-def _ask(known, depth: int, parts: int):
-    """Task code: parts and the words they must be told of, once per chunk."""
+def _ask(known, depth: int, parts: int, split: Split):
+    """Task code: parts and the words and n-grams of split contexts they must be told of, once per chunk."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _chunk_rows(batches):
-            _, _, part, codes, hashes = _windows(known.value, row, depth, parts)
+            _, _, part, codes, hashes = _windows(known.value, row, depth, parts, split)
             others = codes[0] == known.value.other
-            part, keys = part[others], hashes[0][others]
+            wanted = [(part[others], hashes[0][others])]
+            for key, inside in split.levels(codes, hashes) if len(split.keys) else ():
+                wanted.append((part[inside], _mix(key[inside], hashes[0][inside])))
+            part, keys = (np.concatenate(own) for own in zip(*wanted))
             _, at = _groups(_mix(keys, part.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(keys[at].view(np.int64))], ["part", "key"])
 
@@ -207,12 +253,12 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _part_rows(part, cuts, -1, lambda at: [_squeeze(keys[at]), _squeeze(n[at])])
 
 
-def _deal(known, depth: int, parts: int):
+def _deal(known, depth: int, parts: int, split: Split):
     """Task code: windows of a chunk packed by part."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _chunk_rows(batches):
-            marks, text, part, codes, hashes = _windows(known.value, row, depth, parts)
+            marks, text, part, codes, hashes = _windows(known.value, row, depth, parts, split)
 
             order, cuts = _by_part(part)
             text, codes, hashes = text[order], [own[order] for own in codes], [own[order] for own in hashes]
@@ -227,6 +273,63 @@ def _deal(known, depth: int, parts: int):
     return deal
 
 
+def _count_hot(known, length: int, depth: int, hot: Split):
+    """Task code: n-grams after hot contexts of ``length`` words, with their suffixes and their keys as contexts, counted by chunk."""
+    names = ["context", "suffix", "gram", "shorter", "key", "longer", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _chunk_rows(batches):
+            marks, text, _, codes, hashes = _windows(known.value, row, depth, 1, Split())
+            at = np.flatnonzero(((marks[text] & LEARN) > 0) & (codes[length] > 0))
+            token, *before = (own[at] for own in hashes[: length + 1])
+            chain, longer = [before[0]], _mix(token, before[0])
+            for word in before[1:]:
+                chain.append(_mix(chain[-1], word))
+                longer = _mix(longer, word)
+            found = np.flatnonzero(_find(hot.keys, chain[-1]) >= 0)
+            group, one = _groups(_mix(chain[-1][found], token[found]))
+            at = found[one]
+            suffix = chain[-2][at] if length > 1 else np.zeros(len(at), np.uint64)
+            columns = (chain[-1][at], suffix, _mix(chain[-1][at], token[at]), _mix(suffix, token[at]), token[at], longer[at])
+            yield pa.RecordBatch.from_arrays([*(pa.array(own.view(np.int64)) for own in columns), pa.array(np.bincount(group, minlength=len(one)))], names)
+
+    return count
+
+
+def _split_contexts(chunks: DataFrame, counts: DataFrame, known, total: int, room: int, depth: int, divergence: float, least_word: float, least: float):
+    """The contexts to split, and a table (key, n) of the n-grams after them; at most total / (HOT * PART) contexts of a length reach the driver."""
+    words_, rows, told, before = known.value, [], None, None
+    keys = words_.keys[words_.counts >= max(HOT * PART + 1, least_word * total)]
+    allowed = {0}
+    for length in range(1, depth + 1):
+        hot = Split([(int(key), 0, 0.0) for key in keys])
+        if not len(hot.keys) or not allowed:
+            break
+        found = chunks.mapInArrow(_count_hot(known, length, depth, hot), "context long, suffix long, gram long, shorter long, key long, longer long, n long")
+        found = saved(found.groupBy("gram").agg(*[F.max(name).alias(name) for name in ("context", "suffix", "shorter", "key", "longer")], F.sum("n").alias("n")))
+        if before is None:
+            below = counts.select("key", ((F.col("n") + 1) / room).alias("q"), (F.col("n") >= least_word * total).alias("counted"))
+            joined = found.join(below, "key")
+        else:
+            joined = found.join(before.select(F.col("gram").alias("shorter"), F.col("p").alias("q"), "counted"), "shorter")
+        whole = F.broadcast(found.groupBy("context").agg(F.sum("n").alias("context_n")))
+        before = saved(joined.join(whole, "context").withColumn("p", (F.col("n") - DISCOUNT) / F.col("context_n")))
+        listed = F.col("counted") & (F.col("n") >= least)
+        sums = before.where(listed).groupBy("context", "suffix", "context_n").agg(
+            F.sum("p").alias("mass"), F.sum("q").alias("taken"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("information")
+        )
+        rest = F.greatest(1 - F.col("mass"), F.lit(1e-12))
+        leave = rest / (1 - F.least("taken", F.lit(1 - 1e-9)))
+        kept = F.col("context_n") * (F.col("information") + rest * F.log(leave)) >= divergence
+        states = [row for row in sums.where(kept).select("context", "suffix", "context_n", F.log10(leave).alias("leave")).collect() if row.suffix in allowed]
+        rows += [(row.context, row.context_n, row.leave) for row in states]
+        allowed = {row.context for row in states}
+        own = before.select(F.col("gram").alias("key"), "n", "context").where(F.col("context").isin(list(allowed))).drop("context")
+        told = own if told is None else told.unionByName(own)
+        keys = before.where(listed & (F.col("n") > HOT * PART)).select("longer").toArrow().column(0).to_numpy().view(np.uint64)
+    return Split(rows), told
+
+
 def _by_part(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by part and the bounds of the parts in it."""
     order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
@@ -247,6 +350,7 @@ class Level:
         """``below``: p of the token by the suffix, per window; ``counted``: whether the token can be listed."""
         self.context, self.one = _groups(key)
         self.gram, one_gram = _groups(_mix(key, follower))
+        self.one_gram = one_gram
         many, of = len(self.one), self.context[one_gram]
         context_n = np.bincount(self.context, weights=weights, minlength=many)
         n = np.bincount(self.gram, weights=weights * counted, minlength=len(one_gram))
@@ -261,13 +365,27 @@ class Level:
         self.state = (np.bincount(of, minlength=many) > 0) & (context_n * (information + rest * np.log(leave)) >= divergence)
         self.leave = np.log10(leave)
 
+    def tell(self, split: Split, key, follower, counted, told_keys, told_n, least) -> Level:
+        """Replace what the windows say of split contexts by what holds for all their parts."""
+        found = _find(split.keys, key[self.one])
+        of = self.context[self.one_gram]
+        at = np.flatnonzero(found[of] >= 0)
+        if len(at):
+            self.state[found >= 0], self.leave[found >= 0] = True, split.leave[found[found >= 0]]
+            one = self.one_gram[at]
+            n = np.r_[told_n, 0][_find(told_keys, _mix(key[one], follower[one]))]
+            self.listed[at] = counted[one] & (n > 0) & (n >= least)
+            self.p[at] = (n - DISCOUNT) / split.n[found[of[at]]]
+            self.log_p[at] = np.log10(np.where(self.listed[at], self.p[at], 1.0))
+        return self
+
     def cost(self, shorter: np.ndarray) -> np.ndarray:
         """log10 of the probability of each window's token, given that by the suffix of the context."""
         own = np.where(self.listed[self.gram], self.log_p[self.gram], self.leave[self.context] + shorter)
         return np.where(self.state[self.context], own, shorter)
 
 
-def _longer_levels(first: Level, place, hashes, valid, weights, counted, below, least, divergence) -> tuple[np.ndarray, np.ndarray]:
+def _longer_levels(first: Level, place, hashes, valid, weights, counted, below, least, divergence, split, told) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of two words and more over windows at ``place`` that hold all their occurrences; marks the states among their suffixes.
 
     Returns the cost as (a, b), to be read as a + b * cost by the last word alone.
@@ -281,6 +399,7 @@ def _longer_levels(first: Level, place, hashes, valid, weights, counted, below,
         key = _mix(key, hashes[length][place[at]])
         own = place[at]
         level = Level(key, hashes[0][own], weights[own], counted[own], q, least, divergence)
+        level.tell(split, key, hashes[0][own], counted[own], *told, least)
         levels.append(level)
         inside.append(at)
         q = level.p[level.gram]
@@ -298,7 +417,7 @@ def _longer_levels(first: Level, place, hashes, valid, weights, counted, below,
     return a, b
 
 
-def _grow(known, total: int, room: int, depth: int, divergence: float, least_word: float, least_gram: float):
+def _grow(known, total: int, room: int, depth: int, divergence: float, least_word: float, least_gram: float, split: Split):
     """Task code: the windows of a part, and the words it was told of, to sums per text, packed by chunk.
 
     Sums are of the score and, for words that tasks do not know by heart, of log10(n + 1) and of those seen at all.
@@ -316,7 +435,7 @@ def _grow(known, total: int, room: int, depth: int, divergence: float, least_wor
         counts = np.r_[0, words_.counts, 0]
 
         size = sum(row["size"] for row in rows)
-        text, learns, n, other = np.zeros(size, np.int32), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, bool)
+        text, learns, n, other = np.zeros(size, np.int32), np.zeros(size, bool), np.zeros(size, np.int64), np.zeros(size, bool)
         hashes, valid = [np.zeros(size, np.uint64) for _ in range(depth + 1)], [np.zeros(size, bool) for _ in range(depth + 1)]
         texts, end, asked = [0], 0, []
         for row in rows:
@@ -337,24 +456,32 @@ def _grow(known, total: int, room: int, depth: int, divergence: float, least_wor
         found = _find(told_keys, hashes[0][others])
         n[others[found >= 0]] = told_n[found[found >= 0]]
         value = np.log10((n + 1) / room)
+        n_others = n[others]
 
-        held = np.flatnonzero(valid[1])
+        held = np.flatnonzero(valid[1]).astype(np.int32)
         if len(held):
-            hashes, valid = [own[held] for own in hashes], [own[held] for own in valid]
-            weights = learns[held]
-            first = Level(hashes[1], hashes[0], weights, valid[0], (n[held] + 1) / room, least, divergence)
+            if len(held) < size:
+                for own in (hashes, valid):
+                    for back in range(depth + 1):
+                        own[back] = own[back][held]
+                learns, n = learns[held], n[held]
+            first = Level(hashes[1], hashes[0], learns, valid[0], (n + 1) / room, least, divergence)
+            del n
+            first.tell(split, hashes[1], hashes[0], valid[0], told_keys, told_n, least)
             below = first.p[first.gram]
-            longer = np.flatnonzero(valid[2]) if depth > 1 else held[:0]
+            longer = np.flatnonzero(valid[2]).astype(np.int32) if depth > 1 else held[:0]
             slices = math.ceil(len(longer) / SLICE)
-            a, b = np.zeros(len(held)), np.ones(len(held))
-            which = (_mix(hashes[1][longer], hashes[2][longer]) >> np.uint64(32)) % np.uint64(slices) if slices else None
+            a, b = np.zeros(len(held)), np.ones(len(held), dtype=bool)
+            which = ((_mix(hashes[1][longer], hashes[2][longer]) >> np.uint64(32)) % np.uint64(slices)).astype(np.int32) if slices else None
             for number in range(slices):
                 place = longer[which == number]
-                a[place], b[place] = _longer_levels(first, place, hashes, valid, weights, valid[0], below, least, divergence)
+                a[place], b[place] = _longer_levels(first, place, hashes, valid, learns, valid[0], below, least, divergence, split, (told_keys, told_n))
+            del hashes, valid, below, longer, which
             value[held] = a + b * first.cost(value[held])
+            del a, b, first
 
         sums = [np.bincount(text, weights=value, minlength=texts[-1])]
-        for own in (np.log10(n[others] + 1.0), (n[others] > 0).astype(np.float64)):
+        for own in (np.log10(n_others + 1.0), (n_others > 0).astype(np.float64)):
             sums.append(np.bincount(text[others], weights=own, minlength=texts[-1]))
         sent = [(row["part"], row["chunk"], b - a, [_squeeze(own[a:b]) for own in sums]) for row, a, b, wanted in zip(rows, texts, texts[1:], asked) if wanted]
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
@@ -422,10 +549,14 @@ def score_texts(
     parts = max(1, math.ceil((texts.agg(F.sum("n_tokens")).first()[0] or 0) / PART))
     chunks = texts.where("chunk is not null").select("row", "chunk", "size", "body")
 
-    asked = chunks.mapInArrow(_ask(known, depth, parts), "part int, key long").join(counts.where(F.col("n") < enough), "key")
+    split, grams = _split_contexts(chunks, counts, known, total, room, depth, divergence, least_word, least_gram * total)
+    split.settle(by_heart, parts)
+    facts = counts.where(F.col("n") < enough)
+    facts = facts if grams is None else facts.unionByName(grams)
+    asked = chunks.mapInArrow(_ask(known, depth, parts, split), "part int, key long").join(facts, "key")
     told = asked.select("part", "key", "n").mapInArrow(_answer, f"part int, {PACKED}")
-    dealt = chunks.mapInArrow(_deal(known, depth, parts), f"part int, {PACKED}").unionByName(told)
-    grown = dealt.groupBy("part").applyInArrow(_grow(known, total, room, depth, divergence, least_word, least_gram), f"part int, {PACKED}")
+    dealt = chunks.mapInArrow(_deal(known, depth, parts, split), f"part int, {PACKED}").unionByName(told)
+    grown = dealt.groupBy("part").applyInArrow(_grow(known, total, room, depth, divergence, least_word, least_gram, split), f"part int, {PACKED}")
     sums = grown.groupBy("chunk").applyInArrow(_add_up, "row long, score double, more double, more_known long")
     return texts.where(f"chunk is null and mark & {SCORE} > 0").drop("chunk", "size", "body").join(sums.withColumnRenamed("score", "whole"), "row", "left").select(
         F.col("id").alias(id_column),

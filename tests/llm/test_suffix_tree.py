@@ -167,3 +167,22 @@ def test_disk_per_token(spark):
     files = [file for path in common.SAVED[tables:] for file in Path(path.removeprefix("file:")).rglob("*.parquet")]
     assert n_tokens == 2_000 * 201 and files
     assert (driver() - before + sum(file.stat().st_size for file in files)) / n_tokens < 60
+
+
+@pytest.mark.parametrize("divergence", [3.0, 200.0])
+def test_hot_contexts_are_split(spark, monkeypatch, divergence):
+    """A word, a pair and a triple in most rows are dealt to many parts, and no part keeps them; the scores stay."""
+    for name, value in {"PART": 150, "SLICE": 50, "CHUNK": 40}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    found = []
+    split_contexts = suffix_tree._split_contexts
+    monkeypatch.setattr(suffix_tree, "_split_contexts", lambda *given: found.append(split_contexts(*given)) or found[-1])
+    hot = [f"{first} the cat sat {last}" for first in "abcdefghij" for last in "klmnopqrstuvwxyz0123456789" for _ in range(3)]
+    rows = list(enumerate([*texts_of(90), *hot, "the cat sat unseen", "the cat", "unseen the cat sat k"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    brute = Brute([text for number, text in rows if zlib.crc32(str(number).encode()) % 7 != 2], 0.0, 0.0, 3, divergence)
+    got = {row.doc_id: row for row in score_texts(docs, ~held_out(F.col("doc_id")), divergence=divergence).collect()}
+    assert len(found[0][0].keys) > 2
+    for number, text in rows:
+        assert got[number].base_score == pytest.approx(brute.base(text), rel=1e-9)
+        assert got[number].score == pytest.approx(brute.score(text), rel=1e-9)
