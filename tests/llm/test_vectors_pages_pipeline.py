@@ -76,6 +76,28 @@ def test_vectors_near_a_subspace(spark):
     assert {row.vec_id: row.n_links for row in near_vectors(table).collect()} == dict(enumerate(links.tolist()))
 
 
+def test_pairs_of_blocks_write_no_copies_of_vectors(spark, monkeypatch, tmp_path):
+    """Random vectors look into most cells, yet what is written grows with the vectors; groups larger than a block stay whole."""
+    import sparkbi.llm.common as common
+    import sparkbi.llm.vectors as module
+
+    monkeypatch.setattr(module, "BLOCK", 64)
+    monkeypatch.setattr(module, "PART", 300)
+    monkeypatch.setattr(common, "SAVED", [])
+    random = np.random.default_rng(3)
+    near = random.normal(size=64) + random.normal(size=(400, 64)) * 0.15
+    vectors = np.concatenate([random.normal(size=(2600, 64)), near]).astype(np.float32)
+    table = spark.createDataFrame([(number, vector.tolist()) for number, vector in enumerate(vectors)], "vec_id long, embedding array<float>")
+    table.write.parquet(str(tmp_path / "in"))
+    got = {row.vec_id: (row.n_links, row.component_id) for row in near_vectors(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    exact = vectors.astype(float)
+    unit = exact / np.linalg.norm(exact, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert got == {number: (many, 2600 if number >= 2600 else number) for number, many in enumerate(links.tolist())}
+    size = lambda top: sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(top) for name in names)
+    assert sum(size(path.removeprefix("file:")) for path in common.SAVED) < 3 * vectors.nbytes
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, near_vectors(table).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
