@@ -4,10 +4,16 @@ The state of an event is the place of its newest copy in the order (moment, time
 often it was told. It is needed only until the watermark passes that moment: every copy that is
 still accepted is newer then, so a timer drops the state without changing any result. Copies that
 come later than ``delay`` are dropped by the watermark; batch compaction has no such limit.
+
+Every call on the state or the timers goes to the JVM and back, and so does the answer of every key. So the key
+of the state is a bucket of events by default: its places are read, compared and written together, in three calls
+however many events the bucket holds. A bucket that is touched is written whole, which suits large batches;
+with ``buckets=0`` each event has a state of its own.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -21,6 +27,9 @@ from sparkbi.functions.hashing import row_hash
 from sparkbi.streaming.compaction import event_moment
 
 PLACE = "micros long, written string, content long, revision int"
+BUCKETS = 4096
+BUCKET = "alarm long, places binary"
+GRAIN_MS = 60_000  # places of a bucket go together, when the watermark has passed their minute
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -56,12 +65,70 @@ class NewestCopy(StatefulProcessor):
         pass
 
 
-def newest_wins(events: DataFrame, time: str = "event_time", delay: str = "1 day", key: str = "event_id") -> DataFrame:
+class NewestCopies(StatefulProcessor):
+    """Per bucket of events: tell the newest copy of each event that is newer than all told before; ``names`` go out."""
+
+    def __init__(self, names: Sequence[str], key: str) -> None:
+        self.names, self.key = list(names), key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", BUCKET)
+
+    @staticmethod
+    def _expiry(micros: int) -> int:
+        return (micros // 1000 // GRAIN_MS + 1) * GRAIN_MS
+
+    def _keep(self, alarm: int | None, places: dict) -> None:
+        """Write the places of the bucket; its one timer is that of the earliest."""
+        earliest = self._expiry(min(place[0] for place in places.values()))
+        if alarm is None or earliest < alarm:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            self.handle.registerTimer(earliest)
+            alarm = earliest
+        self.bucket.update((alarm, pickle.dumps(places)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        best: dict[Any, tuple[tuple, Row]] = {}
+        for row in rows:
+            place, event = (row["_micros"], row["_written"], row["_content"]), row[self.key]
+            if event not in best or place > best[event][0]:
+                best[event] = (place, row)
+        known = self.bucket.get()
+        alarm, places = (None, {}) if known is None else (known[0], pickle.loads(known[1]))
+        told = []
+        for event, (place, row) in best.items():
+            before = places.get(event)
+            if before is None or place > before[:3]:
+                revision = 1 if before is None else before[3] + 1
+                places[event] = (*place, revision)
+                told.append(Row(**{name: row[name] for name in self.names}, revision=revision))
+        if told:
+            self._keep(alarm, places)
+        return iter(told)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        watermark, known = timerValues.getCurrentWatermarkInMs(), self.bucket.get()
+        places = {} if known is None else {event: place for event, place in pickle.loads(known[1]).items() if self._expiry(place[0]) > watermark}
+        if places:
+            self._keep(None, places)
+        else:
+            self.bucket.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def newest_wins(events: DataFrame, time: str = "event_time", delay: str = "1 day", key: str = "event_id", buckets: int = BUCKETS) -> DataFrame:
     """A stream of events to a stream of their newest copies: the columns of ``events`` and ``revision``.
 
     The first copy of an event has revision 1, each newer one that comes later the next number; ``latest`` makes
     the table of it. Events without a readable time are left out (``envelope.rejected`` keeps them). The
-    query must keep its state in RocksDB, see ``rocksdb_state``.
+    query must keep its state in RocksDB, see ``rocksdb_state``. ``buckets`` says in how many pieces the state is
+    held, of which each is read and written whole; 0 keeps every event by itself. A checkpoint goes on with the
+    number it began with.
     """
     names = events.columns
     moment = event_moment(events, time)
@@ -70,7 +137,10 @@ def newest_wins(events: DataFrame, time: str = "event_time", delay: str = "1 day
     ).withColumn("_micros", F.unix_micros("_at"))
     timed = placed.where(F.col("_at").isNotNull()).withWatermark("_at", delay)
     out = T.StructType([*[T.StructField(field.name, field.dataType, True) for field in events.schema.fields], T.StructField("revision", T.IntegerType())])
-    return timed.groupBy(key).transformWithState(NewestCopy(names), out, outputMode="Append", timeMode="EventTime")
+    if not buckets:
+        return timed.groupBy(key).transformWithState(NewestCopy(names), out, outputMode="Append", timeMode="EventTime")
+    dealt = timed.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("_bucket").transformWithState(NewestCopies(names, key), out, outputMode="Append", timeMode="EventTime")
 
 
 @contextmanager

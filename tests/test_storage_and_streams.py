@@ -445,3 +445,33 @@ def test_newest_copy_takes_few_calls_for_a_key():
     assert [(r.v, r.revision) for r in taken.handleInputRows(1, iter([row(9000, 3)]), None)] == [(3, 2)]
     assert [(call[0], call[1]) for call in handle.method_calls if "Timer" in call[0]] == [("deleteTimer", (8,)), ("registerTimer", (10,))]
     assert not list(taken.handleInputRows(1, iter([row(6000, 4)]), None))
+
+
+def test_a_bucket_takes_as_few_calls_as_an_event():
+    """All events of a bucket are read, told and kept together, and go when the watermark has passed their minute."""
+    from unittest.mock import MagicMock
+
+    from sparkbi.streaming.newest import NewestCopies
+
+    handle, taken = MagicMock(), NewestCopies(["id", "v"], "id")
+    taken.init(handle)
+    state, kept = handle.getValueState.return_value, []
+    state.update.side_effect = kept.append
+    state.get.side_effect = lambda: kept[-1] if kept else None
+    minute = 60_000_000
+    row = lambda event, micros, v: {"id": event, "_micros": micros, "_written": "w", "_content": 1, "v": v}
+    calls = lambda: [call[0] for call in state.method_calls] + [call[0] for call in handle.method_calls if "Timer" in call[0]]
+    first = [row(event, (event + 1) * minute + copy, copy) for copy in (1, 0) for event in range(1000)]
+    assert [(r.id, r.v, r.revision) for r in taken.handleInputRows(1, iter(first), None)] == [(event, 1, 1) for event in range(1000)]
+    assert calls() == ["get", "update", "registerTimer"] and handle.registerTimer.call_args[0] == (2 * 60_000,)
+    state.reset_mock(), handle.reset_mock()
+    second = [row(3, 0, 7), row(5, 9 * minute, 8), row(1000, minute // 2, 9), row(7, 8 * minute + 1, 1)]
+    assert [(r.id, r.v, r.revision) for r in taken.handleInputRows(1, iter(second), None)] == [(5, 8, 2), (1000, 9, 1)]
+    assert calls() == ["get", "update", "deleteTimer", "registerTimer"] and handle.registerTimer.call_args[0] == (60_000,)
+    timers = MagicMock()
+    timers.getCurrentWatermarkInMs.return_value = 999 * 60_000
+    assert not list(taken.handleExpiredTimer(1, timers, None)) and handle.registerTimer.call_args[0] == (1000 * 60_000,)
+    assert not list(taken.handleInputRows(1, iter([row(998, 999 * minute, 2)]), None))
+    assert [r.revision for r in taken.handleInputRows(1, iter([row(998, 999 * minute + 5, 2), row(0, 1000 * minute, 2)]), None)] == [2, 1]
+    timers.getCurrentWatermarkInMs.return_value = 2000 * 60_000
+    assert not list(taken.handleExpiredTimer(1, timers, None)) and state.clear.called
