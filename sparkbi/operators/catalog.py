@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkbi.functions.columns import require
 from sparkbi.functions.text import text_stat
@@ -38,6 +38,16 @@ REFERENCE_ITEMS = {
 
 MAP_KEY = "11"  # the map whose items are listed
 
+
+def lists_patches(items: DataFrame) -> bool:
+    """Whether an entry names all patches that it holds for, as a list, instead of one."""
+    return isinstance(items.schema["patch"].dataType, T.ArrayType)
+
+
+def for_each_patch(items: DataFrame) -> DataFrame:
+    """One row per entry and patch, however the patches are written."""
+    return items.withColumn("patch", F.explode("patch")) if lists_patches(items) else items
+
 # The parts of the documents that are read, in their own spelling.
 ITEM_SCHEMA = """
     data map<string, struct<

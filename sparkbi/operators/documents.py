@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkbi.functions.hashing import hmac_sha256
 from sparkbi.functions.text import patch_key
+from sparkbi.operators.catalog import for_each_patch
 from sparkbi.operators.inventory import DESTROYED, ITEM_PREFIX, PURCHASED, SOLD, UNDO
 
 MINUTE_MS = 60_000
@@ -225,7 +226,7 @@ def snapshots(matches: DataFrame, timelines: DataFrame, minutes: Sequence[int] =
 def lacking_patches(states: DataFrame, items: DataFrame) -> DataFrame:
     """The patches (``patch``) of played matches that an item catalog lacks."""
     played = states.where(F.col("game_version").isNotNull()).select(patch_key(F.col("game_version")).alias("patch"))
-    known = items.select(patch_key(F.col("patch")).alias("patch")).distinct()
+    known = for_each_patch(items.select("patch").distinct()).select(patch_key(F.col("patch")).alias("patch")).distinct()
     return played.distinct().join(known, "patch", "left_anti")
 
 

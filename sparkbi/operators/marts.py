@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sparkbi.functions.columns import require, sum0
 from sparkbi.functions.text import patch_key
 from sparkbi.operators.aggregates import position
-from sparkbi.operators.catalog import REFERENCE_ITEMS
+from sparkbi.operators.catalog import REFERENCE_ITEMS, for_each_patch, lists_patches
+from sparkbi.session import cut_lineage
 
 MINUTE_MS = 60_000
 BUCKET = 500
 SMALL_CATALOG = 20_000  # entries; some MB
 FEW_LANES = 50_000  # lanes of a match, minute and team; some MB
+FEW_SETS = 200_000  # groups of an item set that hold more than one snapshot; some MB of hashes
 TEAM = ("match_id", "minute", "team_id")
 LANE = (*TEAM, "role")
 
@@ -28,13 +30,14 @@ def _attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], few: bool =
 
 
 def _catalog(items: DataFrame, stats: Sequence[str], by_patch: bool) -> DataFrame:
-    """One row per item id (and patch): of repeated ids the largest name, then cost, then stats."""
+    """One row per item id (and patch, or list of patches): of repeated ids the largest name, then cost, then stats."""
     facts = F.struct(
         F.col("item_name").cast("string").alias("name"),
         F.col("total_gold").cast("double").alias("cost"),
         *[F.col(stat).cast("double").alias(f"inventory_{stat}") for stat in stats],
     )
-    keys = [F.col("item_id").cast("long").alias("_item_id"), *([patch_key(F.col("patch")).alias("_of_patch")] if by_patch else [])]
+    patch = F.transform("patch", patch_key).alias("_patches") if by_patch and lists_patches(items) else patch_key(F.col("patch")).alias("_of_patch") if by_patch else None
+    keys = [F.col("item_id").cast("long").alias("_item_id"), *([] if patch is None else [patch])]
     return items.groupBy(*keys).agg(F.max(facts).alias("_facts"))
 
 
@@ -45,7 +48,8 @@ def inventory_stats(
 
     An unknown item costs nothing and shows its id; a repeated item counts each time; a
     repeated id in the catalog counts once. With ``by_patch`` each state uses the catalog of
-    its own patch, so mixed batches need no loop.
+    its own patch, so mixed batches need no loop; ``patch`` of the catalog may be a list, so an entry that holds for
+    many patches is one row and moves once.
 
     What a state holds travels as one number hashed from its inventory (and patch): the known items of
     each number are gathered once and come back to the states, and each state looks up its own
@@ -59,14 +63,22 @@ def inventory_stats(
     held = F.col("inventory").cast("array<long>")
     number = F.when(F.size("inventory") > 0, F.xxhash64(held, *patch))
     keys = ["_item_id", *(["_of_patch"] if by_patch else [])]
-    opened = states.select(number.alias("_number"), F.explode(F.array_distinct(held)).alias("_item_id"), *[of.alias("_of_patch") for of in patch])
+    ids = items.agg(F.min(F.col("item_id").cast("long")).alias("least"), F.max(F.col("item_id").cast("long")).alias("most")).first()
+    known_range = F.filter(F.array_distinct(held), lambda item: item.between(F.lit(ids.least), F.lit(ids.most)))  # no other item can be known
+    opened = states.select(number.alias("_number"), F.explode(known_range).alias("_item_id"), *[of.alias("_of_patch") for of in patch])
     # Sizes estimated from compressed files say little about either table: only a catalog with few entries goes to every task.
     few = items.limit(SMALL_CATALOG + 1).count() <= SMALL_CATALOG
     catalog = _catalog(items, known, by_patch).hint("broadcast" if few else "merge")
     entry = F.struct(*keys, "_facts.*")  # flat, as most of the bytes that are sorted and shuffled are these
-    priced = opened.join(catalog, keys).groupBy("_number").agg(F.collect_set(entry).alias("_entries"))
+    if by_patch and lists_patches(items):
+        listed = catalog.withColumnRenamed("_item_id", "_listed_id")
+        met = opened.join(listed.hint("broadcast" if few else "merge"), (F.col("_item_id") == F.col("_listed_id")) & F.array_contains("_patches", F.col("_of_patch")))
+    else:
+        met = opened.join(catalog, keys)
+    priced = met.groupBy("_number").agg(F.collect_set(entry).alias("_entries"))
     same = lambda entry, item: reduce(Column.__and__, [entry["_item_id"] == item, *[entry["_of_patch"] == of for of in patch]])
-    found = lambda item: F.get(F.filter("_entries", lambda entry: same(entry, item)), F.lit(0))
+    # overlapping lists of patches may give an item more than one entry: the largest, as among repeated ids
+    found = lambda item: F.array_max(F.filter("_entries", lambda entry: same(entry, item)))
 
     def total(name: str) -> Column:
         return F.coalesce(F.aggregate(held, F.lit(0.0), lambda so_far, item: so_far + F.coalesce(found(item)[name], F.lit(0.0))), F.lit(0.0))
@@ -227,14 +239,35 @@ def coverage(context: DataFrame) -> DataFrame:
     )
 
 
-def win_summary(context: DataFrame) -> DataFrame:
+def _alone(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``summary`` for snapshots that are the only ones of their group: no shuffle."""
+    counts = {"sample_players": F.col("participant_id").isNotNull(), "sample_matches": F.col("match_id").isNotNull()}
+    values = {name: counts.get(name, F.col(name.removeprefix("average_"))) for name in summary.columns if name not in keys}
+    values["observed_win_rate"] = F.col("observed_win")
+    return rows.select(*keys, *[value.cast(summary.schema[name].dataType).alias(name) for name, value in values.items()])
+
+
+def win_summary(context: DataFrame, published: bool = False) -> DataFrame:
     """Observed outcomes by version, minute, champion, role and item set.
 
     There are nearly as many groups as snapshots, so sums before the shuffle would save little and counting distinct
     matches would move the item names twice: the snapshots are brought together by group once, and all is counted there.
+
+    A ``published`` context is cheap to read again: then the hashes of the groups are counted first, and only snapshots whose
+    hash occurs more than once are moved, if these are few hashes. All others are alone in their group. Two groups with the
+    same hash only move for nothing.
     """
     keys = ["game_version", "minute", "champion_id", "role", "item_names"]
-    return context.repartition(*keys).groupBy(*keys).agg(*_cohort(context), *_differences())
+    together = lambda rows: rows.repartition(*keys).groupBy(*keys).agg(*_cohort(rows), *_differences())
+    if not published:
+        return together(context)
+    group = F.xxhash64(*keys)
+    shared = cut_lineage(context.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_group"))
+    if shared.count() > FEW_SETS:
+        return together(context)
+    is_shared = group == F.col("_group")
+    summary = together(context.join(F.broadcast(shared), is_shared, "left_semi"))
+    return summary.unionByName(_alone(context.join(F.broadcast(shared), is_shared, "left_anti"), summary, keys))
 
 
 def item_event_mart(events: DataFrame, items: DataFrame, by_patch: bool = False) -> DataFrame:
@@ -247,7 +280,7 @@ def item_event_mart(events: DataFrame, items: DataFrame, by_patch: bool = False)
     keys = ["item_id", *(["_patch"] if by_patch else [])]
     catalog, rows = items, events
     if by_patch:
-        catalog = items.withColumn("_patch", patch_key(F.col("patch")))
+        catalog = for_each_patch(items).withColumn("_patch", patch_key(F.col("patch")))
         rows = events.withColumn("_patch", patch_key(F.col("game_version")))
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*facts))
     unique = catalog.select(*keys, *facts).withColumn("_place", place).where(F.col("_place") == 1).drop("_place")

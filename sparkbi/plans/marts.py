@@ -253,8 +253,8 @@ def match_workflow(spark, folder):
     """Snapshots of all patches published, priced by the catalog of their patch, and the trend read from its published files."""
     root = f"{checkpoint_dir(spark)}/workflow-{uuid.uuid4().hex}"
     rows = states(spark, folder)
-    # One catalog per patch that occurs, as a game has them; a few dozen months here.
+    # One catalog per patch that occurs, as a game has them; a few dozen months here. The entries are the same in all of them.
     patches = [row["patch"] for row in rows.select(patch_key(F.col("game_version")).alias("patch")).distinct().orderBy("patch").collect()]
-    catalog = items(spark, folder).withColumn("patch", F.explode(F.array(*[F.lit(f"{patch}.1") for patch in patches])))
+    catalog = items(spark, folder).withColumn("patch", F.array(*[F.lit(f"{patch}.1") for patch in patches]))
     run_workflow({"player_states": rows}, catalog, root, "parts", with_profile=False)
     return _rounded(read_current(spark, root, "patch_stat_trend"))

@@ -37,10 +37,10 @@ def derive_context(states: DataFrame, items: DataFrame, catalog_version: str | N
     return marts.context_mart(states, items, by_patch=True, catalog_version=catalog_version)
 
 
-def from_context(context: DataFrame) -> dict[str, DataFrame]:
-    """The marts that are aggregates of the context."""
+def from_context(context: DataFrame, published: bool = False) -> dict[str, DataFrame]:
+    """The marts that are aggregates of the context, which is cheap to read again if it is ``published``."""
     return {
-        "observed_win_summary": marts.win_summary(context),
+        "observed_win_summary": marts.win_summary(context, published),
         "gold_win_timeseries": marts.bucket_cohorts(context),
         "patch_stat_trend": marts.patch_trend(context),
         "sample_coverage": marts.coverage(context),
@@ -82,7 +82,7 @@ def run_workflow(
     current = lambda name: read_current(spark, root, name)
     context = derive_context(with_lists(current("player_states")), items, catalog_version)
     published |= publish_marts({"context_mart": context}, root, with_profile)
-    marts_of = from_context(with_lists(current("context_mart")))
+    marts_of = from_context(with_lists(current("context_mart")), published=True)
     if "item_events" in flat:
         marts_of["item_event_mart"] = derive_events(current("item_events"), items)
     return published | publish_marts(marts_of, root, with_profile)

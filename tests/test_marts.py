@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkbi.functions.text import text_stat, three_digits
 from sparkbi.operators import marts
 from sparkbi.operators.catalog import efficiency, reference_prices
+from sparkbi.operators.documents import lacking_patches
 from sparkbi.operators.pricing import non_negative, price_model
 from sparkbi.operators.rates import normalize_rates
 
@@ -273,3 +274,35 @@ def test_three_digits_in_the_middle(spark):
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", three_digits(F.col("v")).alias("text")).collect()
     assert {row["v"]: row["text"] for row in got} == {v: "%.3g" % v for v in values}
     assert got[0]["text"] == "7.58e+04"
+
+
+def test_entries_that_hold_for_many_patches_are_not_multiplied(spark, items):
+    """A catalog whose entries list their patches answers as one row per patch does, and moves by item alone."""
+    patches = [f"16.{number}.1" for number in range(1, 31)]
+    listed = items.withColumn("patch", F.array(*[F.lit(patch) for patch in patches]))
+    other = items.where("item_id = 1").withColumn("total_gold", F.lit(9999)).withColumn("patch", F.array(F.lit("16.3.1"), F.lit("15.1.1")))
+    catalog = listed.unionByName(other)
+    rows = [("m", 10, 100, "TOP", 5, inventory, True, 1, f"16.{number}.2", 1) for number in (1, 3, 31) for inventory in ([1, 2, 1], [2], [], None, [99, None, -5, 1 << 40])]
+    states = spark.createDataFrame(rows, STATES)
+    priced = marts.inventory_stats(states, catalog, by_patch=True)
+    want = marts.inventory_stats(states, catalog.withColumn("patch", F.explode("patch")), by_patch=True)
+    assert sorted(map(str, priced.collect())) == sorted(map(str, want.collect()))
+    assert {row["inventory_cost"] for row in priced.where("size(inventory) = 3").collect()} == {1100.0, 20398.0, 0.0}
+    assert _shuffles(priced, "_of_patch") == 0
+    assert [row["patch"] for row in lacking_patches(states, catalog).collect()] == ["16.31"]
+
+
+def test_snapshots_alone_in_their_group_are_not_moved(spark, states, items, monkeypatch, tmp_path):
+    """Of a published context only the snapshots of groups with more than one are shuffled; the summary is the same."""
+    twice = states.unionByName(states.where("champion_id > 6").withColumn("match_id", F.lit("n"))).unionByName(states.withColumn("minute", F.lit(None).cast("int")))
+    marts.context_mart(twice, items).write.parquet(str(tmp_path / "context"))
+    context = spark.read.parquet(str(tmp_path / "context"))
+    want = marts.win_summary(context)
+    for most in (marts.FEW_SETS, 0):
+        monkeypatch.setattr(marts, "FEW_SETS", most)
+        got = marts.win_summary(context, published=True)
+        assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    monkeypatch.undo()
+    plan = marts.win_summary(context, published=True)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning", line)]
+    assert len(moved) == 1 and "LeftSemi" in plan and "LeftAnti" in plan
